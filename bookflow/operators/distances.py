@@ -70,9 +70,12 @@ def l1_by_group(scores: DataFrame, by: Sequence[str], *, group: str = "grp", wei
 
 # Grouping of scores ---------------------------------------------------------------------------------------
 
-def bin_stats(scores: DataFrame, by: Sequence[str], score: str = "score", moments: bool = False) -> DataFrame:
+def bin_stats(scores: DataFrame, by: Sequence[str], score: str = "score", moments: bool = False,
+              weight: str | None = None) -> DataFrame:
     """n, lo, hi, q25, q75 (and std, skew where a rule needs them) of the pooled scores."""
-    stats = quantiles(scores, by, score, {"lo": 0.0, "q25": 0.25, "q75": 0.75, "hi": 1.0})
+    stats = quantiles(scores, by, score, {"lo": 0.0, "q25": 0.25, "q75": 0.75, "hi": 1.0}, weight)
+    if moments and weight:
+        raise ValueError("rules on moments need unweighted scores")
     if moments:
         more = scores.groupBy(*by).agg(F.stddev_pop(score).alias("std"), F.skewness(score).alias("skew"))
         stats = stats.join(more, list(by))
@@ -115,7 +118,7 @@ def equal_width_group(value: Column, lo: Column, hi: Column, bins: Column) -> Co
 
 def group_scores(scores: DataFrame, by: Sequence[str], method: str, *, rule: str = "fd", bins: int | None = None,
                  probs: Sequence[float] | None = None, thresholds: Sequence[float] | None = None,
-                 score: str = "score", name: str = "grp") -> DataFrame:
+                 score: str = "score", name: str = "grp", weight: str | None = None) -> DataFrame:
     """Add a group id: the number of thresholds that are <= the score.
 
     method: 'discrete' (every distinct value is a threshold), 'rule' (histogram rule), 'bins'
@@ -130,7 +133,7 @@ def group_scores(scores: DataFrame, by: Sequence[str], method: str, *, rule: str
         keyed = scores.withColumn("_v", x.cast("double"))
         return keyed.join(ranked.select(*by, "_v", F.col(name).cast("long").alias(name)), [*by, "_v"]).drop("_v")
     if method == "rule":
-        stats = bin_stats(scores, by, score, moments=rule in ("scott", "doane"))
+        stats = bin_stats(scores, by, score, moments=rule in ("scott", "doane"), weight=weight)
         width = rule_width(rule)
         flat = F.col("lo") == F.col("hi")
         count = F.when(width > 0, F.ceil((F.col("hi") - F.col("lo")) / width)).otherwise(F.lit(1))
@@ -149,17 +152,18 @@ def group_scores(scores: DataFrame, by: Sequence[str], method: str, *, rule: str
         return grouped.withColumn(name, F.greatest(F.lit(0), F.least(spread, F.lit(bins - 1))).cast("long")).drop(
             "_lo", "_hi")
     if method == "quantiles":
-        edges = quantile_edges(scores, by, probs, score=score)
+        edges = quantile_edges(scores, by, probs, score=score, weight=weight)
         return scores.join(edges, list(by)).withColumn(name, edge_group(x, F.col("edges"))).drop("edges")
     raise ValueError(f"unknown grouping {method!r}")
 
 
-def quantile_edges(scores: DataFrame, by: Sequence[str], probs: Sequence[float], score: str = "score") -> DataFrame:
+def quantile_edges(scores: DataFrame, by: Sequence[str], probs: Sequence[float], score: str = "score",
+                   weight: str | None = None) -> DataFrame:
     """Quantile thresholds per key: a value repeated more than twice is kept twice, its second copy raised by 0.01."""
     named = {f"_q{i}": p for i, p in enumerate(probs)}
     raw = F.array(*[F.col(c) for c in named])
     kept = F.filter(raw, lambda e, i: (i < 2) | ~((e == raw[i - 1]) & (raw[i - 1] == raw[i - 2])))
-    table = quantiles(scores, by, score, named).withColumn("_kept", kept)
+    table = quantiles(scores, by, score, named, weight).withColumn("_kept", kept)
     raised = F.transform(F.col("_kept"), lambda e, i: F.when(
         (i > 0) & (e == F.col("_kept")[F.greatest(i - 1, F.lit(0))]), e + 0.01).otherwise(e))
     return table.select(*by, raised.alias("edges"))
@@ -167,11 +171,23 @@ def quantile_edges(scores: DataFrame, by: Sequence[str], probs: Sequence[float],
 
 # Comparisons ----------------------------------------------------------------------------------------------
 
-def compare(scores: DataFrame, by: Sequence[str], *, discrete: bool = False, score: str = "score") -> DataFrame:
-    """Unconditional comparison: sample sizes, Wasserstein and L1 by group of the finite scores."""
-    clean = scores.filter(is_finite(F.col(score))).select(*by, "kind", F.col(score).cast("double").alias("score"))
-    grouped = clean.withColumn("grp", F.col("score")) if discrete else group_scores(clean, by, "rule")
-    return wasserstein(clean, by).join(l1_by_group(grouped, by), list(by))
+def compare(scores: DataFrame, by: Sequence[str], *, discrete: bool | Column = False, score: str = "score",
+            weight: str | None = None) -> DataFrame:
+    """Unconditional comparison: sample sizes, Wasserstein and L1 by group of the finite scores.
+
+    Scores are first reduced to counts of distinct values. `discrete` may be a condition on the
+    keys: where it holds every value is its own group, elsewhere groups come from the FD rule.
+    """
+    one = F.col(weight) if weight else F.lit(1)
+    table = scores.filter(is_finite(F.col(score))).groupBy(*by, "kind", F.col(score).cast("double").alias("score")).agg(
+        F.sum(one).alias("_w"))
+    if discrete is True:
+        grouped = table.withColumn("grp", F.col("score"))
+    else:
+        grouped = group_scores(table, by, "rule", weight="_w")
+        if discrete is not False:
+            grouped = grouped.withColumn("grp", F.when(discrete, F.col("score")).otherwise(F.col("grp")))
+    return wasserstein(table, by, weight="_w").join(l1_by_group(grouped, by, weight="_w"), list(by))
 
 
 def compare_given(scores: DataFrame, by: Sequence[str], method: str, *, score: str = "score", given: str = "given",
@@ -302,9 +318,9 @@ def kl_kde(scores: DataFrame, by: Sequence[str], points: int, *, bandwidth: floa
     dens = near.groupBy(*by, "_k").agg(
         (F.sum(F.col("_r") * kernel) * scale / F.max("_n")).alias("_p"),
         (F.sum(F.col("_g") * kernel) * scale / F.max("_m")).alias("_q"))
+    block = F.col("_c") * grid_chunk
     grid = ends.select(*by, F.explode(F.sequence(F.lit(0), F.lit((points - 1) // grid_chunk))).alias("_c")).select(
-        *by, F.explode(F.sequence(F.col("_c") * grid_chunk, F.least(
-            F.col("_c") * grid_chunk + grid_chunk - 1, F.lit(points - 1)))).cast("long").alias("_k"))
+        *by, F.explode(F.sequence(block, F.least(block + grid_chunk - 1, F.lit(points - 1)))).alias("_k"))
     full = grid.join(dens, [*by, "_k"], "left").select(
         *by, (F.coalesce("_p", F.lit(0.0)) + 1e-10).alias("_p"), (F.coalesce("_q", F.lit(0.0)) + 1e-10).alias("_q"))
     ratio = F.log(F.col("_p") / F.col("_q"))
@@ -357,7 +373,7 @@ def bootstrap(scores: DataFrame, by: Sequence[str], loss: Loss, *, replicates: i
     )
     resampled = asof_backward(draws, placed, keys, "_i", cols, bucket=block)
     whole = hist.select(*keys, *cols, F.lit(0).alias("_b"), F.col("_n").alias("weight"))
-    losses = loss(resampled.unionByName(whole).drop("_i"), [*by, "_b"])
+    losses = loss(resampled.drop("_i").unionByName(whole), [*by, "_b"])
     return losses.groupBy(*by).agg(
         F.max(F.when(F.col("_b") == 0, F.col("loss"))).alias("loss"),
         F.percentile("loss", F.lit(alpha / 2)).alias("ci_low"),

@@ -310,7 +310,7 @@ def rolling_mean(rows: DataFrame, value: str, n: int, by: Sequence[str] = BY) ->
 def acf(series: DataFrame, value: str, nlags: int, by: Sequence[str] = BY, alpha: float | None = None) -> DataFrame:
     """Autocorrelation for lags 0..nlags (biased estimator) of a densely indexed series without NULLs."""
     mean = series.groupBy(*by).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("n"))
-    centred = series.join(mean, list(by)).select(*by, "row_seq", "n", (F.col(value) - F.col("_m")).alias("_x"))
+    centred = series.select(*by, "row_seq", value).join(mean, list(by)).select(*by, "row_seq", "n", (F.col(value) - F.col("_m")).alias("_x"))
     ahead = over_neighbours(centred, by, lambda w: {f"_l{k}": F.lead("_x", k).over(w) for k in range(1, nlags + 1)},
                             after=nlags)
     sums = ahead.groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.col("_x") * F.col("_x")).alias("_c0"), *[

@@ -192,13 +192,15 @@ def cumulative(hist: DataFrame, by: Sequence[str], value: str, counts: Sequence[
     )
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
+              weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one column per entry of `probs`, plus `n`.
 
-    Works on the value histogram, so no key's values are gathered into one buffer.
+    Works on the value histogram, so no key's values are gathered into one buffer. `weight` counts
+    how often a row stands for its value.
     """
     hist = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     cum = cumulative(hist, by, "_v", ["_n"])
     picks = []
     for name, p in probs.items():
