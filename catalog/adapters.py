@@ -10,7 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bookflow.functions import div
-from bookflow.operators import ordered
+from bookflow.operators import bins, flow as flows, ordered
+from bookflow.session import stage
 
 LEVELS = range(1, 11)
 TAPE_KEYS = ("run_id", "kind")
@@ -67,7 +68,7 @@ TXN_TERMS = {
     "last_qty": "CAST(l_quantity AS BIGINT) * 100",
     "exec_type": "CASE WHEN l_returnflag = 'R' THEN 52 ELSE 70 END",
     "t_ms": "33900000 + (l_orderkey * 7919) % 19800000 + CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE (l_suppkey * 6007) % 600000 END",
-    "txn_seq": "l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100",
+    "txn_seq": "l_partkey * 8000 + l_linenumber * 1000 + l_suppkey % 1000",
 }
 # One snapshot per order: every fourth in the anchor second 09:31:00, the rest 0 to 7 s before the order's own post.
 SNAP_TERMS = {
@@ -80,6 +81,69 @@ SNAP_TERMS = {
 }
 
 
+MASK_SQL = """mask AS (
+  SELECT 20250709 + CAST(FLOOR(p_partkey / 8.0) AS BIGINT) % 2 AS trade_date,
+    concat(lpad(CAST(p_partkey % 8 AS VARCHAR(6)), 6, '0'), '_XSHE') AS security_id,
+    CAST(CASE WHEN sum(p_size) % 4 > 0 THEN 1 ELSE 0 END AS BIGINT) AS is_liquid
+  FROM part GROUP BY ALL)"""
+
+FLOW_KEYS = ("trade_date", "security_id")
+_ORDER = "trade_date, security_id, channel_no, appl_seq_num"
+
+
+def flow_sql(variant: str = "open_complete", split: bool = False) -> str:
+    """CTEs ending in `flow`, for the three variants of the flow build."""
+    if variant == "mid":
+        priced = """secs AS (SELECT trade_date, security_id, t_ms // 1000 AS t_sec, arg_max((bid1 + ask1) / 2.0, (t_ms, snap_seq)) AS mid_tick FROM snaps GROUP BY ALL),
+priced AS (SELECT o.*, mid_tick, CAST(round_even((price_tick - mid_tick) / 0.5, 0) AS BIGINT) AS price_diff
+  FROM (SELECT *, t_ms // 1000 AS t_sec FROM orders50) o ASOF JOIN secs s ON o.trade_date = s.trade_date AND o.security_id = s.security_id
+  AND o.t_sec >= s.t_sec WHERE o.t_sec - s.t_sec <= 5)"""
+    else:
+        priced = """anchors AS (SELECT trade_date, security_id, arg_max(bid1, (t_ms, snap_seq)) AS anchor_bid_tick, arg_max(ask1, (t_ms, snap_seq)) AS anchor_ask_tick
+  FROM snaps WHERE t_ms // 1000 = 34260 GROUP BY ALL),
+priced AS (SELECT o.*, anchor_bid_tick, price_tick - anchor_bid_tick AS price_diff FROM orders50 o JOIN anchors USING (trade_date, security_id))"""
+    done = "CASE WHEN orig_side = 49 THEN 129 WHEN orig_side = 50 THEN 130 END" if variant == "open_complete" else "129"
+    cancel = "CASE WHEN orig_side = 49 THEN 97 WHEN orig_side = 50 THEN 98 ELSE 99 END" if split else "99"
+    qty, keep = ("order_qty - least(coalesce(immediate_qty, 0), order_qty)", "WHERE order_qty > coalesce(immediate_qty, 0)") \
+        if variant == "open_complete" else ("order_qty", "")
+    return f"""orders50 AS (SELECT * FROM posts WHERE ord_type = 50 AND t_ms // 1000 > 34200),
+{priced},
+legs AS (SELECT trade_date, security_id, channel_no, bid_seq AS appl_seq_num, exec_type, last_qty AS order_qty, t_ms, txn_seq, 1 AS leg FROM txns WHERE bid_seq <> 0
+  UNION ALL SELECT trade_date, security_id, channel_no, offer_seq, exec_type, last_qty, t_ms, txn_seq, 2 FROM txns WHERE offer_seq <> 0),
+matched AS (SELECT l.*, price_tick, price_diff, p.side AS orig_side FROM legs l JOIN priced p USING ({_ORDER})),
+executed AS (SELECT {_ORDER}, t_ms, CAST(sum(order_qty) AS BIGINT) AS immediate_qty FROM matched WHERE exec_type = 70 GROUP BY ALL),
+flagged AS (SELECT p.*, coalesce(immediate_qty, 0) AS immediate_raw FROM priced p LEFT JOIN executed USING ({_ORDER}, t_ms)),
+both_rows AS (
+  SELECT {_ORDER}, t_ms, {qty} AS order_qty, side, side AS orig_side, price_tick, price_diff, 'post' AS event_semantic, 0 AS leg, 0 AS txn_seq, 0 AS exec_type
+  FROM priced LEFT JOIN executed USING ({_ORDER}, t_ms) {keep}
+  UNION ALL SELECT {_ORDER}, t_ms, order_qty, CASE WHEN exec_type = 52 THEN {cancel} ELSE {done} END, orig_side, price_tick, price_diff,
+    CASE WHEN exec_type = 52 THEN 'cancel' ELSE 'transaction_complete' END, leg, txn_seq, exec_type FROM matched),
+flow AS (SELECT *, coalesce(t_ms - lag(t_ms) OVER (PARTITION BY trade_date, security_id ORDER BY row_seq), 0) AS interval_ms FROM (
+  SELECT *, row_number() OVER (PARTITION BY trade_date, security_id ORDER BY t_ms, channel_no, appl_seq_num, leg, txn_seq, exec_type, order_qty) - 1 AS row_seq
+  FROM both_rows WHERE t_ms // 1000 BETWEEN 33900 AND 54000))"""
+
+
+RADICES = {"price": 26, "qty": 26, "interval": 12}
+# Fixed edges for the queries whose twin needs them spelled out; fitted edges are checked on their own.
+FIXED_EDGES = {
+    "price": [-60.0, -20.0, -15.0, -10.0, -7.0, -4.0, -2.0, 0.0, 2.0, 4.0, 7.0, 10.0, 15.0, 20.0, 60.0],
+    "qty": [0.0, 200.0, 500.0, 1000.0, 1500.0, 2000.0, 2500.0, 3000.0, 3500.0, 4000.0, 4500.0, 5000.0],
+    "interval": [-1.0, 0.0, 100.0, 500.0, 1000.0, 2000.0, 5000.0, 20000.0, 1000000.0],
+}
+
+
+def _bin_sql(column: str, edges: list[float]) -> str:
+    return f"greatest(0, least(len(list_filter({edges}, lambda e: e < {column})) - 1, {len(edges) - 2}))"
+
+
+BINNED_SQL = "binned AS (SELECT *, " + ", ".join(
+    f"{_bin_sql(col, FIXED_EDGES[name])} AS {name}_bin" for name, col in bins.FIELDS.items()) + " FROM flow)"
+TOKENS_SQL = BINNED_SQL + f""",
+tokens AS (SELECT *, order_token IS NOT NULL AS tokenizable_event FROM (SELECT *,
+  ((price_bin * {len(FIXED_EDGES['qty']) - 1} + qty_bin) * {len(FIXED_EDGES['interval']) - 1} + interval_bin) * 5 + side_bin AS order_token
+  FROM (SELECT *, CASE side WHEN 49 THEN 0 WHEN 50 THEN 1 WHEN 99 THEN 2 WHEN 129 THEN 3 WHEN 130 THEN 4 END AS side_bin FROM binned)))"""
+
+
 def _terms(terms: dict[str, str]) -> str:
     return ", ".join(f"{sql} AS {name}" for name, sql in terms.items())
 
@@ -96,9 +160,19 @@ def wall_us(ts: str) -> "F.Column":
             + (F.expr(f"extract(SECOND FROM {ts})") * 1_000_000).cast("long"))
 
 
+_staged: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """Engine inputs over one data folder."""
 
+    def staged(self, label: str, build) -> DataFrame:
+        """A derived table written once per application, as a user keeps a preprocessed flow."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, label)
+        if key not in _staged:
+            _staged[key] = stage(build(), label)
+        return _staged[key]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -133,3 +207,35 @@ class Tables:
         return self.raw("orders").select(
             F.expr(SECURITY.format(key="o_orderkey", text="STRING")).alias("security_id"),
             *[F.expr(sql).cast("long").alias(name) for name, sql in SNAP_TERMS.items()])
+
+    @cached_property
+    def mask(self) -> DataFrame:
+        part = self.raw("part").select(
+            (F.floor(F.col("p_partkey") / 8) % 2 + 20250709).cast("long").alias("trade_date"),
+            F.expr(SECURITY.format(key="p_partkey", text="STRING")).alias("security_id"), "p_size")
+        return part.groupBy(*FLOW_KEYS).agg((F.sum("p_size") % 4 > 0).cast("long").alias("is_liquid"))
+
+    @cached_property
+    def wide_mask(self) -> DataFrame:
+        """The mask as it arrives: one row per day, one column per security."""
+        return self.mask.groupBy("trade_date").pivot("security_id").agg(F.max("is_liquid"))
+
+    @cached_property
+    def flow(self) -> DataFrame:
+        return self.staged("flow", lambda: flows.build_flow(self.posts, self.txns, self.snaps))
+
+    @cached_property
+    def flow_seconds(self) -> DataFrame:
+        return self.flow.withColumn("t_sec", div(F.col("t_ms"), 1000))
+
+    @cached_property
+    def edges(self) -> dict[str, list[float]]:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "edges")
+        if key not in _staged:
+            _staged[key] = bins.fit_bins_pooled([self.flow], RADICES, tuple(flows.SIDES_5))
+        return _staged[key]
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return self.staged("tokens", lambda: bins.encode_token(
+            bins.apply_bins(self.flow, FIXED_EDGES), tuple(len(FIXED_EDGES[f]) - 1 for f in bins.FIELDS)))
