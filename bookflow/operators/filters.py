@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookflow.functions import MISSING_LEVEL, is_finite
-from bookflow.operators.micro import BY
 
 
 def unpivot_mask(wide: DataFrame, day_col: str = "trade_date", day: int | None = None) -> DataFrame:
@@ -45,7 +44,8 @@ def finite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def clean_lines(df: DataFrame, n: int, text: str = "text", order: Sequence[str] = ("line_no",)) -> DataFrame:
     """First n non-empty lines without leading numbering and quotes; fails if there are fewer."""
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.col(text)), r"^\d+\.\s*", "")), "^[\"']+|[\"']+$", ""))
+    outer = "^[\\s\"'\u201c\u201d]+|[\\s\"'\u201c\u201d]+$"
+    bare = F.regexp_replace(F.regexp_replace(F.col(text), r"^\s*\d+\.\s*", ""), outer, "")
     kept = df.withColumn(text, bare).filter(F.col(text) != "").orderBy(*order).limit(n)
     found = kept.agg(F.count(F.lit(1)).alias("_found"))
     enough = F.when(F.col("_found") >= n, F.lit(True)).otherwise(
@@ -55,8 +55,6 @@ def clean_lines(df: DataFrame, n: int, text: str = "text", order: Sequence[str]
 
 def reasonable(text: Column, longest: int = 30) -> Column:
     """Trimmed text that is not empty, has no control characters, at most `longest` characters and an alphanumeric one."""
-    trimmed = F.trim(text)
-    return ((F.length(trimmed) > 0) & ~text.rlike(r"[\p{Cntrl}]") & (F.length(trimmed) <= longest) & trimmed.rlike(r"[\p{L}\p{N}]"))
-
-
-__all__ = ["BY", "clean_lines", "cut_to_level", "filter_by_level", "finite", "level_range", "reasonable", "unpivot_mask"]
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return ((F.length(trimmed) > 0) & ~trimmed.rlike(r"[\x00-\x1F]") & (F.length(trimmed) <= longest)
+            & trimmed.rlike(r"[\p{L}\p{N}]"))

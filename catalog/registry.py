@@ -1,3 +1,3 @@
 """Imports every query module."""
 
-from catalog import q_flow, q_micro, q_scores  # noqa: F401
+from catalog import q_flow, q_micro, q_scores, q_state  # noqa: F401
