@@ -94,6 +94,28 @@ def iqm(df: DataFrame, col: str, by: Sequence[str], prefix: str = "") -> DataFra
         F.coalesce(F.avg(F.when(inside, F.col("_x"))), F.avg("_x")).alias(f"{prefix}iqm"))
 
 
+def loss_stats(df: DataFrame, cols: Mapping[str, str], by: Sequence[str]) -> DataFrame:
+    """n, mean, median and interquartile mean of several columns in one aggregation.
+
+    For tables with one row per metric or slot: a group is a list of losses, never event rows.
+    """
+    def at(values: Column, p: float) -> Column:
+        rank = (F.size(values) - 1) * F.lit(p)
+        lo, hi = (F.get(values, f(rank).cast("int")) for f in (F.floor, F.ceil))
+        weight = rank - F.floor(rank)
+        return lo * (1 - weight) + hi * weight
+
+    lists = df.groupBy(*by).agg(*[F.array_sort(F.collect_list(finite_or_null(F.col(c)))).alias(f"_{p}") for p, c in cols.items()])
+    mean = lambda values: F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), F.size(values).cast("double"))
+    out = []
+    for p in cols:
+        values = F.col(f"_{p}")
+        inner = F.filter(values, lambda x: (x >= at(values, 0.25)) & (x <= at(values, 0.75)))
+        out += [F.size(values).cast("long").alias(f"{p}n"), mean(values).alias(f"{p}mean"), at(values, 0.5).alias(f"{p}median"),
+                F.coalesce(mean(inner), mean(values)).alias(f"{p}iqm")]
+    return lists.select(*by, *out)
+
+
 def direction_eval(df: DataFrame, predicted: str, actual: str, by: Sequence[str], eps: float = 1e-12) -> DataFrame:
     """Pearson correlation, sign hits and hit rate; moves within eps of zero count as flat."""
     sign = lambda c: F.when(F.col(c) > eps, 1).when(F.col(c) < -eps, -1).otherwise(0)

@@ -175,9 +175,7 @@ def slot_summary(report: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Means over slots, and mean / median / IQM of the slot distances."""
     means = report.groupBy(*by).agg(*[F.avg(c).alias(f"{c}_mean") for c in (
         "token_l1", "entropy_real", "entropy_generated", "price_bin_diff", "vol_bin_diff")])
-    for col, prefix in (("wasserstein", "w_"), ("l1_by_group", "l1_")):
-        means = means.join(agg.iqm(report, col, by, prefix), list(by), "left")
-    return means
+    return means.join(agg.loss_stats(report, {"w_": "wasserstein", "l1_": "l1_by_group"}, by), list(by))
 
 
 def horizon(state: DataFrame, start_slot: int, context: int, length: int, by: Sequence[str] = BY) -> DataFrame:
