@@ -43,10 +43,17 @@ def finite_or_null(value: Column) -> Column:
 
 
 def clock_ms(text: Column) -> Column:
-    """`HH:MM:SS[.fff...]` to milliseconds since midnight; NULL when malformed."""
-    part = lambda i: F.try_to_number(F.regexp_extract(text, r"^(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?$", i), F.lit("99")).cast("long")
-    frac = F.rpad(F.regexp_extract(text, r"^(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?$", 4), 3, "0")
-    return part(1) * 3_600_000 + part(2) * 60_000 + part(3) * 1000 + F.substring(frac, 1, 3).cast("long")
+    """`HH:MM:SS[.fff...]` to milliseconds since midnight; NULL when the clock part is malformed."""
+    pattern = r"^\s*(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?"
+    part = lambda i: F.regexp_extract(text, pattern, i).try_cast("long")
+    frac = F.substring(F.rpad(F.regexp_extract(text, pattern, 4), 3, "0"), 1, 3).try_cast("long")
+    valid = (part(1) < 24) & (part(2) < 60) & (part(3) < 60)
+    return F.when(valid, part(1) * 3_600_000 + part(2) * 60_000 + part(3) * 1000 + frac)
+
+
+def number(text: Column) -> Column:
+    """Text to a finite double, else NULL."""
+    return finite_or_null(text.try_cast("double"))
 
 
 def edge_bin(value: Column, edges: Column) -> Column:

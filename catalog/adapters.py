@@ -160,22 +160,26 @@ def wall_us(ts: str) -> "F.Column":
             + (F.expr(f"extract(SECOND FROM {ts})") * 1_000_000).cast("long"))
 
 
-_staged: dict[tuple, DataFrame] = {}
+_made: dict[tuple, object] = {}
 
 
 class Tables:
     """Engine inputs over one data folder."""
 
-    def staged(self, label: str, build) -> DataFrame:
-        """A derived table written once per application, as a user keeps a preprocessed flow."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, label)
-        if key not in _staged:
-            _staged[key] = stage(build(), label)
-        return _staged[key]
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def once(self, label: str, build):
+        """Result of `build()`, made once per application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, label)
+        if key not in _made:
+            _made[key] = build()
+        return _made[key]
+
+    def staged(self, label: str, build) -> DataFrame:
+        """A derived table written once, as a user keeps a preprocessed flow."""
+        return self.once(label, lambda: stage(build(), label))
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -230,10 +234,7 @@ class Tables:
 
     @cached_property
     def edges(self) -> dict[str, list[float]]:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, "edges")
-        if key not in _staged:
-            _staged[key] = bins.fit_bins_pooled([self.flow], RADICES, tuple(flows.SIDES_5))
-        return _staged[key]
+        return self.once("edges", lambda: bins.fit_bins_pooled([self.flow], RADICES, tuple(flows.SIDES_5)))
 
     @cached_property
     def tokens(self) -> DataFrame:
