@@ -71,53 +71,43 @@ query("s4_read_liquidity_mask", "SELECT * FROM (SELECT 20250709 + CAST(FLOOR(p_p
       "CAST(CASE WHEN sum(p_size) % 4 > 0 THEN 1 ELSE 0 END AS BIGINT) AS is_liquid FROM part GROUP BY ALL) WHERE trade_date = 20250710")(
     lambda t: readers.read_liquidity_mask(t.spark, mask_file(t), 20250710))
 
-# One calendar day of the tape per sequence, so a file has one date and times of day come back whole.
-DAY = "t_ns // 86400000000000"
-DAYS_SQL = f"days AS (SELECT concat('r', run_id, '-', kind) AS name, {DAY} AS day, tape.*, row_number() OVER (PARTITION BY run_id, kind, {DAY} ORDER BY row_seq) - 1 AS line FROM tape)"
-
-
-def day_tape(t):
-    day = div(F.col("t_ns"), 86_400 * micro.NS)
-    first = t.tape.groupBy(*TAPE_KEYS, day.alias("day")).agg(F.min("row_seq").alias("_first"))
-    return t.tape.withColumn("day", day).join(first, [*TAPE_KEYS, "day"]).withColumn("row_seq", F.col("row_seq") - F.col("_first")).drop("_first").withColumn(
-        "name", F.concat(F.lit("r"), F.col("run_id").cast("string"), F.lit("-"), F.col("kind")))
-
-
-seq_name = lambda: F.concat(F.col("name"), F.lit("_"), F.col("day").cast("string"))
+# One file pair per run and kind, under one date: times of day come back, the 30 days of the tape do not.
+seq_name = lambda: F.concat(F.lit("r"), F.col("run_id").cast("string"), F.lit("-"), F.col("kind"))
+SEQ = "concat('r', run_id, '-', kind) AS seq"
 
 
 def lobster_files(t):
     def write():
         path = folder(t, "lobster")
-        writers.write_lobster(day_tape(t), path, seq_name())
+        writers.write_lobster(t.tape, path, seq_name())
         return path
     return t.once("lobster", write)
 
 
 TAPE_COLS = "event_type, order_id, size, price, direction"
-query("s5_read_messages", tape_sql(f"SELECT concat(name, '_', day) AS seq, line AS row_seq, t_ns - day * 86400000000000 + 1752019200000000000 AS t_ns, {TAPE_COLS} FROM days", DAYS_SQL))(
+query("s5_read_messages", tape_sql(f"SELECT {SEQ}, row_seq, t_ns % 86400000000000 + 1752019200000000000 AS t_ns, {TAPE_COLS} FROM tape"))(
     lambda t: readers.read_messages(t.spark, lobster_files(t) + "/message", "2025-07-09").withColumn("seq", F.regexp_extract("_file", r"seq=([^/]+)/", 1)).drop("_file"))
-query("s6_read_book", tape_sql("SELECT concat(name, '_', day) AS seq, line AS row_seq, ask_p_1, ask_v_1, bid_p_10, bid_v_10 FROM days", DAYS_SQL))(
+query("s6_read_book", tape_sql(f"SELECT {SEQ}, row_seq, ask_p_1, ask_v_1, bid_p_10, bid_v_10 FROM tape"))(
     lambda t: readers.read_book(t.spark, lobster_files(t) + "/orderbook").select(
         F.regexp_extract("_file", r"seq=([^/]+)/", 1).alias("seq"), "row_seq", F.col("levels")[0]["ask_p"].alias("ask_p_1"), F.col("levels")[0]["ask_v"].alias("ask_v_1"),
         F.col("levels")[9]["bid_p"].alias("bid_p_10"), F.col("levels")[9]["bid_v"].alias("bid_v_10")))
-query("s7_read_tape", tape_sql(f"SELECT concat(name, '_', day) AS seq, line AS row_seq, {TAPE_COLS}, ask_p_1, bid_p_1 FROM days", DAYS_SQL))(
+query("s7_read_tape", tape_sql(f"SELECT {SEQ}, row_seq, {TAPE_COLS}, ask_p_1, bid_p_1 FROM tape"))(
     lambda t: writers.read_lobster(t.spark, lobster_files(t), "2025-07-09").select(
         "seq", "row_seq", "event_type", "order_id", "size", "price", "direction", F.col("levels")[0]["ask_p"].alias("ask_p_1"), F.col("levels")[0]["bid_p"].alias("bid_p_1")))
 query("s9_write_lobster", tape_sql(
-    "SELECT concat(name, '_', day) AS seq, count(*) AS n, CAST(sum(price) AS BIGINT) AS prices, CAST(sum(ask_v_10) AS BIGINT) AS volumes FROM days GROUP BY ALL", DAYS_SQL))(
+    f"SELECT {SEQ}, count(*) AS n, CAST(sum(price) AS BIGINT) AS prices, CAST(sum(ask_v_10) AS BIGINT) AS volumes FROM tape GROUP BY ALL"))(
     lambda t: writers.read_lobster(t.spark, lobster_files(t), "2025-07-09").groupBy("seq").agg(
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("prices"), F.sum(F.col("levels")[9]["ask_v"]).alias("volumes")))
 
 
 def cut_files(t):
     path = folder(t, "lobster-cut")
-    writers.write_cut(day_tape(t), 3, path, seq_name())
+    writers.write_cut(t.tape, 3, path, seq_name())
     return path
 
 
 query("s10_write_cut", tape_sql(
-    "SELECT concat(name, '_', day) AS seq, count(*) AS n, CAST(sum(price) AS BIGINT) AS prices, CAST(sum(ask_v_3) AS BIGINT) AS volumes FROM days WHERE price BETWEEN bid_p_3 AND ask_p_3 GROUP BY ALL", DAYS_SQL))(
+    f"SELECT {SEQ}, count(*) AS n, CAST(sum(price) AS BIGINT) AS prices, CAST(sum(ask_v_3) AS BIGINT) AS volumes FROM tape WHERE price BETWEEN bid_p_3 AND ask_p_3 GROUP BY ALL"))(
     lambda t: writers.read_lobster(t.spark, cut_files(t), "2025-07-09", 3).groupBy("seq").agg(
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("prices"), F.sum(F.col("levels")[2]["ask_v"]).alias("volumes")))
 
@@ -184,18 +174,17 @@ def catalogue(t):
     """Files named after the runs and days of the tape."""
     root = folder(t, "catalogue")
     for role, kind in (("real", "real"), ("gen", "generated"), ("cond", "real")):
-        days = t.tape.filter(F.col("kind") == kind).select("run_id", div(F.col("t_ns"), 86_400 * micro.NS).alias("day")).distinct()
+        runs_of = t.tape.filter(F.col("kind") == kind).groupBy("run_id").agg(div(F.min("t_ns"), 86_400 * micro.NS).alias("day"))
         date = F.date_format(F.date_add(F.lit("1970-01-01"), F.col("day").cast("int")), "yyyy-MM-dd")
         tail = F.lit("_gen_id_0" if role == "gen" else "")
         names = F.explode(F.array(*[F.concat(F.lit("X_"), date, F.lit(f"_0_1_{what}_10_real_id_"), F.col("run_id").cast("string"), tail, F.lit(".csv")) for what in ("message", "orderbook")]))
-        days.select(names.alias("file"), F.col("day").cast("string").alias("value")).coalesce(1).write.partitionBy("file").text(f"{root}/{role}")
+        runs_of.select(names.alias("file"), F.col("day").cast("string").alias("value")).coalesce(1).write.partitionBy("file").text(f"{root}/{role}")
     return readers.read_catalogue(t.spark, f"{root}/real", f"{root}/gen", f"{root}/cond")
 
 
 query("s8_read_catalogue", tape_sql(
     "SELECT strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS date, CAST(run_id AS VARCHAR) AS real_id, role, CASE WHEN role = 'generated' THEN '0' ELSE '' END AS gen_id FROM "
-    f"(SELECT DISTINCT run_id, {DAY} AS day, role FROM tape JOIN (VALUES ('real', 'real'), ('generated', 'generated'), ('real', 'conditional')) v(kind, role) USING (kind)) r "
-    f"SEMI JOIN (SELECT DISTINCT run_id, {DAY} AS day FROM tape WHERE kind = 'real') USING (run_id, day)"))(
+    "(SELECT run_id, kind, min(t_ns) // 86400000000000 AS day FROM tape GROUP BY ALL) JOIN (VALUES ('real', 'real'), ('generated', 'generated'), ('real', 'conditional')) v(kind, role) USING (kind)"))(
     lambda t: catalogue(t).select("date", "real_id", "role", "gen_id"))
 
 
