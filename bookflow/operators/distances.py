@@ -21,6 +21,13 @@ def _count_kind(kind: str, weight: str | None) -> Column:
     return F.sum(F.when(F.col("kind") == kind, one).otherwise(F.lit(0))).cast("long")
 
 
+def _cdf_gap() -> Column:
+    """Area between the two distribution functions up to the next value; NULL when a kind is missing."""
+    both = (F.col("tot__r") > 0) & (F.col("tot__g") > 0)
+    gap = F.abs(F.try_divide(F.col("cum__r"), F.col("tot__r")) - F.try_divide(F.col("cum__g"), F.col("tot__g")))
+    return F.when(both, gap * F.coalesce(F.col("next_value") - F.col("_v"), F.lit(0.0)))
+
+
 def wasserstein(scores: DataFrame, by: Sequence[str], *, score: str = "score", ddof: int | None = 1,
                 weight: str | None = None) -> DataFrame:
     """Wasserstein-1 between the kinds on pooled z-scores, one row per key.
@@ -36,12 +43,9 @@ def wasserstein(scores: DataFrame, by: Sequence[str], *, score: str = "score", d
     )
     cum = cumulative(hist, by, "_v", ["_r", "_g"], totals={"_mass": (F.col("_r") + F.col("_g")) * F.col("_v")})
     n = F.col("tot__r") + F.col("tot__g")
-    gap = F.when((F.col("tot__r") > 0) & (F.col("tot__g") > 0), F.abs(
-        F.col("cum__r") / F.col("tot__r") - F.col("cum__g") / F.col("tot__g")))
-    step = F.coalesce(F.col("next_value") - F.col("_v"), F.lit(0.0))
     rows = cum.groupBy(*by).agg(
         F.max("tot__r").alias("n_real"), F.max("tot__g").alias("n_generated"),
-        F.sum(gap * step).alias("_w"),
+        F.sum(_cdf_gap()).alias("_w"),
         F.sum((F.col("_r") + F.col("_g")) * F.pow(F.col("_v") - F.col("_mass") / n, 2)).alias("_ss"),
     )
     if ddof is None:
@@ -107,6 +111,15 @@ def rule_width(rule: str) -> Column:
     raise ValueError(f"unknown bin rule {rule!r}")
 
 
+def _bin_range(width: Column) -> list[Column]:
+    """_lo, _hi, _bins of a rule; a single value gets a bin of width 1 around it."""
+    flat = F.col("lo") == F.col("hi")
+    count = F.when(width > 0, F.ceil((F.col("hi") - F.col("lo")) / width)).otherwise(F.lit(1))
+    return [F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("_lo"),
+            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("_hi"),
+            F.greatest(count, F.lit(1)).cast("long").alias("_bins")]
+
+
 def equal_width_group(value: Column, lo: Column, hi: Column, bins: Column) -> Column:
     """Number of the bins+1 equally spaced edges of [lo, hi] that are <= value, without an edge array."""
     step = (hi - lo) / bins
@@ -134,13 +147,7 @@ def group_scores(scores: DataFrame, by: Sequence[str], method: str, *, rule: str
         return keyed.join(ranked.select(*by, "_v", F.col(name).cast("long").alias(name)), [*by, "_v"]).drop("_v")
     if method == "rule":
         stats = bin_stats(scores, by, score, moments=rule in ("scott", "doane"), weight=weight)
-        width = rule_width(rule)
-        flat = F.col("lo") == F.col("hi")
-        count = F.when(width > 0, F.ceil((F.col("hi") - F.col("lo")) / width)).otherwise(F.lit(1))
-        edges = stats.select(
-            *by, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("_lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("_hi"),
-            F.greatest(count, F.lit(1)).cast("long").alias("_bins"))
+        edges = stats.select(*by, *_bin_range(rule_width(rule)))
         grouped = scores.join(edges, list(by))
         return grouped.withColumn(name, equal_width_group(x, F.col("_lo"), F.col("_hi"), F.col("_bins"))).drop(
             "_lo", "_hi", "_bins")
@@ -175,19 +182,43 @@ def compare(scores: DataFrame, by: Sequence[str], *, discrete: bool | Column = F
             weight: str | None = None) -> DataFrame:
     """Unconditional comparison: sample sizes, Wasserstein and L1 by group of the finite scores.
 
-    Scores are first reduced to counts of distinct values. `discrete` may be a condition on the
-    keys: where it holds every value is its own group, elsewhere groups come from the FD rule.
+    Scores are first reduced to counts of distinct values; one running pass over these gives the
+    distance and the quartiles, and a second look at them gives the group shares. `discrete` may be a
+    condition on the keys: where it holds every value is its own group, elsewhere groups come from
+    the FD rule.
     """
-    one = F.col(weight) if weight else F.lit(1)
-    table = scores.filter(is_finite(F.col(score))).groupBy(*by, "kind", F.col(score).cast("double").alias("score")).agg(
-        F.sum(one).alias("_w"))
-    if discrete is True:
-        grouped = table.withColumn("grp", F.col("score"))
-    else:
-        grouped = group_scores(table, by, "rule", weight="_w")
-        if discrete is not False:
-            grouped = grouped.withColumn("grp", F.when(discrete, F.col("score")).otherwise(F.col("grp")))
-    return wasserstein(table, by, weight="_w").join(l1_by_group(grouped, by, weight="_w"), list(by))
+    table = (
+        scores.filter(is_finite(F.col(score)))
+        .groupBy(*by, F.col(score).cast("double").alias("_v"))
+        .agg(_count_kind(REAL, weight).alias("_r"), _count_kind(GENERATED, weight).alias("_g"))
+    )
+    cum = cumulative(table, by, "_v", ["_r", "_g"], totals={"_mass": (F.col("_r") + F.col("_g")) * F.col("_v")})
+    n, end = F.col("tot__r") + F.col("tot__g"), F.col("cum__r") + F.col("cum__g")
+    picks = []
+    for name, p in (("q25", 0.25), ("q75", 0.75)):
+        for part, rank in (("lo", F.floor((n - 1) * p)), ("hi", F.ceil((n - 1) * p))):
+            hit = (end - F.col("_r") - F.col("_g") <= rank) & (rank < end)
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{part}_{name}"))
+    stats = cum.groupBy(*by).agg(
+        F.max("tot__r").alias("n_real"), F.max("tot__g").alias("n_generated"), F.sum(_cdf_gap()).alias("_w"),
+        F.sum((F.col("_r") + F.col("_g")) * F.pow(F.col("_v") - F.col("_mass") / n, 2)).alias("_ss"),
+        F.min("_v").alias("lo"), F.max("_v").alias("hi"), *picks).withColumn("n", F.col("n_real") + F.col("n_generated"))
+    for name, p in (("q25", 0.25), ("q75", 0.75)):
+        at = (F.col("n") - 1) * F.lit(p)
+        stats = stats.withColumn(name, F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (at - F.floor(at)))
+    std = F.sqrt(F.col("_ss") / F.when(F.col("n") > 1, F.col("n") - 1))
+    facts = stats.withColumn("wasserstein", F.when(std > 0, F.col("_w") / std)).select(
+        *by, "n_real", "n_generated", "wasserstein", *_bin_range(rule_width("fd")))
+    by_rule = equal_width_group(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_bins")).cast("double")
+    own = F.col("_v")
+    group = own if discrete is True else by_rule if discrete is False else F.when(discrete, own).otherwise(by_rule)
+    keep = ("n_real", "n_generated", "wasserstein")
+    shares = table.join(facts, list(by)).groupBy(*by, group.alias("_grp")).agg(
+        F.sum("_r").alias("_r"), F.sum("_g").alias("_g"), *[F.max(c).alias(c) for c in keep])
+    both = (F.col("n_real") > 0) & (F.col("n_generated") > 0)
+    off = F.abs(F.try_divide(F.col("_r"), F.col("n_real")) - F.try_divide(F.col("_g"), F.col("n_generated")))
+    return shares.groupBy(*by).agg(*[F.max(c).alias(c) for c in keep], (F.sum(off) / 2).alias("_l1")).select(
+        *by, *keep, F.when(both, F.col("_l1")).otherwise(F.lit(1.0)).alias("l1_by_group"))
 
 
 def compare_given(scores: DataFrame, by: Sequence[str], method: str, *, score: str = "score", given: str = "given",

@@ -21,7 +21,8 @@ NS = 1_000_000_000
 
 
 def touch(field: str) -> Column:
-    return F.col("levels")[0][field]
+    """Field of the first level; taking the field first lets a Parquet scan read that field only."""
+    return F.col("levels")[field][0]
 
 
 def mid() -> Column:
@@ -38,7 +39,7 @@ def imbalance_of() -> Column:
 
 
 def depth_sum(field: str, n: int) -> Column:
-    return F.aggregate(F.slice("levels", 1, n), F.lit(0).cast("long"), lambda acc, lv: acc + F.coalesce(lv[field], F.lit(0)))
+    return F.aggregate(F.slice(F.col("levels")[field], 1, n), F.lit(0).cast("long"), lambda acc, v: acc + F.coalesce(v, F.lit(0)))
 
 
 def _rows(tape: DataFrame, by: Sequence[str], **cols: Column) -> DataFrame:
@@ -173,7 +174,7 @@ def level_hits(levels: Column, price: Column) -> Column:
     """Array of (side, level) where the price stands in the book; sides are told by the matched column."""
     hit = lambda side, field: F.struct(
         F.lit(side).alias("side"),
-        F.array_position(F.transform(levels, lambda lv: lv[field]), price).cast("int").alias("level"))
+        F.array_position(levels[field], price).cast("int").alias("level"))
     return F.filter(F.array(hit("ask", "ask_p"), hit("bid", "bid_p")), lambda h: h["level"] > 0)
 
 

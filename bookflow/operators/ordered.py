@@ -41,7 +41,7 @@ def dense_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     local = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*order)) - 1
     return (
         keyed.withColumn("_rn", local)
-        .join(offsets, [*by, "_bucket"])
+        .join(offsets, [*by, "_bucket"], "left")
         .withColumn(name, (F.col("_off") + F.col("_rn")).cast("long"))
         .drop("_bucket", "_off", "_rn")
     )
@@ -87,7 +87,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
     """
     sums, mins, lasts, nexts, prevs, totals, befores, froms = (
         dict(x or {}) for x in (sums, mins, lasts, nexts, prevs, totals, befores, froms))
-    key = F.struct(*order)
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     inputs: dict[str, Column] = {}
     for kind, spec in (("s", sums), ("m", mins), ("l", lasts), ("n", nexts), ("p", prevs), ("t", totals),
                        ("b", befores), ("f", froms)):
@@ -131,7 +131,8 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
               for n in froms}
     local |= {f"_p_{n}": F.lag(f"_p_{n}").over(inside) for n in prevs}
     local |= {f"_n_{n}": F.lead(f"_n_{n}").over(inside) for n in nexts}
-    joined = keyed.withColumns(local).join(carry, [*by, "_chunk"])
+    # Every chunk has its totals; an outer join adds no null filter, so both sides can share one exchange.
+    joined = keyed.withColumns(local).join(carry, [*by, "_chunk"], "left")
 
     out = {n: F.coalesce(F.col(f"_s_{n}"), F.lit(0)) + F.coalesce(F.col(f"_cs_{n}"), F.lit(0)) for n in sums}
     out |= {n: F.col(f"_ct_{n}") for n in totals}

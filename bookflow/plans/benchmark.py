@@ -48,7 +48,7 @@ def _log_gap(value: Column) -> Column:
 
 def row_scores(tape: DataFrame, by: Sequence[str], n_ofi: int = 100, levels: int = 10) -> DataFrame:
     """All metrics that need a row and its neighbours, as (metric, score, given), from one shuffle."""
-    prices = lambda field: F.transform("levels", lambda lv: lv[field])
+    prices = lambda field: F.col("levels")[field]
     rows = tape.select(
         *by, "row_seq", "t_ns", "event_type", "price",
         micro.touch("ask_p").alias("_ap"), micro.touch("ask_v").alias("_av"),
