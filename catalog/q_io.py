@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from bookflow.functions import div
-from bookflow.operators import bins, filters, micro
-from bookflow.plans import benchmark as bench, compare
-from bookflow.session import checkpoint_dir, stage
+from bookflow.operators import bins, micro, ordered
+from bookflow.plans import compare
+from bookflow.session import checkpoint_dir
 from bookflow.sources import readers, writers
 from bookflow.streaming import live
 from catalog import query
-from catalog.adapters import BINNED_SQL, FEEDS_SQL, FIXED_EDGES, FLOW_KEYS, TAPE_KEYS, TOUCH, wall_us
+from catalog.adapters import BINNED_SQL, FIXED_EDGES, FLOW_KEYS, TAPE_KEYS, TOUCH, wall_us
 from catalog.q_flow import DIST_SQL, K, feeds_sql, flow_q
 from catalog.q_micro import MID, R, tape_sql
 from catalog.q_compare import cmp_sql, runs
@@ -84,12 +83,18 @@ def lobster_files(t):
     return t.once("lobster", write)
 
 
+def in_sequence(rows):
+    """Line numbers of chunk files as positions in their sequence."""
+    chunk = F.regexp_extract("_file", r"chunk=(\d+)/", 1).cast("long")
+    return rows.withColumns({"seq": F.regexp_extract("_file", r"seq=([^/]+)/", 1), "row_seq": F.col("row_seq") + chunk * ordered.CHUNK})
+
+
 TAPE_COLS = "event_type, order_id, size, price, direction"
 query("s5_read_messages", tape_sql(f"SELECT {SEQ}, row_seq, t_ns % 86400000000000 + 1752019200000000000 AS t_ns, {TAPE_COLS} FROM tape"))(
-    lambda t: readers.read_messages(t.spark, lobster_files(t) + "/message", "2025-07-09").withColumn("seq", F.regexp_extract("_file", r"seq=([^/]+)/", 1)).drop("_file"))
+    lambda t: in_sequence(readers.read_messages(t.spark, lobster_files(t) + "/message", "2025-07-09")).drop("_file"))
 query("s6_read_book", tape_sql(f"SELECT {SEQ}, row_seq, ask_p_1, ask_v_1, bid_p_10, bid_v_10 FROM tape"))(
-    lambda t: readers.read_book(t.spark, lobster_files(t) + "/orderbook").select(
-        F.regexp_extract("_file", r"seq=([^/]+)/", 1).alias("seq"), "row_seq", F.col("levels")[0]["ask_p"].alias("ask_p_1"), F.col("levels")[0]["ask_v"].alias("ask_v_1"),
+    lambda t: in_sequence(readers.read_book(t.spark, lobster_files(t) + "/orderbook")).select(
+        "seq", "row_seq", F.col("levels")[0]["ask_p"].alias("ask_p_1"), F.col("levels")[0]["ask_v"].alias("ask_v_1"),
         F.col("levels")[9]["bid_p"].alias("bid_p_10"), F.col("levels")[9]["bid_v"].alias("bid_v_10")))
 query("s7_read_tape", tape_sql(f"SELECT {SEQ}, row_seq, {TAPE_COLS}, ask_p_1, bid_p_1 FROM tape"))(
     lambda t: writers.read_lobster(t.spark, lobster_files(t), "2025-07-09").select(
