@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.adapters import Tables
+from catalog.casts import typed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: tidy(fn(Tables(spark, sf_dir)))
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = typed(name, sql)
         return fn
 
     return register
