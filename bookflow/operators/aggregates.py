@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bookflow.functions import finite_or_null
 from bookflow.operators.ordered import quantiles
@@ -13,8 +13,8 @@ from bookflow.operators.ordered import quantiles
 def value_mix(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     """Count and share (4 places, half-even) of each value."""
     counts = df.groupBy(*by, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy(*by))
-    return counts.withColumn("fraction", F.bround(share, 4))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
+    return counts.join(totals, list(by)).select(*by, "value", "n", F.bround(F.col("n") / F.col("_t"), 4).alias("fraction"))
 
 
 def describe(df: DataFrame, col: str, by: Sequence[str], probs: Mapping[str, float] | None = None) -> DataFrame:

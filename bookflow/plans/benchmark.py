@@ -153,29 +153,39 @@ def stream_summary(tape: DataFrame, by: Sequence[str] = ("run_id", "kind"), minu
                 F.struct(F.concat(F.lit("count_"), F.col("value").cast("string")).alias("stat"), F.col("n").cast("double").alias("value")),
                 F.struct(F.concat(F.lit("fraction_"), F.col("value").cast("string")).alias("stat"), F.col("fraction").alias("value")))))
 
-    returns = micro.mid_returns(tape, minute_ns, top).filter("ret IS NOT NULL")
-    volumes = tape.select(*top, micro.touch("ask_v").alias("ask"), micro.touch("bid_v").alias("bid"),
-                          micro.depth_sum("ask_v", 5).alias("ask5"), micro.depth_sum("bid_v", 5).alias("bid5"),
-                          micro.imbalance_of().alias("imb"))
-    means = volumes.groupBy(*top).agg(F.avg("ask").alias("ask_mean"), F.avg("bid").alias("bid_mean"), F.avg("ask5").alias("ask5_mean"),
-                                      F.avg("bid5").alias("bid5_mean"), F.avg("imb").alias("mean"), F.stddev_samp("imb").alias("std"))
-    for col, name in (("ask", "ask_median"), ("bid", "bid_median"), ("imb", "median")):
-        means = means.join(quantiles(volumes, top, col, {name: 0.5}).drop("n"), top, "left")
+    # One pass for all plain aggregates, one for all medians: the medians' columns are stacked into one histogram.
+    plain = tape.select(*top, "row_seq", micro.mid().alias("mid"), micro.spread_of().alias("_s"), micro.touch("ask_v").alias("ask"), micro.touch("bid_v").alias("bid"),
+                        micro.depth_sum("ask_v", 5).alias("ask5"), micro.depth_sum("bid_v", 5).alias("bid5"), micro.imbalance_of().alias("imb")).withColumn(
+                            "ticks", F.when(F.col("_s") > 0, F.col("_s") / 100.0))
+    first, last = F.min_by("mid", "row_seq"), F.max_by("mid", "row_seq")
+    facts = plain.groupBy(*top).agg(
+        first.alias("start_mid"), last.alias("end_mid"), F.avg("mid").alias("mean_mid"), F.stddev_samp("mid").alias("std_mid"), ((last / first - 1) * 10_000).alias("return_bps"),
+        F.count("ticks").alias("spread_n"), F.avg("ticks").alias("spread_mean"), F.stddev_samp("ticks").alias("spread_std"),
+        F.avg((F.col("_s") <= 0).cast("double")).alias("spread_share"), F.avg("ask").alias("ask_mean"), F.avg("bid").alias("bid_mean"),
+        F.avg("ask5").alias("ask5_mean"), F.avg("bid5").alias("bid5_mean"), F.avg("imb").alias("imb_mean"), F.stddev_samp("imb").alias("imb_std"))
+    fact = lambda section, stat, col: F.struct(F.lit(section).alias("section"), F.lit(stat).alias("stat"), F.col(col).cast("double").alias("value"))
+    fact_rows = facts.select(*top, F.inline(F.array(
+        *[fact("mid_price", c, c) for c in ("start_mid", "end_mid", "mean_mid", "std_mid", "return_bps")],
+        fact("spread_ticks", "n", "spread_n"), fact("spread_ticks", "mean", "spread_mean"), fact("spread_ticks", "std", "spread_std"),
+        fact("spread_ticks", "share_not_positive", "spread_share"), fact("l1_volume", "ask_mean", "ask_mean"), fact("l1_volume", "bid_mean", "bid_mean"),
+        fact("total_volume_5", "ask5_mean", "ask5_mean"), fact("total_volume_5", "bid5_mean", "bid5_mean"),
+        fact("ob_imbalance", "mean", "imb_mean"), fact("ob_imbalance", "std", "imb_std"))))
+    stacked = plain.select(*top, F.inline(F.array(
+        fact("spread_ticks", "median", "ticks"), fact("l1_volume", "ask_median", "ask"), fact("l1_volume", "bid_median", "bid"), fact("ob_imbalance", "median", "imb"))))
+    medians = quantiles(stacked, [*top, "section", "stat"], "value", {"median": 0.5}).select(*top, "section", "stat", F.col("median").alias("value"))
+
+    returns = stage(micro.mid_returns(tape, minute_ns, top).filter("ret IS NOT NULL"), "returns")
+    spread_of_returns = agg.moments(returns, "ret", top).withColumn("volatility", F.coalesce("std", F.lit(0.0)))
     vpm = micro.volume_per_minute(tape, top).groupBy(*top).agg(
         F.count(F.lit(1)).alias("n"), F.avg("volume_per_minute").alias("mean"), F.sum("volume_per_minute").alias("total"))
     flow = micro.ofi(tape, n_ofi, top).groupBy(*top).agg(
         F.count(F.lit(1)).alias("n"), F.avg("ofi").alias("mean"), F.stddev_samp("ofi").alias("std"))
     parts = [
-        mix("event_type"), mix("direction"),
+        mix("event_type"), mix("direction"), fact_rows, medians,
         melt("iat_ms", micro.arrival_summary(tape, top), ["n", "n_exec_excluded", "mean", "median", "std", "p95"]),
-        melt("spread_ticks", micro.spread_summary(tape, top), ["n", "mean", "median", "std", "share_not_positive"]),
-        melt("mid_price", micro.mid_summary(tape, top), ["start_mid", "end_mid", "mean_mid", "std_mid", "return_bps"]),
-        melt("returns", agg.moments(returns, "ret", top), ["n", "mean", "std", "skew", "kurtosis"]),
-        melt("volatility", micro.volatility(tape, minute_ns, top), ["volatility"]),
-        melt("l1_volume", means, ["ask_mean", "bid_mean", "ask_median", "bid_median"]),
-        melt("total_volume_5", means, ["ask5_mean", "bid5_mean"]),
+        melt("returns", spread_of_returns, ["n", "mean", "std", "skew", "kurtosis"]),
+        melt("volatility", spread_of_returns, ["volatility"]),
         melt("volume_per_minute", vpm, ["n", "mean", "total"]),
-        melt("ob_imbalance", means, ["mean", "std", "median"]),
         melt("orderflow_imbalance", flow, ["n", "mean", "std"]),
         returns_acf(returns, top),
     ]
