@@ -73,22 +73,30 @@ def centroid_metrics(points: DataFrame, dims: int, centres: DataFrame | None = N
         "intra_over_inter", F.when(F.col("inter_mean") > 1e-15, F.col("intra_mean") / F.col("inter_mean")))
 
 
-def ch_index(points: DataFrame, dims: int) -> DataFrame:
-    """Calinski-Harabasz score, with n and k."""
-    cents = centroids(points, dims)
-    overall = points.agg(F.array(*[F.avg(F.col("z")[i]) for i in range(dims)]).alias("_m"), F.count(F.lit(1)).alias("n"))
-    between = cents.withColumnRenamed("n", "_n").crossJoin(F.broadcast(overall)).agg(
-        F.sum(F.col("_n") * F.pow(distance(F.col("centre"), F.col("_m")), 2)).alias("_b"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-    within = _with_centre(points, cents).agg(F.sum(F.col("_d") * F.col("_d")).alias("_w"))
-    score = F.when(F.col("_w") == 0, F.lit(1.0)).otherwise(F.col("_b") * (F.col("n") - F.col("k")) / (F.col("_w") * (F.col("k") - 1)))
-    return between.crossJoin(within).select("n", "k", score.alias("calinski_harabasz"))
-
-
-def db_index(points: DataFrame, dims: int) -> DataFrame:
+def cluster_sums(points: DataFrame, cents: DataFrame) -> DataFrame:
+    """Per cluster: rows, summed distance and summed squared distance to its mean."""
+    return _with_centre(points, cents).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_d").alias("sum_d"), F.sum(F.col("_d") * F.col("_d")).alias("sum_d2"))
+
+
+def ch_index(points: DataFrame, dims: int, cents: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """Calinski-Harabasz score, with n and k. The overall mean is the weighted mean of the cluster means."""
+    cents = centroids(points, dims) if cents is None else cents
+    sums = cluster_sums(points, cents) if sums is None else sums
+    rows = cents.join(F.broadcast(sums.select("label", "sum_d2")), "label")  # k rows
+    one = rows.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("sum_d2").alias("_w"), F.collect_list(F.struct("n", "centre")).alias("_all"),
+                   F.array(*[F.sum(F.col("n") * F.col("centre")[i]) / F.sum("n") for i in range(dims)]).alias("_m"))
+    between = F.aggregate("_all", F.lit(0.0), lambda acc, c: acc + c["n"] * F.pow(distance(c["centre"], F.col("_m")), 2))
+    score = F.when(F.col("_w") == 0, F.lit(1.0)).otherwise(between * (F.col("n") - F.col("k")) / (F.col("_w") * (F.col("k") - 1)))
+    return one.select("n", "k", score.alias("calinski_harabasz"))
+
+
+def db_index(points: DataFrame, dims: int, cents: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Davies-Bouldin score."""
-    cents = centroids(points, dims)
-    spread = _with_centre(points, cents).groupBy("label").agg(F.avg("_d").alias("s"))
-    rows = cents.join(spread, "label").agg(F.array_sort(F.collect_list(F.struct("label", "centre", "s"))).alias("_all"))
+    cents = centroids(points, dims) if cents is None else cents
+    sums = cluster_sums(points, cents) if sums is None else sums
+    spread = sums.select("label", (F.col("sum_d") / F.col("n")).alias("s"))
+    rows = cents.join(F.broadcast(spread), "label").agg(F.array_sort(F.collect_list(F.struct("label", "centre", "s"))).alias("_all"))  # k rows
     worst = F.transform("_all", lambda a: F.array_max(F.transform(F.filter("_all", lambda b: b["label"] != a["label"]), lambda b: F.coalesce(
         F.try_divide(a["s"] + b["s"], distance(a["centre"], b["centre"])), F.lit(0.0)))))
     return rows.select((F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v) / F.size("_all")).alias("davies_bouldin"))
@@ -156,8 +164,10 @@ def kmeans_sweep(features: DataFrame, ks: Sequence[int], seed: int = 42, cap: in
         labelled, centres, inertia = kmeans_labels(points, k, seed)
         labelled = stage(labelled.select(*key, "z", "label"), f"labels-{k}")
         row = {"k": k, "inertia": inertia, "n_samples": n}
-        for part in (silhouette(labelled, cap, seed, key).drop("n"), ch_index(labelled, len(cols)).drop("n", "k"), db_index(labelled, len(cols)),
-                     cluster_balance(labelled, k), centroid_metrics(labelled, len(cols), centres)):
+        cents = stage(centroids(labelled, len(cols)), f"means-{k}")
+        sums = stage(cluster_sums(labelled, cents), f"sums-{k}")
+        for part in (silhouette(labelled, cap, seed, key).drop("n"), ch_index(labelled, len(cols), cents, sums).drop("n", "k"),
+                     db_index(labelled, len(cols), cents, sums), cluster_balance(labelled, k), centroid_metrics(labelled, len(cols), centres)):
             row |= part.first().asDict()
         out.append(row)
     return sweep_table(points.sparkSession, out)
