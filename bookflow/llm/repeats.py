@@ -52,10 +52,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchored(values: np.ndarray, at: np.ndarray, count: np.ndarray, window: int, length: int) -> tuple[np.ndarray, ...]:
-    """Blocks of the runs of `count` windows from index `at` on: ranks a and k, first window, number of windows, run."""
+    """Blocks of the runs of `count` windows from index `at` on: ranks a and k, first window, number of windows, run, place of the anchor."""
     empty = np.zeros(0, np.int64)
     if not len(at) or not count.sum():
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty
     ranges = scan.Ranges(values)
     rank = scan.mix(ranges.fixed(length))
     width = window - length + 1
@@ -73,7 +73,7 @@ def anchored(values: np.ndarray, at: np.ndarray, count: np.ndarray, window: int,
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(i)))
     start = i[first]
-    return rank[anchor[first]], ranges.hash(start, start + n + window - 1), start, n, run[first]
+    return rank[anchor[first]], ranges.hash(start, start + n + window - 1), start, n, run[first], anchor[first]
 
 
 def rows_of(rule: Rule, a: np.ndarray, k: np.ndarray, d: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -105,15 +105,15 @@ def positions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def first_round(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> DataFrame:
-    """Rows of all windows of all texts; `keep(scan, ranks, anchor words)` may drop blocks whose anchor is known not to recur."""
+    """Rows of all windows of all texts; `keep(values, begin, end, ranks, places)` may drop blocks whose anchor is known not to recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.blocks(batches):
             values, begin, end = rule.symbols(scan.Scan(scan.texts(batch)))
             d, t = positions(batch)
-            a, k, start, n, doc = anchored(values, begin, np.maximum(end - begin - rule.window + 1, 0), rule.window, rule.lengths[0])
+            a, k, start, n, doc, anchor = anchored(values, begin, np.maximum(end - begin - rule.window + 1, 0), rule.window, rule.lengths[0])
             if keep is not None and len(a):
-                chosen = keep(values, begin, end, a)
+                chosen = keep(values, begin, end, a, anchor)
                 a, k, start, n, doc = (x[chosen] for x in (a, k, start, n, doc))
             yield rows_of(rule, a, k, d[doc], t[doc] | (start - begin[doc]), n)
 
@@ -128,7 +128,7 @@ def next_round(docs: DataFrame, found: DataFrame, rule: Rule, length: int) -> Da
             values, begin, _ = rule.symbols(scan.Scan(scan.texts(batch)))
             d, t = positions(batch)
             at, count, doc = spans(batch, "_f", True)
-            a, k, start, n, run_ = anchored(values, begin[doc] + at, count, rule.window, length)
+            a, k, start, n, run_, _ = anchored(values, begin[doc] + at, count, rule.window, length)
             doc = doc[run_]
             yield rows_of(rule, a, k, d[doc], t[doc] | (start - begin[doc]), n)
 
@@ -147,7 +147,7 @@ def spans(batch: pa.RecordBatch, name: str, open_: bool) -> tuple[np.ndarray, np
     return s[pick].astype(np.int64), n[pick].astype(np.int64), doc[pick]
 
 
-def ranked(rows: DataFrame, rule: Rule, last: bool) -> DataFrame:
+def ranked(rows: DataFrame, rule: Rule) -> DataFrame:
     """One round: sorted by ranks, then read once. Gives per document the repeats and the open windows: _d, _t, _f (list), _any (some are open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def find(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> DataFrame
     """`docs` (from `keyed`) plus one list column of windows per round: _r0, _r1, ... Everything is one plan; the shuffle of the texts and those of each round are used again."""
     out, rows = docs, first_round(docs, rule, keep)
     for r, length in enumerate(rule.lengths):
-        found = ranked(rows, rule, r == len(rule.lengths) - 1)
+        found = ranked(rows, rule)
         out = out.join(found.select("_d", "_t", F.col("_f").alias(f"_r{r}")), ["_d", "_t"], "left")
         if r + 1 < len(rule.lengths):
             rows = next_round(docs, found, rule, rule.lengths[r + 1])
