@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bookflow.llm import bpe, quality, sharding, token_files, toxicity, url_filter
+from bookflow.llm import bpe, decontam, phrases, quality, sharding, substrings, token_files, toxicity, url_filter
 from bookflow.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,3 +114,13 @@ WITH r AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'allow com/' END AS hit FROM k)
 SELECT page_id, host, path, substr(hit, 7) AS rule, coalesce(substr(hit, 1, 5), CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM j
 """
+
+
+@query
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), decontam.halves(table(spark, sf_dir, "benchmark")))
