@@ -8,6 +8,8 @@ no double entry. Paths are URIs of a folder that driver and executors share.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from bookflow.llm import scan
 from bookflow.session import stage
 
-SEQUENCE, BATCH, CACHE = 2048, 64, 400_000
+SEQUENCE, BATCH, CACHE = 2048, 64, 500_000
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
 
 
@@ -40,25 +42,63 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        rules = (json.loads(content).get("normalizer") or {}).get("normalizers", [])
+        self.lower = any(r["type"] == "Lowercase" for r in rules)
+        cut = [(t["content"], t["id"]) for t in json.loads(content).get("added_tokens", []) if t["special"] and not t["normalized"] and "<|" in t["content"]]
+        self.between = cut[0] if cut else None
         self.whole, self.cache = whole, {}
 
     def _library(self, parts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
 
+    def _words(self, parts: list[bytes]) -> list[bytes]:
+        """As _library, but many at a time with a special string between them, which the library cuts out before all else."""
+        if self.between is None:
+            return self._library(parts)
+        out, (name, number) = [], self.between
+        joined = [parts[k : k + 500] for k in range(0, len(parts), 500)]
+        for e in (self.tokenizer.encode_batch_fast([name.join(p.decode() for p in g) for g in joined], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cuts = np.flatnonzero(ids == number)
+            packed, size = ids.tobytes(), self.kind.itemsize
+            start = [0, *((cuts + 1) * size).tolist()]
+            out += [packed[a:b] for a, b in zip(start, [*(cuts * size).tolist(), len(packed)])]
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, packed as `kind`."""
         if self.whole:
             return self._library(texts)
-        words = [t.split() for t in texts]  # of bytes: cuts at the six ASCII white-space characters
-        new = list({w for ws in words for w in ws if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE:
+        # bytes.split cuts at the six ASCII white-space characters; bytes.lower changes A-Z only, which the vocabulary's own rule does too, but
+        # not in front of a combining accent (it might then compose), nor inside a special string
+        words = [(t if not self.lower or b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        if len(self.cache) > CACHE:
             self.cache = {}
-            new = list({w for ws in words for w in ws})
-        self.cache.update(zip(new, self._library(new)))
+        new = set().union(*words).difference(self.cache)
+        if new:
+            # a comma or full stop after a letter is a piece of its own
+            ends = {w for w in new if len(w) > 1 and w[-1] in b",." and w[-2:-1].isalpha() and b"<|" not in w}
+            plain = list(((new - ends) | {w[:-1] for w in ends} | {b",", b"."}).difference(self.cache))
+            odd = [w for w in plain if b"<|" in w]
+            plain = [w for w in plain if b"<|" not in w]
+            self.cache.update(zip(odd, self._library(odd)))
+            self.cache.update(zip(plain, self._words(plain)))
+            self.cache.update((w, self.cache[w[:-1]] + self.cache[w[-1:]]) for w in ends)
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def encoder_of(content: str, whole: bool) -> WordEncoder:
+    """One per worker, with what it has cached."""
+    key = (hashlib.sha256(content.encode()).hexdigest(), whole)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(content, whole)
+    return _encoders[key]
+
+
 class _Writer:
     """Cuts a stream of ids into masked sequences of one file."""
 
@@ -109,7 +149,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, length:
         doc_ids, counts = [], []
         for batch in scan.blocks(batches):
             if encoder is None:
-                encoder = WordEncoder(shared.value, whole)
+                encoder = encoder_of(shared.value, whole)
                 fs, folder = pafs.FileSystem.from_uri(path)
                 fs.create_dir(folder, recursive=True)
                 part = TaskContext.get().partitionId()
