@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bookflow.llm import bpe, decontam, phrases, quality, sharding, substrings, token_files, toxicity, url_filter
+from bookflow.llm import bpe, decontam, jaccard, phrases, quality, sharding, substrings, token_files, toxicity, url_filter
 from bookflow.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
 
 
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "tokens")
