@@ -55,9 +55,8 @@ def is_listed(rows: DataFrame, key: str, listed: DataFrame, listed_key: str, blo
     hit = rows.withColumn("_w", word).join(F.broadcast(bloom(listed, listed_key, blocks).select(F.col("word").alias("_w"), "bits")), "_w", "left").withColumn(
         "_hit", F.col(key).isNotNull() & F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_w", "bits")
     found = hit.where("_hit").select(F.col(key).alias("_k")).distinct().join(listed.select(F.col(listed_key).alias("_k")).distinct(), "_k", "left_semi")
-    probe = F.when(F.col("_hit"), F.col(key))  # a row without a hit has no key to look for
-    return hit.withColumn("_p", probe).join(found.withColumn("_f", F.lit(True)), F.col("_p") == F.col("_k"), "left").withColumn(
-        "listed", F.coalesce("_f", F.lit(False))).drop("_hit", "_p", "_k", "_f")
+    found = found.withColumn("_f", F.lit(True))
+    return hit.join(found, (F.col("_hit") == F.col("_f")) & (F.col(key) == F.col("_k")), "left").withColumn("listed", F.coalesce("_f", F.lit(False))).drop("_hit", "_k", "_f")
 
 
 def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
