@@ -206,12 +206,17 @@ def classes_of(sets_: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([top(i) for i in range(len(sets_))])
 
 
+def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` plus boolean _maybe: false only if doc_id is surely none of `ids`, by a Bloom filter of fixed size."""
+    key = F.col("doc_id").cast("string")
+    words = url_filter.bloom(ids.select(key.alias("_k")), "_k").select(F.col("word").alias("_w"), "bits")
+    word, mask = url_filter._word_and_mask(key, url_filter.MAX_BLOCKS)
+    return docs.withColumn("_w", word).join(F.broadcast(words), "_w", "left").withColumn("_maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_w", "bits")
+
+
 def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id and more) plus text; a Bloom filter of fixed size keeps most other texts out of the shuffle."""
-    words = url_filter.bloom(wanted.select(F.col("doc_id").cast("string").alias("_k")), "_k")
-    word, mask = url_filter._word_and_mask(F.col("doc_id").cast("string"), url_filter.MAX_BLOCKS)
-    near = docs.select("doc_id", "text").withColumn("_w", word).join(F.broadcast(words.select(F.col("word").alias("_w"), "bits")), "_w").where(F.col("bits").bitwiseAND(mask) == mask)
-    return near.select("doc_id", "text").join(wanted, "doc_id")
+    """wanted (doc_id and more) plus text; most texts of other documents stay out of the shuffle."""
+    return _maybe(docs.select("doc_id", "text"), wanted).where("_maybe").drop("_maybe").join(wanted, "doc_id")
 
 
 def local_classes(placed: DataFrame, k: int, percent: int) -> DataFrame:
@@ -304,3 +309,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     by_key = named.select("key", "root").join(least, "root").select(F.col("key").alias("_key"), "_least")
     probe = prof.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("_key"))
     return probe.join(by_key, "_key", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` whose doc_id is that of their class, with the columns of `docs`. Rows that share such an id stay together; so do rows without an id."""
+    gone = stage(near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    marked = _maybe(docs, gone)
+    sure, open_ = marked.where("not _maybe").select(*docs.columns), marked.where("_maybe").select(*docs.columns)
+    return sure.unionByName(open_.join(gone, "doc_id", "left_anti"))

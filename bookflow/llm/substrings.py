@@ -49,3 +49,17 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     out = remove_repeats(docs.select("doc_id", "text"), length)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def cut(docs: DataFrame, length: int = 100) -> DataFrame:
+    """`docs` with its columns, without repeated strings in `text`; a character that is cut in two goes whole. n_chars, where there is one, follows. A null text becomes empty."""
+    out = remove_repeats(docs, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([x.decode(errors="ignore") for x in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if name == "text" else batch.column(name) for name in own], own)
+
+    own = docs.columns
+    made = out.select(*own, "kept").mapInArrow(run, docs.schema)
+    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else made
