@@ -26,6 +26,7 @@ from bookflow.session import stage
 
 CELLS, PIECES = 1 << 22, 256
 ORDERS = 3
+NO_ID = -(2**63)
 CHUNK = 600_000  # tokens of the sets that one task compares at once
 GROUP = 4096
 
@@ -42,6 +43,13 @@ def sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return token, doc, np.bincount(doc, minlength=len(docs))
 
 
+def set_keys(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One signed 64-bit hash for each set."""
+    key = np.zeros(len(n), np.uint64)
+    np.add.at(key, doc, scan.mix(token))
+    return scan.signed(scan.mix(key + n.astype(np.uint64)))
+
+
 def _cell(token: np.ndarray) -> np.ndarray:
     return (token >> np.uint64(64 - 22)).astype(np.int64)
 
@@ -97,9 +105,7 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
         classes, met = np.frombuffer(shared.value, np.uint8), set()
         for batch in scan.blocks(batches):
             token, doc, n = sets(scan.texts(batch), k)
-            key = np.zeros(len(n), np.uint64)
-            np.add.at(key, doc, scan.mix(token))
-            key = scan.signed(scan.mix(key + n.astype(np.uint64)))
+            key = set_keys(token, doc, n)
             fresh = np.zeros(len(n), bool)
             for i, x in enumerate(key.tolist()):
                 if n[i] and x not in met:
@@ -209,14 +215,20 @@ def classes_of(sets_: list[np.ndarray], percent: int) -> np.ndarray:
 def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """`docs` plus boolean _maybe: false only if doc_id is surely none of `ids`, by a Bloom filter of fixed size."""
     key = F.col("doc_id").cast("string")
-    words = url_filter.bloom(ids.select(key.alias("_k")), "_k").select(F.col("word").alias("_w"), "bits")
+    words = url_filter.bloom(ids.select(key.alias("_k")), "_k").select(F.col("word").alias("_w"), F.col("bits").alias("_bits"))
     word, mask = url_filter._word_and_mask(key, url_filter.MAX_BLOCKS)
-    return docs.withColumn("_w", word).join(F.broadcast(words), "_w", "left").withColumn("_maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_w", "bits")
+    return docs.withColumn("_w", word).join(F.broadcast(words), "_w", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_w", "_bits")
+
 
+def with_text(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted (doc_id, key and more) plus text; most texts of other documents stay out of the shuffle. Of texts that share an id the one of that key."""
+    found = _maybe(docs.select("doc_id", "text"), wanted).where("_maybe").drop("_maybe").join(wanted, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scan.blocks(batches):
+            yield batch.filter(pa.array(set_keys(*sets(scan.texts(batch), k)) == batch.column("key").to_numpy()))
 
-def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id and more) plus text; most texts of other documents stay out of the shuffle."""
-    return _maybe(docs.select("doc_id", "text"), wanted).where("_maybe").drop("_maybe").join(wanted, "doc_id")
+    return found.mapInArrow(run, found.schema)
 
 
 def local_classes(placed: DataFrame, k: int, percent: int) -> DataFrame:
@@ -239,12 +251,13 @@ def local_classes(placed: DataFrame, k: int, percent: int) -> DataFrame:
                     yield close()
                     keys, held = [], []
                 here = (b, c)
-                keys.append(x)
-                held.append(s.copy())
+                if not keys or keys[-1] != x:
+                    keys.append(x)
+                    held.append(s.copy())
         if keys:
             yield close()
 
-    return placed.select("bucket", "chunk", "key", "text").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(run, "key long, root long")
+    return placed.select("bucket", "chunk", "key", "text").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "key").mapInArrow(run, "key long, root long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, prof: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -252,7 +265,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, prof: DataFrame, docs: DataFram
     side = lambda c: prof.where(F.size("p1") > 0).groupBy("key").agg(F.first("p1").alias(f"p1{c}"), F.first("p2").alias(f"p2{c}")).withColumnRenamed("key", c)
     near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p1a", "p1b") & F.arrays_overlap("p2a", "p2b")).select("a", "b"), "near-pairs")
     ends = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    texts = stage(with_text(docs, nodes.join(ends, "key").select("doc_id", "key")).select("key", "text").dropDuplicates(["key"]), "pair-texts")
+    texts = stage(with_text(docs, nodes.join(ends, "key").select("doc_id", "key"), k).select("key", "text").dropDuplicates(["key"]), "pair-texts")
     full = near.join(texts.select(F.col("key").alias("b"), F.col("text").alias("_b")), "b").join(texts.withColumnRenamed("key", "a"), "a").select("a", "b", "text", "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +289,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included.
 
     Two texts link when 100 * shared >= percent * union over their distinct k-word shingles, A-Z lower-cased. A text without a word, or null, has
-    no shingles and is alone; one of fewer than k words has one shingle. Rows that share an id are one node's names: each is judged by its own
-    text. A null id sorts as none: it is never the smallest unless all are null. An empty table gives no rows.
+    no shingles and is alone; one of fewer than k words has one shingle. Rows that share an id are judged each by its own text.
+    A null id is never the smallest of a class, unless the class has no other. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), "text")
     prof = stage(profile(docs, k, percent), "profiles")
     nodes = stage(prof.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
     rows = prof.where(F.size("first") > 0).select(F.explode("first").alias("tok"), "key", "n")
@@ -288,7 +301,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     chosen = shared.join(stats, "bucket").groupBy("key").agg(F.max(F.struct("size", "bucket", "total")).alias("_c"))
     parts = F.ceil(F.col("_c.total") / F.lit(CHUNK)).cast("long")
     home = stage(chosen.select("key", F.col("_c.bucket").alias("bucket"), F.pmod(F.xxhash64("key"), parts).alias("chunk"), (parts == 1).alias("whole")), "homes")
-    placed = with_text(docs, nodes.join(home, "key").select("doc_id", "key", "bucket", "chunk"))
+    placed = with_text(docs, nodes.join(home, "key").select("doc_id", "key", "bucket", "chunk"), k)
     roots = stage(local_classes(placed, k, percent).groupBy("key").agg(F.min("root").alias("root")), "classes")
     # a bucket that is the one chunk of all its members is settled
     settled = shared.join(home.select("key", F.col("bucket").alias("_home"), "whole"), "key").groupBy("bucket").agg(F.min((F.col("_home") == F.col("bucket")) & F.col("whole")).alias("_ok")).where("not _ok").select("bucket")
@@ -305,9 +318,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = now.join(mixed.select("bucket", "_hub"), "bucket").where((F.col("_hub.root") != F.col("root")) & fits(F.col("n"), F.col("_hub.n"))).select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b"))
         roots = _merge(roots, stage(verified(pairs.distinct(), nodes, prof, docs, k, percent), "links"))
     named = nodes.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("_least"))
+    least = named.groupBy("root").agg(F.min(F.nullif("doc_id", F.lit(NO_ID).cast("long"))).alias("_least"))
     by_key = named.select("key", "root").join(least, "root").select(F.col("key").alias("_key"), "_least")
-    probe = prof.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("_key"))
+    probe = prof.select(F.nullif("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("_key"))
     return probe.join(by_key, "_key", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
