@@ -28,6 +28,7 @@ CELLS, PIECES = 1 << 22, 256
 ORDERS = 3
 NO_ID = -(2**63)
 CHUNK = 600_000  # tokens of the sets that one task compares at once
+MEMBERS = 4096  # and sets
 GROUP = 4096
 
 
@@ -181,7 +182,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def classes_of(sets_: list[np.ndarray], percent: int) -> np.ndarray:
-    """Number of the class of each set: all links between sets of different classes are found. Smallest position of the class."""
+    """The smallest position in the class of each set; every set is held against all others that share a token with it."""
     root = list(range(len(sets_)))
 
     def top(i: int) -> int:
@@ -196,10 +197,7 @@ def classes_of(sets_: list[np.ndarray], percent: int) -> np.ndarray:
     by = np.argsort(which, kind="stable")
     head = np.searchsorted(which[by], np.arange(len(token) + 1))
     start = np.cumsum(size) - size
-    leaders: list[int] = []
-    for i in range(len(sets_)):
-        if any(similar(sets_[j], sets_[i], percent) and not root.__setitem__(i, top(j)) for j in leaders[-4:]):
-            continue
+    for i in range(1, len(sets_)):
         mine = which[start[i] : start[i] + size[i]]
         # sets before this one that share tokens with it, by the lists of those tokens
         lists = [doc[by[head[w] : head[w + 1]]] for w in mine]
@@ -207,8 +205,6 @@ def classes_of(sets_: list[np.ndarray], percent: int) -> np.ndarray:
         for j in np.flatnonzero(100 * shared >= percent * (size[:i] + size[i] - shared)):
             a, b = top(int(j)), top(i)
             root[max(a, b)] = min(a, b)
-        if top(i) == i:
-            leaders.append(i)
     return np.array([top(i) for i in range(len(sets_))])
 
 
@@ -293,13 +289,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     A null id is never the smallest of a class, unless the class has no other. An empty table gives no rows.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), "text")
+    real = F.nullif("doc_id", F.lit(NO_ID).cast("long"))
     prof = stage(profile(docs, k, percent), "profiles")
-    nodes = stage(prof.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
+    nodes = stage(prof.where("n > 0").groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min(real).alias("least")), "nodes")
     rows = prof.where(F.size("first") > 0).select(F.explode("first").alias("tok"), "key", "n")
     shared = stage(buckets(rows), "buckets")
     stats = shared.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     chosen = shared.join(stats, "bucket").groupBy("key").agg(F.max(F.struct("size", "bucket", "total")).alias("_c"))
-    parts = F.ceil(F.col("_c.total") / F.lit(CHUNK)).cast("long")
+    parts = F.ceil(F.greatest(F.col("_c.total") / F.lit(CHUNK), F.col("_c.size") / F.lit(MEMBERS))).cast("long")
     home = stage(chosen.select("key", F.col("_c.bucket").alias("bucket"), F.pmod(F.xxhash64("key"), parts).alias("chunk"), (parts == 1).alias("whole")), "homes")
     placed = with_text(docs, nodes.join(home, "key").select("doc_id", "key", "bucket", "chunk"), k)
     roots = stage(local_classes(placed, k, percent).groupBy("key").agg(F.min("root").alias("root")), "classes")
@@ -317,10 +314,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         else:
             pairs = now.join(mixed.select("bucket", "_hub"), "bucket").where((F.col("_hub.root") != F.col("root")) & fits(F.col("n"), F.col("_hub.n"))).select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b"))
         roots = _merge(roots, stage(verified(pairs.distinct(), nodes, prof, docs, k, percent), "links"))
-    named = nodes.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min(F.nullif("doc_id", F.lit(NO_ID).cast("long"))).alias("_least"))
+    named = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = named.groupBy("root").agg(F.min("least").alias("_least"))
     by_key = named.select("key", "root").join(least, "root").select(F.col("key").alias("_key"), "_least")
-    probe = prof.select(F.nullif("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("_key"))
+    probe = prof.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("_key"))
     return probe.join(by_key, "_key", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 

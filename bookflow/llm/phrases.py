@@ -139,7 +139,7 @@ def remove_passages(docs: DataFrame, window: int = 50, per_shard: int = PER_SHAR
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n), pa.array(total[end] - total[begin]), pa.array(kept, pa.string())], [*own, *names])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names[:2]), T.StructField("kept", T.StringType())])
-    return found.select(*own, *(f"_r{k}" for k in range(len(r.lengths)))).mapInArrow(run, schema)
+    return found.select(*own, *repeats.columns(r)).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, window: int = 50) -> DataFrame:

@@ -204,4 +204,5 @@ def score_quality(docs: DataFrame, model: Trees, threshold: float = 0.5) -> Data
 
 def filter_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) -> DataFrame:
     """The documents that pass, with the columns of `docs`."""
-    return score_quality(docs, fit_quality(docs, labels, fit_rows)).where("kept").select(*docs.columns)
+    aside = scan.set_aside(docs)
+    return score_quality(aside, fit_quality(docs, labels, fit_rows)).where("kept").select(*aside.columns).toDF(*docs.columns)

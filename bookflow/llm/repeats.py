@@ -8,7 +8,7 @@ anchor make a block, and a row of block ranks stands for some 30 windows:
 
 Each round shuffles the rows by a and lets Spark sort them by (a, k, position). A rank that no other position has retires; equal pairs
 (a, k) are equal text, so all but the first are repeats; only positions that share a rank but not the pair go on to the next round, with a
-longer anchor. In the last round the anchor is the whole window and nothing stays open. Ranks are 64-bit fingerprints.
+longer anchor. In the last round the anchor is the whole window, k is 0 and nothing stays open. Ranks are 64-bit fingerprints.
 
 Rows that share doc_id are told apart by 20 bits of a hash of their text and ordered by it; rows equal in both are one document. Null ids
 come first. Texts shorter than a window have none.
@@ -46,8 +46,9 @@ class Rule:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` plus _d and _t, which name a document, shuffled by them."""
-    tag = F.coalesce(F.xxhash64("text").bitwiseAND(0xFFFFF), F.lit(0).cast("long"))
+    """`docs` plus _d and _t, which name a document, shuffled by them. _t is 0 where no id repeats."""
+    same = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    tag = F.coalesce(F.xxhash64("text").bitwiseAND(0xFFFFF), F.lit(0).cast("long")) if same else F.lit(0).cast("long")
     return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE).cast("long"))).withColumn("_t", tag).repartition("_d", "_t")
 
 
@@ -73,7 +74,8 @@ def anchored(values: np.ndarray, at: np.ndarray, count: np.ndarray, window: int,
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(i)))
     start = i[first]
-    return rank[anchor[first]], ranges.hash(start, start + n + window - 1), start, n, run[first], anchor[first]
+    whole = np.zeros(len(n), np.uint64) if length == window else ranges.hash(start, start + n + window - 1)
+    return rank[anchor[first]], whole, start, n, run[first], anchor[first]
 
 
 def rows_of(rule: Rule, a: np.ndarray, k: np.ndarray, d: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -202,11 +204,11 @@ def _read(rule: Rule, state, a, k, d, p, n, out: list):
 
 
 def find(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> DataFrame:
-    """`docs` (from `keyed`) plus one list column of windows per round: _r0, _r1, ... Everything is one plan; the shuffle of the texts and those of each round are used again."""
+    """`docs` (from `keyed`) plus, of each round, a list of windows (_r0, _r1, ...) and whether some were open (_any0, ...). Everything is one plan; the shuffle of the texts and those of each round are used again."""
     out, rows = docs, first_round(docs, rule, keep)
     for r, length in enumerate(rule.lengths):
         found = ranked(rows, rule)
-        out = out.join(found.select("_d", "_t", F.col("_f").alias(f"_r{r}")), ["_d", "_t"], "left")
+        out = out.join(found.select("_d", "_t", F.col("_f").alias(f"_r{r}"), F.col("_any").alias(f"_any{r}")), ["_d", "_t"], "left")
         if r + 1 < len(rule.lengths):
             rows = next_round(docs, found, rule, rule.lengths[r + 1])
     return out
@@ -221,3 +223,8 @@ def covered(batch: pa.RecordBatch, rule: Rule, begin: np.ndarray, size: int) ->
         np.add.at(step, start, 1)
         np.add.at(step, start + count + rule.window - 1, -1)
     return np.cumsum(step[:-1]) > 0
+
+
+def columns(rule: Rule) -> list[str]:
+    """What `find` adds; a reader that takes them all lets Spark use each shuffle again."""
+    return [f"{c}{r}" for r in range(len(rule.lengths)) for c in ("_r", "_any")]

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are handled at once; temporary arrays take about 100 times as much.
 BLOCK = 1 << 20
@@ -139,3 +140,8 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1], ..."""
     total = int(counts.sum())
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+def set_aside(docs: DataFrame) -> DataFrame:
+    """`docs` with all columns but doc_id and text under names that no operator uses."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"__{k}" for k, c in enumerate(docs.columns)))

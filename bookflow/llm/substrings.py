@@ -12,8 +12,8 @@ from bookflow.llm import repeats, scan
 
 
 def rule(length: int = 100) -> repeats.Rule:
-    """Anchors of about a third, two thirds and all of the length."""
-    return repeats.Rule(False, length, tuple(sorted({max(1, length * 32 // 100), max(1, length * 64 // 100), length})), True)
+    """Anchors of about a third, two thirds, five sixths and all of the length."""
+    return repeats.Rule(False, length, tuple(sorted({max(1, length * share // 100) for share in (30, 64, 83, 100)})), True)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -42,7 +42,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(size), pa.array(total[end] - total[begin]), pa.array(heads[end] - heads[begin]), pa.array(kept, pa.binary())], [*own, *names])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.BinaryType())])
-    return found.select(*own, *(f"_r{k}" for k in range(len(r.lengths)))).mapInArrow(run, schema)
+    return found.select(*own, *repeats.columns(r)).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -53,13 +53,13 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
 
 def cut(docs: DataFrame, length: int = 100) -> DataFrame:
     """`docs` with its columns, without repeated strings in `text`; a character that is cut in two goes whole. n_chars, where there is one, follows. A null text becomes empty."""
-    out = remove_repeats(docs, length)
+    aside, schema = scan.set_aside(docs), docs.schema
+    own, names = aside.columns, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([x.decode(errors="ignore") for x in batch.column("kept").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if name == "text" else batch.column(name) for name in own], own)
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in own], names)
 
-    own = docs.columns
-    made = out.select(*own, "kept").mapInArrow(run, docs.schema)
-    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else made
+    made = remove_repeats(aside, length).select(*own, "kept").mapInArrow(run, schema)
+    return made.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else made
