@@ -43,7 +43,7 @@ def plan_map(sizes: dict[int, int], shards: int, n_slots: int = N_SLOTS) -> Slot
 
 
 def edit_map(old: SlotMap, sizes: dict[int, int], shards: int, slack: float = 0.005) -> SlotMap:
-    """The map for `shards` shards: slots leave a shard only while it holds more than the mean plus `slack`, and go to the emptiest; slots of shards that no longer exist go too."""
+    """The map for `shards` shards: slots leave a shard only while it holds more than the mean plus `slack`, and go to the emptiest, only to added shards where there are any; slots of shards that no longer exist go too."""
     new = dict(old)
     load = [0] * shards
     homeless = sorted((s for s, k in old.items() if k >= shards), key=lambda s: (-sizes.get(s, 0), s))
@@ -54,10 +54,11 @@ def edit_map(old: SlotMap, sizes: dict[int, int], shards: int, slack: float = 0.
         to = min(range(shards), key=lambda k: (load[k], k))
         new[slot], load[to] = to, load[to] + sizes.get(slot, 0)
     limit = sum(load) / shards * (1 + slack)
+    added = [k for k in range(shards) if k not in old.values()] or list(range(shards))
     for k in range(shards):
         for slot in sorted((s for s in new if new[s] == k), key=lambda s: (-sizes.get(s, 0), s)):
-            to, size = min(range(shards), key=lambda j: (load[j], j)), sizes.get(slot, 0)
-            if load[k] > limit and size and load[to] + size <= limit:
+            to, size = min(added, key=lambda j: (load[j], j)), sizes.get(slot, 0)
+            if k != to and load[k] > limit and size and load[to] + size <= limit:
                 new[slot], load[to], load[k] = to, load[to] + size, load[k] - size
     return new
 
