@@ -297,22 +297,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     stats = shared.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     chosen = shared.join(stats, "bucket").groupBy("key").agg(F.max(F.struct("size", "bucket", "total")).alias("_c"))
     parts = F.ceil(F.greatest(F.col("_c.total") / F.lit(CHUNK), F.col("_c.size") / F.lit(MEMBERS))).cast("long")
-    home = stage(chosen.select("key", F.col("_c.bucket").alias("bucket"), F.pmod(F.xxhash64("key"), parts).alias("chunk"), (parts == 1).alias("whole")), "homes")
+    home = stage(chosen.select("key", F.col("_c.bucket").alias("bucket"), F.pmod(F.xxhash64("key"), parts).alias("chunk")), "homes")
     placed = with_text(docs, nodes.join(home, "key").select("doc_id", "key", "bucket", "chunk"), k)
     roots = stage(local_classes(placed, k, percent).groupBy("key").agg(F.min("root").alias("root")), "classes")
-    # a bucket that is the one chunk of all its members is settled
-    settled = shared.join(home.select("key", F.col("bucket").alias("_home"), "whole"), "key").groupBy("bucket").agg(F.min((F.col("_home") == F.col("bucket")) & F.col("whole")).alias("_ok")).where("not _ok").select("bucket")
-    rest = stage(shared.join(settled, "bucket", "left_semi"), "open-buckets")
+    # members that went to one chunk have been compared there; a bucket whose members all did is settled
+    at = shared.join(home.select("key", F.struct("bucket", "chunk").alias("home")), "key")
+    unsettled = at.groupBy("bucket").agg(F.min("home").alias("_lo"), F.max("home").alias("_hi")).where("_lo <> _hi").select("bucket")
+    rest = stage(at.join(unsettled, "bucket", "left_semi"), "open-buckets")
     fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
     for exhaustive in (False, True):
         now = rest.join(roots, "key")
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by(F.struct("key", "n", "root"), F.xxhash64("key")).alias("_hub")).where("_lo <> _hi")
+        mixed = now.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by(F.struct("key", "n", "root", "home"), F.xxhash64("key")).alias("_hub")).where("_lo <> _hi")
         if exhaustive:
             open_ = now.join(mixed.select("bucket"), "bucket")
-            other = open_.select("bucket", F.col("key").alias("b"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-            pairs = open_.join(other, "bucket").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("_root")) & fits(F.col("n"), F.col("_n"))).select(F.col("key").alias("a"), "b")
+            other = open_.select("bucket", F.col("key").alias("b"), F.col("n").alias("_n"), F.col("root").alias("_root"), F.col("home").alias("_home"))
+            pairs = open_.join(other, "bucket").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("_root")) & (F.col("home") != F.col("_home")) & fits(F.col("n"), F.col("_n"))).select(F.col("key").alias("a"), "b")
         else:
-            pairs = now.join(mixed.select("bucket", "_hub"), "bucket").where((F.col("_hub.root") != F.col("root")) & fits(F.col("n"), F.col("_hub.n"))).select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b"))
+            pairs = now.join(mixed.select("bucket", "_hub"), "bucket").where((F.col("_hub.root") != F.col("root")) & (F.col("_hub.home") != F.col("home")) & fits(F.col("n"), F.col("_hub.n"))).select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b"))
         roots = _merge(roots, stage(verified(pairs.distinct(), nodes, prof, docs, k, percent), "links"))
     named = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least").alias("_least"))
