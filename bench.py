@@ -34,7 +34,7 @@ def main() -> None:
         "fit_bins": lambda: t.edges,
         "encode_tokens": lambda: run(bins.encode_token(bins.apply_bins(t.flow, FIXED_EDGES), tuple(len(FIXED_EDGES[f]) - 1 for f in bins.FIELDS))),
         "window_features": lambda: run(feats()),
-        "k_sweep": lambda: run(cluster.kmeans_sweep(windows.window_features(t.flow, 50, 10), [8, 16, 24], key=keys)),
+        "k_sweep": lambda: run(cluster.kmeans_sweep(windows.window_features(t.flow, 50, 2), list(range(8, 49, 4)), key=keys)),
         "level_depth": lambda: run(depth.level_depth(t.flow)),
         "book_after": lambda: run(depth.book_after(depth.level_depth(t.flow), 10)),
         "benchmark_24": lambda: run(bench.benchmark(t.tape)),

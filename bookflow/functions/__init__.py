@@ -22,15 +22,20 @@ def div(value: Column, by: int | Column) -> Column:
     return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))
 
 
+def _six(text: Column) -> Column:
+    """Zeros in front up to six characters; longer codes stay whole."""
+    return F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0"))
+
+
 def norm_security(code: Column, suffix: str = "_XSHE") -> Column:
     """`617` -> `000617_XSHE`; codes that carry the suffix already stay."""
     text = F.trim(code.cast("string"))
-    return F.when(text.endswith(suffix), text).otherwise(F.concat(F.lpad(text, 6, "0"), F.lit(suffix)))
+    return F.when(text.endswith(suffix), text).otherwise(F.concat(_six(text), F.lit(suffix)))
 
 
 def bare_security(code: Column) -> Column:
-    """`000617_XSHE` -> `000617`, always six digits."""
-    return F.lpad(F.split(F.trim(code.cast("string")), "_")[0], 6, "0")
+    """`000617_XSHE` -> `000617`, six digits at least."""
+    return _six(F.split(F.trim(code.cast("string")), "_")[0])
 
 
 def is_finite(value: Column) -> Column:

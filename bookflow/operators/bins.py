@@ -13,24 +13,20 @@ from bookflow.operators.ordered import asof_backward, chunk_of, running, value_c
 from bookflow.session import stage
 
 FIELDS = {"price": "price_diff", "qty": "order_qty", "interval": "interval_ms"}
-COLLECT_LIMIT = 200_000
 
 
 # Fitting ----------------------------------------------------------------------------------------------------
 
-def fit_bins(df: DataFrame, field: str, bins: int, collect_limit: int | None = None) -> list[float]:
+def fit_bins(df: DataFrame, field: str, bins: int) -> list[float]:
     """Edges of about equally filled bins; values heavier than an average bin get a bin of their own.
 
     Everything is decided on the histogram of distinct values: the heavy values are at most `bins`
     rows, and the walk over the rest asks at most `bins` times which value stands at a position.
-    Histograms up to `collect_limit` rows are walked in memory, larger ones by lookups in a staged
-    cumulative table; the edges are the same.
+    The values stand in a staged cumulative table, so every question reads a few rows of it.
     """
-    limit = COLLECT_LIMIT if collect_limit is None else collect_limit
     values = df.filter(F.col(field).isNotNull()).select(F.col(field).cast("double").alias("_v"))
     hist = stage(values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), f"hist-{field}")
-    facts = hist.agg(F.sum("_n"), F.min("_v"), F.count(F.lit(1))).first()
-    total, lowest, distinct = facts
+    total, lowest = hist.agg(F.sum("_n"), F.min("_v")).first()
     if total is None:
         raise ValueError(f"no values in {field}")
     heavy_rows = hist.filter(F.col("_n") > F.lit(total / bins)).orderBy(F.desc("_n"), "_v").limit(bins).collect()
@@ -39,23 +35,14 @@ def fit_bins(df: DataFrame, field: str, bins: int, collect_limit: int | None = N
         heavy = heavy[:bins - 1]
     light = hist.filter(~F.col("_v").isin(*heavy)) if heavy else hist
     edges = [lowest - 1 if lowest in heavy else lowest, *heavy]
-    edges += _walk(*_lookup(light, distinct, limit), bins - len(heavy))
+    edges += _walk(*_lookup(light), bins - len(heavy))
     if len(edges) != bins + 1:
         raise ValueError(f"{field}: {len(edges)} edges instead of {bins + 1}")
     return sorted(float(e) for e in edges)
 
 
-def _lookup(light: DataFrame, distinct: int, limit: int) -> tuple[int, Callable[[int], tuple[float, int]]]:
+def _lookup(light: DataFrame) -> tuple[int, Callable[[int], tuple[float, int]]]:
     """Size of the sorted values, and position -> (value there, first position after that value)."""
-    if distinct <= limit:
-        rows = light.orderBy("_v").collect()
-        v, ends = np.array([r["_v"] for r in rows]), np.cumsum([r["_n"] for r in rows], dtype=np.int64)
-
-        def find(position: int) -> tuple[float, int]:
-            i = int(np.searchsorted(ends, position, side="right"))
-            return float(v[i]), int(ends[i])
-
-        return (int(ends[-1]) if len(ends) else 0), find
     keyed = light.withColumn("_one", F.lit(1))
     cum = stage(running(keyed, ["_one"], ["_v"], value_chunk(F.col("_v")), sums={"_end": F.col("_n")}), "cumulative")
 

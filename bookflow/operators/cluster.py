@@ -5,10 +5,8 @@ Feature rows have key columns, `start`, and one column per feature; clusters are
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -102,47 +100,23 @@ def db_index(points: DataFrame, dims: int, cents: DataFrame | None = None, sums:
     return rows.select((F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v) / F.size("_all")).alias("davies_bouldin"))
 
 
-def silhouette(points: DataFrame, cap: int = 15_000, seed: int = 42, key: Sequence[str] = ("start",)) -> DataFrame:
-    """Mean Euclidean silhouette of a sample of at most `cap` points, drawn by hash order.
+def silhouette(points: DataFrame, dims: int) -> DataFrame:
+    """Mean silhouette over all points, with squared Euclidean distances; NULL for fewer than two clusters. Also n.
 
-    The sample is the feature: its size is bounded by `cap`, so every task may hold it while it
-    scores its share of the sample.
+    The mean squared distance of a point to a cluster follows from the cluster's n, mean and mean squared norm, so one row of k
+    clusters meets every point and no pair is formed. A point alone in its cluster counts 0.
     """
-    sample = points.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(cap).select("z", "label")
-    rows = sample.toPandas()
-    if rows["label"].nunique() < 2:
-        return points.sparkSession.createDataFrame([(None, len(rows))], "silhouette double, n long")
-    every = np.array(rows["z"].tolist(), dtype=float)
-    codes, labels = np.unique(rows["label"].to_numpy(), return_inverse=True)
-    member = np.eye(len(codes))[labels]
-    sizes = member.sum(axis=0)
-    norms = (every ** 2).sum(axis=1)
-
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            at = part["i"].to_numpy()
-            total, n = 0.0, 0
-            for block in np.array_split(at, max(1, len(at) // 512)):
-                if not len(block):
-                    continue
-                x = every[block]
-                gaps = np.sqrt(np.maximum(((x ** 2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ every.T), 0))
-                gaps[np.arange(len(block)), block] = 0.0
-                sums = gaps @ member
-                own = labels[block]
-                pick = np.arange(len(block))
-                inner = sums[pick, own] / np.maximum(sizes[own] - 1, 1)
-                outer = sums / sizes
-                outer[pick, own] = np.inf
-                b = outer.min(axis=1)
-                s = np.where(sizes[own] > 1, (b - inner) / np.maximum(np.maximum(inner, b), 1e-300), 0.0)
-                total, n = total + float(s.sum()), n + len(block)
-            yield pd.DataFrame({"s": [total], "n": [n]})
-
-    spark = points.sparkSession
-    tasks = max(1, min(len(rows) // 256, spark.sparkContext.defaultParallelism * 2))
-    parts = spark.range(len(rows), numPartitions=tasks).withColumnRenamed("id", "i").mapInPandas(score, "s double, n long")
-    return parts.agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.sum("n").alias("n"))
+    norm = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + v * v)
+    each = points.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(norm).alias("q"), F.array(*[F.avg(F.col("z")[i]) for i in range(dims)]).alias("m"))
+    one = each.agg(F.collect_list(F.struct("label", "n", "q", "m")).alias("_all"))
+    dot = lambda c: F.aggregate(F.zip_with("z", c["m"], lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    far = F.transform("_all", lambda c: F.struct(c["label"].alias("label"), c["n"].alias("n"), F.greatest(F.lit(0.0), norm - 2 * dot(c) + c["q"]).alias("d")))
+    rows = points.crossJoin(F.broadcast(one)).select("label", far.alias("_far"))  # one row of k clusters
+    own = F.filter("_far", lambda c: c["label"] == F.col("label"))[0]
+    other = F.array_min(F.transform(F.filter("_far", lambda c: c["label"] != F.col("label")), lambda c: c["d"]))
+    sized = rows.select(own["n"].alias("n"), (own["d"] * own["n"] / (own["n"] - 1)).alias("a"), other.alias("b"))
+    score = F.when(F.col("n") == 1, F.when(F.col("b").isNotNull(), 0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.when(F.col("b").isNotNull(), 0.0)))
+    return sized.agg(F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
 def kmeans_labels(points: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame, float]:
@@ -154,7 +128,7 @@ def kmeans_labels(points: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame,
     return model.transform(vectors).drop("_vec"), centres, float(model.summary.trainingCost)
 
 
-def kmeans_sweep(features: DataFrame, ks: Sequence[int], seed: int = 42, cap: int = 15_000, cols: Sequence[str] = FEATURES,
+def kmeans_sweep(features: DataFrame, ks: Sequence[int], seed: int = 42, cols: Sequence[str] = FEATURES,
                  key: Sequence[str] = ("start",)) -> DataFrame:
     """One row of quality measures per k on standardised features."""
     points = stage(standardise(features, cols), "scaled-features")
@@ -166,7 +140,7 @@ def kmeans_sweep(features: DataFrame, ks: Sequence[int], seed: int = 42, cap: in
         row = {"k": k, "inertia": inertia, "n_samples": n}
         cents = stage(centroids(labelled, len(cols)), f"means-{k}")
         sums = stage(cluster_sums(labelled, cents), f"sums-{k}")
-        for part in (silhouette(labelled, cap, seed, key).drop("n"), ch_index(labelled, len(cols), cents, sums).drop("n", "k"),
+        for part in (silhouette(labelled, len(cols)).drop("n"), ch_index(labelled, len(cols), cents, sums).drop("n", "k"),
                      db_index(labelled, len(cols), cents, sums), cluster_balance(labelled, k), centroid_metrics(labelled, len(cols), centres)):
             row |= part.first().asDict()
         out.append(row)

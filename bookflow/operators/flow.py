@@ -198,10 +198,12 @@ def interval_ms(flow: DataFrame) -> DataFrame:
 
 def ordered_with_gaps(flow: DataFrame) -> DataFrame:
     """`order_flow` and `interval_ms` from one shuffle: rows are numbered and compared inside a second, and
-    one row of counts and last time per second is carried forward."""
+    one row of counts and last time per second is carried forward. Rows without a side take no number: they are dropped
+    afterwards, and the numbers of the others stay dense."""
+    counted = F.when(F.col("side").isNotNull(), 1).otherwise(0) if "side" in flow.columns else F.lit(1)
     tie = [c for c in FEED_TIE if c in flow.columns]
     out = running(flow, BY, ["t_ms", "channel_no", "appl_seq_num", *tie], div(F.col("t_ms"), 1000),
-                  sums={"_n": F.lit(1)}, prevs={"_t": F.col("t_ms")})
+                  sums={"_n": counted}, prevs={"_t": F.col("t_ms")})
     return out.withColumns({
         "row_seq": (F.col("_n") - 1).cast("long"),
         "interval_ms": (F.col("t_ms") - F.coalesce("_t", "t_ms")).cast("long")}).drop("_n", "_t")
@@ -214,7 +216,8 @@ def build_flow(posts: DataFrame, txns: DataFrame, snaps: DataFrame, mask: DataFr
 
     'mid': prices relative to the as-of mid, executions coded 129. 'open': relative to the opening
     bid, executions coded 129. 'open_complete': as 'open' with executions split by resting side
-    and immediately executed quantity taken out of the posts. The matched rows are staged once,
+    and immediately executed quantity taken out of the posts. With selected `stocks` a security without a
+    snapshot in the anchor second is an error. The matched rows are staged once,
     so the joins are not repeated by the two branches of the ordering.
     """
     if variant not in ("mid", "open", "open_complete"):
@@ -227,7 +230,7 @@ def build_flow(posts: DataFrame, txns: DataFrame, snaps: DataFrame, mask: DataFr
     if variant == "mid":
         priced, carry = mid_diff(orders, snaps), ("price_tick", "mid_tick", "price_diff")
     else:
-        priced, carry = open_diff(orders, open_anchor(snaps, anchor_s)), ("price_tick", "anchor_bid_tick", "price_diff")
+        priced, carry = open_diff(orders, open_anchor(snaps, anchor_s, orders if stocks else None)), ("price_tick", "anchor_bid_tick", "price_diff")
     legs = code_side(match_legs(expand_legs(universe(txns, stocks)), priced, carry),
                      "split" if variant == "open_complete" else "single")
     if variant == "open_complete":

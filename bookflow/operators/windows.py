@@ -11,6 +11,7 @@ from bookflow.operators.flow import BY
 from bookflow.operators.ordered import over_neighbours
 
 # Feature order of the window vectors.
+DRAWS = 1_000_003  # values of the thinning rule, a prime
 FEATURES = (
     "pm_mean", "pm_std", "pm_abs_mean", "log_interval_mean", "log_qty_mean", "frac_side_49", "frac_side_50",
     "frac_side_99", "frac_side_129", "frac_side_130", "mid_return", "tod_hour",
@@ -48,17 +49,15 @@ def split_ordered(rows: DataFrame, w: int = 0, by: Sequence[str] = BY, pos: str
     return rows.join(sizes, list(by)).filter(F.col(pos) < F.col("_n")).withColumn("split", part).drop("_n")
 
 
-def thin(rows: DataFrame, stride: int, cap: int | None = None, seed: int = 42, by: Sequence[str] = BY, pos: str = "row_seq") -> DataFrame:
-    """Every stride-th row, and at most `cap` of them per key by hash order.
+def thin(rows: DataFrame, stride: int, share: float | None = None, seed: int = 42, by: Sequence[str] = BY, pos: str = "row_seq") -> DataFrame:
+    """Every stride-th row, and of those about the given share, by a seeded rule on the position that needs no shuffle.
 
-    The rank filter runs before the shuffle, so a task never gets more than cap rows of a key from
-    each input partition.
+    The rule is integer arithmetic, so it gives the same rows on any partitioning and in any engine.
     """
     kept = rows.filter(F.col(pos) % max(1, stride) == 0)
-    if not cap:
+    if share is None:
         return kept
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *by, pos), pos))
-    return kept.withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
+    return kept.filter(((F.col(pos) % DRAWS) * 7_919 + seed * 104_729) % DRAWS < int(share * DRAWS))
 
 
 def window_features(flow: DataFrame, w: int, stride: int = 1, *, train_only: bool = False, by: Sequence[str] = BY,
@@ -101,7 +100,7 @@ def window_features(flow: DataFrame, w: int, stride: int = 1, *, train_only: boo
     return starts.select(*by, F.col("row_seq").alias("start"), *[values[f].cast("double").alias(f) for f in FEATURES])
 
 
-def train_windows(flow: DataFrame, w: int, stride: int, cap: int | None = None, seed: int = 42, by: Sequence[str] = BY,
+def train_windows(flow: DataFrame, w: int, stride: int, share: float | None = None, seed: int = 42, by: Sequence[str] = BY,
                   mid: str | None = None) -> DataFrame:
-    """Features of the training windows, thinned and capped."""
-    return thin(window_features(flow, w, stride, train_only=True, by=by, mid=mid), 1, cap, seed, by, "start")
+    """Features of the training windows, thinned."""
+    return thin(window_features(flow, w, stride, train_only=True, by=by, mid=mid), 1, share, seed, by, "start")

@@ -85,15 +85,15 @@ def best_setting(six: DataFrame, criterion: str = "mean", prior: DataFrame | Non
     return best.join(prior, list(on), "left").withColumn("same_as_prior", F.col("prior_setting") == F.col("best_setting"))
 
 
-def rank_sum(six: DataFrame, top: int = 8, on: Sequence[str] = ("stock",)) -> DataFrame:
-    """Settings by the sum of their ranks over the six numbers; equal values share the lower rank, missing ones count 1e9."""
+def rank_sum(six: DataFrame, top: int | None = None, on: Sequence[str] = ("stock",)) -> DataFrame:
+    """Settings (the first `top`, or all) by the sum of their ranks over the six numbers; equal values share the lower rank, missing ones count 1e9."""
     ranks = [F.when(F.col(d).isNull(), F.lit(NO_RANK)).otherwise(F.rank().over(W.partitionBy(*on).orderBy(F.col(d).asc_nulls_last()))) for d in SIX]
     total = ranks[0]
     for r in ranks[1:]:
         total = total + r
     place = F.row_number().over(W.partitionBy(*on).orderBy("rank_sum", "setting"))
-    return six.withColumn("rank_sum", total.cast("long")).withColumn("place", place).filter(F.col("place") <= top).select(
-        *on, "setting", "rank_sum", "place", *SIX)
+    placed = six.withColumn("rank_sum", total.cast("long")).withColumn("place", place).select(*on, "setting", "rank_sum", "place", *SIX)
+    return placed if top is None else placed.filter(F.col("place") <= top)
 
 
 def vs_baseline(run: DataFrame, base: DataFrame, on: Sequence[str] = ("stock",)) -> DataFrame:

@@ -42,7 +42,8 @@ def with_line_number(df: DataFrame, by: Sequence[str] = ("_file",), name: str =
 
 
 def _whole(text: Column) -> Column:
-    return number(text).cast("long")
+    """Whole numbers keep all their digits; texts like `5.0` go through a double."""
+    return F.coalesce(text.try_cast("long"), number(text).cast("long"))
 
 
 def _ticks(text: Column) -> Column:

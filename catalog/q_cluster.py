@@ -14,15 +14,15 @@ from catalog.q_state import FEATURES_SQL
 KEY = [*FLOW_KEYS, "start"]
 FEATS = windows.FEATURES
 # Labels of the labelled queries come from a rule over the features, so both engines agree on them.
-FEATS_SQL = [FEATURES_SQL, "fw AS (SELECT *, CAST(floor(round(pm_abs_mean, 6)) AS BIGINT) % 4 AS label FROM feats WHERE whole = 1 AND start % 10 = 0)",
-             "mu AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1.0 END AS s_{f}" for f in FEATS) + " FROM fw)",
-             "pts AS (SELECT trade_date, security_id, start, label, [" + ", ".join(f"({f} - m_{f}) / s_{f}" for f in FEATS) + "] AS z FROM fw, mu)",
+FEATS_SQL = [FEATURES_SQL, "fw AS MATERIALIZED (SELECT *, CAST(floor(round(pm_abs_mean, 6)) AS BIGINT) % 4 AS label FROM feats WHERE whole = 1 AND start % 2 = 0)",
+             "mu AS MATERIALIZED (SELECT " + ", ".join(f"avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1.0 END AS s_{f}" for f in FEATS) + " FROM fw)",
+             "pts AS MATERIALIZED (SELECT trade_date, security_id, start, label, [" + ", ".join(f"({f} - m_{f}) / s_{f}" for f in FEATS) + "] AS z FROM fw, mu)",
              "cen AS (SELECT label, count(*) AS n, [" + ", ".join(f"avg(z[{i + 1}])" for i in range(len(FEATS))) + "] AS c FROM pts GROUP BY label)",
              "own AS (SELECT pts.label, list_distance(z, c) AS d FROM pts JOIN cen USING (label))"]
 
 
 def features(t):
-    return t.staged("features", lambda: windows.window_features(t.flow, 50, 10)).withColumn(
+    return t.staged("features", lambda: windows.window_features(t.flow, 50, 2)).withColumn(
         "label", (F.floor(F.round("pm_abs_mean", 6)) % 4).cast("int"))
 
 
@@ -34,7 +34,12 @@ c_sql = lambda body: flow_q(body, *FEATS_SQL)
 query("c3_standardise", c_sql(f"SELECT {K}, start, " + ", ".join(f"{R(f'z[{i + 1}]')} AS {f}" for i, f in enumerate(FEATS)) + " FROM pts"))(
     lambda t: points(t).select(*KEY, *[F.col("z")[i].alias(f) for i, f in enumerate(FEATS)]))
 query("c4_kmeans_sweep")(lambda t: _sweep(t))
-query("c5_silhouette")(lambda t: cluster.silhouette(points(t), 15_000, key=KEY))
+query("c5_silhouette", c_sql(
+    f"SELECT {R('avg(CASE WHEN n = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette, count(*) AS n FROM (SELECT trade_date, security_id, start, max(CASE WHEN own THEN n END) AS n, "
+    "max(CASE WHEN own THEN d * n / (n - 1) END) AS a, min(CASE WHEN NOT own THEN d END) AS b FROM (SELECT trade_date, security_id, start, p.label = c.label AS own, n, "
+    "list_dot_product(z, z) - 2 * list_dot_product(z, c.c) + q AS d FROM pts p, (SELECT cen.label, n, c, q FROM cen JOIN (SELECT label, avg(list_dot_product(z, z)) AS q FROM pts GROUP BY label) USING (label)) c) "
+    "GROUP BY trade_date, security_id, start)"))(
+    lambda t: cluster.silhouette(points(t), len(FEATS)))
 query("c6_ch_index", c_sql(
     f"SELECT n, k, {R('b * (n - k) / (w * (k - 1))')} AS calinski_harabasz FROM (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * pow(list_distance(c, m), 2)) AS b FROM cen, "
     "(SELECT [" + ", ".join(f"avg(z[{i + 1}])" for i in range(len(FEATS))) + "] AS m FROM pts)), (SELECT sum(d * d) AS w FROM own)"))(

@@ -27,9 +27,9 @@ def flow_q(body: str, *ctes: str, variant: str = "open_complete", split: bool =
 # P: projections and filters
 POST_COLS = [*FLOW_KEYS, "channel_no", "appl_seq_num", "price_tick", "order_qty", "side", "ord_type", "t_ms"]
 PC = ", ".join(POST_COLS)
-query("p1_norm_security", "SELECT c_custkey, concat(lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0'), '_XSHE') AS security_id, "
-      "lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') AS code FROM customer")(
-    lambda t: t.raw("customer").select("c_custkey", norm_security(F.col("c_custkey") % 1000000).alias("security_id")).withColumn(
+query("p1_norm_security", "SELECT c_custkey, concat(code, '_XSHE') AS security_id, code FROM (SELECT c_custkey, lpad(v, CAST(greatest(6, length(v)) AS INTEGER), '0') AS code "
+      "FROM (SELECT c_custkey, CAST(c_custkey * CAST(pow(10, c_custkey % 6) AS BIGINT) AS VARCHAR) AS v FROM customer))")(
+    lambda t: t.raw("customer").select("c_custkey", norm_security((F.col("c_custkey") * F.pow(F.lit(10), F.col("c_custkey") % 6).cast("long"))).alias("security_id")).withColumn(
         "code", bare_security(F.col("security_id"))))
 query("p2_after_open", feeds_sql(f"SELECT {PC} FROM posts WHERE t_ms // 1000 > 34200"))(
     lambda t: flows.after_open(t.posts).select(*POST_COLS))

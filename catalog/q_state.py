@@ -167,7 +167,8 @@ query("w13_split_ordered", flow_q(f"SELECT {K}, row_seq, {SPLIT_SQL}"))(
     lambda t: windows.split_ordered(t.flow.select(*FLOW_KEYS, "row_seq"), 50))
 query("o4_thin", flow_q(f"SELECT {K}, row_seq FROM flow WHERE row_seq % 7 = 0"))(
     lambda t: windows.thin(t.flow.select(*FLOW_KEYS, "row_seq"), 7))
-query("o4_thin_capped")(lambda t: windows.thin(t.flow.select(*FLOW_KEYS, "row_seq"), 7, 200))
+query("o4_thin_share", flow_q(f"SELECT {K}, row_seq FROM flow WHERE row_seq % 7 = 0 AND ((row_seq % 1000003) * 7919 + 42 * 104729) % 1000003 < 250000"))(
+    lambda t: windows.thin(t.flow.select(*FLOW_KEYS, "row_seq"), 7, 250_000 / 1_000_003 + 1e-9))
 FEATURES_SQL = f"""feats AS (SELECT {K}, row_seq AS start, avg(coalesce(price_diff, 0)) OVER w AS pm_mean, stddev_pop(coalesce(price_diff, 0)) OVER w AS pm_std,
   avg(abs(coalesce(price_diff, 0))) OVER w AS pm_abs_mean, avg(ln(1 + greatest(interval_ms, 0))) OVER w AS log_interval_mean, avg(ln(1 + greatest(order_qty, 0))) OVER w AS log_qty_mean,
   """ + ", ".join(f"avg(CASE WHEN side = {s} THEN 1.0 ELSE 0.0 END) OVER w AS frac_side_{s}" for s in windows.SIDES) + f""",
