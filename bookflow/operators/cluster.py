@@ -114,7 +114,7 @@ def silhouette(points: DataFrame, dims: int) -> DataFrame:
     rows = points.crossJoin(F.broadcast(one)).select("label", far.alias("_far"))  # one row of k clusters
     own = F.filter("_far", lambda c: c["label"] == F.col("label"))[0]
     other = F.array_min(F.transform(F.filter("_far", lambda c: c["label"] != F.col("label")), lambda c: c["d"]))
-    sized = rows.select(own["n"].alias("n"), (own["d"] * own["n"] / (own["n"] - 1)).alias("a"), other.alias("b"))
+    sized = rows.select(own["n"].alias("n"), F.try_divide(own["d"] * own["n"], own["n"] - 1).alias("a"), other.alias("b"))
     score = F.when(F.col("n") == 1, F.when(F.col("b").isNotNull(), 0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.when(F.col("b").isNotNull(), 0.0)))
     return sized.agg(F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
