@@ -2,7 +2,7 @@
 
 1. Every window of `window` words is represented by an anchor phrase (see `repeats`). Phrases of two or more documents are confirmed.
 2. Confirmed phrases are stored in shards of about PER_SHARD phrases, each of which an executor compiles into an Aho-Corasick automaton. A
-   word is one character of the automaton's alphabet: a hash of about a million values.
+   word is two letters of an alphabet of 64, 12 bits of its hash: the library looks through the letters that follow a state one by one.
 3. All documents stream through all shards, which locates every occurrence; the phrase's 64-bit hash is held against each.
 4. Windows at located phrases are compared exactly by the rounds of `repeats`.
 """
@@ -23,18 +23,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from bookflow.llm import repeats, scan
 from bookflow.session import checkpoint_dir
 
-PER_SHARD, HELD = 120_000, 4
-#: Characters U+E000 and up, which hold no surrogates.
-_FIRST, _LETTERS = 0xE000, 1_050_000
+PER_SHARD, HELD = 400_000, 2
+LETTERS = 2
 
 
 def rule(window: int = 50) -> repeats.Rule:
-    return repeats.Rule(True, window, tuple(sorted({max(1, window // 5), window})), False)
+    return repeats.Rule(True, window, tuple(sorted({max(1, window * 12 // 100), window})), False)
 
 
 def letters(words: np.ndarray) -> np.ndarray:
-    """The character code of each word hash."""
-    return (scan.mix(words) % np.uint64(_LETTERS)).astype(np.uint32) + np.uint32(_FIRST)
+    """The two ASCII letters of each word hash, as rows."""
+    h = scan.mix(words)
+    return np.stack([(h >> np.uint64(58)).astype(np.uint8) + np.uint8(48), ((h >> np.uint64(52)).astype(np.uint8) & np.uint8(63)) + np.uint8(48)], axis=1)
 
 
 def confirmed(docs: DataFrame, r: repeats.Rule) -> DataFrame:
@@ -52,8 +52,8 @@ def confirmed(docs: DataFrame, r: repeats.Rule) -> DataFrame:
             a, d, anchor = a[order], d[order], anchor[order]
             first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
             last = np.append(first[1:], len(a)) - 1
-            text = letters(values)[anchor[first][:, None] + np.arange(length)].astype("<u4").tobytes().decode("utf-32-le")
-            yield pa.RecordBatch.from_arrays([pa.array(scan.signed(a[first])), pa.array([text[k : k + length] for k in range(0, len(text), length)]), pa.array(d[first]), pa.array(d[last])], ["a", "phrase", "lo", "hi"])
+            text = letters(values)[anchor[first][:, None] + np.arange(length)].tobytes().decode()
+            yield pa.RecordBatch.from_arrays([pa.array(scan.signed(a[first])), pa.array([text[k : k + LETTERS * length] for k in range(0, len(text), LETTERS * length)]), pa.array(d[first]), pa.array(d[last])], ["a", "phrase", "lo", "hi"])
 
     named = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NONE).cast("long")).alias("_d"))
     found = named.mapInArrow(run, "a long, phrase string, lo long, hi long").groupBy("a").agg(F.first("phrase").alias("phrase"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -99,15 +99,16 @@ def located(values: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int,
     if len(values) < length:
         return flags
     rank = scan.signed(scan.mix(scan.Ranges(values).fixed(length)))
-    codes = letters(values).astype("<u4").tobytes().decode("utf-32-le")
+    codes = letters(values).tobytes().decode()
     long_ = np.flatnonzero(end - begin >= length)
     for shard in range(shards):
         if (machine := automaton(path, shard)) is None:
             continue
         for d in long_:
-            for at, hashes in machine.iter(codes, int(begin[d]), int(end[d])):
-                if rank[at - length + 1] in hashes:
-                    flags[at - length + 1] = True
+            for at, hashes in machine.iter(codes, LETTERS * int(begin[d]), LETTERS * int(end[d])):
+                start = (at + 1) // LETTERS - length
+                if at % LETTERS and rank[start] in hashes:  # a hit at an even place lies between words
+                    flags[start] = True
     return flags
 
 

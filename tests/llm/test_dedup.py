@@ -102,7 +102,7 @@ def direct_passages(rows, size):
     return out
 
 
-@pytest.mark.parametrize("size,per_shard", [(50, 120_000), (8, 20)])
+@pytest.mark.parametrize("size,per_shard", [(50, 400_000), (8, 20)])
 def test_passages(spark, size, per_shard):
     rows = corpus(size + 1)
     got = phrases.remove_passages(frame(spark, rows), size, per_shard)
