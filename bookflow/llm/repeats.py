@@ -48,7 +48,9 @@ class Rule:
 def keyed(docs: DataFrame) -> DataFrame:
     """`docs` plus _d and _t, which name a document, shuffled by them. _t is 0 where no id repeats."""
     same = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    tag = F.coalesce(F.xxhash64("text").bitwiseAND(0xFFFFF), F.lit(0).cast("long")) if same else F.lit(0).cast("long")
+    # never null, so that no join puts a filter below the shuffle; and no literal 0, which the planner would drop from the partitioning. Else the
+    # texts are shuffled again
+    tag = F.coalesce(F.xxhash64("text").bitwiseAND(0xFFFFF) if same else F.pmod(F.col("_d"), F.lit(1).cast("long")), F.lit(0).cast("long"))
     return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE).cast("long"))).withColumn("_t", tag).repartition("_d", "_t")
 
 
