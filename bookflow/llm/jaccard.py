@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from bookflow.llm import components, scan, url_filter
 from bookflow.session import stage
 
-CELLS, PIECES = 1 << 22, 256
+BITS, PIECES = 23, 256
+CELLS = 1 << BITS
 ORDERS = 3
 NO_ID = -(2**63)
 CHUNK = 600_000  # tokens of the sets that one task compares at once
@@ -52,11 +53,11 @@ def set_keys(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _cell(token: np.ndarray) -> np.ndarray:
-    return (token >> np.uint64(64 - 22)).astype(np.int64)
+    return (token >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def rarity(docs: DataFrame, k: int) -> bytes:
-    """Class of each cell: how many bits its count of (document, shingle) takes. CELLS bytes, whatever the corpus; summed over all documents."""
+    """Class of each cell: ten steps for each doubling of its count of (document, shingle). CELLS bytes, whatever the corpus; summed over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -84,13 +85,13 @@ def rarity(docs: DataFrame, k: int) -> bytes:
     out = np.zeros(CELLS, np.uint8)
     for row in summed.collect():  # PIECES rows of a fixed size
         part = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-        out[row["piece"] * len(part) : (row["piece"] + 1) * len(part)] = np.ceil(np.log2(part.astype(float) + 1)).astype(np.uint8)
+        out[row["piece"] * len(part) : (row["piece"] + 1) * len(part)] = np.minimum(np.ceil(10 * np.log2(part.astype(float) + 1)), 255).astype(np.uint8)
     return out.tobytes()
 
 
 def prefixes(token: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix tokens of every set under one order, and their sets."""
-    key = (classes[_cell(token)].astype(np.uint64) << np.uint64(58)) | (scan.mix(token + np.uint64(order * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(6))
+    key = (classes[_cell(token)].astype(np.uint64) << np.uint64(56)) | (scan.mix(token + np.uint64(order * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(8))
     by = np.lexsort((key, doc))
     length = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
     rank = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -295,9 +296,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = prof.where(F.size("first") > 0).select(F.explode("first").alias("tok"), "key", "n")
     shared = stage(buckets(rows), "buckets")
     stats = shared.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    chosen = shared.join(stats, "bucket").groupBy("key").agg(F.max(F.struct("size", "bucket", "total")).alias("_c"))
-    parts = F.ceil(F.greatest(F.col("_c.total") / F.lit(CHUNK), F.col("_c.size") / F.lit(MEMBERS))).cast("long")
-    home = stage(chosen.select("key", F.col("_c.bucket").alias("bucket"), F.pmod(F.xxhash64("key"), parts).alias("chunk")), "homes")
+    chosen = stage(shared.join(stats, "bucket").groupBy("key").agg(F.max(F.struct("size", "bucket")).alias("_c"), F.max("n").alias("n")).select("key", "n", F.col("_c.bucket").alias("bucket")), "largest")
+    # members of a group that miss its largest bucket follow the others of theirs
+    common = shared.select("bucket", "key").join(chosen.select("key", F.col("bucket").alias("_of")), "key").groupBy("bucket").agg(F.mode("_of", True).alias("_home"))
+    moved = stage(chosen.join(common, "bucket").select("key", "n", F.col("_home").alias("bucket")), "moved")
+    filled = moved.groupBy("bucket").agg(F.greatest(F.sum("n") / F.lit(CHUNK), F.count("*") / F.lit(MEMBERS)).alias("_parts"))
+    home = stage(moved.join(filled, "bucket").select("key", "bucket", F.pmod(F.xxhash64("key"), F.ceil("_parts").cast("long")).alias("chunk")), "homes")
     placed = with_text(docs, nodes.join(home, "key").select("doc_id", "key", "bucket", "chunk"), k)
     roots = stage(local_classes(placed, k, percent).groupBy("key").agg(F.min("root").alias("root")), "classes")
     # members that went to one chunk have been compared there; a bucket whose members all did is settled
