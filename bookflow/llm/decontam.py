@@ -149,7 +149,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, ques
         for batch in scan.blocks(batches):
             for index in shared:
                 text, item, *found = verified(index.value, scan.texts(batch), threshold, question, answer)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(item), *map(pa.array, found)], ["doc_id", "item_id", *FOUND])
+                columns = [pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in found[:3]), pa.array(found[3], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text, pa.int64())), *columns], ["doc_id", "item_id", *FOUND])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
