@@ -4,7 +4,8 @@ The index is small and is sent to all tasks; its size is checked, and a larger b
 other. Impacts are divided by the score that an item gives itself, so a score is the share of an item that a passage holds. Passages
 are windows of `2 * step` words, every `step` words, at least as long as two items, so a whole item lies in one of them. Skipping is done for a
 block of passages at once: by the sum of the largest impacts of the passage's terms, then by the largest impacts per block of items; only
-items of blocks whose bound reaches the threshold are scored, all that reach it are retrieved, and question and answer are then verified.
+items of blocks whose bound reaches the threshold are scored, all that reach it are retrieved, and question and answer are then verified
+in each of these passages.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def build(items: list[tuple[int, bytes, bytes]], gram: int = 3) -> Index:
 
 
 def search(index: Index, texts: list[bytes], threshold: float) -> tuple[np.ndarray, ...]:
-    """Of every text and item: whether a passage reaches the threshold. Gives text, item, score, first word and end word of the best passage, the first if tied."""
+    """Every passage and item that reach the threshold, passage by passage. Gives text, item, score, first word and end word of the passage."""
     words, first = tokens(texts)
     n, step, terms = np.diff(first), index.step, len(index.vocab)
     empty = np.zeros(0, np.int64)
@@ -121,19 +122,23 @@ def search(index: Index, texts: list[bytes], threshold: float) -> tuple[np.ndarr
     hit, score = hit[good], score[good]
     number, item = hit // len(index.item_ids), hit % len(index.item_ids)
     text = np.searchsorted(base, number, "right") - 1
-    order = np.lexsort((number, -np.round(score, 9), item, text))
-    text, item, score, number = text[order], item[order], score[order], number[order]
-    keep = np.ones(len(text), bool)
-    keep[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-    text, item, score, number = text[keep], item[keep], score[keep], number[keep]
     start = first[text] + (number - base[text]) * step
     return text, item, score, start, np.minimum(start + 2 * step, first[text + 1]), words, first
 
 
-def overlap(part: tuple[int, np.ndarray], passage: np.ndarray) -> float:
-    """Share of a question's or answer's k-grams that a passage holds; 1 for a side without a word."""
-    k, wanted = part
-    return float(np.isin(wanted, grams(passage, k)).mean()) if len(wanted) else 1.0
+def overlaps(index: Index, words: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Shares of the question's and the answer's k-grams that each passage holds, two a row; 1 for a side without a word. Rows of one passage follow each other."""
+    out, here, held = np.ones((len(item), 2)), -1, {}
+    for row, (i, s, e) in enumerate(zip(item.tolist(), start.tolist(), end.tolist())):
+        if s != here:
+            here, held = s, {}
+        for side, (k, wanted) in enumerate(index.parts[i]):
+            if len(wanted):
+                if k not in held:
+                    held[k] = np.unique(grams(words[s:e], k))
+                at = np.searchsorted(held[k], wanted)
+                out[row, side] = (held[k][np.minimum(at, len(held[k]) - 1)] == wanted).mean() if len(held[k]) else 0.0
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.6, answer: float = 0.6, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -169,10 +174,14 @@ def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list:
 
 
 def verified(index: Index, texts: list[bytes], threshold: float, question: float, answer: float) -> tuple[np.ndarray, ...]:
-    """Text, item id, score, overlaps and first word of the best passage, of all that pass both steps."""
+    """Text, item id, score, overlaps and first word. Of the passages of a text that pass both steps for an item the one of best score, the first if tied."""
     text, item, score, start, end, words, first = search(index, texts, threshold)
-    sides = np.array([[overlap(side, words[s:e]) for side in index.parts[i]] for i, s, e in zip(item, start, end)]).reshape(-1, 2)
+    sides = overlaps(index, words, item, start, end)
     good = np.flatnonzero((sides[:, 0] >= question) & (sides[:, 1] >= answer))
+    good = good[np.lexsort((start[good], -np.round(score[good], 9), item[good], text[good]))]
+    new = np.ones(len(good), bool)
+    new[1:] = (text[good][1:] != text[good][:-1]) | (item[good][1:] != item[good][:-1])
+    good = good[new]
     return text[good], index.item_ids[item[good]], score[good], sides[good, 0], sides[good, 1], (start - first[text])[good].astype(np.int64)
 
 

@@ -219,6 +219,19 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, its.where("false")).count() == decontam.contaminated(df.where("false"), its).count() == 0
 
 
+def test_every_passage_is_verified(spark):
+    """The words of an item without their order, in an earlier passage, do not hide the item itself."""
+    q, a = [f"q{k}" for k in range(12)], [f"a{k}" for k in range(6)]
+    other = [f"o{k}" for k in range(10)]
+    scattered = [w for pair in zip(reversed(q + a), ["x"] * 18) for w in pair]
+    docs = [(1, scattered + ["y"] * 200 + q + a + ["z"] * 90), (2, scattered + ["y"] * 200), (3, scattered + ["y"] * 200 + q[:10] + ["edited"] + q[11:] + a + ["z"] * 90)]
+    df = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "doc_id long, text string")
+    its = spark.createDataFrame([(7, " ".join(q), " ".join(a)), (8, " ".join(other), "o")], "item_id long, question string, answer string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(df, its).collect()}
+    assert got.keys() == {(1, 7), (3, 7)} and got[1, 7].question_overlap == got[1, 7].answer_overlap == 1.0 and got[1, 7].at_word > 150
+    assert {r.doc_id for r in decontam.drop_contaminated(df, its).collect()} == {2}
+
+
 def test_url_twin(spark):
     import duckdb
 
