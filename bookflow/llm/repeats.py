@@ -4,13 +4,13 @@ Symbols are the bytes or the words of a text. Every window is represented by an
 with the smallest hash, the leftmost if tied, so equal windows have equal anchors at equal places. Consecutive windows with one
 anchor make a block, and a row of block ranks stands for some 30 windows:
 
-    a  rank of the anchor (length symbols)       k  rank of the whole block       d, p  position       n  windows
+    a  rank of the anchor (length symbols)       k  rank of the whole block       d, t, p  position    n  windows
 
 Each round shuffles the rows by a and lets Spark sort them by (a, k, position). A rank that no other position has retires; equal pairs
 (a, k) are equal text, so all but the first are repeats; only positions that share a rank but not the pair go on to the next round, with a
 longer anchor. In the last round the anchor is the whole window, k is 0 and nothing stays open. Ranks are 64-bit fingerprints.
 
-Rows that share doc_id are told apart by 20 bits of a hash of their text and ordered by it; rows equal in both are one document. Null ids
+Rows that share doc_id are told apart by a 64-bit hash of their text, t, and ordered by it; rows equal in both are one document. Null ids
 come first. Texts shorter than a window have none.
 """
 
@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from bookflow.llm import scan
 
 NONE = -(2**63)
-_PLACE = (1 << 40) - 1
-ROWS = "a long, k long, d long, p long, n int, done boolean"
-FOUND = "d long, p long, n int, open boolean"
+ROWS = "a long, k long, d long, t long, p long, n int, done boolean"
+FOUND = "d long, t long, p long, n int, open boolean"
 
 
 @dataclass(frozen=True)
@@ -50,7 +49,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     same = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     # never null, so that no join puts a filter below the shuffle; and no literal 0, which the planner would drop from the partitioning. Else the
     # texts are shuffled again
-    tag = F.coalesce(F.xxhash64("text").bitwiseAND(0xFFFFF) if same else F.pmod(F.col("_d"), F.lit(1).cast("long")), F.lit(0).cast("long"))
+    tag = F.coalesce(F.xxhash64("text") if same else F.pmod(F.col("_d"), F.lit(1).cast("long")), F.lit(0).cast("long"))
     return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE).cast("long"))).withColumn("_t", tag).repartition("_d", "_t")
 
 
@@ -80,32 +79,37 @@ def anchored(values: np.ndarray, at: np.ndarray, count: np.ndarray, window: int,
     return rank[anchor[first]], whole, start, n, run[first], anchor[first]
 
 
-def rows_of(rule: Rule, a: np.ndarray, k: np.ndarray, d: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def later(rule: Rule, d: np.ndarray, t: np.ndarray, p: np.ndarray, fd: np.ndarray, ft: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Whether positions d, t, p count as repeats of fd, ft, fp."""
+    if not rule.within:
+        return d > fd
+    return (d > fd) | (d == fd) & ((t > ft) | (t == ft) & (p > fp))
+
+
+def rows_of(rule: Rule, a: np.ndarray, k: np.ndarray, d: np.ndarray, t: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Rows of a round. Of positions with equal ranks here all but the first are known repeats; those side by side become one row."""
     key = scan.mix(a + scan.mix(k))
-    order = np.lexsort((p, d, key))
-    a, k, d, p, n, key = (x[order] for x in (a, k, d, p, n, key))
+    order = np.lexsort((p, t, d, key))
+    a, k, d, t, p, n, key = (x[order] for x in (a, k, d, t, p, n, key))
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    done = d > d[first]
-    if rule.within:
-        done |= (d == d[first]) & (p > p[first])
-    order = np.lexsort((p[done], d[done]))
-    rd, rp, rn = d[done][order], p[done][order], n[done][order]
+    done = later(rule, d, t, p, d[first], t[first], p[first])
+    order = np.lexsort((p[done], t[done], d[done]))
+    rd, rt, rp, rn = (x[done][order] for x in (d, t, p, n))
     head = np.ones(len(rd), bool)
-    head[1:] = (rd[1:] != rd[:-1]) | (rp[1:] != rp[:-1] + rn[:-1])
+    head[1:] = (rd[1:] != rd[:-1]) | (rt[1:] != rt[:-1]) | (rp[1:] != rp[:-1] + rn[:-1])
     cut = np.flatnonzero(head)
-    rd, rp, rn = rd[cut], rp[cut], np.add.reduceat(rn, cut) if len(cut) else rn[:0]
-    a = np.concatenate([scan.signed(a[~done]), scan.signed(scan.mix((rd ^ rp).view(np.uint64)))])
+    rd, rt, rp, rn = rd[cut], rt[cut], rp[cut], np.add.reduceat(rn, cut) if len(cut) else rn[:0]
+    a = np.concatenate([scan.signed(a[~done]), scan.signed(scan.mix((rd ^ rt ^ rp).view(np.uint64)))])
     k = np.concatenate([scan.signed(k[~done]), np.zeros(len(rd), np.int64)])
     flags = np.arange(len(a)) >= len(a) - len(rd)
     cat = lambda x, y: np.concatenate([x[~done], y])
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(k), pa.array(cat(d, rd)), pa.array(cat(p, rp)), pa.array(cat(n, rn).astype(np.int32)), pa.array(flags)], ["a", "k", "d", "p", "n", "done"])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(k), pa.array(cat(d, rd)), pa.array(cat(t, rt)), pa.array(cat(p, rp)), pa.array(cat(n, rn).astype(np.int32)), pa.array(flags)], ["a", "k", "d", "t", "p", "n", "done"])
 
 
 def positions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("_d").to_numpy(), batch.column("_t").to_numpy() << 40
+    return batch.column("_d").to_numpy(), batch.column("_t").to_numpy()
 
 
 def first_round(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> DataFrame:
@@ -119,7 +123,7 @@ def first_round(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> Da
             if keep is not None and len(a):
                 chosen = keep(values, begin, end, a, anchor)
                 a, k, start, n, doc = (x[chosen] for x in (a, k, start, n, doc))
-            yield rows_of(rule, a, k, d[doc], t[doc] | (start - begin[doc]), n)
+            yield rows_of(rule, a, k, d[doc], t[doc], start - begin[doc], n)
 
     return docs.mapInArrow(run, ROWS)
 
@@ -134,7 +138,7 @@ def next_round(docs: DataFrame, found: DataFrame, rule: Rule, length: int) -> Da
             at, count, doc = spans(batch, "_f", True)
             a, k, start, n, run_, _ = anchored(values, begin[doc] + at, count, rule.window, length)
             doc = doc[run_]
-            yield rows_of(rule, a, k, d[doc], t[doc] | (start - begin[doc]), n)
+            yield rows_of(rule, a, k, d[doc], t[doc], start - begin[doc], n)
 
     return docs.join(found, ["_d", "_t"]).where("_any").mapInArrow(run, ROWS)
 
@@ -155,25 +159,25 @@ def ranked(rows: DataFrame, rule: Rule) -> DataFrame:
     """One round: sorted by ranks, then read once. Gives per document the repeats and the open windows: _d, _t, _f (list), _any (some are open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None  # of the group of rank a that the last batch ended in: a, k, first d and p of k, many ranks k?, rows held back
+        state = None  # of the group of rank a that the last batch ended in: a, k, first d, t and p of k, many ranks k?, rows held back
         for batch in batches:
-            out, (a, k, d, p, n, done) = [], (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+            out, (a, k, d, t, p, n, done) = [], (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
             done = done.astype(bool)
-            out.append((d[done], p[done], n[done], False))
-            a, k, d, p, n = (x[~done] for x in (a, k, d, p, n))
+            out.append((d[done], t[done], p[done], n[done], False))
+            a, k, d, t, p, n = (x[~done] for x in (a, k, d, t, p, n))
             if len(a):
-                state = _read(rule, state, a, k, d, p, n, out)
-            d, p, n = (np.concatenate([x[c] for x in out]) for c in range(3))
-            flags = np.concatenate([np.full(len(x[0]), x[3]) for x in out])
+                state = _read(rule, state, a, k, d, t, p, n, out)
+            d, t, p, n = (np.concatenate([x[c] for x in out]) for c in range(4))
+            flags = np.concatenate([np.full(len(x[0]), x[4]) for x in out])
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(n), pa.array(flags)], ["d", "p", "n", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(p), pa.array(n), pa.array(flags)], ["d", "t", "p", "n", "open"])
 
-    found = rows.repartition("a").sortWithinPartitions("a", "k", "d", "p").mapInArrow(run, FOUND)
-    place = F.struct(F.col("p").bitwiseAND(F.lit(_PLACE)).alias("s"), "n", F.col("open").alias("o"))
-    return found.groupBy(F.col("d").alias("_d"), F.call_function("shiftright", "p", F.lit(40)).cast("long").alias("_t")).agg(F.collect_list(place).alias("_f"), F.max("open").alias("_any"))
+    found = rows.repartition("a").sortWithinPartitions("a", "k", "d", "t", "p").mapInArrow(run, FOUND)
+    place = F.struct(F.col("p").alias("s"), "n", F.col("open").alias("o"))
+    return found.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(place).alias("_f"), F.max("open").alias("_any"))
 
 
-def _read(rule: Rule, state, a, k, d, p, n, out: list):
+def _read(rule: Rule, state, a, k, d, t, p, n, out: list):
     m = len(a)
     same_a = state is not None and state[0] == a[0]
     new_a, new_k = np.ones(m, bool), np.ones(m, bool)
@@ -182,27 +186,25 @@ def _read(rule: Rule, state, a, k, d, p, n, out: list):
     new_k[1:] = new_a[1:] | (k[1:] != k[:-1])
     new_k[0] = not (same_a and state[1] == k[0])
     at = np.maximum.accumulate(np.where(new_k, np.arange(m), -1))
-    fd, fp = d[np.maximum(at, 0)], p[np.maximum(at, 0)]
+    fd, ft, fp = (x[np.maximum(at, 0)] for x in (d, t, p))
     if not new_k[0]:
-        fd, fp = np.where(at < 0, state[2], fd), np.where(at < 0, state[3], fp)
-    repeat = d > fd
-    if rule.within:
-        repeat |= (d == fd) & (p > fp)
+        fd, ft, fp = (np.where(at < 0, x, y) for x, y in zip(state[2:5], (fd, ft, fp)))
+    repeat = later(rule, d, t, p, fd, ft, fp)
     group = np.cumsum(new_a) - new_a[0]
     ranks = np.bincount(group, new_k)
     if same_a:
-        ranks[0] += 2 if state[4] else 1
-        if ranks[0] >= 2 and state[5]:
-            out += [(*x, True) for x in state[5]]
+        ranks[0] += 2 if state[5] else 1
+        if ranks[0] >= 2 and state[6]:
+            out += [(*x, True) for x in state[6]]
     many = ranks >= 2
-    out.append((d[repeat], p[repeat], n[repeat], False))
+    out.append((d[repeat], t[repeat], p[repeat], n[repeat], False))
     open_ = ~repeat & many[group]
-    out.append((d[open_], p[open_], n[open_], True))
+    out.append((d[open_], t[open_], p[open_], n[open_], True))
     tail = ~repeat & (group == group[-1]) & ~many[-1]
-    held = [(d[tail], p[tail], n[tail])] if tail.any() else []
+    held = [(d[tail], t[tail], p[tail], n[tail])] if tail.any() else []
     if same_a and group[-1] == 0 and not many[-1]:
-        held = state[5] + held
-    return a[-1], k[-1], fd[-1], fp[-1], bool(many[-1]), held
+        held = state[6] + held
+    return a[-1], k[-1], fd[-1], ft[-1], fp[-1], bool(many[-1]), held
 
 
 def find(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> DataFrame:

@@ -78,6 +78,33 @@ def test_substrings_keep_columns_and_repeated_rows(spark):
     assert sum(len(k) < len(t) for _, t, k in found[:3]) in (1, 2)  # of the two texts of id 1 one is first
 
 
+def twenty_bits(spark, tail, other):
+    """A text with each tail; their hashes have the last 20 bits in common."""
+    met = {}
+    made = spark.range(16000).selectExpr(f"concat(lpad(id, 6, '0'), if(id < 8000, '{tail}', '{other}')) text").selectExpr("text", "xxhash64(text) & 1048575 low").collect()
+    for text, low in made[:8000]:
+        met[low] = text
+    return next((met[low], text) for text, low in made[8000:] if low in met)
+
+
+@pytest.mark.parametrize("doc_id", [1, None])
+def test_texts_of_one_id_are_told_apart(spark, doc_id):
+    tail = "abcdefghijklmnopqrstuvwxyz0123"
+    one, two = twenty_bits(spark, tail, tail)
+    got = substrings.remove_repeats(frame(spark, [(doc_id, one), (doc_id, two), (9, "longer than they " + tail)], 2), 30).collect()
+    kept = {r.text: bytes(r.kept).decode() for r in got}
+    assert (kept[one], kept[two]) in [(one, two[:6]), (one[:6], two)], kept
+    assert kept["longer than they " + tail] == "longer than they "
+
+
+def test_passages_of_texts_of_one_id(spark):
+    """Only one of the two repeats an earlier document."""
+    tail, other = " ".join("abcdefghijkl"), " ".join("mnopqrstuvwxyz")
+    one, two = twenty_bits(spark, " " + tail, " " + other)
+    got = phrases.remove_passages(frame(spark, [(1, tail), (2, one), (2, two)], 2), 8)
+    assert sorted((r.text, r.kept) for r in got.collect()) == sorted([(tail, tail), (one, one[:6]), (two, two)])
+
+
 def test_cut_text(spark):
     rows = [(1, "é" * 30 + "end"), (2, "x" + "é" * 30), (3, None)]
     got = {r.doc_id: r.text for r in substrings.cut(frame(spark, rows, 1), 31).collect()}
