@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bookflow.llm import components, scan, url_filter
 from bookflow.session import stage
@@ -100,7 +100,7 @@ def prefixes(token: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.
 
 
 def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, key (of the set), first (prefix tokens; none for a set the task has met), p1, p2 (16-bit prefix tokens of further orders), of every row."""
+    """doc_id, t (hash of the text), n, key (of the set), first (prefix tokens; none for a set the task has met), p1, p2 (16-bit prefix tokens of further orders), of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +122,9 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 offsets = pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(n)))).astype(np.int32))
                 values = scan.signed(t) if order == 0 else (scan.mix(t) >> np.uint64(48)).astype(np.uint16).view(np.int16)
                 lists.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(key), *lists], ["doc_id", "n", "key", "first", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n.astype(np.int64)), pa.array(key), *lists], ["doc_id", "t", "n", "key", "first", "p1", "p2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, first array<long>, p1 array<short>, p2 array<short>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, key long, first array<long>, p1 array<short>, p2 array<short>")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -282,6 +282,10 @@ def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stage(found.select("key", F.coalesce("_new", "root").alias("root")), "classes")
 
 
+def real_id() -> Column:
+    return F.nullif("doc_id", F.lit(NO_ID).cast("long"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included.
 
@@ -289,10 +293,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     no shingles and is alone; one of fewer than k words has one shingle. Rows that share an id are judged each by its own text.
     A null id is never the smallest of a class, unless the class has no other. An empty table gives no rows.
     """
+    prof, by_key = classified(docs, k, percent)
+    probe = prof.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("_key"))
+    return probe.join(by_key.select(F.col("key").alias("_key"), F.col("least.doc_id").alias("_least")), "_key", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+
+
+def classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The profile of every row, with NO_ID for a null id, and of each set: key, root, least (the smallest doc_id of its class and the smallest t of that id), lost (the smallest t of its rows without an id)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), "text")
-    real = F.nullif("doc_id", F.lit(NO_ID).cast("long"))
+    real = real_id()
     prof = stage(profile(docs, k, percent), "profiles")
-    nodes = stage(prof.where("n > 0").groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min(real).alias("least")), "nodes")
+    nodes = stage(prof.where("n > 0").groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min(F.when(real.isNotNull(), F.struct("doc_id", "t"))).alias("least"), F.min(F.when(real.isNull(), F.col("t"))).alias("lost")), "nodes")
     rows = prof.where(F.size("first") > 0).select(F.explode("first").alias("tok"), "key", "n")
     shared = stage(buckets(rows), "buckets")
     stats = shared.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
@@ -319,16 +330,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         else:
             pairs = now.join(mixed.select("bucket", "_hub"), "bucket").where((F.col("_hub.root") != F.col("root")) & (F.col("_hub.home") != F.col("home")) & fits(F.col("n"), F.col("_hub.n"))).select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b"))
         roots = _merge(roots, stage(verified(pairs.distinct(), nodes, prof, docs, k, percent), "links"))
-    named = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min("least").alias("_least"))
-    by_key = named.select("key", "root").join(least, "root").select(F.col("key").alias("_key"), "_least")
-    probe = prof.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("_key"))
-    return probe.join(by_key, "_key", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    named = nodes.select("key", "least", "lost").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return prof, named.select("key", "root").join(named.groupBy("root").agg(F.min("least").alias("least"), F.min("lost").alias("lost")), "root")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is that of their class, with the columns of `docs`. Rows that share such an id stay together; so do rows without an id."""
-    gone = stage(near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    marked = _maybe(docs, gone)
-    sure, open_ = marked.where("not _maybe").select(*docs.columns), marked.where("_maybe").select(*docs.columns)
-    return sure.unionByName(open_.join(gone, "doc_id", "left_anti"))
+    """One row of each class, with the columns of `docs`: of its smallest doc_id, of texts of that id the one of smallest hash, of equal rows any.
+
+    Every row is judged by its own text. Rows without an id are a choice of their own: one of each class stays beside the one with an id.
+    Rows without a word all stay.
+    """
+    prof, by_key = classified(docs, k, percent)
+    first = F.when(F.col("doc_id") == NO_ID, F.col("t") == F.col("lost")).otherwise((F.col("doc_id") == F.col("least.doc_id")) & (F.col("t") == F.col("least.t")))
+    judged = prof.where("n > 0").select("doc_id", "t", "key").join(by_key, "key").select(F.col("doc_id").alias("_d"), "t", first.alias("stays")).groupBy("_d", F.col("t").alias("_t")).agg(F.min("stays").alias("_stays"), F.count("*").alias("_n"))
+    named = F.concat_ws(" ", "_d", "_t").alias("doc_id")
+    listed = stage(judged.where("not _stays or _n > 1").select("_d", "_t", "_stays", named), "near-copies")
+    own = scan.set_aside(docs).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).withColumn("_t", F.xxhash64("text")).withColumnRenamed("doc_id", "__id").withColumn("doc_id", named)
+    marked = _maybe(own, listed)
+    order = ["__id" if c == "doc_id" else c for c in scan.set_aside(docs).columns]
+    lone = marked.where("not _maybe").unionByName(marked.where("_maybe").join(listed.select("_d", "_t"), ["_d", "_t"], "left_anti")).select(*order)
+    once = marked.where("_maybe").join(listed.where("_stays").select("_d", "_t"), ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select(*order)
+    return lone.unionByName(once).toDF(*docs.columns)

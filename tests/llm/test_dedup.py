@@ -184,6 +184,14 @@ def test_keep_first(spark):
     assert sorted((r.doc_id or 0 for r in got.collect())) == [0, 1, 3, 4] and got.columns == frame(spark, rows).columns
 
 
+def test_keep_first_judges_rows(spark):
+    """A copy takes no other row of its id along; equal rows and texts of one id, or of none, are copies too."""
+    copy, other, third, fourth = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    rows = [(1, copy), (2, copy), (2, other), (3, third), (3, third), (3, third.upper()), (None, fourth), (None, fourth), (None, fourth.upper()), (4, ""), (4, ""), (4, None)]
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in jaccard.keep_first(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, copy), (2, other), (3, third), (None, fourth), (4, ""), (4, ""), (4, "")], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(7, 7)]
