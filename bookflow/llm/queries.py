@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bookflow.llm import bpe, decontam, jaccard, phrases, quality, sharding, substrings, token_files, toxicity, url_filter
+from bookflow.llm import bpe, decontam, jaccard, phrases, quality, sharding, substrings, token_files, toxicity, url_filter, whitening
 from bookflow.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), decontam.halves(table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"), k=16)
