@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bookflow.llm import bpe, decontam, jaccard, phrases, quality, sharding, substrings, token_files, toxicity, url_filter, whitening
+from bookflow.llm import bpe, decontam, jaccard, phrases, prefix_trie, quality, sharding, simhash, substrings, token_files, toxicity, url_filter, whitening
 from bookflow.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,15 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"), k=16)
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return trie.withColumn("ends_sha256", F.coalesce(F.lower(F.hex("ends")), F.sha2(F.lit(""), 256))).drop("ends")
