@@ -365,11 +365,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4, checks: int = CH
     never the smallest of a class, unless the class has no other. An empty table gives no rows. Other columns are not read.
     """
     prof = stage(fingerprints(docs, k), "simhash")
-    fps = stage(prof.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    fps = stage(prof.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
     joined = components.components(links(fps, bits, checks, widths, part)).select(F.col("node").alias("fp"), "root")
     classes = joined.join(fps, "fp").groupBy("root").agg(F.min("least").alias("_c"))
-    named = fps.join(joined.join(classes, "root").select("fp", "_c"), "fp", "left").select("fp", F.coalesce("_c", "least").alias("_c"))
-    return prof.join(named, "fp").select("doc_id", "fp", F.coalesce("_c", "doc_id").alias("component_id"))
+    named = stage(fps.join(joined.join(classes, "root").select("fp", "_c"), "fp", "left").select("fp", F.coalesce("_c", "least").alias("_c"), "n"), "named")
+    # a fingerprint with a 1,000th of all rows: there are fewer than 1,000 of them, and their rows need no shuffle
+    total = fps.agg(F.sum("n")).first()[0] or 0
+    often = named.where(F.col("n") > total // 1000)
+    marked = prof.join(F.broadcast(often.select("fp", "_c", F.lit(True).alias("_often"))), "fp", "left")
+    rest = marked.where("_often is null").select("doc_id", "fp").join(named.select("fp", "_c"), "fp")
+    return marked.where("_often").select("doc_id", "fp", "_c").unionByName(rest.select("doc_id", "fp", "_c")).select("doc_id", "fp", F.coalesce("_c", "doc_id").alias("component_id"))
 
 
 def as_hex(fp: str):
