@@ -153,8 +153,8 @@ def nodes(conversations: DataFrame, giant: int = GIANT) -> DataFrame:
 
 def with_siblings(trie: DataFrame, per_task: int) -> DataFrame:
     """Adds `sibling`: conv_id of the next child of the same parent, by id. Children of one parent are cut where ids cross common borders."""
-    parts = trie.count() // per_task
-    cuts = trie.approxQuantile("conv_id", [i / (parts + 1) for i in range(1, parts + 1)], 0.1 / (parts + 1)) if parts else []
+    parts = min(max(trie.count() // per_task, 127), 1023)
+    cuts = trie.approxQuantile("conv_id", [i / (parts + 1) for i in range(1, parts + 1)], 0.1 / (parts + 1))
     chunk = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x <= F.col("conv_id"))) if cuts else F.lit(0)
     below = running(trie.where("depth > 0"), ["depth", "parent_conv_id"], ["conv_id"], chunk, nexts={"sibling": F.col("conv_id")})
     return trie.where("depth = 0").withColumn("sibling", F.lit(None).cast("long")).unionByName(below)
