@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 from bookflow.functions import div
 from bookflow.operators.micro import BY
 
+SEQUENCE_KEYS = ("date", "real_id", "gen_id", "kind")
+
 
 def subseqs(tape: DataFrame, *, n: int | None = None, length: int | None = None, every_ns: int | None = None,
-            by: Sequence[str] = BY) -> DataFrame:
+            by: Sequence[str] = BY, run: Sequence[str] | None = None) -> DataFrame:
     """Add `sub_id`: by count (length is the real rows of the run // n), by length, or by time interval.
 
     Sub-sequences by count keep a last shorter one, as the length is rounded down. Time intervals are
@@ -23,7 +25,7 @@ def subseqs(tape: DataFrame, *, n: int | None = None, length: int | None = None,
     if length is not None:
         return tape.withColumn("sub_id", div(F.col("row_seq"), length))
     if n is not None:
-        run = [c for c in by if c != "kind"]
+        run = list(run or [c for c in by if c != "kind"])
         sizes = tape.groupBy(*run).agg(F.sum((F.col("kind") == "real").cast("long")).alias("_real"))
         return tape.join(sizes, run).withColumn("sub_id", div(F.col("row_seq"), div(F.col("_real"), n))).drop("_real")
     bar = div(F.col("t_ns"), every_ns)
@@ -37,6 +39,16 @@ def score(tape: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], by:
     return fn(tape, keys)
 
 
+def score_sequences(tape: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], keys: Sequence[str] = SEQUENCE_KEYS, **subseq) -> DataFrame:
+    """Score table of a catalogue's sequences: date, real_id, gen_id, kind, sub_id and the columns of `fn`, one call for all sequences.
+
+    A real sequence may have any number of generated ones; conditional sequences are scored like the others, and the distances leave them out.
+    `subseq` cuts sequences (see `subseqs`); without it a sequence is one whole, sub_id 0.
+    """
+    cut = subseqs(tape, by=keys, run=[k for k in keys if k not in ("gen_id", "kind")], **subseq) if subseq else tape.withColumn("sub_id", F.lit(0).cast("long"))
+    return fn(cut, [*keys, "sub_id"])
+
+
 def score_with_python(tape: DataFrame, fn: Callable[[pd.DataFrame], float], keys: Sequence[str]) -> DataFrame:
     """Apply a pandas function to each sub-sequence. Keys must bound the rows of a group (use a length)."""
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tape.select(*keys).schema)

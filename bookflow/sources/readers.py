@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bookflow.functions import EXEC_CANCEL, EXEC_TRADE, clock_ms, norm_security, number
 from bookflow.operators.filters import unpivot_mask
-from bookflow.operators.ordered import dense_index
+from bookflow.operators.ordered import chunk_of, dense_index
+from bookflow.operators.sequences import SEQUENCE_KEYS
 
 TICKS_PER_UNIT = 100
 POST_FIELDS = ("ChannelNo", "ApplSeqNum", "MDStreamID", "SecurityID", "SecurityIDSource", "Price", "OrderQty", "Side",
@@ -36,9 +37,18 @@ def _place(df: DataFrame) -> DataFrame:
                            "_at": F.monotonically_increasing_id()})
 
 
-def with_line_number(df: DataFrame, by: Sequence[str] = ("_file",), name: str = "row_seq") -> DataFrame:
-    """0-based line number per file, given before any row is dropped."""
-    return dense_index(df, by, ["_block", "_at"], F.col("_block"), name)
+def with_line_number(df: DataFrame, by: Sequence[str] = ("_file",), name: str = "row_seq", part: Column | None = None) -> DataFrame:
+    """0-based line number per file, given before any row is dropped; or over all files of `by`, in the order of `part` (else of their paths)."""
+    placed = df.withColumn("_part", F.lit(0) if part is None else part)
+    place = ["_part", "_file", "_block"]
+    return dense_index(placed, by, [*place, "_at"], F.struct(*place), name).drop("_part")
+
+
+def _numbered(df: DataFrame, seq: Column | None, part: Column | None) -> tuple[DataFrame, list[str]]:
+    """Lines numbered per file, or per sequence where `seq` names one, and the columns that tell them apart."""
+    by = ["_file"] if seq is None else ["seq"]
+    placed = _place(df)
+    return with_line_number(placed if seq is None else placed.withColumn("seq", seq), by, part=part), by
 
 
 def _whole(text: Column) -> Column:
@@ -123,14 +133,14 @@ def clean_time(text: Column) -> Column:
     return F.regexp_replace(digits, r"\.(?=.*\.)", "").try_cast("decimal(20,9)")
 
 
-def read_messages(spark: SparkSession, path, date: str | None = None, by: Sequence[str] = ("_file",)) -> DataFrame:
+def read_messages(spark: SparkSession, path, date: str | None = None, *, seq: Column | None = None, part: Column | None = None) -> DataFrame:
     """Messages of headerless CSV files. Rows with an unparsable number are dropped after line numbers are given.
 
-    The date is taken from the second part of the file name unless given.
+    The date is taken from the second part of the file name unless given. `row_seq` counts the lines of a file; or, with `seq` (a name made from
+    `_file`), those of all files of that name, in the order of `part`.
     """
-    raw = with_line_number(_place(_text_csv(spark, path, MESSAGE_FIELDS, False)), by)
-    name = F.element_at(F.split("_file", "/"), -1)
-    day = F.lit(date) if date else F.get(F.split(name, "_"), F.lit(1))
+    raw, by = _numbered(_text_csv(spark, path, MESSAGE_FIELDS, False), seq, part)
+    day = F.lit(date) if date else F.get(F.split(file_name(F.col("_file")), "_"), F.lit(1))
     seconds = clean_time(F.col("time"))
     day_ns = F.datediff(F.to_date(day), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000_000_000
     ints = ("event_type", "order_id", "size", "price", "direction")
@@ -140,40 +150,61 @@ def read_messages(spark: SparkSession, path, date: str | None = None, by: Sequen
     return rows
 
 
-def read_book(spark: SparkSession, path, levels: int = 10, by: Sequence[str] = ("_file",)) -> DataFrame:
-    """Books of headerless CSV files, four columns a level; sentinels of absent levels become NULL."""
+def read_book(spark: SparkSession, path, levels: int = 10, *, seq: Column | None = None, part: Column | None = None) -> DataFrame:
+    """Books of headerless CSV files, four columns a level; sentinels of absent levels become NULL. Numbered as `read_messages` does."""
     names = [f"{f}_{i}" for i in range(1, levels + 1) for f in ("ask_p", "ask_v", "bid_p", "bid_v")]
-    raw = with_line_number(_place(_text_csv(spark, path, names, False)), by)
+    raw, by = _numbered(_text_csv(spark, path, names, False), seq, part)
     price = lambda c: F.when(F.abs(_whole(F.col(c))) < 9_999_999_999, _whole(F.col(c)))
     book = F.array(*[F.struct(price(f"ask_p_{i}").alias("ask_p"), _whole(F.col(f"ask_v_{i}")).alias("ask_v"),
                               price(f"bid_p_{i}").alias("bid_p"), _whole(F.col(f"bid_v_{i}")).alias("bid_v")) for i in range(1, levels + 1)])
     return raw.select(*by, "row_seq", book.alias("levels"))
 
 
+def file_name(path: Column) -> Column:
+    """Last part of a path; a table written by Spark is a folder of part files, and counts under the name of the folder."""
+    return F.element_at(F.split(F.regexp_replace(path, r"/part-[^/]*$", ""), "/"), -1)
+
+
 def pair_key(path: Column) -> Column:
     """File name without the part that tells messages from books."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "message|orderbook", "")
+    return F.regexp_replace(file_name(path), "message|orderbook", "")
 
 
-def read_tape(spark: SparkSession, messages, books, levels: int = 10, strict: bool = True) -> DataFrame:
-    """Message and book files joined line by line, with a dense `row_seq` per `seq`.
+def _check_lengths(messages: DataFrame, books: DataFrame, book_required: bool) -> None:
+    """Fails on a sequence whose message and book files differ in lines; `books` may lack a whole sequence unless it is required."""
+    count = lambda df, n: df.groupBy("seq").agg(F.count(F.lit(1)).alias(n))
+    sizes = count(messages, "n_m").join(count(books, "n_b"), "seq", "full")
+    differ = ~F.col("n_m").eqNullSafe(F.col("n_b"))
+    odd = sizes.filter(differ if book_required else differ & F.col("n_b").isNotNull()).first()
+    if odd is not None:
+        raise ValueError(f"row counts differ for {odd['seq']}: {odd['n_m']} messages, {odd['n_b']} books")
+
+
+def read_tape(spark: SparkSession, messages, books, levels: int = 10, strict: bool = True, *, date: str | None = None,
+              seq: Column | None = None, part: Column | None = None) -> DataFrame:
+    """Message and book files joined line by line, with a dense `row_seq` per `seq` (by default the file name without message or orderbook).
 
     `strict` compares the line counts of each pair first and fails where they differ.
     """
-    msg = read_messages(spark, messages).withColumn("seq", pair_key(F.col("_file"))).drop("_file")
-    book = read_book(spark, books, levels).withColumn("seq", pair_key(F.col("_file"))).drop("_file")
+    key = pair_key(F.col("_file")) if seq is None else seq
+    msg = read_messages(spark, messages, date, seq=key, part=part)
+    book = read_book(spark, books, levels, seq=key, part=part)
     if strict:
-        count = lambda paths, names, n: _place(_text_csv(spark, paths, names, False)).groupBy(pair_key(F.col("_file")).alias("seq")).agg(F.count(F.lit(1)).alias(n))
-        sizes = count(messages, MESSAGE_FIELDS, "n_m").join(count(books, ["first"], "n_b"), "seq", "full")
-        odd = sizes.filter(~F.col("n_m").eqNullSafe(F.col("n_b"))).first()
-        if odd is not None:
-            raise ValueError(f"row counts differ for {odd['seq']}: {odd['n_m']} messages, {odd['n_b']} books")
+        lines = lambda paths: _place(_text_csv(spark, paths, ["first"], False)).select(key.alias("seq"))
+        _check_lengths(lines(messages), lines(books), True)
     joined = msg.join(book, ["seq", "row_seq"]).withColumnRenamed("row_seq", "_line")
-    from bookflow.operators.ordered import chunk_of
-
     return dense_index(joined, ["seq"], ["_line"], chunk_of("_line")).drop("_line")
 
 
+PAIR_FIELDS = SEQUENCE_KEYS[:3]
+
+
+def _pair_fields(name: Column) -> list[Column]:
+    """Date, real_id and gen_id (empty for real and conditional files) in a file name."""
+    return [F.get(F.split(name, "_"), F.lit(1)).alias("date"), F.regexp_extract(name, r"real_id_([^_.]+)", 1).alias("real_id"),
+            F.regexp_extract(name, r"gen_id_([^_.]+)", 1).alias("gen_id")]
+
+
 def read_catalogue(spark: SparkSession, real: str, generated: str, conditional: str | None = None) -> DataFrame:
     """Which files belong together: date, real_id, role, gen_id, message and book path.
 
@@ -184,11 +215,9 @@ def read_catalogue(spark: SparkSession, real: str, generated: str, conditional:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
         # A table written by Spark is a folder of part files under the name.
         named = files.select(F.regexp_replace("path", r"/part-[^/]*$", "").alias("path")).distinct()
-        name = F.element_at(F.split("path", "/"), -1)
-        parsed = named.filter(name.endswith(".csv")).select(
-            "path", F.get(F.split(name, "_"), F.lit(1)).alias("date"), F.regexp_extract(name, r"real_id_([^_.]+)", 1).alias("real_id"),
-            F.regexp_extract(name, r"gen_id_([^_.]+)", 1).alias("gen_id"),
-            F.when(name.contains("orderbook"), "book").when(name.contains("message"), "message").alias("what")).filter("what IS NOT NULL")
+        name = file_name(F.col("path"))
+        parsed = named.filter(name.endswith(".csv")).select("path", *_pair_fields(name), F.when(
+            name.contains("orderbook"), "book").when(name.contains("message"), "message").alias("what")).filter("what IS NOT NULL")
         if role != "generated":
             parsed = parsed.filter("gen_id = ''")
         pick = lambda what: F.max(F.when(F.col("what") == what, F.col("path")))
@@ -210,6 +239,38 @@ def read_catalogue(spark: SparkSession, real: str, generated: str, conditional:
     return out.drop("copies")
 
 
+def load_catalogue(spark: SparkSession, real: str, generated: str, conditional: str | None = None, levels: int = 10, strict: bool = True) -> DataFrame:
+    """All tapes of a catalogue in one table: date, real_id, gen_id, kind (real, generated, conditional), row_seq, messages and books.
+
+    Every role is one scan of its message files and one of its book files; rows find their sequence by the path they came from, so any number of
+    sequences costs the same. Files of a date and real_id without a real sequence are left out. A sequence without a book has NULL levels. `strict`
+    fails where a pair of files differs in lines. Errors and warnings of `read_catalogue` apply.
+    """
+    listing = read_catalogue(spark, real, generated, conditional)
+    roots = {"real": real, "generated": generated} | ({"conditional": conditional} if conditional else {})
+    out = None
+    for role, root in roots.items():
+        known = F.broadcast(listing.filter(F.col("role") == role).select(*PAIR_FIELDS))  # one row a file, as many as Spark's own list of them
+        key = F.to_json(F.struct(*_pair_fields(file_name(F.col("_file")))))
+        paths = [f"{root.rstrip('/')}/*{what}*" for what in ("message", "orderbook")]
+        msg = read_messages(spark, paths[0], seq=key)
+        if not listing.filter((F.col("role") == role) & F.col("book_path").isNotNull()).isEmpty():
+            book = read_book(spark, paths[1], levels, seq=key)
+            if strict:
+                lines = lambda path: _place(_text_csv(spark, path, ["first"], False)).select(key.alias("seq"))
+                _check_lengths(lines(paths[0]), lines(paths[1]), False)
+            joined = msg.join(book, ["seq", "row_seq"], "left")
+        else:
+            level = ", ".join(f"{c}: bigint" for c in ("ask_p", "ask_v", "bid_p", "bid_v"))
+            joined = msg.withColumn("levels", F.lit(None).cast(f"array<struct<{level}>>"))
+        fields = F.from_json("seq", ", ".join(f"{c} string" for c in PAIR_FIELDS))
+        rows = joined.withColumn("_k", fields).select(*[F.col(f"_k.{c}").alias(c) for c in PAIR_FIELDS], F.lit(role).alias("kind"), *[c for c in joined.columns if c != "seq"])
+        rows = rows.join(known, list(PAIR_FIELDS), "left_semi")
+        out = rows if out is None else out.unionByName(rows)
+    lined = out.withColumnRenamed("row_seq", "_line")
+    return dense_index(lined, SEQUENCE_KEYS, ["_line"], chunk_of("_line")).drop("_line")
+
+
 # Records and metrics ----------------------------------------------------------------------------------------
 
 RECORD_KEYS = {"price": "price_mid_diff", "qty": "order_qty", "interval": "interval_ms"}

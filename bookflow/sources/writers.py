@@ -10,7 +10,7 @@ from bookflow.functions import MISSING_LEVEL
 from bookflow.operators.filters import cut_to_level
 from bookflow.operators.flow import BY as FLOW_BY, flow_report
 from bookflow.operators.ordered import chunk_of
-from bookflow.sources.readers import RECORD_KEYS
+from bookflow.sources.readers import RECORD_KEYS, read_tape
 
 
 def flat_book(levels: int, book: str = "levels") -> list[Column]:
@@ -32,22 +32,39 @@ def write_lobster(tape: DataFrame, path: str, seq: Column, levels: int = 10, ove
     """
     mode = "overwrite" if overwrite else "errorifexists"
     rows = tape.withColumns({"seq": seq, "chunk": chunk_of("row_seq")}).repartition("seq", "chunk").sortWithinPartitions("seq", "chunk", "row_seq")
-    seconds = F.format_string("%d.%09d", F.floor(F.col("t_ns") % 86_400_000_000_000 / 1_000_000_000), F.col("t_ns") % 1_000_000_000)
-    message = rows.select("seq", "chunk", seconds.alias("time"), "event_type", "order_id", "size", "price", "direction")
+    message = rows.select("seq", "chunk", _seconds().alias("time"), "event_type", "order_id", "size", "price", "direction")
     message.write.mode(mode).partitionBy("seq", "chunk").csv(f"{path}/message")
     rows.select("seq", "chunk", *flat_book(levels)).write.mode(mode).partitionBy("seq", "chunk").csv(f"{path}/orderbook")
 
 
+def lobster_files() -> dict[str, Column]:
+    """The sequence of a file written by `write_lobster`, and its place in it, for the readers."""
+    return {"seq": F.regexp_extract("_file", r"seq=([^/]+)/", 1), "part": F.regexp_extract("_file", r"chunk=(\d+)/", 1).cast("long")}
+
+
 def read_lobster(spark, path: str, date: str, levels: int = 10) -> DataFrame:
     """Tape written by `write_lobster`: chunks in order, lines in order inside a chunk."""
-    from bookflow.operators.ordered import dense_index
-    from bookflow.sources.readers import read_book, read_messages
-
-    place = {"seq": F.regexp_extract("_file", r"seq=([^/]+)/", 1), "chunk": F.regexp_extract("_file", r"chunk=(\d+)/", 1).cast("long")}
-    msg = read_messages(spark, f"{path}/message", date).withColumns(place).drop("_file")
-    book = read_book(spark, f"{path}/orderbook", levels).withColumns(place).drop("_file")
-    joined = msg.join(book, ["seq", "chunk", "row_seq"]).withColumnRenamed("row_seq", "_line")
-    return dense_index(joined, ["seq"], ["chunk", "_line"], F.col("chunk")).drop("chunk", "_line")
+    return read_tape(spark, f"{path}/message", f"{path}/orderbook", levels, False, date=date, **lobster_files())
+
+
+def _seconds() -> Column:
+    """Time of day with nine digits after the point."""
+    return F.format_string("%d.%09d", F.floor(F.col("t_ns") % 86_400_000_000_000 / 1_000_000_000), F.col("t_ns") % 1_000_000_000)
+
+
+def write_catalogue(tape: DataFrame, path: str, levels: int = 10, mode: str = "errorifexists") -> None:
+    """Sequences keyed date, real_id, gen_id, kind as folders `real`, `generated`, `conditional` of message and book files for `load_catalogue`.
+
+    Ranges of (file, row) are written by one task each, so the parts of a long file lie in the order of their names.
+    """
+    name = lambda what: F.concat(F.lit("X_"), "date", F.lit(f"_{what}_real_id_"), "real_id", F.when(F.col("gen_id") != "", F.concat(F.lit("_gen_id_"), "gen_id")).otherwise(""), F.lit(".csv"))
+    message = (_seconds().alias("time"), "event_type", "order_id", "size", "price", "direction")
+    tasks = int(tape.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for kind in ("real", "generated", "conditional"):
+        rows = tape.filter(F.col("kind") == kind)
+        for what, cols in (("message", message), ("orderbook", flat_book(levels))):
+            files = rows.select(name(what).alias("file"), "row_seq", *cols).repartitionByRange(tasks, "file", "row_seq").sortWithinPartitions("file", "row_seq").drop("row_seq")
+            files.write.mode(mode).partitionBy("file").csv(f"{path}/{kind}/{what}")
 
 
 def write_cut(tape: DataFrame, level: int, path: str, seq: Column, source: str | None = None, overwrite: bool = False) -> None:

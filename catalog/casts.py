@@ -43,6 +43,9 @@ CASTS = {
     ("c1_window_features", "DOUBLE"): "mid_return",
     ("c2_train_windows", "DOUBLE"): "mid_return",
     ("s10_cut_to_level", "BIGINT"): "depth",
+    ("s8_load_catalogue", "BIGINT"): "event_type direction",
+    ("s9_write_lobster", "BIGINT"): "event_type direction",
+    ("s10_write_cut", "BIGINT"): "event_type direction",
     ("p10_events", "BIGINT"): "event_type",
     ("s1_read_posts", "BIGINT"): "side ord_type",
     ("s2_read_transactions", "BIGINT"): "exec_type",

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from bookflow.functions import div
-from bookflow.operators import bins, micro, ordered
+from bookflow.operators import bins, distances, micro, ordered, sequences
+from bookflow.operators.sequences import SEQUENCE_KEYS
 from bookflow.plans import compare
-from bookflow.session import checkpoint_dir
+from bookflow.session import checkpoint_dir, stage
 from bookflow.sources import readers, writers
 from bookflow.streaming import live
 from catalog import query
@@ -17,46 +19,55 @@ from catalog.adapters import BINNED_SQL, FIXED_EDGES, FLOW_KEYS, TAPE_KEYS, TOUC
 from catalog.q_flow import DIST_SQL, K, feeds_sql, flow_q
 from catalog.q_micro import MID, R, tape_sql
 from catalog.q_compare import cmp_sql, runs
+from catalog.q_scores import w_sql
 
 folder = lambda t, label: f"{checkpoint_dir(t.spark)}/bookflow/{label}-{uuid.uuid4().hex}"
 clock = lambda ms: F.format_string("%02d:%02d:%02d.%03d", div(ms, 3_600_000), div(ms, 60_000) % 60, div(ms, 1000) % 60, ms % 1000)
 price = lambda tick: F.format_string("%.2f", tick / 100.0)
 
 
-def posts_files(t):
-    """The posts of the first day as a feed file with a header, every field as text."""
+DAYS = (20250709, 20250710)
+
+
+def each_day(t, files, read):
+    """One feed per day, each read with its date."""
+    return reduce(DataFrame.unionByName, [read(t.spark, files(t, day), day) for day in DAYS])
+
+
+def posts_files(t, day):
+    """The posts of a day as a feed file with a header, every field as text."""
     path = folder(t, "feed-posts")
     code = F.split("security_id", "_")[0].cast("int")
-    t.posts.filter("trade_date = 20250709").select(
+    t.posts.filter(F.col("trade_date") == day).select(
         "channel_no", "appl_seq_num", F.lit("011").alias("md"), code.alias("sec"), F.lit("102").alias("src"), price(F.col("price_tick")).alias("price"),
         "order_qty", "side", clock(F.col("t_ms")).alias("time"), "ord_type", F.lit("x").alias("local"), F.lit("1").alias("seq"), F.lit("").alias("misc")).write.csv(path, header=True)
     return path
 
 
-def txn_files(t):
+def txn_files(t, day):
     path = folder(t, "feed-txns")
     code = F.split("security_id", "_")[0].cast("int")
-    t.txns.filter("trade_date = 20250709").select(
+    t.txns.filter(F.col("trade_date") == day).select(
         "channel_no", F.col("txn_seq"), F.lit("011").alias("md"), "bid_seq", "offer_seq", code.alias("sec"), F.lit("102").alias("src"), F.lit("10.00").alias("px"),
         "last_qty", "exec_type", clock(F.col("t_ms")).alias("time"), F.lit("x").alias("local"), F.lit("1").alias("seq"), F.lit("").alias("misc")).write.csv(path, header=True)
     return path
 
 
-def snap_files(t):
+def snap_files(t, day):
     path = folder(t, "feed-snaps")
     level = lambda i: [price(F.col("ask1") + i - 1).alias(f"AskPrice{i}"), F.lit(100 * i).alias(f"AskVolume{i}"), price(F.col("bid1") - i + 1).alias(f"BidPrice{i}"), F.lit(200 * i).alias(f"BidVolume{i}")]
     code = F.split("security_id", "_")[0].cast("int")
-    t.snaps.filter("trade_date = 20250709").select(clock(F.col("t_ms")).alias("UpdateTime"), code.alias("SecurityID"), *[c for i in range(1, 11) for c in level(i)]).write.csv(path, header=True)
+    t.snaps.filter(F.col("trade_date") == day).select(clock(F.col("t_ms")).alias("UpdateTime"), code.alias("SecurityID"), *[c for i in range(1, 11) for c in level(i)]).write.csv(path, header=True)
     return path
 
 
-query("s1_read_posts", feeds_sql(f"SELECT {K}, channel_no, appl_seq_num, price_tick, order_qty, side, ord_type, t_ms FROM posts WHERE trade_date = 20250709"))(
-    lambda t: readers.read_posts(t.spark, posts_files(t), 20250709))
-query("s2_read_transactions", feeds_sql(f"SELECT {K}, channel_no, bid_seq, offer_seq, last_qty, exec_type, t_ms, txn_seq FROM txns WHERE trade_date = 20250709"))(
-    lambda t: readers.read_transactions(t.spark, txn_files(t), 20250709))
+query("s1_read_posts", feeds_sql(f"SELECT {K}, channel_no, appl_seq_num, price_tick, order_qty, side, ord_type, t_ms FROM posts"))(
+    lambda t: each_day(t, posts_files, readers.read_posts))
+query("s2_read_transactions", feeds_sql(f"SELECT {K}, channel_no, bid_seq, offer_seq, last_qty, exec_type, t_ms, txn_seq FROM txns"))(
+    lambda t: each_day(t, txn_files, readers.read_transactions))
 query("s3_read_snapshots", feeds_sql(
-    f"SELECT {K}, t_ms, round((bid1 + ask1) / 200.0, 6) + 0.0 AS mid_price, round((ask1 + 9) / 100.0, 6) + 0.0 AS ask_p_10, 2000.0 AS bid_v_10 FROM snaps WHERE trade_date = 20250709"))(
-    lambda t: readers.read_snapshots(t.spark, snap_files(t), 20250709).select(
+    f"SELECT {K}, t_ms, round((bid1 + ask1) / 200.0, 6) + 0.0 AS mid_price, round((ask1 + 9) / 100.0, 6) + 0.0 AS ask_p_10, 2000.0 AS bid_v_10 FROM snaps"))(
+    lambda t: each_day(t, snap_files, readers.read_snapshots).select(
         *FLOW_KEYS, "t_ms", "mid_price", F.col("levels")[9]["ask_p"].alias("ask_p_10"), F.col("levels")[9]["bid_v"].alias("bid_v_10")))
 
 
@@ -83,26 +94,23 @@ def lobster_files(t):
     return t.once("lobster", write)
 
 
-def in_sequence(rows):
-    """Line numbers of chunk files as positions in their sequence."""
-    chunk = F.regexp_extract("_file", r"chunk=(\d+)/", 1).cast("long")
-    return rows.withColumns({"seq": F.regexp_extract("_file", r"seq=([^/]+)/", 1), "row_seq": F.col("row_seq") + chunk * ordered.CHUNK})
-
-
 TAPE_COLS = "event_type, order_id, size, price, direction"
-query("s5_read_messages", tape_sql(f"SELECT {SEQ}, row_seq, t_ns % 86400000000000 + 1752019200000000000 AS t_ns, {TAPE_COLS} FROM tape"))(
-    lambda t: in_sequence(readers.read_messages(t.spark, lobster_files(t) + "/message", "2025-07-09")).drop("_file"))
+LEVEL_COLS = ("ask_p", "ask_v", "bid_p", "bid_v")
+level_cols = lambda n: [F.col("levels")[i - 1][c].alias(f"{c}_{i}") for i in range(1, n + 1) for c in LEVEL_COLS]
+level_names = lambda n: ", ".join(f"{c}_{i}" for i in range(1, n + 1) for c in LEVEL_COLS)
+WALL = "t_ns % 86400000000000 + 1752019200000000000 AS t_ns"
+MESSAGE = ("t_ns", "event_type", "order_id", "size", "price", "direction")
+query("s5_read_messages", tape_sql(f"SELECT {SEQ}, row_seq, {WALL}, {TAPE_COLS} FROM tape"))(
+    lambda t: readers.read_messages(t.spark, lobster_files(t) + "/message", "2025-07-09", **writers.lobster_files()))
 query("s6_read_book", tape_sql(f"SELECT {SEQ}, row_seq, ask_p_1, ask_v_1, bid_p_10, bid_v_10 FROM tape"))(
-    lambda t: in_sequence(readers.read_book(t.spark, lobster_files(t) + "/orderbook")).select(
+    lambda t: readers.read_book(t.spark, lobster_files(t) + "/orderbook", **writers.lobster_files()).select(
         "seq", "row_seq", F.col("levels")[0]["ask_p"].alias("ask_p_1"), F.col("levels")[0]["ask_v"].alias("ask_v_1"),
         F.col("levels")[9]["bid_p"].alias("bid_p_10"), F.col("levels")[9]["bid_v"].alias("bid_v_10")))
 query("s7_read_tape", tape_sql(f"SELECT {SEQ}, row_seq, {TAPE_COLS}, ask_p_1, bid_p_1 FROM tape"))(
     lambda t: writers.read_lobster(t.spark, lobster_files(t), "2025-07-09").select(
         "seq", "row_seq", "event_type", "order_id", "size", "price", "direction", F.col("levels")[0]["ask_p"].alias("ask_p_1"), F.col("levels")[0]["bid_p"].alias("bid_p_1")))
-query("s9_write_lobster", tape_sql(
-    f"SELECT {SEQ}, count(*) AS n, CAST(sum(price) AS BIGINT) AS prices, CAST(sum(ask_v_10) AS BIGINT) AS volumes FROM tape GROUP BY ALL"))(
-    lambda t: writers.read_lobster(t.spark, lobster_files(t), "2025-07-09").groupBy("seq").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("price").alias("prices"), F.sum(F.col("levels")[9]["ask_v"]).alias("volumes")))
+query("s9_write_lobster", tape_sql(f"SELECT {SEQ}, row_seq, {WALL}, {TAPE_COLS}, {level_names(10)} FROM tape"))(
+    lambda t: writers.read_lobster(t.spark, lobster_files(t), "2025-07-09").select("seq", "row_seq", *MESSAGE, *level_cols(10)))
 
 
 def cut_files(t):
@@ -112,9 +120,8 @@ def cut_files(t):
 
 
 query("s10_write_cut", tape_sql(
-    f"SELECT {SEQ}, count(*) AS n, CAST(sum(price) AS BIGINT) AS prices, CAST(sum(ask_v_3) AS BIGINT) AS volumes FROM tape WHERE price BETWEEN bid_p_3 AND ask_p_3 GROUP BY ALL"))(
-    lambda t: writers.read_lobster(t.spark, cut_files(t), "2025-07-09", 3).groupBy("seq").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("price").alias("prices"), F.sum(F.col("levels")[2]["ask_v"]).alias("volumes")))
+    f"SELECT {SEQ}, row_number() OVER (PARTITION BY run_id, kind ORDER BY tape.row_seq) - 1 AS row_seq, {WALL}, {TAPE_COLS}, {level_names(3)} FROM tape WHERE price BETWEEN bid_p_3 AND ask_p_3"))(
+    lambda t: writers.read_lobster(t.spark, cut_files(t), "2025-07-09", 3).select("seq", "row_seq", *MESSAGE, *level_cols(3)))
 
 
 def record(t):
@@ -193,6 +200,45 @@ query("s8_read_catalogue", tape_sql(
     lambda t: catalogue(t).select("date", "real_id", "role", "gen_id"))
 
 
+def sequences_of(t):
+    """The tape as a catalogue: the real half of a run, two generated sequences for it, and its new orders as the conditional one."""
+    day = t.tape.filter("kind = 'real'").groupBy("run_id").agg(div(F.min("t_ns"), 86_400 * micro.NS).alias("_day"))
+    gen = F.when(F.col("kind") == "generated", F.pmod(div(F.col("event_id"), 2), F.lit(2)).cast("string")).otherwise("")
+    rows = t.tape.withColumn("gen_id", gen).unionByName(t.tape.filter("kind = 'real' AND event_type = 1").withColumns({"kind": F.lit("conditional"), "gen_id": F.lit("")}))
+    dated = rows.join(F.broadcast(day), "run_id").withColumns({  # one row a run
+        "date": F.date_format(F.date_add(F.lit("1970-01-01"), F.col("_day").cast("int")), "yyyy-MM-dd"), "real_id": F.col("run_id").cast("string")})
+    return ordered.dense_index(dated.withColumnRenamed("row_seq", "_old"), SEQUENCE_KEYS, ["_old"], ordered.chunk_of("_old"))
+
+
+def loaded(t):
+    """The catalogue of `sequences_of`, written and loaded."""
+    def build():
+        path = folder(t, "catalogue-files")
+        writers.write_catalogue(sequences_of(t), path)
+        return stage(readers.load_catalogue(t.spark, f"{path}/real", f"{path}/generated", f"{path}/conditional"), "catalogue")
+    return t.once("loaded-catalogue", build)
+
+
+SEQUENCES_SQL = """days AS (SELECT run_id, min(t_ns) // 86400000000000 AS d FROM tape WHERE kind = 'real' GROUP BY run_id),
+roles AS (SELECT *, CASE WHEN kind = 'generated' THEN CAST((event_id // 2) % 2 AS VARCHAR) ELSE '' END AS gen_id FROM tape
+  UNION ALL SELECT * REPLACE ('conditional' AS kind), '' FROM tape WHERE kind = 'real' AND event_type = 1),
+sequences AS (SELECT * EXCLUDE (row_seq) REPLACE (t_ns % 86400000000000 + d * 86400000000000 AS t_ns), strftime(make_timestamp(d * 86400000000), '%Y-%m-%d') AS date, CAST(run_id AS VARCHAR) AS real_id,
+  row_number() OVER (PARTITION BY run_id, gen_id, kind ORDER BY row_seq) - 1 AS row_seq FROM roles JOIN days USING (run_id))"""
+SK = ", ".join(SEQUENCE_KEYS)
+query("s8_load_catalogue", tape_sql(f"SELECT {SK}, row_seq, t_ns, {TAPE_COLS}, {level_names(10)} FROM sequences", SEQUENCES_SQL))(
+    lambda t: loaded(t).select(*SEQUENCE_KEYS, "row_seq", *MESSAGE, *level_cols(10)))
+
+# D1 over a catalogue: every kind scored, by parts of a fortieth of the real sequence.
+PART_SQL = ("parts AS (SELECT *, row_seq // (count(*) FILTER (kind = 'real') OVER (PARTITION BY date, real_id) // 40) AS sub_id FROM sequences),\n"
+            f"scored AS (SELECT {SK}, sub_id, avg(ask_p_1 - bid_p_1) AS score FROM parts GROUP BY ALL)")
+mean_spread = lambda rows, keys: rows.groupBy(*keys).agg(F.avg(micro.spread_of()).alias("score"))
+scored = lambda t: sequences.score_sequences(loaded(t), mean_spread, n=40)
+query("d1_score_conditional", tape_sql(f"SELECT {SK}, sub_id, {R('score')} AS score FROM scored", SEQUENCES_SQL, PART_SQL))(scored)
+query("d1_compare_sequences", tape_sql(
+    f"SELECT real_id, n_real, n_generated, {R('wasserstein')} AS wasserstein FROM w", SEQUENCES_SQL, PART_SQL, "two AS (SELECT * FROM scored WHERE kind <> 'conditional')", w_sql("two", "real_id", "w")))(
+    lambda t: distances.wasserstein(scored(t), ["real_id"]))
+
+
 def live_intervals(t):
     schema = t.raw("events").schema
     source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)

@@ -91,6 +91,41 @@ def test_plateau_stops_at_first_drop(spark):
     assert row["recommended_k"] == 12 and row["plateau_k"] is None and row["feasible_ks"] == "8,12"
 
 
+def sweep_directly(x, starts, steps):
+    """k-means from a start, step by step, and its measures."""
+    c = np.array(starts, float)
+    for _ in range(steps):
+        lab = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(len(c))])
+    gap = ((x[:, None] - c[None]) ** 2).sum(2)
+    lab = gap.argmin(1)
+    has = [j for j in range(len(c)) if (lab == j).any()]
+    m = np.array([x[lab == j].mean(0) for j in has])
+    n = np.array([(lab == j).sum() for j in has])
+    within = sum(((x[lab == j] - m[i]) ** 2).sum() for i, j in enumerate(has))
+    between = (n * ((m - x.mean(0)) ** 2).sum(1)).sum()
+    s = np.array([np.sqrt(((x[lab == j] - m[i]) ** 2).sum(1)).mean() for i, j in enumerate(has)])
+    db = np.mean([max((s[i] + s[j]) / np.linalg.norm(m[i] - m[j]) for j in range(len(has)) if j != i) for i in range(len(has))])
+    return {"inertia": gap.min(1).sum(), "calinski_harabasz": between * (len(x) - len(has)) / (within * (len(has) - 1)), "davies_bouldin": db,
+            "min_cluster_frac": n.min() / len(x) if len(has) == len(c) else 0.0, "n_nonempty_clusters": len(has), "intra_mean": np.sqrt(gap.min(1)).mean()}
+
+
+def test_sweep_from_a_start(spark):
+    """All k in one pass a step give what each k gives alone; one start has a centre without points."""
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(0, 1, (150, 2)), rng.normal(4, 1, (100, 2)), rng.normal(-6, 0.5, (60, 2))]
+    z = (x - x.mean(0)) / x.std(0)
+    starts = {2: z[[0, 200]], 3: z[[0, 200, 300]], 4: np.r_[z[[0, 1, 200]], [[50.0, 50.0]]]}
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "start long, a double, b double").repartition(5)
+    out = {r["k"]: r for r in cluster.kmeans_sweep(df, [2, 3, 4], cols=["a", "b"], starts={k: v.tolist() for k, v in starts.items()}, steps=7).collect()}
+    for k, start in starts.items():
+        want = sweep_directly(z, start, 7)
+        assert {c: out[k][c] for c in want} == {c: pytest.approx(v, rel=1e-9) for c, v in want.items()}
+        assert 0 < out[k]["silhouette"] < 1
+    own = cluster.kmeans_sweep(df, [2, 3, 400], cols=["a", "b"]).collect()
+    assert [r["k"] for r in own] == [2, 3] and own[1]["inertia"] < 1.05 * sweep_directly(z, starts[3], 50)["inertia"]
+
+
 def test_silhouette_matches_definition(spark):
     rng = np.random.default_rng(2)
     x = np.r_[rng.normal(0, 1, (40, 3)), rng.normal(3, 1, (30, 3)), rng.normal(9, 1, (1, 3))]
@@ -105,7 +140,7 @@ def test_silhouette_matches_definition(spark):
         a, b = d[i, own].mean(), min(d[i, lab == c].mean() for c in set(lab) - {lab[i]})
         s.append((b - a) / max(a, b))
     df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(lab[i])) for i in range(len(x))], "start long, z array<double>, label int")
-    assert cluster.silhouette(df, 3).first()["silhouette"] == pytest.approx(np.mean(s), rel=1e-6)
+    assert cluster.silhouette_squared(df, 3).first()["silhouette"] == pytest.approx(np.mean(s), rel=1e-6)
 
 
 @pytest.mark.parametrize("block, pivots", [(2048, 64), (7, 5)])
@@ -200,6 +235,55 @@ def test_catalogue_rejects_double_conditionals(spark, tmp_path):
     assert readers.read_catalogue(spark, str(tmp_path / "real"), str(tmp_path / "gen")).count() == 2
 
 
+def lines(path, rows):
+    path.parent.mkdir(exist_ok=True)
+    path.write_text("\n".join(rows) + "\n")
+
+
+def test_catalogue_is_loaded(spark, tmp_path):
+    message = lambda t, n: [f"{t + i}.5,1,{i + 1},100,101000,1" for i in range(n)]
+    book = lambda n: [f"101100,{i},101000,{i}" for i in range(n)]
+    name = lambda day, what, real, gen=None: f"X_{day}_a_{what}_10_real_id_{real}" + (f"_gen_id_{gen}" if gen is not None else "") + ".csv"
+    for day, real in (("2025-07-10", 1), ("2025-07-11", 1), ("2025-07-11", 2)):
+        lines(tmp_path / "real" / name(day, "message", real), message(34200, 3))
+        lines(tmp_path / "real" / name(day, "orderbook", real), book(3))
+    for real, gen in ((1, 0), (1, 1)):
+        lines(tmp_path / "gen" / name("2025-07-10", "message", real, gen), message(35000 + gen, 2) + ["x,1,1,1,1,1"] + message(36000, 1))
+        lines(tmp_path / "gen" / name("2025-07-10", "orderbook", real, gen), book(4))
+    lines(tmp_path / "gen" / name("2025-07-12", "message", 7, 0), message(1, 9))
+    lines(tmp_path / "gen" / name("2025-07-12", "orderbook", 7, 0), book(9))
+    lines(tmp_path / "cond" / name("2025-07-11", "message", 2), message(34000, 5))
+    roots = [str(tmp_path / f) for f in ("real", "gen", "cond")]
+    with pytest.warns(UserWarning, match="2 real sequences"):
+        out = readers.load_catalogue(spark, *roots, levels=1)
+    rows = out.orderBy("date", "real_id", "gen_id", "kind", "row_seq").collect()
+    seen = {}
+    for r in rows:
+        seen.setdefault((r["date"], r["real_id"], r["gen_id"], r["kind"]), []).append((r["row_seq"], r["levels"] and r["levels"][0]["ask_v"]))
+    three = [(0, 0), (1, 1), (2, 2)]
+    assert seen == {("2025-07-10", "1", "", "real"): three, ("2025-07-11", "1", "", "real"): three, ("2025-07-11", "2", "", "real"): three,
+                    ("2025-07-10", "1", "0", "generated"): [(0, 0), (1, 1), (2, 3)], ("2025-07-10", "1", "1", "generated"): [(0, 0), (1, 1), (2, 3)],
+                    ("2025-07-11", "2", "", "conditional"): [(i, None) for i in range(5)]}
+    lines(tmp_path / "real" / name("2025-07-11", "orderbook", 2), book(2))
+    with pytest.warns(UserWarning), pytest.raises(ValueError, match="row counts differ"):
+        readers.load_catalogue(spark, *roots, levels=1)
+    with pytest.warns(UserWarning):
+        assert readers.load_catalogue(spark, *roots, levels=1, strict=False).count() == 20
+
+
+def test_catalogue_keeps_line_order_over_parts(spark, tmp_path):
+    """A sequence of many part files comes back in its order."""
+    rows = spark.range(5000).select(F.lit("2025-07-10").alias("date"), F.lit("4").alias("real_id"), F.lit("").alias("gen_id"), F.lit("real").alias("kind"), F.col("id").alias("row_seq"),
+                                    (F.col("id") * 1000).alias("t_ns"), F.lit(1).alias("event_type"), F.col("id").alias("order_id"), F.lit(5).alias("size"), F.lit(7).alias("price"), F.lit(1).alias("direction"),
+                                    F.array(F.struct(F.col("id").alias("ask_p"), F.lit(1).alias("ask_v"), F.lit(1).alias("bid_p"), F.lit(1).alias("bid_v"))).alias("levels")).repartition(9)
+    writers.write_catalogue(rows, str(tmp_path / "c"), levels=1)
+    assert len(list((tmp_path / "c" / "real").rglob("part-*.csv"))) > 4
+    with pytest.warns(UserWarning):
+        out = readers.load_catalogue(spark, str(tmp_path / "c" / "real"), str(tmp_path / "c" / "real"), levels=1)
+    real = out.filter("kind = 'real'")
+    assert real.count() == 5000 and real.filter("row_seq <> order_id OR levels[0].ask_p <> order_id").count() == 0
+
+
 def test_incomplete_bin_record_fails(spark, tmp_path):
     (tmp_path / "bins.json").write_text(json.dumps({"price_mid_diff": {"bins": [0, 1]}}))
     with pytest.raises(ValueError, match="bin record lacks"):
