@@ -6,16 +6,24 @@ grouping is needed. All distances reduce to the histogram of distinct values fir
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookflow.functions import div, edge_group, is_finite, literal_edges
-from bookflow.operators.ordered import asof_backward, cumulative, quantiles, running, value_chunk
+from bookflow.operators.ordered import asof_backward, cumulative, quantiles, running, value_chunks
 
 REAL, GENERATED = "real", "generated"
 
 
+def compared(scores: DataFrame) -> DataFrame:
+    """Rows of the two kinds that are compared; sequences of any other kind (conditional) are scored only."""
+    return scores.filter(F.col("kind").isin(REAL, GENERATED)) if "kind" in scores.columns else scores
+
+
 def _count_kind(kind: str, weight: str | None) -> Column:
     one = F.col(weight) if weight else F.lit(1)
     return F.sum(F.when(F.col("kind") == kind, one).otherwise(F.lit(0))).cast("long")
@@ -37,7 +45,7 @@ def wasserstein(scores: DataFrame, by: Sequence[str], *, score: str = "score", d
     zero; with ddof 0 a zero spread gives 0.
     """
     hist = (
-        scores.filter(is_finite(F.col(score)))
+        compared(scores).filter(is_finite(F.col(score)))
         .groupBy(*by, F.col(score).cast("double").alias("_v"))
         .agg(_count_kind(REAL, weight).alias("_r"), _count_kind(GENERATED, weight).alias("_g"))
     )
@@ -62,10 +70,10 @@ def wasserstein(scores: DataFrame, by: Sequence[str], *, score: str = "score", d
 def l1_by_group(scores: DataFrame, by: Sequence[str], *, group: str = "grp", weight: str | None = None) -> DataFrame:
     """Half the summed absolute difference of group shares; 1 when a kind is missing."""
     counts = (
-        scores.groupBy(*by, F.col(group).alias("_grp"))
+        compared(scores).groupBy(*by, F.col(group).alias("_grp"))
         .agg(_count_kind(REAL, weight).alias("_r"), _count_kind(GENERATED, weight).alias("_g"))
     )
-    chunk = value_chunk(F.coalesce(F.col("_grp").cast("double"), F.lit(0.0)))
+    chunk = F.pmod(F.xxhash64("_grp"), F.lit(256))  # totals need no order
     shared = running(counts, by, ["_grp"], chunk, totals={"_tr": F.col("_r"), "_tg": F.col("_g")})
     half = F.sum(F.abs(F.try_divide(F.col("_r"), F.col("_tr")) - F.try_divide(F.col("_g"), F.col("_tg")))) / 2
     return shared.groupBy(*by).agg(half.alias("_h"), F.max("_tr").alias("_nr"), F.max("_tg").alias("_ng")).select(
@@ -77,6 +85,7 @@ def l1_by_group(scores: DataFrame, by: Sequence[str], *, group: str = "grp", wei
 def bin_stats(scores: DataFrame, by: Sequence[str], score: str = "score", moments: bool = False,
               weight: str | None = None) -> DataFrame:
     """n, lo, hi, q25, q75 (and std, skew where a rule needs them) of the pooled scores."""
+    scores = compared(scores)
     stats = quantiles(scores, by, score, {"lo": 0.0, "q25": 0.25, "q75": 0.75, "hi": 1.0}, weight)
     if moments and weight:
         raise ValueError("rules on moments need unweighted scores")
@@ -86,6 +95,46 @@ def bin_stats(scores: DataFrame, by: Sequence[str], score: str = "score", moment
     return stats
 
 
+STONE_LEAST = 100
+
+
+def stone_bins(hist: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Number of equal bins with the least leave-one-out cost of each key, out of 1 to max(100, sqrt(n)), from (by, _v, _n); ties go to fewer bins.
+
+    The cost of b bins needs the sum of squared bin counts. The values of a chunk are counted for every b at once; bins that lie inside the chunk are
+    squared there, and only its first and last bin, which may reach into other chunks, are added up across chunks.
+    """
+    stats = hist.groupBy(*by).agg(F.sum("_n").alias("_t"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    keyed = value_chunks(hist, by, "_v").join(stats, list(by)).filter("_hi > _lo")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hist.select(*by).schema.fields)
+
+    def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_v")
+        v, n = part["_v"].to_numpy(), part["_n"].to_numpy()
+        lo, hi = float(part["_lo"].iloc[0]), float(part["_hi"].iloc[0])
+        most = max(STONE_LEAST, math.isqrt(int(part["_t"].iloc[0])))
+        total = np.append(0, np.cumsum(n))
+        rows = []
+        for b in range(1, most + 1):
+            edges = np.linspace(lo, hi, b + 1)
+            at = np.minimum(((v - lo) / (hi - lo) * b).astype(np.int64), b - 1)
+            at -= v < edges[at]
+            at += (v >= edges[at + 1]) & (at != b - 1)
+            lead = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            sums = np.diff(total[np.append(lead, len(v))])
+            ends = {int(at[0]): int(sums[0]), int(at[-1]): int(sums[-1])}
+            rows.append((b, -1, sum(int(c) ** 2 for c in sums[1:-1]) if len(sums) > 2 else 0))
+            rows += [(b, k, c) for k, c in ends.items()]
+        return pd.DataFrame([(*key[:-1], *r) for r in rows], columns=[*by, "b", "bin", "x"])
+
+    parts = keyed.groupBy(*by, "_vc").applyInPandas(count, f"{keys}, b long, bin long, x double")
+    edges = parts.groupBy(*by, "b", "bin").agg(F.sum("x").alias("x"))
+    squares = edges.groupBy(*by, "b").agg(F.sum(F.when(F.col("bin") < 0, F.col("x")).otherwise(F.col("x") * F.col("x"))).alias("_q"))
+    n = F.col("_t").cast("double")
+    cost = (2 - (n + 1) * (F.col("_q") / (n * n))) / ((F.col("_hi") - F.col("_lo")) / F.col("b"))
+    return squares.join(stats, list(by)).groupBy(*by).agg(F.min_by("b", F.struct(cost, "b")).alias("stone"))
+
+
 def rule_width(rule: str) -> Column:
     """Bin width of a histogram rule from `bin_stats` columns; 0 means a single bin."""
     n, span = F.col("n").cast("double"), F.col("hi") - F.col("lo")
@@ -106,6 +155,8 @@ def rule_width(rule: str) -> Column:
         sg1 = F.sqrt(6.0 * (n - 2.0) / ((n + 1.0) * (n + 3.0)))
         wide = span / (1.0 + F.log2(n) + F.log2(1.0 + F.abs(F.col("skew")) / sg1))
         return F.when((n > 2) & (F.col("std") > 0), wide).otherwise(F.lit(0.0))
+    if rule == "stone":
+        return F.coalesce(span / F.col("stone"), F.lit(0.0))
     if rule == "auto":
         return F.least(F.greatest(fd, root / 2.0), sturges)
     raise ValueError(f"unknown bin rule {rule!r}")
@@ -135,24 +186,28 @@ def group_scores(scores: DataFrame, by: Sequence[str], method: str, *, rule: str
     """Add a group id: the number of thresholds that are <= the score.
 
     method: 'discrete' (every distinct value is a threshold), 'rule' (histogram rule), 'bins'
-    (inner edges of equal bins), 'quantiles', 'thresholds'.
+    (inner edges of equal bins), 'quantiles', 'thresholds'. Thresholds come from the compared kinds.
     """
     x = F.col(score)
     if method == "thresholds":
         return scores.withColumn(name, edge_group(x, literal_edges(thresholds)))
     if method == "discrete":
         values = scores.select(*by, x.cast("double").alias("_v")).groupBy(*by, "_v").count()
-        ranked = running(values, by, ["_v"], value_chunk(F.col("_v")), sums={name: F.lit(1)})
+        ranked = running(value_chunks(values, by, "_v"), by, ["_v"], F.col("_vc"), sums={name: F.lit(1)})
         keyed = scores.withColumn("_v", x.cast("double"))
         return keyed.join(ranked.select(*by, "_v", F.col(name).cast("long").alias(name)), [*by, "_v"]).drop("_v")
     if method == "rule":
         stats = bin_stats(scores, by, score, moments=rule in ("scott", "doane"), weight=weight)
+        if rule == "stone":
+            count = F.sum(weight) if weight else F.count(F.lit(1))
+            hist = compared(scores).filter(x.isNotNull()).groupBy(*by, x.cast("double").alias("_v")).agg(count.alias("_n"))
+            stats = stats.join(stone_bins(hist, by), list(by), "left")
         edges = stats.select(*by, *_bin_range(rule_width(rule)))
         grouped = scores.join(edges, list(by))
         return grouped.withColumn(name, equal_width_group(x, F.col("_lo"), F.col("_hi"), F.col("_bins"))).drop(
             "_lo", "_hi", "_bins")
     if method == "bins":
-        stats = scores.groupBy(*by).agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
+        stats = compared(scores).groupBy(*by).agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
         grouped = scores.join(stats, list(by))
         spread = F.when(F.col("_hi") > F.col("_lo"),
                         equal_width_group(x, F.col("_lo"), F.col("_hi"), F.lit(bins)) - 1).otherwise(F.lit(bins - 1))
@@ -170,7 +225,7 @@ def quantile_edges(scores: DataFrame, by: Sequence[str], probs: Sequence[float],
     named = {f"_q{i}": p for i, p in enumerate(probs)}
     raw = F.array(*[F.col(c) for c in named])
     kept = F.filter(raw, lambda e, i: (i < 2) | ~((e == raw[i - 1]) & (raw[i - 1] == raw[i - 2])))
-    table = quantiles(scores, by, score, named, weight).withColumn("_kept", kept)
+    table = quantiles(compared(scores), by, score, named, weight).withColumn("_kept", kept)
     raised = F.transform(F.col("_kept"), lambda e, i: F.when(
         (i > 0) & (e == F.col("_kept")[F.greatest(i - 1, F.lit(0))]), e + 0.01).otherwise(e))
     return table.select(*by, raised.alias("edges"))
@@ -188,7 +243,7 @@ def compare(scores: DataFrame, by: Sequence[str], *, discrete: bool | Column = F
     the FD rule.
     """
     table = (
-        scores.filter(is_finite(F.col(score)))
+        compared(scores).filter(is_finite(F.col(score)))
         .groupBy(*by, F.col(score).cast("double").alias("_v"))
         .agg(_count_kind(REAL, weight).alias("_r"), _count_kind(GENERATED, weight).alias("_g"))
     )
@@ -224,7 +279,7 @@ def compare(scores: DataFrame, by: Sequence[str], *, discrete: bool | Column = F
 def compare_given(scores: DataFrame, by: Sequence[str], method: str, *, score: str = "score", given: str = "given",
                   **options) -> DataFrame:
     """Wasserstein inside each group of the condition, weighted by group size; NULL if any group has none."""
-    clean = scores.filter(is_finite(F.col(score)) & is_finite(F.col(given)))
+    clean = compared(scores).filter(is_finite(F.col(score)) & is_finite(F.col(given)))
     grouped = clean.withColumn("grp", F.col(given)) if method == "discrete" else group_scores(
         clean, by, method, score=given, **options)
     return weighted_wasserstein(wasserstein(grouped, [*by, "grp"], score=score), by)
@@ -310,7 +365,7 @@ def kl_ecdf(scores: DataFrame, by: Sequence[str], score: str = "score") -> DataF
     hist = scores.groupBy(*by, F.col(score).cast("double").alias("_v")).agg(
         _count_kind(REAL, None).alias("_r"), _count_kind(GENERATED, None).alias("_g"))
     real_v, gen_v = (F.when(F.col(c) > 0, F.col("_v")) for c in ("_r", "_g"))
-    seen = running(hist, by, ["_v"], value_chunk(F.col("_v")),
+    seen = running(value_chunks(hist, by, "_v"), by, ["_v"], F.col("_vc"),
                    sums={"_cum": F.col("_r")}, befores={"_p_lo": real_v, "_q_lo": gen_v}, froms={"_q_hi": gen_v},
                    totals={"_n": F.col("_r"), "_m": F.col("_g")})
     ends = hist.groupBy(*by).agg((F.min("_v") - 1).alias("_x0"), (F.max("_v") + 1).alias("_x1"))
@@ -326,6 +381,26 @@ def kl_ecdf(scores: DataFrame, by: Sequence[str], score: str = "score") -> DataF
         (F.sum(F.col("_uses") * F.col("_term")) / F.sum("_uses") - 1).alias("kl_ecdf"))
 
 
+def kl_knn_1d(scores: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
+    """n and KL(real || generated) from one-dimensional nearest neighbours, without pairs.
+
+    On the sorted union of both samples the nearest other real value and the nearest generated value stand at the closest earlier or later row that
+    has one; equal values are at distance 0. As in `kl_knn`, real points with a zero distance have no term. Non-finite scores do not count. NULL
+    where there are fewer than two real points, no generated one, or no term.
+    """
+    hist = compared(scores).filter(is_finite(F.col(score))).groupBy(*by, F.col(score).cast("double").alias("_v")).agg(
+        _count_kind(REAL, None).alias("_r"), _count_kind(GENERATED, None).alias("_g"))
+    real_v, gen_v = (F.when(F.col(c) > 0, F.col("_v")) for c in ("_r", "_g"))
+    near = running(value_chunks(hist, by, "_v"), by, ["_v"], F.col("_vc"), befores={"_x0": real_v, "_y0": gen_v}, afters={"_x1": real_v, "_y1": gen_v})
+    gap = lambda lo, hi: F.least(F.col("_v") - F.col(lo), F.col(hi) - F.col("_v"))
+    r = F.when(F.col("_r") > 1, F.lit(0.0)).otherwise(gap("_x0", "_x1"))
+    s = F.when(F.col("_g") > 0, F.lit(0.0)).otherwise(gap("_y0", "_y1"))
+    term = F.when((F.col("_r") > 0) & (r > 0) & (s > 0), F.col("_r") * F.log(r / s))
+    rows = near.groupBy(*by).agg(F.sum("_r").alias("n"), F.sum("_g").alias("_m"), F.sum(term).alias("_t"))
+    n, m = F.col("n"), F.col("_m")
+    return rows.select(*by, "n", F.when((n > 1) & (m > 0), -F.col("_t") / n + F.log(m / F.when(n > 1, n - 1))).alias("kl_knn"))
+
+
 def kl_kde(scores: DataFrame, by: Sequence[str], points: int, *, bandwidth: float = 0.2, score: str = "score",
            grid_chunk: int = 512) -> DataFrame:
     """KL of Gaussian kernel densities over an even grid on [min - 1, max + 1].
@@ -389,7 +464,7 @@ def bootstrap(scores: DataFrame, by: Sequence[str], loss: Loss, *, replicates: i
     if standardise:
         std = scores.groupBy(*by).agg(F.stddev_samp("score").alias("_std"))
         hist = hist.join(std, list(by)).withColumn("score", F.col("score") / F.col("_std")).drop("_std")
-    placed = running(hist, keys, cols, value_chunk(F.col("score")), sums={"_end": F.col("_n")}).withColumn(
+    placed = running(value_chunks(hist, keys, "score"), keys, cols, F.col("_vc"), sums={"_end": F.col("_n")}).drop("_vc").withColumn(
         "_i", (F.col("_end") - F.col("_n")).cast("long"))
     sizes = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     block = 1 << 16

@@ -77,20 +77,21 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
             sums: Mapping[str, Column] | None = None, mins: Mapping[str, Column] | None = None,
             lasts: Mapping[str, Column] | None = None, nexts: Mapping[str, Column] | None = None,
             prevs: Mapping[str, Column] | None = None, totals: Mapping[str, Column] | None = None,
-            befores: Mapping[str, Column] | None = None, froms: Mapping[str, Column] | None = None) -> DataFrame:
+            befores: Mapping[str, Column] | None = None, froms: Mapping[str, Column] | None = None,
+            afters: Mapping[str, Column] | None = None) -> DataFrame:
     """Running aggregates over all earlier rows of a key and the row itself.
 
     sums / mins: running sum / minimum. lasts: last non-null value so far. prevs / nexts: value on
     the previous / next row. befores: last non-null value on earlier rows only. froms: first
-    non-null value on this or a later row. totals: sum over the whole key. `chunk` must be
-    non-decreasing in `order` and split a key into bounded parts.
+    non-null value on this or a later row; afters: on later rows only. totals: sum over the whole
+    key. `chunk` must be non-decreasing in `order` and split a key into bounded parts.
     """
-    sums, mins, lasts, nexts, prevs, totals, befores, froms = (
-        dict(x or {}) for x in (sums, mins, lasts, nexts, prevs, totals, befores, froms))
+    sums, mins, lasts, nexts, prevs, totals, befores, froms, afters = (
+        dict(x or {}) for x in (sums, mins, lasts, nexts, prevs, totals, befores, froms, afters))
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     inputs: dict[str, Column] = {}
     for kind, spec in (("s", sums), ("m", mins), ("l", lasts), ("n", nexts), ("p", prevs), ("t", totals),
-                       ("b", befores), ("f", froms)):
+                       ("b", befores), ("f", froms), ("a", afters)):
         inputs.update({f"_{kind}_{name}": col for name, col in spec.items()})
     keyed = df.withColumns({"_chunk": chunk, **inputs})
 
@@ -101,6 +102,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
         + [F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), key)).alias(f"_cl_{n}") for n in lasts]
         + [F.max_by(f"_b_{n}", F.when(F.col(f"_b_{n}").isNotNull(), key)).alias(f"_cb_{n}") for n in befores]
         + [F.min_by(f"_f_{n}", F.when(F.col(f"_f_{n}").isNotNull(), key)).alias(f"_cf_{n}") for n in froms]
+        + [F.min_by(f"_a_{n}", F.when(F.col(f"_a_{n}").isNotNull(), key)).alias(f"_ca_{n}") for n in afters]
         + [F.max_by(f"_p_{n}", key).alias(f"_cp_{n}") for n in prevs]
         + [F.min_by(f"_n_{n}", key).alias(f"_cn_{n}") for n in nexts]
     )
@@ -115,6 +117,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
         *[F.last(f"_cl_{n}", ignorenulls=True).over(earlier).alias(f"_cl_{n}") for n in lasts],
         *[F.last(f"_cb_{n}", ignorenulls=True).over(earlier).alias(f"_cb_{n}") for n in befores],
         *[F.first(f"_cf_{n}", ignorenulls=True).over(later).alias(f"_cf_{n}") for n in froms],
+        *[F.first(f"_ca_{n}", ignorenulls=True).over(later).alias(f"_ca_{n}") for n in afters],
         *[F.lag(f"_cp_{n}").over(across).alias(f"_cp_{n}") for n in prevs],
         *[F.lead(f"_cn_{n}").over(across).alias(f"_cn_{n}") for n in nexts],
     )
@@ -129,6 +132,8 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
               for n in befores}
     local |= {f"_f_{n}": F.first(f"_f_{n}", ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing))
               for n in froms}
+    local |= {f"_a_{n}": F.first(f"_a_{n}", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing))
+              for n in afters}
     local |= {f"_p_{n}": F.lag(f"_p_{n}").over(inside) for n in prevs}
     local |= {f"_n_{n}": F.lead(f"_n_{n}").over(inside) for n in nexts}
     # Every chunk has its totals; an outer join adds no null filter, so both sides can share one exchange.
@@ -140,6 +145,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
     out |= {n: F.coalesce(f"_l_{n}", f"_cl_{n}") for n in lasts}
     out |= {n: F.coalesce(f"_b_{n}", f"_cb_{n}") for n in befores}
     out |= {n: F.coalesce(f"_f_{n}", f"_cf_{n}") for n in froms}
+    out |= {n: F.coalesce(f"_a_{n}", f"_ca_{n}") for n in afters}
     out |= {n: F.when(F.col("_rank") == 1, F.col(f"_cp_{n}")).otherwise(F.col(f"_p_{n}")) for n in prevs}
     out |= {n: F.when(F.col(f"_left_{n}").isNull(), F.col(f"_cn_{n}")).otherwise(F.col(f"_n_{n}")) for n in nexts}
     keep = [c for c in df.columns if c not in out]
@@ -173,10 +179,23 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
         "_row.*", *[F.when(fresh, F.col(f"_found.{c}")).alias(c) for c in take])
 
 
-def value_chunk(value: Column) -> Column:
-    """Order-preserving bucket of a double: values within about 0.1 % of each other share one."""
-    scaled = F.floor(F.log(F.abs(value)) * 1024) + 800 * 1024
-    return F.when(value == 0, F.lit(0)).otherwise((F.signum(value) * scaled).cast("long")).cast("long")
+CUTS, STRIDE = 512, 32
+
+
+def value_chunks(rows: DataFrame, by: Sequence[str], value: str, name: str = "_vc") -> DataFrame:
+    """Add a chunk number that never falls as `value` rises, so that chunks of a key hold about equally many rows.
+
+    Keys of at most CHUNK rows are one chunk. The borders of a larger key are quantiles of its own rows, from a sketch that is merged map-side in one
+    pass, so they follow the data however narrow or wide its values lie; the sketch only places the borders, results do not depend on it.
+    """
+    probs = [i / CUTS for i in range(1, CUTS)]
+    borders = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(value, probs, 8 * CUTS).alias("_cuts")).filter(
+        F.col("_rows") > CHUNK).select(*by, "_cuts", F.transform(F.sequence(F.lit(STRIDE), F.lit(CUTS - 1), F.lit(STRIDE)), lambda i: F.element_at("_cuts", i)).alias("_coarse"))
+    v = F.col(value)
+    block = F.size(F.filter("_coarse", lambda c: c < v)) * STRIDE
+    inside = F.size(F.filter(F.slice("_cuts", block + 1, F.lit(STRIDE)), lambda c: c < v))
+    # null borders (a small key) give size -1 or null: one chunk
+    return rows.join(borders, list(by), "left").withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block + inside)).drop("_cuts", "_coarse")
 
 
 def cumulative(hist: DataFrame, by: Sequence[str], value: str, counts: Sequence[str],
@@ -186,11 +205,11 @@ def cumulative(hist: DataFrame, by: Sequence[str], value: str, counts: Sequence[
     `hist` has one row per (by, value). Adds cum_<c>, tot_<c>, `next_value` and any further `totals`.
     """
     return running(
-        hist, by, [value], value_chunk(F.col(value)),
+        value_chunks(hist, by, value), by, [value], F.col("_vc"),
         sums={f"cum_{c}": F.col(c) for c in counts},
         totals={f"tot_{c}": F.col(c) for c in counts} | dict(totals or {}),
         nexts={"next_value": F.col(value)},
-    )
+    ).drop("_vc")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],

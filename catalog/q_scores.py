@@ -78,6 +78,18 @@ RULES = {"fd": None, "sturges": "(hi - lo) / (log2(n) + 1)", "sqrt": "(hi - lo)
 for rule, width in RULES.items():
     query(f"d3_group_{rule}", tape_sql(GROUPED, IMB, rule_sql("imb", "run_id", "g", *([width] if width else []))))(
         lambda t, rule=rule: one(dist.group_scores(imb(t), RUN, "rule", rule=rule)))
+_moments = "stddev_pop(score) AS sd, (avg(pow(score, 3)) - 3 * avg(score) * avg(score * score) + 2 * pow(avg(score), 3)) / pow(stddev_pop(score), 3) AS skew, "
+for rule, width in (("scott", "pow(24 * sqrt(pi()) / n, 1.0 / 3) * sd"),
+                    ("doane", "CASE WHEN n > 2 AND sd > 0 THEN (hi - lo) / (1 + log2(n) + log2(1 + abs(skew) / sqrt(6 * (n - 2) / ((n + 1) * (n + 3))))) ELSE 0 END")):
+    query(f"d3_group_{rule}", tape_sql(GROUPED, IMB, rule_sql("imb", "run_id", "g", width).replace("min(score) AS lo", _moments + "min(score) AS lo", 1)))(
+        lambda t, rule=rule: one(dist.group_scores(imb(t), RUN, "rule", rule=rule)))
+STONE_SQL = """sh AS (SELECT run_id, score AS v, count(*) AS c FROM imb GROUP BY ALL), st AS (SELECT run_id, CAST(sum(c) AS DOUBLE) AS n, min(v) AS lo, max(v) AS hi FROM sh GROUP BY run_id),
+sb AS (SELECT run_id, v, c, n, lo, hi, unnest(range(1, greatest(100, CAST(floor(sqrt(n)) AS BIGINT)) + 1)) AS b FROM sh JOIN st USING (run_id)),
+sg AS (SELECT *, CASE WHEN v < lo + g * ((hi - lo) / b) THEN g - 1 WHEN g <> b - 1 AND v >= lo + (g + 1) * ((hi - lo) / b) THEN g + 1 ELSE g END AS k FROM (SELECT *, least(CAST(floor((v - lo) / (hi - lo) * b) AS BIGINT), b - 1) AS g FROM sb)),
+sc AS (SELECT run_id, b, (2 - (n + 1) * (sum(q) / (n * n))) / ((hi - lo) / b) AS cost FROM (SELECT run_id, b, k, n, lo, hi, pow(sum(c), 2) AS q FROM sg GROUP BY ALL) GROUP BY run_id, b, n, lo, hi),
+stone AS (SELECT run_id, arg_min(b, (cost, b)) AS stone FROM sc GROUP BY run_id)"""
+query("d3_group_stone", tape_sql(GROUPED, IMB, STONE_SQL, rule_sql("imb", "run_id", "g", "(hi - lo) / stone").replace("FROM g_q)", "FROM g_q JOIN stone USING (run_id))")))(
+    lambda t: one(dist.group_scores(imb(t), RUN, "rule", rule="stone")))
 query("d3_group_bins", tape_sql(
     f"SELECT {K}, row_seq, len(list_filter(list_transform(range(1, 8), lambda i: lo + i * ((hi - lo) / 8)), lambda e: e <= score)) AS grp "
     "FROM imb JOIN (SELECT run_id, min(score) AS lo, max(score) AS hi FROM imb GROUP BY run_id) USING (run_id)", IMB))(
@@ -275,6 +287,12 @@ query("d12_kl_ecdf", tape_sql(
       CASE WHEN plo IS NULL THEN 0.5 / n / (v - x0) ELSE 1.0 / n / (v - plo) END AS sp,
       CASE WHEN qlo IS NULL OR qhi IS NULL THEN 0.5 / m ELSE 1.0 / m END / (coalesce(qhi, x1) - coalesce(qlo, x0)) AS sq FROM hh WHERE r > 0)"""))(
     lambda t: dist.kl_ecdf(imb(t), RUN))
+query("d13_kl_knn_1d", tape_sql(
+    f"SELECT run_id, CAST(sum(r) AS BIGINT) AS n, {R('-sum(CASE WHEN r = 1 AND g = 0 AND least(v - x0, x1 - v) > 0 THEN ln(least(v - x0, x1 - v) / least(v - y0, y1 - v)) END) / sum(r) + ln(sum(g) / (sum(r) - 1))')} AS kl_knn FROM near GROUP BY run_id", IMB,
+    """h AS (SELECT run_id, score AS v, count(*) FILTER (kind = 'real') AS r, count(*) FILTER (kind = 'generated') AS g FROM imb GROUP BY ALL),
+    near AS (SELECT *, max(CASE WHEN r > 0 THEN v END) OVER b AS x0, max(CASE WHEN g > 0 THEN v END) OVER b AS y0, min(CASE WHEN r > 0 THEN v END) OVER a AS x1, min(CASE WHEN g > 0 THEN v END) OVER a AS y1
+      FROM h WINDOW b AS (PARTITION BY run_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY run_id ORDER BY v ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""))(
+    lambda t: dist.kl_knn_1d(imb(t), RUN))
 query("d14_kl_kde", tape_sql(
     f"SELECT run_id, {R('sum(p * ln(p / q)) / sum(p) - ln(sum(p) / sum(q))')} AS kl_kde FROM dens GROUP BY run_id", IMB,
     """h AS (SELECT run_id, score AS v, count(*) FILTER (kind = 'real') AS r, count(*) FILTER (kind = 'generated') AS g FROM imb GROUP BY ALL),

@@ -98,3 +98,50 @@ def test_kl_ecdf_matches_slopes(spark):
 
     want = np.mean([np.log(slope(p, x) / slope(q, x)) for x in p[:-1]]) - 1
     assert dist.kl_ecdf(scores(spark, p, q), ["run"]).first()["kl_ecdf"] == pytest.approx(want, rel=1e-9)
+
+
+def test_stone_rule_matches_numpy(spark, small_chunks):
+    rng = np.random.default_rng(11)
+    samples = {"a": rng.normal(size=400), "b": np.r_[rng.normal(size=150), rng.normal(9, 0.2, 150)], "c": rng.integers(0, 6, 300).astype(float), "d": np.full(5, 2.0), "e": rng.exponential(size=12_000).round(3)}
+    df = spark.createDataFrame([(k, "real", float(v)) for k, x in samples.items() for v in x], "k string, kind string, score double")
+    got = dist.group_scores(df, ["k"], "rule", rule="stone").groupBy("k", "score", "grp").count().collect()
+    for k, x in samples.items():
+        edges = np.histogram_bin_edges(x, bins="stone")
+        assert {(r["score"], r["grp"]) for r in got if r["k"] == k} == {(float(v), int(np.searchsorted(edges, v, side="right"))) for v in x}
+
+
+def nearest_1d(x, y):
+    r = np.array([np.abs(np.delete(x, i) - v).min() for i, v in enumerate(x)])
+    s = np.array([np.abs(y - v).min() for v in x])
+    ok = (r > 0) & (s > 0)
+    return -np.log(r[ok] / s[ok]).sum() / len(x) + np.log(len(y) / (len(x) - 1))
+
+
+def test_nearest_neighbour_kl_in_one_dimension(spark, small_chunks):
+    rng = np.random.default_rng(12)
+    pairs = {"a": (rng.normal(size=300), rng.normal(1, 2, 250)), "b": (rng.integers(0, 50, 200) / 7, rng.integers(0, 50, 90) / 7), "c": (np.array([1.0, 5.0]), np.array([2.0]))}
+    rows = [(k, kind, float(v)) for k, p in pairs.items() for kind, x in zip(("real", "generated"), p) for v in x]
+    rows += [("a", "real", None), ("a", "generated", float("nan")), ("a", "conditional", 0.1), ("lonely", "real", 1.0), ("lonely", "generated", 2.0), ("empty", "real", 1.0), ("empty", "real", 2.0)]
+    out = {r["k"]: (r["n"], r["kl_knn"]) for r in dist.kl_knn_1d(spark.createDataFrame(rows, "k string, kind string, score double"), ["k"]).collect()}
+    for k, (x, y) in pairs.items():
+        assert out[k] == (len(x), pytest.approx(nearest_1d(x, y), rel=1e-9))
+    assert out["lonely"] == (1, None) and out["empty"] == (2, None)
+
+
+def test_nearest_neighbour_kl_of_a_million(spark):
+    """Two even grids: real points lie 2 apart and 0.5 from a generated one, whatever their number."""
+    n = 500_000
+    df = spark.range(2 * n).select(F.lit("k").alias("k"), F.when(F.col("id") % 2 == 0, "real").otherwise("generated").alias("kind"), (F.col("id") - F.col("id") % 2 * 0.5).alias("score"))
+    row = dist.kl_knn_1d(df, ["k"]).first()
+    assert row["n"] == n and row["kl_knn"] == pytest.approx(-np.log(2 / 0.5) + np.log(n / (n - 1)), rel=1e-6)
+
+
+def test_conditional_sequences_are_scored_only(spark):
+    rows = [("r", kind, float(v)) for kind, xs in (("real", [1, 2, 3]), ("generated", [2, 3, 9]), ("conditional", [100, 200])) for v in xs]
+    df = spark.createDataFrame(rows, "run_id string, kind string, score double")
+    two = df.filter("kind <> 'conditional'")
+    for fn in (lambda d: dist.wasserstein(d, ["run_id"]), lambda d: dist.compare(d, ["run_id"]), lambda d: dist.l1_by_group(d.withColumn("grp", F.col("score")), ["run_id"]),
+               lambda d: dist.quantile_edges(d, ["run_id"], [0.5, 0.9])):
+        assert fn(df).collect() == fn(two).collect()
+    grouped = dist.group_scores(df, ["run_id"], "bins", bins=4)
+    assert grouped.filter("kind = 'conditional' AND grp = 3").count() == 2

@@ -19,11 +19,12 @@ def test_running_matches_pandas(spark, chunk):
     df, pdf = frame(spark, 300, chunk)
     out = ordered.running(
         df, ["k"], ["o"], F.expr(f"o div {chunk}"), sums={"s": F.col("x")}, mins={"m": F.col("x")}, lasts={"l": F.col("y")}, prevs={"p": F.col("x")},
-        nexts={"n": F.col("x")}, totals={"t": F.col("x")}, befores={"b": F.col("y")}, froms={"f": F.col("y")}).toPandas().sort_values(["k", "o"]).reset_index(drop=True)
+        nexts={"n": F.col("x")}, totals={"t": F.col("x")}, befores={"b": F.col("y")}, froms={"f": F.col("y")}, afters={"a": F.col("y")}).toPandas().sort_values(["k", "o"]).reset_index(drop=True)
     pdf = pdf.sort_values(["k", "o"]).reset_index(drop=True)
     g = pdf.groupby("k")
     want = pd.DataFrame({"s": g.x.cumsum(), "m": g.x.cummin(), "l": g.y.ffill(), "p": g.x.shift(1), "n": g.x.shift(-1), "t": g.x.transform("sum"),
-                         "b": g.y.apply(lambda v: v.ffill().shift(1)).reset_index(level=0, drop=True), "f": g.y.bfill()})
+                         "b": g.y.apply(lambda v: v.ffill().shift(1)).reset_index(level=0, drop=True), "f": g.y.bfill(),
+                         "a": g.y.apply(lambda v: v.bfill().shift(-1)).reset_index(level=0, drop=True)})
     for c in want:
         np.testing.assert_array_equal(out[c].astype(float).to_numpy(), want[c].astype(float).to_numpy(), err_msg=c)
 
@@ -58,11 +59,29 @@ def test_quantiles_match_numpy(spark):
         assert row["n"] == len(values)
 
 
-def test_value_chunk_keeps_order(spark):
-    values = sorted([0.0, -1e-300, 1e-300, 1e300, -1e300, 1.0, 1.0001, -1.0, -0.5, 3.0, 1e-5, 2e-5])
-    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("c", ordered.value_chunk(F.col("v")))
-    chunks = [r["c"] for r in df.orderBy("v").collect()]
-    assert chunks == sorted(chunks)
+def spread_of_chunks(df, value="v"):
+    """Numbers of rows by chunk, and whether chunks follow the values."""
+    rows = ordered.value_chunks(df, ["k"], value).groupBy("k", "_vc").agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy("k", "_vc").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(rows, rows[1:]) if a["k"] == b["k"])
+    return [r["n"] for r in rows]
+
+
+def test_value_chunks_follow_the_values(spark, small_chunks):
+    values = sorted([0.0, -1e-300, 1e-300, 1e300, -1e300, 1.0, 1.0001, -1.0, -0.5, 3.0, 1e-5, 2e-5] + [1000 + i / 1e6 for i in range(2000)])
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", 2.0)], "k string, v double")
+    sizes = spread_of_chunks(df)
+    assert sum(sizes) == len(values) + 2 and len(sizes) > 300 and max(sizes) <= 37
+
+
+@pytest.mark.parametrize("value", ["1000 + id / 1000000", "1752105600000000000 + id * 86400000000"])
+def test_narrow_values_spread(spark, value):
+    """A million distinct values, however close, fill many chunks evenly; quantiles stay exact."""
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), F.expr(value).cast("double").alias("v"))
+    sizes = spread_of_chunks(df)
+    assert len(sizes) >= 16 and max(sizes) < 4 * sum(sizes) / len(sizes)
+    row = ordered.quantiles(df, ["k"], "v", {"q": 0.5, "p": 0.999}).first()
+    lo, hi = df.agg(F.min("v"), F.max("v")).first()
+    assert row["n"] == 1_000_000 and abs(row["q"] - (lo + hi) / 2) <= 1e-12 * hi and row["p"] == pytest.approx(lo + (hi - lo) * 0.999, rel=1e-12)
 
 
 def test_hot_key_spreads_over_tasks(spark):
