@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from bisect import bisect_right
+from collections.abc import Generator, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bookflow.functions import div, edge_bin, literal_edges
 from bookflow.operators.flow import BY, SIDES_5
-from bookflow.operators.ordered import asof_backward, chunk_of, running, value_chunk
+from bookflow.operators.ordered import asof_backward, chunk_of, running, value_chunks
 from bookflow.session import stage
 
 FIELDS = {"price": "price_diff", "qty": "order_qty", "interval": "interval_ms"}
@@ -18,50 +19,107 @@ FIELDS = {"price": "price_diff", "qty": "order_qty", "interval": "interval_ms"}
 # Fitting ----------------------------------------------------------------------------------------------------
 
 def fit_bins(df: DataFrame, field: str, bins: int) -> list[float]:
-    """Edges of about equally filled bins; values heavier than an average bin get a bin of their own.
+    """Edges of about equally filled bins; values heavier than an average bin get a bin of their own."""
+    return fit_edges(df.select(F.lit(field).alias("field"), F.col(field).cast("double").alias("value")), {field: bins})[field]
 
-    Everything is decided on the histogram of distinct values: the heavy values are at most `bins`
-    rows, and the walk over the rest asks at most `bins` times which value stands at a position.
-    The values stand in a staged cumulative table, so every question reads a few rows of it.
+
+def fit_edges(values: DataFrame, bins: Mapping[str, int]) -> dict[str, list[float]]:
+    """Edges of each field of (field, value) rows, NULLs left out; all fields together.
+
+    Everything is decided on the histogram of distinct values. Fewer than `bins` values can be heavier than an average bin, and the walk over the
+    rest asks fewer than three times a bin which value stands at a position. Positions are found in a directory of cumulative counts: one row a
+    chunk on the driver (at most CUTS a field), and under it the staged table, of which one chunk a field is read. Fields walk in step, so a round
+    is one job, or none where the chunks are at hand.
     """
-    values = df.filter(F.col(field).isNotNull()).select(F.col(field).cast("double").alias("_v"))
-    hist = stage(values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), f"hist-{field}")
-    total, lowest = hist.agg(F.sum("_n"), F.min("_v")).first()
-    if total is None:
-        raise ValueError(f"no values in {field}")
-    heavy_rows = hist.filter(F.col("_n") > F.lit(total / bins)).orderBy(F.desc("_n"), "_v").limit(bins).collect()
-    heavy = [r["_v"] for r in heavy_rows]
-    if len(heavy) >= bins:
-        heavy = heavy[:bins - 1]
-    light = hist.filter(~F.col("_v").isin(*heavy)) if heavy else hist
-    edges = [lowest - 1 if lowest in heavy else lowest, *heavy]
-    edges += _walk(*_lookup(light), bins - len(heavy))
-    if len(edges) != bins + 1:
-        raise ValueError(f"{field}: {len(edges)} edges instead of {bins + 1}")
-    return sorted(float(e) for e in edges)
-
-
-def _lookup(light: DataFrame) -> tuple[int, Callable[[int], tuple[float, int]]]:
-    """Size of the sorted values, and position -> (value there, first position after that value)."""
-    keyed = light.withColumn("_one", F.lit(1))
-    cum = stage(running(keyed, ["_one"], ["_v"], value_chunk(F.col("_v")), sums={"_end": F.col("_n")}), "cumulative")
-
-    def ask(position: int) -> tuple[float, int]:
-        row = cum.filter(F.col("_end") > position).agg(F.min(F.struct("_end", "_v")).alias("r")).first()["r"]
-        return float(row["_v"]), int(row["_end"])
-
-    return int(cum.agg(F.max("_end")).first()[0] or 0), ask
-
-
-def _walk(size: int, find: Callable[[int], tuple[float, int]], budget: int) -> list[float]:
+    hist = stage(values.filter(F.col("value").isNotNull()).groupBy("field", F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "histograms")
+    totals = {r["field"]: r for r in hist.groupBy("field").agg(F.sum("_n").alias("n"), F.min("_v").alias("low")).collect()}
+    for field in bins:
+        if field not in totals:
+            raise ValueError(f"no values in {field}")
+    share = F.lit(None).cast("double")
+    for field, n in bins.items():
+        share = F.when(F.col("field") == field, totals[field]["n"] / n).otherwise(share)
+    heavy: dict[str, list[float]] = {f: [] for f in bins}
+    for r in hist.filter(F.col("_n") > share).orderBy(F.desc("_n"), "_v").collect():
+        heavy[r["field"]].append(r["_v"])
+    heavy = {f: h[:bins[f] - 1] if len(h) >= bins[f] else h for f, h in heavy.items()}
+    alone = F.lit(False)
+    for field, found in heavy.items():
+        if found:
+            alone |= (F.col("field") == field) & F.col("_v").isin(*found)
+    places = Directory(hist.filter(~alone))
+    walks = {f: _walk(places.size(f), bins[f] - len(heavy[f])) for f in bins}
+    walked: dict[str, list[float]] = {}
+    asked: dict[str, int] = {}
+
+    def advance(field: str, answer) -> None:
+        try:
+            asked[field] = walks[field].send(answer)
+        except StopIteration as end:
+            asked.pop(field, None)
+            walked[field] = end.value
+
+    for field in bins:
+        advance(field, None)
+    while asked:
+        for field, answer in places.find(dict(asked)).items():
+            advance(field, answer)
+    out = {}
+    for field, n in bins.items():
+        low = totals[field]["low"]
+        edges = [low - 1 if low in heavy[field] else low, *heavy[field], *walked[field]]
+        if len(edges) != n + 1:
+            raise ValueError(f"{field}: {len(edges)} edges instead of {n + 1}")
+        out[field] = sorted(float(e) for e in edges)
+    return out
+
+
+class Directory:
+    """Positions in the sorted values of fields, from their histogram (field, _v, _n)."""
+
+    def __init__(self, hist: DataFrame):
+        chunked = value_chunks(hist, ["field"], "_v")
+        self.table = stage(running(chunked, ["field"], ["_v"], F.col("_vc"), sums={"_end": F.col("_n")}), "positions")
+        tops = self.table.groupBy("field", "_vc").agg(F.max("_end").alias("end")).orderBy("field", "end").collect()
+        self.tops: dict[str, list[tuple[int, int]]] = {}
+        for r in tops:
+            self.tops.setdefault(r["field"], []).append((int(r["end"]), r["_vc"]))
+        self.held: dict[str, tuple[int, list[int], list[float]]] = {}
+
+    def size(self, field: str) -> int:
+        return self.tops[field][-1][0] if field in self.tops else 0
+
+    def find(self, positions: Mapping[str, int]) -> dict[str, tuple[float, int]]:
+        """The value at a position of each field, and the first position after that value. One chunk a field is held."""
+        want = {f: self.tops[f][bisect_right([end for end, _ in self.tops[f]], p)][1] for f, p in positions.items()}
+        missing = {f: c for f, c in want.items() if self.held.get(f, (None,))[0] != c}
+        if missing:
+            here = F.lit(False)
+            for field, chunk in missing.items():
+                here |= (F.col("field") == field) & (F.col("_vc") == chunk)
+                self.held[field] = (chunk, [], [])
+            for r in self.table.filter(here).select("field", "_end", "_v").orderBy("_end").collect():
+                self.held[r["field"]][1].append(int(r["_end"]))
+                self.held[r["field"]][2].append(float(r["_v"]))
+        out = {}
+        for field, p in positions.items():
+            _, ends, values = self.held[field]
+            at = bisect_right(ends, p)
+            out[field] = (values[at], ends[at])
+        return out
+
+
+def _walk(size: int, budget: int) -> Generator[int, tuple[float, int], list[float]]:
+    """Edges of the values that have no bin of their own; yields positions and is sent what stands there."""
     at, edges = 0, []
+    here = (yield 0) if size and budget > 0 else None
     while budget > 0 and at < size:
-        start, start_end = find(at)
         target = at + ((size - at) // (budget - 1) if budget > 1 else size - at)
-        if target < size and find(target)[0] == start:
-            target = start_end
+        if target < here[1]:  # still the value that this bin begins with
+            target = here[1]
         at = min(target, size - 1)
-        edges.append(find(at)[0])
+        here = yield at
+        edges.append(here[0])
         budget -= 1
     return edges
 
@@ -71,7 +129,8 @@ def fit_bins_pooled(days: Sequence[DataFrame], bins: Mapping[str, int], sides: S
     from bookflow.operators.flow import pool
 
     rows = pool(*days).filter(F.col("side").isin(*sides))
-    return {name: fit_bins(rows, FIELDS[name], n) for name, n in bins.items()}
+    stacked = F.array(*[F.struct(F.lit(name).alias("field"), F.col(FIELDS[name]).cast("double").alias("value")) for name in bins])
+    return fit_edges(rows.select(F.inline(stacked)), bins)
 
 
 def edges_table(spark: SparkSession, edges: Mapping[str, Sequence[float]]) -> DataFrame:
@@ -180,7 +239,7 @@ def _draws(rows: DataFrame, distribution: DataFrame, edges: Mapping[str, Sequenc
            by: Sequence[str]) -> DataFrame:
     """A position in the bin's sorted values is hashed from (seed, row, field) and looked up in the cumulative table."""
     totals = {(r["field"], r["bin"]): r["n"] for r in distribution.groupBy("field", "bin").agg(F.sum("count").alias("n")).collect()}
-    cum = running(distribution, ["field", "bin"], ["value"], value_chunk(F.col("value")), sums={"_end": F.col("count")}).select(
+    cum = running(value_chunks(distribution, ["field", "bin"], "value"), ["field", "bin"], ["value"], F.col("_vc"), sums={"_end": F.col("count")}).select(
         "field", F.col("bin").cast("int").alias("bin"), (F.col("_end") - F.col("count")).cast("long").alias("_at"), "value")
     asks = []
     for f in FIELDS:

@@ -5,10 +5,10 @@ Feature rows have key columns, `start`, and one column per feature; clusters are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from bookflow.operators.ordered import quantiles
@@ -100,7 +100,7 @@ def db_index(points: DataFrame, dims: int, cents: DataFrame | None = None, sums:
     return rows.select((F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v) / F.size("_all")).alias("davies_bouldin"))
 
 
-def silhouette(points: DataFrame, dims: int) -> DataFrame:
+def silhouette_squared(points: DataFrame, dims: int) -> DataFrame:
     """Mean silhouette over all points, with squared Euclidean distances; NULL for fewer than two clusters. Also n.
 
     The mean squared distance of a point to a cluster follows from the cluster's n, mean and mean squared norm, so one row of k
@@ -119,32 +119,135 @@ def silhouette(points: DataFrame, dims: int) -> DataFrame:
     return sized.agg(F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def kmeans_labels(points: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame, float]:
-    """Labelled points, centres (k rows) and inertia of one k-means fit."""
-    vectors = points.withColumn("_vec", array_to_vector("z"))
-    model = KMeans(k=k, seed=seed, featuresCol="_vec", predictionCol="label").fit(vectors)
-    spark = points.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "label int, centre array<double>")
-    return model.transform(vectors).drop("_vec"), centres, float(model.summary.trainingCost)
+def spread_starts(points: DataFrame, cols: Sequence[str], most: int, seed: int, key: Sequence[str], rows: int = 20_000) -> np.ndarray:
+    """`most` starting centres by k-means++ on `rows` points, those of smallest hash; its first k are a start for k clusters."""
+    some = points.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(rows).select(*cols).toPandas().to_numpy(float)
+    rng = np.random.RandomState(seed)
+    picked = [some[rng.randint(len(some))]]
+    gap = ((some - picked[0]) ** 2).sum(1)
+    while len(picked) < most:
+        total = gap.sum()
+        picked.append(some[rng.choice(len(some), p=gap / total)] if total > 0 else some[rng.randint(len(some))])
+        gap = np.minimum(gap, ((some - picked[-1]) ** 2).sum(1))
+    return np.array(picked)
+
+
+def _scan(points: DataFrame, cols: Sequence[str], centres: Mapping[int, np.ndarray], measure: Callable[[np.ndarray, np.ndarray, int, np.ndarray], dict[str, np.ndarray]],
+          names: Sequence[str]) -> dict[int, dict[str, np.ndarray]]:
+    """One pass over the points for all k: per cluster its size and sums of what `measure(x, squared distances, k, labels)` gives for each point.
+
+    Tasks add up their points, Spark adds up the tasks; one row per cluster of each k reaches the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros((len(c), 1 + len(names))) for k, c in centres.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([batch.column(c).to_numpy() for c in cols])
+            norm = (x * x).sum(1)[:, None]
+            for k, c in centres.items():
+                gap = np.maximum(norm - 2 * x @ c.T + (c * c).sum(1), 0)
+                label = gap.argmin(1)
+                total[k][:, 0] += np.bincount(label, minlength=len(c))
+                for i, v in enumerate(measure(x, gap, k, label)):
+                    total[k][:, i + 1] += np.bincount(label, v, minlength=len(c))
+        for k, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), k)), pa.array(np.arange(len(t))), *map(pa.array, t.T)], ["k", "label", "n", *names])
+
+    parts = points.select(*cols).mapInArrow(run, ", ".join(["k long", "label long", "n double", *[f"{c} double" for c in names]]))
+    out = {k: {c: np.zeros(len(v)) for c in ("n", *names)} for k, v in centres.items()}
+    for r in parts.groupBy("k", "label").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).collect():
+        for c in ("n", *names):
+            out[r["k"]][c][r["label"]] = r[c]
+    return out
+
+
+def lloyd(points: DataFrame, cols: Sequence[str], starts: Mapping[int, np.ndarray], steps: int, tol: float = 1e-4) -> dict[int, np.ndarray]:
+    """Centres for every k after at most `steps` steps of k-means, all k in one pass a step; a centre without points stays."""
+    centres, active = {k: np.array(c, float) for k, c in starts.items()}, set(starts)
+    names = [f"s{i}" for i in range(len(cols))]
+    for _ in range(steps):
+        sums = _scan(points, cols, {k: centres[k] for k in active}, lambda x, gap, k, label: x.T, names)
+        for k, s in sums.items():
+            filled = s["n"] > 0
+            new = centres[k].copy()
+            new[filled] = np.column_stack([s[c] for c in names])[filled] / s["n"][filled][:, None]
+            if ((new - centres[k]) ** 2).sum(1).max() <= tol * tol:
+                active.discard(k)
+            centres[k] = new
+        if not active:
+            break
+    return centres
 
 
 def kmeans_sweep(features: DataFrame, ks: Sequence[int], seed: int = 42, cols: Sequence[str] = FEATURES,
-                 key: Sequence[str] = ("start",)) -> DataFrame:
-    """One row of quality measures per k on standardised features."""
-    points = stage(standardise(features, cols), "scaled-features")
+                 key: Sequence[str] = ("start",), *, starts: Mapping[int, Sequence[Sequence[float]]] | None = None, steps: int = 20) -> DataFrame:
+    """One row of quality measures per k on standardised features.
+
+    All k advance together, one pass over the points a step, and two passes give every measure: the first the clusters' means and the distances to
+    the centres, the second the distances to the means and the silhouette (squared distances, see `silhouette_squared`). `starts` gives the starting
+    centres, in standardised units; else they are drawn by k-means++ from a bounded sample.
+    """
+    z = standardise(features, cols)
+    names = [f"z{i}" for i in range(len(cols))]
+    points = stage(z.select(*key, *[F.col("z")[i].alias(c) for i, c in enumerate(names)]), "scaled-features")
     n = points.count()
-    out = []
-    for k in [k for k in ks if 2 <= k <= n - 1]:
-        labelled, centres, inertia = kmeans_labels(points, k, seed)
-        labelled = stage(labelled.select(*key, "z", "label"), f"labels-{k}")
-        row = {"k": k, "inertia": inertia, "n_samples": n}
-        cents = stage(centroids(labelled, len(cols)), f"means-{k}")
-        sums = stage(cluster_sums(labelled, cents), f"sums-{k}")
-        for part in (silhouette(labelled, len(cols)).drop("n"), ch_index(labelled, len(cols), cents, sums).drop("n", "k"),
-                     db_index(labelled, len(cols), cents, sums), cluster_balance(labelled, k), centroid_metrics(labelled, len(cols), centres)):
-            row |= part.first().asDict()
-        out.append(row)
-    return sweep_table(points.sparkSession, out)
+    ks = [k for k in ks if 2 <= k <= n - 1]
+    if not ks:
+        return sweep_table(points.sparkSession, [])
+    if starts is None:
+        spread = spread_starts(points, names, max(ks), seed, key)
+        starts = {k: spread[:k] for k in ks}
+    centres = lloyd(points, names, {k: np.array(starts[k], float) for k in ks}, steps)
+    sums = [f"s{i}" for i in range(len(names))]
+    first = _scan(points, names, centres, lambda x, gap, k, label: [*x.T, (x * x).sum(1), gap.min(1), np.sqrt(gap.min(1))], [*sums, "norm", "cost", "far"])
+    means, sizes, norms = {}, {}, {}
+    for k, f in first.items():
+        size = np.maximum(f["n"], 1)
+        means[k], sizes[k], norms[k] = np.column_stack([f[c] for c in sums]) / size[:, None], f["n"], f["norm"] / size
+
+    def about_means(x: np.ndarray, gap: np.ndarray, k: int, label: np.ndarray) -> list[np.ndarray]:
+        m, size, at = means[k], sizes[k], np.arange(len(x))
+        near = np.maximum((x * x).sum(1)[:, None] - 2 * x @ m.T + norms[k], 0)  # mean squared distance to each cluster
+        near[:, size == 0] = np.inf
+        own = near[at, label].copy()
+        near[at, label] = np.inf
+        other = near.min(1)
+        mine = size[label]
+        a = own * mine / np.maximum(mine - 1, 1)
+        most = np.maximum(a, other)
+        score = np.where((mine > 1) & (most > 0) & np.isfinite(other), (np.where(np.isfinite(other), other, 0) - a) / np.where(most > 0, most, 1), 0.0)
+        square = ((x - m[label]) ** 2).sum(1)
+        return [np.sqrt(square), square, score]
+
+    second = _scan(points, names, centres, about_means, ["sum_d", "sum_d2", "score"])
+    rows = [{"k": k, "n_samples": n, **_measures(first[k], second[k], means[k], centres[k])} for k in ks]
+    return sweep_table(points.sparkSession, rows)
+
+
+def _measures(first: Mapping[str, np.ndarray], second: Mapping[str, np.ndarray], means: np.ndarray, centres: np.ndarray) -> dict[str, float | None]:
+    """The measures of one k from the sums of its clusters."""
+    has = first["n"] > 0
+    size, m, total = first["n"][has], means[has], first["n"].sum()
+    apart = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    spread, within = second["sum_d"][has] / size, second["sum_d2"][has].sum()
+    middle = (size[:, None] * m).sum(0) / total
+    between = (size * ((m - middle) ** 2).sum(1)).sum()
+    k = len(size)
+    both = spread[:, None] + spread[None]
+    worst = np.where(apart > 0, both / np.where(apart > 0, apart, 1), 0.0)
+    share = size / total
+    intra = first["far"][has] / size
+    pairs = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[np.triu_indices(len(centres), 1)]
+    inter = float(pairs.mean()) if len(pairs) else 0.0
+    return {
+        "inertia": float(first["cost"].sum()), "silhouette": float(second["score"].sum() / total) if k > 1 else None,
+        "calinski_harabasz": (1.0 if within == 0 else float(between * (total - k) / (within * (k - 1)))) if k > 1 else None,
+        "davies_bouldin": float(worst.max(1).mean()), "min_cluster_frac": float(share.min()) if has.all() else 0.0, "max_cluster_frac": float(share.max()),
+        "n_nonempty_clusters": k, "effective_clusters": float(np.exp(-(share * np.log(share + 1e-15)).sum())),
+        "intra_mean": float(first["far"].sum() / total), "intra_std": float(intra.std()), "inter_mean": inter,
+        "inter_min": float(pairs.min()) if len(pairs) else 0.0, "inter_max": float(pairs.max()) if len(pairs) else 0.0,
+        "intra_over_inter": float(first["far"].sum() / total / inter) if inter > 1e-15 else None}
 
 
 SWEEP_SCHEMA = ("k long, inertia double, n_samples long, silhouette double, calinski_harabasz double, davies_bouldin double, min_cluster_frac double, "
@@ -158,7 +261,7 @@ def sweep_table(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
 
 
 def recommend_k(sweep: DataFrame, by: Sequence[str] = (), *, min_frac: float = 0.01, min_points: int = 80, eps: float = 0.02) -> DataFrame:
-    """Best silhouette among the feasible k (all of them if none is feasible), and the plateau k.
+    """Best silhouette (squared distances) among the feasible k (all of them if none is feasible), and the plateau k.
 
     The plateau is the last k, going up, before the first one more than eps below the best.
     """

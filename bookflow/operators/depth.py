@@ -37,14 +37,17 @@ def depth_events(flow: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     ).filter("kind_of IS NOT NULL AND qty > 0")
 
 
-def level_depth(flow: DataFrame, opening: DataFrame | None = None, by: Sequence[str] = BY) -> DataFrame:
+def level_depth(flow: DataFrame, opening: DataFrame | None = None, by: Sequence[str] = BY, keep_aside: bool = False) -> DataFrame:
     """Depth of the event's own level before and after it, and the quantity removed.
 
     d[t] = max(0, d[t-1] + x) is the running sum lifted by its running minimum, so windows suffice. A
     level is cut into chunks of the sequence; a chunk enters later ones as (sum, lift) only.
+
+    Removals without an original side belong to no level. They are left out; with `keep_aside` they are rows without side and depth that remove
+    nothing, which `set_aside` counts.
     """
     level = [*by, "book_side", "price_tick"]
-    events = depth_events(flow, by).filter("book_side IS NOT NULL")
+    events = depth_events(flow, by) if keep_aside else depth_events(flow, by).filter("book_side IS NOT NULL")
     keyed = events.withColumns({
         "_chunk": chunk_of("row_seq"), "_x": F.when(F.col("kind_of") == "post", F.col("qty")).otherwise(-F.col("qty"))})
     inside = W.partitionBy(*level, "_chunk").orderBy("row_seq")
@@ -62,17 +65,24 @@ def level_depth(flow: DataFrame, opening: DataFrame | None = None, by: Sequence[
     start = F.greatest(F.coalesce("_open", F.lit(0)), F.coalesce("_lift", F.coalesce("_open", F.lit(0)))) + F.col("_t0")
     begin = carried.select(*level, "_chunk", start.cast("long").alias("_d0"))
     after = F.greatest(F.col("_d0") + F.col("_s"), F.col("_s") - F.col("_m"))
-    out = local.join(begin, [*level, "_chunk"]).withColumn("depth_after", after)
+    if keep_aside:
+        after = F.when(F.col("book_side").isNotNull(), after)
+    out = local.join(begin, [*level, "_chunk"], "left" if keep_aside else "inner").withColumn("depth_after", after)
     before = F.coalesce(F.lag("depth_after").over(inside), F.col("_d0"))
     out = out.withColumn("depth_before", before)
-    removed = F.when(F.col("kind_of") == "post", F.lit(0)).otherwise(F.col("depth_before") - F.col("depth_after"))
+    removed = F.when((F.col("kind_of") == "post") | F.col("book_side").isNull(), F.lit(0)).otherwise(F.col("depth_before") - F.col("depth_after"))
     return out.select(*by, "row_seq", "t_ms", "side", "kind_of", "book_side", "price_tick", "qty", "depth_before",
                       "depth_after", removed.cast("long").alias("removed"))
 
 
+def set_aside(depth: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Removals of `level_depth(..., keep_aside=True)` that belong to no side: events and their quantity, per key and kind."""
+    return depth.filter("book_side IS NULL").groupBy(*by, "kind_of").agg(F.count(F.lit(1)).alias("events"), F.sum("qty").alias("qty"))
+
+
 def removed_qty(depth: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Removals, and how many of them found nothing, per key and kind."""
-    return depth.filter("kind_of <> 'post'").groupBy(*by, "kind_of").agg(
+    """Removals of a side, and how many of them found nothing, per key and kind."""
+    return depth.filter("kind_of <> 'post' AND book_side IS NOT NULL").groupBy(*by, "kind_of").agg(
         F.count(F.lit(1)).alias("events"), F.sum("removed").alias("removed_qty"),
         F.sum((F.col("removed") <= 0).cast("long")).alias("unmatched"))
 
@@ -84,7 +94,7 @@ def to_messages(depth: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """
     from bookflow.operators.ordered import dense_index
 
-    kept = depth.filter("kind_of = 'post' OR removed > 0")
+    kept = depth.filter("book_side IS NOT NULL AND (kind_of = 'post' OR removed > 0)")
     kind = F.when(F.col("kind_of") == "post", 1).when(F.col("kind_of") == "execute", 4).when(
         F.col("removed") >= F.col("qty"), 3).otherwise(2)
     own = F.when(F.col("book_side") == "bid", 1).otherwise(-1)
@@ -104,7 +114,7 @@ def book_after(depth: DataFrame, n: int, opening: DataFrame | None = None, by: S
     events of a chunk, a bounded number, are then replayed on them.
     """
     level = [*by, "book_side", "price_tick"]
-    rows = depth.withColumn("_chunk", chunk_of("row_seq"))
+    rows = depth.filter("book_side IS NOT NULL").withColumn("_chunk", chunk_of("row_seq"))
     closes = rows.groupBy(*level, "_chunk").agg(F.max_by("depth_after", "row_seq").alias("depth"))
     if opening is not None:
         closes = closes.unionByName(opening.select(*level, F.lit(-1).cast("long").alias("_chunk"), "depth"))

@@ -33,13 +33,43 @@ def points(t):
 c_sql = lambda body: flow_q(body, *FEATS_SQL)
 query("c3_standardise", c_sql(f"SELECT {K}, start, " + ", ".join(f"{R(f'z[{i + 1}]')} AS {f}" for i, f in enumerate(FEATS)) + " FROM pts"))(
     lambda t: points(t).select(*KEY, *[F.col("z")[i].alias(f) for i, f in enumerate(FEATS)]))
-query("c4_kmeans_sweep")(lambda t: _sweep(t))
+# k-means from a fixed start: the k windows that come first by an integer rule, three steps.
+SWEEP_KS, SWEEP_STEPS = (4, 8, 12), 3
+_dims = range(1, len(FEATS) + 1)
+_SWEEP = [
+    "seeds AS (SELECT row_number() OVER (ORDER BY start % 1009, start, trade_date, security_id) - 1 AS label, z FROM pts ORDER BY ALL LIMIT 12)".replace("ORDER BY ALL", "ORDER BY start % 1009, start, trade_date, security_id"),
+    f"c0 AS MATERIALIZED (SELECT k, label, z AS c FROM seeds, (SELECT unnest({list(SWEEP_KS)}) AS k) WHERE label < k)",
+    *[x for i in range(SWEEP_STEPS + 1) for x in (
+        f"a{i} AS MATERIALIZED (SELECT k, trade_date, security_id, start, any_value(z) AS z, arg_min(label, (d, label)) AS label, min(d) AS d FROM (SELECT k, trade_date, security_id, start, z, label, list_distance(z, c) AS d FROM (SELECT * EXCLUDE (label) FROM pts), c{i}) GROUP BY ALL)"
+        .replace("GROUP BY ALL", "GROUP BY k, trade_date, security_id, start"),
+        f"m{i} AS MATERIALIZED (SELECT k, label, count(*) AS n, [{', '.join(f'avg(z[{d}])' for d in _dims)}] AS m, avg(list_dot_product(z, z)) AS q, sum(d) AS far, sum(d * d) AS cost FROM a{i} GROUP BY k, label)",
+        f"c{i + 1} AS MATERIALIZED (SELECT k, label, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} USING (k, label))")],
+]
+_L = SWEEP_STEPS
+_SWEEP += [
+    f"own4 AS (SELECT k, label, sum(d) AS sum_d, sum(d * d) AS sum_d2 FROM (SELECT k, label, list_distance(z, m) AS d FROM a{_L} JOIN m{_L} USING (k, label)) GROUP BY k, label)",
+    f"sil AS (SELECT k, avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (SELECT k, trade_date, security_id, start, max(CASE WHEN own THEN n END) AS n, "
+    "max(CASE WHEN own AND n > 1 THEN d * n / (n - 1) END) AS a, min(CASE WHEN NOT own THEN d END) AS b FROM (SELECT p.k, trade_date, security_id, start, p.label = c.label AS own, n, "
+    f"greatest(0, list_dot_product(z, z) - 2 * list_dot_product(z, c.m) + q) AS d FROM a{_L} p JOIN m{_L} c ON p.k = c.k) GROUP BY k, trade_date, security_id, start) GROUP BY k)",
+    f"tot AS (SELECT k, CAST(sum(n) AS BIGINT) AS n_samples, count(*) AS filled, sum(cost) AS inertia, [{', '.join(f'sum(n * m[{d}]) / sum(n)' for d in _dims)}] AS mid, sum(far) / sum(n) AS intra_mean, stddev_pop(far / n) AS intra_std, "
+    f"CASE WHEN count(*) < k THEN 0.0 ELSE min(n) / sum(n) END AS lo, max(n) / sum(n) AS hi FROM m{_L} GROUP BY k)",
+    f"eff AS (SELECT k, exp(-sum(p * ln(p + 1e-15))) AS effective FROM (SELECT k, n / sum(n) OVER (PARTITION BY k) AS p FROM m{_L}) GROUP BY k)",
+    f"chs AS (SELECT k, any_value(b) * (any_value(n_samples) - any_value(filled)) / (sum(sum_d2) * (any_value(filled) - 1)) AS ch FROM own4 JOIN (SELECT m.k, sum(n * pow(list_distance(m.m, t.mid), 2)) AS b FROM m{_L} m JOIN tot t ON m.k = t.k GROUP BY m.k) USING (k) JOIN tot USING (k) GROUP BY k)",
+    f"dbs AS (SELECT k, avg(r) AS db FROM (SELECT a.k, a.label, max((a.s + b.s) / list_distance(a.m, b.m)) AS r FROM (SELECT k, label, m, sum_d / n AS s FROM m{_L} JOIN own4 USING (k, label)) a JOIN "
+    f"(SELECT k, label, m, sum_d / n AS s FROM m{_L} JOIN own4 USING (k, label)) b ON a.k = b.k AND a.label <> b.label GROUP BY a.k, a.label) GROUP BY k)",
+    f"ctr AS (SELECT k, avg(d) AS inter_mean, min(d) AS inter_min, max(d) AS inter_max FROM (SELECT a.k, list_distance(a.c, b.c) AS d FROM c{_L} a JOIN c{_L} b ON a.k = b.k AND a.label < b.label) GROUP BY k)",
+    "sweep AS (SELECT k, inertia, n_samples, silhouette, ch AS calinski_harabasz, db AS davies_bouldin, lo AS min_cluster_frac, hi AS max_cluster_frac, filled AS n_nonempty_clusters, effective AS effective_clusters, "
+    "intra_mean, intra_std, inter_mean, inter_min, inter_max, intra_mean / inter_mean AS intra_over_inter FROM tot JOIN sil USING (k) JOIN eff USING (k) JOIN chs USING (k) JOIN dbs USING (k) JOIN ctr USING (k))",
+]
+_whole = ("k", "n_samples", "n_nonempty_clusters")
+query("c4_kmeans_sweep", flow_q("SELECT " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" if c in _whole else f"{R(c)} AS {c}" for c in (
+    f.split()[0] for f in cluster.SWEEP_SCHEMA.split(", "))) + " FROM sweep", *FEATS_SQL, *_SWEEP))(lambda t: _sweep(t))
 query("c5_silhouette", c_sql(
     f"SELECT {R('avg(CASE WHEN n = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette, count(*) AS n FROM (SELECT trade_date, security_id, start, max(CASE WHEN own THEN n END) AS n, "
     "max(CASE WHEN own THEN d * n / (n - 1) END) AS a, min(CASE WHEN NOT own THEN d END) AS b FROM (SELECT trade_date, security_id, start, p.label = c.label AS own, n, "
     "list_dot_product(z, z) - 2 * list_dot_product(z, c.c) + q AS d FROM pts p, (SELECT cen.label, n, c, q FROM cen JOIN (SELECT label, avg(list_dot_product(z, z)) AS q FROM pts GROUP BY label) USING (label)) c) "
     "GROUP BY trade_date, security_id, start)"))(
-    lambda t: cluster.silhouette(points(t), len(FEATS)))
+    lambda t: cluster.silhouette_squared(points(t), len(FEATS)))
 query("c6_ch_index", c_sql(
     f"SELECT n, k, {R('b * (n - k) / (w * (k - 1))')} AS calinski_harabasz FROM (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * pow(list_distance(c, m), 2)) AS b FROM cen, "
     "(SELECT [" + ", ".join(f"avg(z[{i + 1}])" for i in range(len(FEATS))) + "] AS m FROM pts)), (SELECT sum(d * d) AS w FROM own)"))(
@@ -60,10 +90,17 @@ query("c8_centroid_metrics", c_sql(
 
 
 def _sweep(t):
-    return t.staged("k-sweep", lambda: cluster.kmeans_sweep(features(t).drop("label"), [4, 8, 12], key=KEY))
+    def build():
+        z = points(t).orderBy(F.col("start") % 1009, "start", "trade_date", "security_id").limit(max(SWEEP_KS)).select("z").collect()
+        starts = {k: [r["z"] for r in z[:k]] for k in SWEEP_KS}
+        return cluster.kmeans_sweep(features(t).drop("label"), SWEEP_KS, key=KEY, starts=starts, steps=SWEEP_STEPS)
+    return t.staged("k-sweep", build)
 
 
-query("c9_recommend_k")(lambda t: cluster.recommend_k(_sweep(t)))
+query("c9_recommend_k", flow_q(
+    "SELECT CAST(arg_max(k, (silhouette, -k)) AS BIGINT) AS recommended_k, " + R("max(silhouette)") + " AS recommended_silhouette, CAST(max(k) FILTER (ok) AS BIGINT) AS plateau_k, array_to_string(list(k ORDER BY k), ',') AS feasible_ks "
+    "FROM (SELECT *, bool_and(silhouette >= best - 0.02) OVER (ORDER BY k) AS ok FROM (SELECT *, max(silhouette) OVER () AS best FROM (SELECT *, min_cluster_frac >= 0.01 AND min_cluster_frac * n_samples >= 80 AS fit FROM sweep) "
+    "QUALIFY fit OR NOT bool_or(fit) OVER ()))", *FEATS_SQL, *_SWEEP))(lambda t: cluster.recommend_k(_sweep(t)))
 
 
 def _bucket_sql(f: str) -> str:
@@ -97,6 +134,8 @@ query("c11_cosine_summary", f"WITH {EMB}, {COS.format(src='e')} {COS_OUT}")(
     lambda t: vectors.cosine_summary(t.raw("embeddings"), "vec_id"))
 query("c11_cosine_summary_centred", f"WITH {EMB}, {CENT}, {COS.format(src='ec')} {COS_OUT}")(
     lambda t: vectors.cosine_summary(t.raw("embeddings"), "vec_id", centre=True))
+query("c11_cosine_moments", f"WITH {EMB}, {COS.format(src='e')} SELECT count(*) AS count, {R('avg(x)')} AS mean, {R('stddev_pop(x)')} AS std FROM cs")(
+    lambda t: vectors.cosine_summary(t.raw("embeddings"), "vec_id", probs={}))
 query("c12_assign_unique")(lambda t: vectors.assign_unique(_centroids(t), t.raw("embeddings"), "vec_id"))
 
 

@@ -144,10 +144,30 @@ DIST_SQL = ("dist AS (SELECT *, sum(count) OVER p AS total_count, count(*) OVER
 query("b10_bin_distribution", flow_q(
     f"SELECT field, bin, value, count, CAST(total_count AS BIGINT) AS total_count, n_unique, {R('count / total_count')} AS prob FROM dist", BINNED_SQL, DIST_SQL))(
     lambda t: bins.bin_distribution(bins.apply_bins(t.flow, FIXED_EDGES)))
-query("b8_fit_bins")(lambda t: bins.edges_table(t.spark, t.edges))
-query("b11_fit_bins_pooled")(lambda t: bins.apply_bins(t.flow.filter("trade_date = 20250710"), bins.fit_bins_pooled(
-    [t.flow.filter("trade_date = 20250709"), t.flow.filter("trade_date = 20250710")], {"price": 26, "qty": 26, "interval": 12},
-    tuple(flows.SIDES_5))).groupBy("price_bin", "qty_bin", "interval_bin").count())
+RADICES = {"price": 26, "qty": 26, "interval": 12}
+# Edges of all rows with a tokenised side: heavy values, and a recursive walk over the positions of the rest.
+FIT_SQL = [
+    "vals AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, CAST({c} AS DOUBLE) AS v, {RADICES[f]} AS bins FROM flow WHERE side IN (49, 50, 99, 129, 130)" for f, c in bins.FIELDS.items()) + ")",
+    "hist AS (SELECT field, bins, v, count(*) AS n FROM vals WHERE v IS NOT NULL GROUP BY ALL)",
+    "heavy AS (SELECT field, v FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, v) AS rk FROM (SELECT *, n > sum(n) OVER (PARTITION BY field) / bins AS alone FROM hist) WHERE alone) WHERE rk < bins)",
+    "rest AS MATERIALIZED (SELECT field, v, CAST(sum(n) OVER (PARTITION BY field ORDER BY v) AS BIGINT) AS stop, CAST(sum(n) OVER (PARTITION BY field ORDER BY v) AS BIGINT) - n AS pos FROM hist ANTI JOIN heavy USING (field, v))",
+    "sizes AS MATERIALIZED (SELECT field, max(stop) AS size, any_value(bins) - coalesce(any_value(taken), 0) AS budget FROM rest JOIN (SELECT DISTINCT field, bins FROM hist) USING (field) LEFT JOIN (SELECT field, count(*) AS taken FROM heavy GROUP BY field) USING (field) GROUP BY field)",
+    """walk AS (SELECT field, size, budget, CAST(0 AS BIGINT) AS pos, stop AS here, CAST(NULL AS DOUBLE) AS edge FROM sizes JOIN rest USING (field) WHERE rest.pos = 0
+  UNION ALL SELECT w.field, w.size, w.budget - 1, w.goal, r.stop, r.v FROM (SELECT *, least(CASE WHEN aim < here THEN here ELSE aim END, size - 1) AS goal
+    FROM (SELECT *, pos + CASE WHEN budget > 1 THEN (size - pos) // (budget - 1) ELSE size - pos END AS aim FROM walk WHERE budget > 0 AND pos < size)) w
+    JOIN rest r ON r.field = w.field AND r.pos <= w.goal AND w.goal < r.stop)""",
+    "all_edges AS (SELECT field, edge FROM walk WHERE edge IS NOT NULL UNION ALL SELECT field, v FROM heavy UNION ALL SELECT field, CASE WHEN (field, low) IN (SELECT (field, v) FROM heavy) THEN low - 1 ELSE low END FROM (SELECT field, min(v) AS low FROM hist GROUP BY field))",
+]
+fit_q = lambda body, *ctes: flow_q(body, *FIT_SQL, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+query("b8_fit_bins", fit_q(f"SELECT field, row_number() OVER (PARTITION BY field ORDER BY edge) - 1 AS edge_no, {R('edge')} AS edge FROM all_edges"))(
+    lambda t: bins.edges_table(t.spark, t.edges).select("field", F.posexplode("edges").alias("edge_no", "edge")))
+FIT_DAYS = (20250709, 20250710)
+_binned = ", ".join(f"greatest(0, least(len(list_filter(e_{f}, lambda e: e < {c})) - 1, {n - 1})) AS {f}_bin" for (f, c), n in zip(bins.FIELDS.items(), RADICES.values()))
+query("b11_fit_bins_pooled", fit_q(
+    f"SELECT trade_date, price_bin, qty_bin, interval_bin, count(*) AS n FROM (SELECT trade_date, {_binned} FROM flow, (SELECT " + ", ".join(
+        f"list(edge ORDER BY edge) FILTER (field = '{f}') AS e_{f}" for f in bins.FIELDS) + " FROM all_edges)) GROUP BY ALL"))(
+    lambda t: bins.apply_bins(t.flow, t.once("edges-pooled", lambda: bins.fit_bins_pooled([t.flow.filter(F.col("trade_date") == d) for d in FIT_DAYS], RADICES, tuple(flows.SIDES_5)))).groupBy(
+        "trade_date", "price_bin", "qty_bin", "interval_bin").agg(F.count(F.lit(1)).alias("n")))
 query("b12_encode_token", flow_q(f"SELECT {K}, row_seq, side_bin, order_token, tokenizable_event FROM tokens", TOKENS_SQL))(
     lambda t: bins.encode_token(bins.apply_bins(t.flow, FIXED_EDGES), tuple(len(FIXED_EDGES[f]) - 1 for f in bins.FIELDS)).select(
         *FLOW_KEYS, "row_seq", "side_bin", "order_token", "tokenizable_event"))
@@ -284,6 +304,12 @@ depth AS (SELECT {K}, row_seq, t_ms, side, kind_of, book_side, price_tick, qty,
     CASE WHEN kind_of = 'post' THEN 0 ELSE coalesce(lag(depth_after) OVER lv, d0) - depth_after END AS removed
     FROM clamped WINDOW lv AS (PARTITION BY {K}, book_side, price_tick ORDER BY row_seq))"""
 query("r1_level_depth", flow_q("SELECT * FROM depth", OPENING_SQL, DEPTH_SQL))(lambda t: depth.level_depth(t.flow, opening(t)))
+# A flow in which every third cancel and every fifth execution has lost its original side.
+_lost = "(side = 99 AND appl_seq_num % 3 = 0 OR side IN (129, 130) AND appl_seq_num % 5 = 0)"
+sideless = lambda t: t.flow.withColumn("orig_side", F.when(~F.expr(_lost), F.col("orig_side")))
+query("r1_set_aside", flow_q(
+    f"SELECT {K}, CASE WHEN side = 99 THEN 'cancel' ELSE 'execute' END AS kind_of, count(*) AS events, CAST(sum(order_qty) AS BIGINT) AS qty FROM flow WHERE {_lost} AND order_qty > 0 GROUP BY ALL"))(
+    lambda t: depth.set_aside(depth.level_depth(sideless(t), opening(t), keep_aside=True)))
 query("r2_removed_qty", flow_q(
     f"SELECT {K}, kind_of, count(*) AS events, CAST(sum(removed) AS BIGINT) AS removed_qty, count(*) FILTER (removed <= 0) AS unmatched FROM depth "
     f"WHERE kind_of <> 'post' GROUP BY {K}, kind_of", OPENING_SQL, DEPTH_SQL))(lambda t: depth.removed_qty(depth_table(t)))

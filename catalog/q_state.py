@@ -177,8 +177,8 @@ FEATURES_SQL = f"""feats AS (SELECT {K}, row_seq AS start, avg(coalesce(price_di
 FLIST = ", ".join(f"{R(f)} AS {f}" for f in windows.FEATURES)
 query("c1_window_features", flow_q(f"SELECT {K}, start, {FLIST} FROM feats WHERE whole = 1 AND start % 2 = 0", FEATURES_SQL))(
     lambda t: windows.window_features(t.flow, 50, 2))
-query("c2_train_windows", flow_q(f"SELECT {K}, start, {FLIST} FROM feats WHERE whole = 1 AND start % 10 = 0 AND start < floor(0.6 * (n_all - 50))", FEATURES_SQL))(
-    lambda t: windows.train_windows(t.flow, 50, 10))
+query("c2_train_windows", flow_q(f"SELECT {K}, start, {FLIST} FROM feats WHERE whole = 1 AND start % 2 = 0 AND start < floor(0.6 * (n_all - 50))", FEATURES_SQL))(
+    lambda t: windows.train_windows(t.flow, 50, 2))
 
 # P5, P6, P9, P10, S10 on the tape
 query("p5_level_range", tape_sql("SELECT run_id, kind, row_seq, bid_p_3 AS low, ask_p_3 AS high FROM tape"))(

@@ -30,6 +30,20 @@ def test_fit_bins_small(spark, values, n, edges):
         assert got[:2] == [-1.0, 0.0]  # the heavy minimum has a bin of its own
 
 
+def test_fields_are_fitted_together(spark, small_chunks):
+    """Several fields in step, over many chunks, give the edges of each alone; a chunk is read no more often than the walk enters it."""
+    rng = random.Random(5)
+    data = {"a": [float(rng.randint(0, 3000)) for _ in range(4000)], "b": [rng.random() for _ in range(2500)], "c": [float(rng.choice([0, 0, 0, 5, 7, 8])) for _ in range(300)]}
+    rows = spark.createDataFrame([(f, v) for f, vs in data.items() for v in vs] + [("a", None)], "field string, value double")
+    budget = {"a": 26, "b": 12, "c": 4}
+    together = bins.fit_edges(rows, budget)
+    for f, vs in data.items():
+        assert together[f] == bins.fit_bins(spark.createDataFrame([(v,) for v in vs], "x double"), "x", budget[f])
+        assert len(together[f]) == budget[f] + 1
+    inside = Counter(int(np.searchsorted(together["b"], v, side="left")) for v in data["b"])
+    assert max(inside[i] for i in range(1, 13)) < 1.2 * len(data["b"]) / 11
+
+
 def test_constant_column_fails(spark):
     df = spark.createDataFrame([(5.0,)] * 20, "x double")
     with pytest.raises(ValueError):
