@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookflow.functions import finite_or_null
-from bookflow.operators.ordered import quantiles
+from bookflow.operators.ordered import join_key_stats, quantiles
 
 
 def value_mix(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def shared_hist(a: DataFrame, b: DataFrame, col: str, bins: int, by: Sequence[st
     ends = ends.select(*by, F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
                        F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
     bin_no = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("long")
-    counts = both.join(ends, list(by)).groupBy(*by, bin_no.alias("bin")).agg(
+    counts = join_key_stats(both, ends, by).groupBy(*by, bin_no.alias("bin")).agg(
         F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi"),
         F.sum((F.col("_s") == 1).cast("long")).alias("n_a"), F.sum((F.col("_s") == 2).cast("long")).alias("n_b"))
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -89,7 +89,7 @@ def iqm(df: DataFrame, col: str, by: Sequence[str], prefix: str = "") -> DataFra
     clean = df.select(*by, finite_or_null(F.col(col)).alias("_x")).filter("_x IS NOT NULL")
     cuts = quantiles(clean, by, "_x", {"_q25": 0.25, "_median": 0.5, "_q75": 0.75})
     inside = F.col("_x").between(F.col("_q25"), F.col("_q75"))
-    return clean.join(cuts.drop("n"), list(by)).groupBy(*by).agg(
+    return join_key_stats(clean, cuts.drop("n"), by).groupBy(*by).agg(
         F.count(F.lit(1)).alias(f"{prefix}n"), F.avg("_x").alias(f"{prefix}mean"), F.max("_median").alias(f"{prefix}median"),
         F.coalesce(F.avg(F.when(inside, F.col("_x"))), F.avg("_x")).alias(f"{prefix}iqm"))
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from bookflow.functions import ASK, BID, TICK_INT
@@ -106,12 +108,44 @@ def to_messages(depth: DataFrame, by: Sequence[str] = BY) -> DataFrame:
         (F.col("price_tick") * TICK_INT).alias("price"), direction.alias("direction"))
 
 
+CELLS = 1 << 22
+
+
+def tops(price: np.ndarray, size: np.ndarray, opening: int, n: int, falling: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best n levels of one side: price, size and whether there is one, before its first event and after each.
+
+    The first `opening` rows are levels open at the start, the others set their level to a size, in order. Blocks of events by all prices of the side
+    are filled forward, and the occupied levels numbered from the best; a block has at most CELLS cells.
+    """
+    ladder = np.unique(price)[::-1 if falling else 1]
+    code = len(ladder) - 1 - np.searchsorted(ladder[::-1], price) if falling else np.searchsorted(ladder, price)
+    events = len(price) - opening
+    prices, sizes, found = np.zeros((events + 1, n), np.int64), np.zeros((events + 1, n), np.int64), np.zeros((events + 1, n), bool)
+    state = np.zeros(len(ladder), np.int64)
+    state[code[:opening]] = size[:opening]
+    block = max(1, CELLS // max(1, len(ladder)))
+    for lo in range(0, events + 1, block):
+        rows = np.arange(lo, min(lo + block, events + 1))  # states; state k follows event k - 1
+        last = np.full((len(rows), len(ladder)), -1, np.int32)
+        real = rows > 0
+        row_of = opening + rows[real] - 1
+        last[np.flatnonzero(real), code[row_of]] = row_of
+        np.maximum.accumulate(last, axis=0, out=last)
+        now = np.where(last >= 0, size[last], state)
+        rank = np.cumsum(now > 0, axis=1)
+        r, c = np.nonzero((now > 0) & (rank <= n))
+        slot = rank[r, c] - 1
+        prices[lo + r, slot], sizes[lo + r, slot], found[lo + r, slot] = ladder[c], now[r, c], True
+        state = now[-1]
+    return prices, sizes, found
+
+
 def book_after(depth: DataFrame, n: int, opening: DataFrame | None = None, by: Sequence[str] = BY,
                grid_ms: int | None = None) -> DataFrame:
     """Top-n book after every event, or after the last event of every grid interval.
 
     Levels open at the start of a chunk are found with windows (one row per level and chunk); the
-    events of a chunk, a bounded number, are then replayed on them.
+    events of a chunk, a bounded number, are then filled forward over them as arrays (`tops`).
     """
     level = [*by, "book_side", "price_tick"]
     rows = depth.filter("book_side IS NOT NULL").withColumn("_chunk", chunk_of("row_seq"))
@@ -131,31 +165,25 @@ def book_after(depth: DataFrame, n: int, opening: DataFrame | None = None, by: S
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_fields] + ["row_seq long", "t_ms long"]
                        + [f"{c} long" for c in names])
 
-    def replay(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        books: dict[str, dict[int, int]] = {"ask": {}, "bid": {}}
-        tops: dict[str, list[int]] = {"ask": [], "bid": []}
-        out = []
-        ordered = part.sort_values("row_seq", kind="stable")
-        for seq, t_ms, side, price, size in zip(ordered["row_seq"], ordered["t_ms"], ordered["book_side"],
-                                                ordered["price_tick"], ordered["depth"]):
-            book = books[side]
-            known = price in book
-            if size > 0:
-                book[price] = size
-            elif known:
-                del book[price]
-            if (size > 0) != known:
-                tops[side] = sorted(book, reverse=side == "bid")[:n]
-            if seq >= 0:
-                line = [*key[:-1], seq, int(t_ms)]
-                asks, bids = tops["ask"], tops["bid"]
-                for i in range(n):
-                    line += [asks[i], books["ask"][asks[i]]] if i < len(asks) else [None, None]
-                    line += [bids[i], books["bid"][bids[i]]] if i < len(bids) else [None, None]
-                out.append(line)
-        return pd.DataFrame(out, columns=[*by, "row_seq", "t_ms", *names]).astype({c: "Int64" for c in names})
-
-    flat = stream.groupBy(*by, "_chunk").applyInPandas(replay, schema)
+    def replay(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("row_seq")
+        seq, price, size = (part.column(c).to_numpy() for c in ("row_seq", "price_tick", "depth"))
+        asks = pc.equal(part.column("book_side"), "ask").to_numpy()
+        first = int(np.searchsorted(seq, 0))  # levels open at the start have no sequence number
+        out = {c: pa.array([key[i].as_py()] * (len(seq) - first), part.schema.field(c).type) for i, c in enumerate(by)}
+        out |= {"row_seq": part.column("row_seq").slice(first), "t_ms": part.column("t_ms").slice(first)}
+        cols = {}
+        for side, mine in (("ask", asks), ("bid", ~asks)):
+            at = np.flatnonzero(mine)
+            prices, sizes, found = tops(price[at], size[at], int((at < first).sum()), n, side == "bid")
+            state = np.cumsum(mine[first:])
+            for i in range(n):
+                absent = ~found[state, i]
+                cols[f"{side}_p_{i + 1}"] = pa.array(prices[state, i], mask=absent)
+                cols[f"{side}_v_{i + 1}"] = pa.array(sizes[state, i], mask=absent)
+        return pa.table(out | {c: cols[c] for c in names})
+
+    flat = stream.groupBy(*by, "_chunk").applyInArrow(replay, schema)
     if grid_ms is not None:
         slot = F.floor(F.col("t_ms") / grid_ms)
         flat = flat.groupBy(*by, slot.alias("_slot")).agg(F.max_by(F.struct("row_seq", "t_ms", *names), "row_seq").alias("_r")).select(*by, "_r.*")

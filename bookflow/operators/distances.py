@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookflow.functions import div, edge_group, is_finite, literal_edges
-from bookflow.operators.ordered import asof_backward, cumulative, quantiles, running, value_chunks
+from bookflow.operators.ordered import cumulative, join_key_stats, quantiles, running, value_chunks
+from bookflow.session import stage
 
 REAL, GENERATED = "real", "generated"
 
@@ -203,19 +204,19 @@ def group_scores(scores: DataFrame, by: Sequence[str], method: str, *, rule: str
             hist = compared(scores).filter(x.isNotNull()).groupBy(*by, x.cast("double").alias("_v")).agg(count.alias("_n"))
             stats = stats.join(stone_bins(hist, by), list(by), "left")
         edges = stats.select(*by, *_bin_range(rule_width(rule)))
-        grouped = scores.join(edges, list(by))
+        grouped = join_key_stats(scores, edges, by)
         return grouped.withColumn(name, equal_width_group(x, F.col("_lo"), F.col("_hi"), F.col("_bins"))).drop(
             "_lo", "_hi", "_bins")
     if method == "bins":
         stats = compared(scores).groupBy(*by).agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
-        grouped = scores.join(stats, list(by))
+        grouped = join_key_stats(scores, stats, by)
         spread = F.when(F.col("_hi") > F.col("_lo"),
                         equal_width_group(x, F.col("_lo"), F.col("_hi"), F.lit(bins)) - 1).otherwise(F.lit(bins - 1))
         return grouped.withColumn(name, F.greatest(F.lit(0), F.least(spread, F.lit(bins - 1))).cast("long")).drop(
             "_lo", "_hi")
     if method == "quantiles":
         edges = quantile_edges(scores, by, probs, score=score, weight=weight)
-        return scores.join(edges, list(by)).withColumn(name, edge_group(x, F.col("edges"))).drop("edges")
+        return join_key_stats(scores, edges, by).withColumn(name, edge_group(x, F.col("edges"))).drop("edges")
     raise ValueError(f"unknown grouping {method!r}")
 
 
@@ -449,39 +450,132 @@ def l1_loss(sample: DataFrame, by: Sequence[str]) -> DataFrame:
     return l1_by_group(sample, by, weight="weight").withColumnRenamed("l1_by_group", "loss")
 
 
+PRIME = 2_147_483_647
+FEW = 32  # draws that are tossed one by one
+LEAVES = 4096  # distinct rows of a part of the split tree
+
+
+def toss(x: np.ndarray) -> np.ndarray:
+    """Pseudo-random whole numbers below PRIME from whole numbers, in integer arithmetic that any engine has."""
+    x = x % PRIME
+    return (x * x + 5 * x + 1_013_904_223) % PRIME
+
+
+def left_share(k: np.ndarray, left: np.ndarray, total: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """How many of k draws fall on the left `left` of `total` rows: up to FEW draws are tossed one by one, more take the normal approximation of
+    the binomial with a sum of twelve tosses."""
+    p = left / total
+    few, twelve = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+    for i in range(FEW):
+        u = toss(toss(state + 65_537 * (i + 1)))
+        few += (i < k) & (u / PRIME < p)
+        if i < 12:
+            twelve += u
+    z = twelve / PRIME - 6
+    many = np.floor(k * p + z * np.sqrt(k * p * (1 - p)) + 0.5)
+    return np.where(k <= FEW, few, np.clip(many, 0, k)).astype(np.int64)
+
+
+def split_draws(counts: np.ndarray, k: np.ndarray, seed: np.ndarray, node: int = 1) -> np.ndarray:
+    """Draws on each of `counts` rows (axis 1) of each replicate (axis 0, `k` draws): the draws of a node are split between its halves, down to single
+    rows. `node` numbers the root in a larger tree, so a part of the tree gives the same draws wherever it is split."""
+    total = np.append(0, np.cumsum(counts))
+    lo, hi, name, draws = np.array([0]), np.array([len(counts)]), np.array([node]), k[:, None]
+    out = np.zeros((len(k), len(counts)), np.int64)
+    while len(lo):
+        done = hi - lo == 1
+        out[:, lo[done]] = draws[:, done]
+        lo, hi, name, draws = lo[~done], hi[~done], name[~done], draws[:, ~done]
+        if not len(lo):
+            break
+        mid = (lo + hi) // 2
+        state = toss(seed[:, None] + (name % PRIME)[None] * 7_919 % PRIME)
+        shape = draws.shape
+        wide = lambda v: np.broadcast_to(v, shape).ravel()
+        left = left_share(draws.ravel(), wide(total[mid] - total[lo]), wide(total[hi] - total[lo]), state.ravel()).reshape(shape)
+        lo, hi, name, draws = np.append(lo, mid), np.append(mid, hi), np.append(2 * name, 2 * name + 1), np.concatenate([left, draws - left], axis=1)
+    return out
+
+
 def bootstrap(scores: DataFrame, by: Sequence[str], loss: Loss, *, replicates: int = 100, alpha: float = 0.01,
-              seed: int = 12345, standardise: bool = False) -> DataFrame:
+              seed: int = 12345, standardise: bool = False, leaves: int = LEAVES) -> DataFrame:
     """Percentile interval of a loss over resamples of each kind, the full data counted as one replicate.
 
-    Draw i of replicate b hits position `hash(seed, b, i) mod n` of its kind in score order, so a
-    result depends on the data and the seed only. Positions are looked up in the histogram of
-    distinct rows, so equal scores stay one row however many there are.
-    `loss(sample, keys)` gets rows with a `weight` and returns one `loss` per key.
+    A resample of n rows is drawn as counts: the distinct rows of a kind, in score order, are the leaves of a balanced tree, and the draws of a node
+    are split between its halves by a seeded rule of whole numbers (`left_share`). No draw is a row: the work is one count per distinct row and
+    replicate. Subtrees of at most `leaves` distinct rows are split in tasks of their own, the top of the tree over their totals; the result depends
+    on the data and the seed, not on the parts. `loss(sample, keys)` gets rows with a `weight` and returns one `loss` per key.
     """
+    scores = compared(scores)
     cols = ["score", *sorted(c for c in scores.columns if c not in (*by, "kind", "score"))]
     keys = [*by, "kind"]
     hist = scores.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_n"))
     if standardise:
         std = scores.groupBy(*by).agg(F.stddev_samp("score").alias("_std"))
         hist = hist.join(std, list(by)).withColumn("score", F.col("score") / F.col("_std")).drop("_std")
-    placed = running(value_chunks(hist, keys, "score"), keys, cols, F.col("_vc"), sums={"_end": F.col("_n")}).drop("_vc").withColumn(
-        "_i", (F.col("_end") - F.col("_n")).cast("long"))
-    sizes = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    block = 1 << 16
-    draws = (
-        sizes.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), div(F.col("_size") - 1, block))))
-        .withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .repartition(*keys, "_c", "_b")
-        .withColumn("_j", F.explode(F.sequence(F.col("_c") * block, F.least(
-            F.col("_c") * block + block - 1, F.col("_size") - 1))))
-        .withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "kind", "_b", "_j"), F.col("_size")))
-        .groupBy(*keys, "_b", "_i").agg(F.count(F.lit(1)).alias("weight"))
-    )
-    resampled = asof_backward(draws, placed, keys, "_i", cols, bucket=block)
-    whole = hist.select(*keys, *cols, F.lit(0).alias("_b"), F.col("_n").alias("weight"))
-    losses = loss(resampled.drop("_i").unionByName(whole), [*by, "_b"])
+    ranked = running(value_chunks(hist, keys, "score"), keys, cols, F.col("_vc"), sums={"_rank": F.lit(1)}, totals={"_d": F.lit(1)})
+    # the node of a row: halves are taken until they hold at most `leaves` rows
+    root = F.struct(F.lit(0).cast("long").alias("lo"), F.col("_d").cast("long").alias("hi"), F.lit(1).cast("long").alias("id"))
+
+    def half(node: Column, _: Column) -> Column:
+        mid = div(node["lo"] + node["hi"], 2)
+        right = F.col("_rank") - 1 >= mid
+        down = F.struct(F.when(right, mid).otherwise(node["lo"]).alias("lo"), F.when(right, node["hi"]).otherwise(mid).alias("hi"), (node["id"] * 2 + right.cast("long")).alias("id"))
+        return F.when(node["hi"] - node["lo"] > leaves, down).otherwise(node)
+
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_d") / leaves)) + 1).cast("int")
+    placed = stage(ranked.withColumn("_node", F.aggregate(F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")), root, half)).select(
+        *keys, *cols, "_n", "_rank", F.col("_node.id").alias("_id"), F.col("_node.lo").alias("_lo")), "split-tree")
+    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    declared = lambda names: ", ".join(f"{c} {types[c]}" for c in names)
+    state = toss(seed + 1_000_003 * np.arange(1, replicates + 1))
+    seed_of = lambda kind: toss(state + (104_729 if kind == REAL else 1_299_709))
+
+    def top(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_lo")
+        n = part["_t"].to_numpy()
+        draws = _split_parts(n, part["_lo"].to_numpy(), part["_c"].to_numpy(), part["_id"].to_numpy(), np.full(replicates, n.sum()), seed_of(key[-1]))
+        out = part[[*keys, "_id"]].copy()
+        out["_k"] = list(draws.T)
+        return out
+
+    def leaf(part: pd.DataFrame, ks: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_rank")
+        draws = split_draws(part["_n"].to_numpy(), np.array(ks["_k"].iloc[0]), seed_of(part["kind"].iloc[0]), int(part["_id"].iloc[0]))
+        b, at = np.nonzero(draws)
+        out = part[[*keys, *cols]].iloc[at].reset_index(drop=True)
+        out["_b"], out["weight"] = b + 1, draws[b, at]
+        return out
+
+    nodes = placed.groupBy(*keys, "_id", "_lo").agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_c"))
+    shares = nodes.groupBy(*keys).applyInPandas(top, f"{declared(keys)}, _id long, _k array<long>")
+    resampled = placed.groupBy(*keys, "_id").cogroup(shares.groupBy(*keys, "_id")).applyInPandas(leaf, f"{declared([*keys, *cols])}, _b long, weight long")
+    whole = hist.select(*keys, *cols, F.lit(0).cast("long").alias("_b"), F.col("_n").alias("weight"))
+    losses = loss(resampled.unionByName(whole), [*by, "_b"])
     return losses.groupBy(*by).agg(
         F.max(F.when(F.col("_b") == 0, F.col("loss"))).alias("loss"),
         F.percentile("loss", F.lit(alpha / 2)).alias("ci_low"),
         F.percentile("loss", F.lit(1 - alpha / 2)).alias("ci_high"),
         F.count("loss").alias("n_losses"))
+
+
+def _split_parts(totals: np.ndarray, lows: np.ndarray, sizes: np.ndarray, ids: np.ndarray, k: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Draws of each part (replicates x parts): the splits of `split_draws` from the root down to the parts `ids`, of `sizes` rows from `lows` on."""
+    before = np.append(0, np.cumsum(totals))
+    out = np.zeros((len(k), len(ids)), np.int64)
+    begins = np.append(lows, lows[-1] + sizes[-1])
+    lo, hi, name, draws = np.array([0]), begins[-1:], np.array([1]), k[:, None]
+    place = {int(i): j for j, i in enumerate(ids)}
+    while len(lo):
+        done = np.array([int(i) in place for i in name])
+        out[:, [place[int(i)] for i in name[done]]] = draws[:, done]
+        lo, hi, name, draws = lo[~done], hi[~done], name[~done], draws[:, ~done]
+        if not len(lo):
+            break
+        mid = (lo + hi) // 2
+        at = [before[np.searchsorted(begins, x)] for x in (lo, mid, hi)]  # parts begin and end at the borders of nodes
+        state = toss(seed[:, None] + (name % PRIME)[None] * 7_919 % PRIME)
+        wide = lambda v: np.broadcast_to(v, draws.shape).ravel()
+        left = left_share(draws.ravel(), wide(at[1] - at[0]), wide(at[2] - at[0]), state.ravel()).reshape(draws.shape)
+        lo, hi, name, draws = np.append(lo, mid), np.append(mid, hi), np.append(2 * name, 2 * name + 1), np.concatenate([left, draws - left], axis=1)
+    return out

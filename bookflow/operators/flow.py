@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bookflow.functions import (
     ASK, BID, CANCEL, CANCEL_ASK, CANCEL_BID, DONE_ASK, DONE_BID, EXEC_CANCEL, EXEC_TRADE, ORD_LIMIT, div,
 )
-from bookflow.operators.ordered import asof_backward, dense_index, over_neighbours, running
+from bookflow.operators.ordered import asof_backward, dense_index, join_key_stats, over_neighbours, running
 from bookflow.session import stage
 
 BY = ("trade_date", "security_id")
@@ -78,7 +78,7 @@ def open_anchor(snaps: DataFrame, second: int = ANCHOR_S, required: DataFrame |
 
 def open_diff(posts: DataFrame, anchors: DataFrame) -> DataFrame:
     """Price in whole ticks from the fixed opening bid; securities without an anchor are dropped."""
-    joined = posts.join(anchors.select(*BY, "anchor_bid_tick"), list(BY))
+    joined = join_key_stats(posts, anchors.select(*BY, "anchor_bid_tick"), BY)
     return joined.withColumn("price_diff", F.rint(F.col("price_tick") - F.col("anchor_bid_tick")).cast("long"))
 
 
@@ -269,11 +269,17 @@ def fixed_window(flow: DataFrame, start_ms: int, lookahead_ms: int, tokenizable_
     return flow.filter(inside)
 
 
-def context_window(flow: DataFrame, second: int, n: int) -> DataFrame:
-    """The last n events of each security up to its last row stamped in exactly that second."""
+def context_window(flow: DataFrame, second: int, n: int, required: DataFrame | None = None) -> DataFrame:
+    """The last n events of each security up to its last row stamped in exactly that second.
+
+    Fails where a key of `required` has no row in that second; without it, where no key has one.
+    """
     if n <= 0:
         raise ValueError("the window must be positive")
-    ends = flow.filter(div(F.col("t_ms"), 1000) == second).groupBy(*BY).agg(F.max("row_seq").alias("_end"))
+    ends = stage(flow.filter(div(F.col("t_ms"), 1000) == second).groupBy(*BY).agg(F.max("row_seq").alias("_end")), "window-ends")
+    missing = ends.limit(1).count() == 0 if required is None else required.select(*BY).distinct().join(ends, list(BY), "left_anti").first()
+    if missing:
+        raise ValueError(f"no event is stamped in second {second}" + (f" for {missing['security_id']}" if required is not None else ""))
     return flow.join(ends, list(BY)).filter(
         (F.col("row_seq") <= F.col("_end")) & (F.col("row_seq") > F.col("_end") - n)).drop("_end")
 

@@ -13,7 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bookflow.functions import div
-from bookflow.operators.ordered import chunk_of, over_neighbours, quantiles, running
+from bookflow.operators.ordered import chunk_of, join_key_stats, over_neighbours, quantiles, running
 
 BY = ("run_id", "kind")
 NEW, PARTIAL_CANCEL, FULL_CANCEL, EXECUTION = 1, 2, 3, 4
@@ -74,7 +74,7 @@ def time_weight(tape: DataFrame, by: Sequence[str] = BY, *carry: Column) -> Data
     rows = tape.select(*by, "row_seq", "t_ns", *carry)
     span = rows.groupBy(*by).agg((F.max_by("t_ns", "row_seq") - F.min_by("t_ns", "row_seq")).alias("_span"))
     gaps = over_neighbours(rows, by, lambda w: {"_gap": F.col("t_ns") - F.lag("t_ns").over(w)}, before=1)
-    return gaps.join(span, list(by)).withColumn(
+    return join_key_stats(gaps, span, by).withColumn(
         "time_weight", F.try_divide(F.col("_gap").cast("double"), F.col("_span").cast("double"))).drop(
             "_gap", "_span", "t_ns")
 
@@ -253,7 +253,7 @@ def time_of_day(tape: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Seconds since midnight of the day of the key's first row."""
     day = 86_400 * NS
     first = tape.groupBy(*by).agg((F.min_by("t_ns", "row_seq") - F.min_by("t_ns", "row_seq") % day).alias("_day0"))
-    return tape.select(*by, "row_seq", "t_ns").join(first, list(by)).select(
+    return join_key_stats(tape.select(*by, "row_seq", "t_ns"), first, by).select(
         *by, "row_seq", ((F.col("t_ns") - F.col("_day0")) / 1e9).alias("seconds"))
 
 
@@ -311,7 +311,7 @@ def rolling_mean(rows: DataFrame, value: str, n: int, by: Sequence[str] = BY) ->
 def acf(series: DataFrame, value: str, nlags: int, by: Sequence[str] = BY, alpha: float | None = None) -> DataFrame:
     """Autocorrelation for lags 0..nlags (biased estimator) of a densely indexed series without NULLs."""
     mean = series.groupBy(*by).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("n"))
-    centred = series.select(*by, "row_seq", value).join(mean, list(by)).select(*by, "row_seq", "n", (F.col(value) - F.col("_m")).alias("_x"))
+    centred = join_key_stats(series.select(*by, "row_seq", value), mean, by).select(*by, "row_seq", "n", (F.col(value) - F.col("_m")).alias("_x"))
     ahead = over_neighbours(centred, by, lambda w: {f"_l{k}": F.lead("_x", k).over(w) for k in range(1, nlags + 1)},
                             after=nlags)
     sums = ahead.groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.col("_x") * F.col("_x")).alias("_c0"), *[
@@ -345,7 +345,7 @@ def qcut_3d(changes: DataFrame, n: int, by: Sequence[str] = BY,
         named = {f"_e{i}": i / n for i in range(n + 1)}
         edges = quantiles(changes, by, dim, named).select(*by, F.array_distinct(F.array(*named)).alias("_edges"))
         below = F.size(F.filter("_edges", lambda e: e < F.col(dim)))
-        out = out.join(edges, list(by)).withColumn(
+        out = join_key_stats(out, edges, by).withColumn(
             f"{dim}_group", F.when(F.col(dim).isNotNull(), F.greatest(below, F.lit(1)) - 1).cast("long")).drop("_edges")
     return out
 

@@ -18,6 +18,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bookflow.functions import div
+from bookflow.session import stage
 
 CHUNK = 1 << 16
 
@@ -27,6 +28,15 @@ def chunk_of(pos: str) -> Column:
     return div(F.col(pos), CHUNK)
 
 
+def join_key_stats(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one row of statistics per key to the rows of the key.
+
+    The statistics are written first, so their size is known when the join is planned: small ones are broadcast and the rows stay where they are;
+    large ones are joined by a shuffle, whose skewed parts adaptive execution splits.
+    """
+    return rows.join(stage(stats, "key-stats"), list(by), how)
+
+
 def dense_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], bucket: Column,
                 name: str = "row_seq") -> DataFrame:
     """0-based position of each row within `by` under `order`.
@@ -186,7 +196,8 @@ def value_chunks(rows: DataFrame, by: Sequence[str], value: str, name: str = "_v
     """Add a chunk number that never falls as `value` rises, so that chunks of a key hold about equally many rows.
 
     Keys of at most CHUNK rows are one chunk. The borders of a larger key are quantiles of its own rows, from a sketch that is merged map-side in one
-    pass, so they follow the data however narrow or wide its values lie; the sketch only places the borders, results do not depend on it.
+    pass, so they follow the data however narrow or wide its values lie; the sketch only places the borders, results do not depend on it. The borders
+    are broadcast: one row of about 4 kB for each key of more than CHUNK rows, a sixteenth of a byte for each row.
     """
     probs = [i / CUTS for i in range(1, CUTS)]
     borders = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(value, probs, 8 * CUTS).alias("_cuts")).filter(
@@ -195,7 +206,7 @@ def value_chunks(rows: DataFrame, by: Sequence[str], value: str, name: str = "_v
     block = F.size(F.filter("_coarse", lambda c: c < v)) * STRIDE
     inside = F.size(F.filter(F.slice("_cuts", block + 1, F.lit(STRIDE)), lambda c: c < v))
     # null borders (a small key) give size -1 or null: one chunk
-    return rows.join(borders, list(by), "left").withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block + inside)).drop("_cuts", "_coarse")
+    return rows.join(F.broadcast(borders), list(by), "left").withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block + inside)).drop("_cuts", "_coarse")
 
 
 def cumulative(hist: DataFrame, by: Sequence[str], value: str, counts: Sequence[str],

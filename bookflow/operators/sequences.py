@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bookflow.functions import div
 from bookflow.operators.micro import BY
+from bookflow.operators.ordered import join_key_stats
 
 SEQUENCE_KEYS = ("date", "real_id", "gen_id", "kind")
 
@@ -27,10 +28,10 @@ def subseqs(tape: DataFrame, *, n: int | None = None, length: int | None = None,
     if n is not None:
         run = list(run or [c for c in by if c != "kind"])
         sizes = tape.groupBy(*run).agg(F.sum((F.col("kind") == "real").cast("long")).alias("_real"))
-        return tape.join(sizes, run).withColumn("sub_id", div(F.col("row_seq"), div(F.col("_real"), n))).drop("_real")
+        return join_key_stats(tape, sizes, run).withColumn("sub_id", div(F.col("row_seq"), div(F.col("_real"), n))).drop("_real")
     bar = div(F.col("t_ns"), every_ns)
     first = tape.groupBy(*by).agg(F.min(bar).alias("_first"))
-    return tape.join(first, list(by)).withColumn("sub_id", bar - F.col("_first")).drop("_first")
+    return join_key_stats(tape, first, by).withColumn("sub_id", bar - F.col("_first")).drop("_first")
 
 
 def score(tape: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], by: Sequence[str] = BY) -> DataFrame:
@@ -62,7 +63,7 @@ def score_with_python(tape: DataFrame, fn: Callable[[pd.DataFrame], float], keys
 def position_groups(tape: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Group id = position inside the sub-sequence."""
     first = tape.groupBy(*by, "sub_id").agg(F.min("row_seq").alias("_first"))
-    return tape.join(first, [*by, "sub_id"]).withColumn("grp", F.col("row_seq") - F.col("_first")).drop("_first")
+    return join_key_stats(tape, first, [*by, "sub_id"]).withColumn("grp", F.col("row_seq") - F.col("_first")).drop("_first")
 
 
 def score_table(tape: DataFrame, score_col: str, group_col: str | None = None, by: Sequence[str] = BY) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bookflow.functions import div
 from bookflow.operators.flow import BY
-from bookflow.operators.ordered import over_neighbours
+from bookflow.operators.ordered import join_key_stats, over_neighbours
 
 # Feature order of the window vectors.
 DRAWS = 1_000_003  # values of the thinning rule, a prime
@@ -46,7 +46,7 @@ def split_ordered(rows: DataFrame, w: int = 0, by: Sequence[str] = BY, pos: str
     train = F.floor(F.lit(0.6) * F.col("_n"))
     val = F.floor(F.lit(0.2) * F.col("_n"))
     part = F.when(F.col(pos) < train, "train").when(F.col(pos) < train + val, "val").otherwise("test")
-    return rows.join(sizes, list(by)).filter(F.col(pos) < F.col("_n")).withColumn("split", part).drop("_n")
+    return join_key_stats(rows, sizes, by).filter(F.col(pos) < F.col("_n")).withColumn("split", part).drop("_n")
 
 
 def thin(rows: DataFrame, stride: int, share: float | None = None, seed: int = 42, by: Sequence[str] = BY, pos: str = "row_seq") -> DataFrame:
@@ -86,7 +86,7 @@ def window_features(flow: DataFrame, w: int, stride: int = 1, *, train_only: boo
     starts = over_neighbours(rows, by, prefix, ahead, after=w - 1).filter("_full = 1").filter(F.col("row_seq") % max(1, stride) == 0)
     if train_only:
         sizes = flow.groupBy(*by).agg(F.floor(F.lit(0.6) * (F.count(F.lit(1)) - w)).alias("_train"))
-        starts = starts.join(sizes, list(by)).filter(F.col("row_seq") < F.col("_train"))
+        starts = join_key_stats(starts, sizes, by).filter(F.col("row_seq") < F.col("_train"))
     n = F.lit(float(w))
     var = F.greatest(F.lit(0), F.lit(w) * F.col("_wpm2") - F.col("_wpm") * F.col("_wpm")) / (n * n)
     first = F.coalesce("_mid", F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bookflow.functions import edge_group, is_finite, literal_edges
 from bookflow.operators import aggregates as agg, distances as dist, micro
-from bookflow.operators.ordered import over_neighbours, quantiles
+from bookflow.operators.ordered import join_key_stats, over_neighbours, quantiles
 from bookflow.session import stage
 
 # Metric names of the comparison, and which of them are compared value by value.
@@ -94,7 +94,7 @@ def row_scores(tape: DataFrame, by: Sequence[str], n_ofi: int = 100, levels: int
                                  (null if g is None else g).alias("given")) for m, s, g in scores])
     day = 86_400 * micro.NS
     first = tape.groupBy(*by).agg((F.min_by("t_ns", "row_seq") - F.min_by("t_ns", "row_seq") % day).alias("_day0"))
-    return seen.join(first, list(by)).select(*by, F.inline(F.filter(stacked, lambda x: x["score"].isNotNull())))
+    return join_key_stats(seen, first, by).select(*by, F.inline(F.filter(stacked, lambda x: x["score"].isNotNull())))
 
 
 def metric_scores(tape: DataFrame, by: Sequence[str], n_ofi: int = 100) -> DataFrame:

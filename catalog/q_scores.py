@@ -270,11 +270,40 @@ query("a11_iqm", tape_sql(
     "FROM imb GROUP BY run_id) USING (run_id) GROUP BY run_id", IMB))(lambda t: agg.iqm(imb(t), "score", RUN))
 
 # D11 - D14
-query("d11_bootstrap_wasserstein")(lambda t: dist.bootstrap(
-    imb(t).select("run_id", "kind", "score"), RUN, dist.wasserstein_loss, replicates=20, standardise=True))
-query("x2_bootstrap_l1")(lambda t: dist.bootstrap(
-    t.tape.select("run_id", "kind", F.col("event_type").cast("double").alias("score"), F.col("event_type").alias("grp")),
-    RUN, dist.l1_loss, replicates=20))
+REPLICATES = 20
+
+
+def split_sql(source: str, cols: str) -> list[str]:
+    """CTEs ending in `drawn`(run_id, kind, b, cols, weight): source(run_id, kind, cols) resampled by the split tree; b = 0 is the source itself."""
+    toss = lambda x: f"list_transform([{x}], lambda v: ((v % {dist.PRIME}) * (v % {dist.PRIME}) + 5 * (v % {dist.PRIME}) + 1013904223) % {dist.PRIME})[1]"
+    u = toss(toss("state + 65537 * i"))
+    return [
+        f"uniq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id, kind ORDER BY {cols}) AS rk FROM (SELECT run_id, kind, {cols}, count(*) AS n FROM {source} GROUP BY ALL))",
+        "cums AS MATERIALIZED (SELECT run_id, kind, list(c ORDER BY rk) AS c, max(rk) AS d FROM (SELECT run_id, kind, rk, CAST(sum(n) OVER (PARTITION BY run_id, kind ORDER BY rk) AS BIGINT) AS c FROM uniq UNION ALL SELECT DISTINCT run_id, kind, 0, 0 FROM uniq) GROUP BY ALL)",
+        f"""tree AS (SELECT run_id, kind, b, CAST(1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS lo, d AS hi, c[d + 1] AS k FROM cums, (SELECT unnest(range(1, {REPLICATES + 1})) AS b)
+  UNION ALL SELECT run_id, kind, b, 2 * id + side, CASE WHEN side = 0 THEN lo ELSE mid END, CASE WHEN side = 0 THEN mid ELSE hi END, CASE WHEN side = 0 THEN l ELSE k - l END FROM (
+    SELECT *, CAST(CASE WHEN k <= {dist.FEW} THEN list_sum(list_transform(us, lambda x, i: CASE WHEN i <= k AND CAST(x AS DOUBLE) / {dist.PRIME} < p THEN 1 ELSE 0 END))
+      ELSE greatest(0, least(k, floor(k * p + (CAST(list_sum(us[1:12]) AS DOUBLE) / {dist.PRIME} - 6) * sqrt(k * p * (1 - p)) + 0.5))) END AS BIGINT) AS l
+    FROM (SELECT *, list_transform(range(1, {dist.FEW + 1}), lambda i: {u}) AS us, CAST(c[mid + 1] - c[lo + 1] AS DOUBLE) / (c[hi + 1] - c[lo + 1]) AS p
+      FROM (SELECT *, (lo + hi) // 2 AS mid, {toss(toss(toss("12345 + 1000003 * b") + " + CASE WHEN kind = 'real' THEN 104729 ELSE 1299709 END") + f" + (id % {dist.PRIME}) * 7919 % {dist.PRIME}")} AS state
+        FROM tree JOIN cums USING (run_id, kind) WHERE hi - lo > 1 AND k > 0))), (VALUES (0), (1)) s(side))""",
+        f"drawn AS (SELECT run_id, kind, b, {cols}, k AS weight FROM tree JOIN uniq USING (run_id, kind) WHERE hi - lo = 1 AND rk = hi AND k > 0 UNION ALL SELECT run_id, kind, 0, {cols}, n FROM uniq)"]
+
+
+INTERVAL = (f"SELECT run_id, {R('max(loss) FILTER (b = 0)')} AS loss, {R('quantile_cont(loss, 0.005)')} AS ci_low, {R('quantile_cont(loss, 0.995)')} AS ci_high, count(loss) AS n_losses FROM losses GROUP BY run_id")
+recursive = lambda sql: sql.replace("WITH ", "WITH RECURSIVE ", 1)
+query("d11_bootstrap_wasserstein", recursive(tape_sql(
+    INTERVAL, IMB, "scaled AS (SELECT run_id, kind, imb.score / sd AS score FROM imb JOIN (SELECT run_id, stddev_samp(score) AS sd FROM imb GROUP BY run_id) USING (run_id))", *split_sql("scaled", "score"),
+    """dh AS (SELECT run_id, b, score AS v, coalesce(sum(weight) FILTER (kind = 'real'), 0) AS r, coalesce(sum(weight) FILTER (kind = 'generated'), 0) AS g FROM drawn GROUP BY ALL),
+    dc AS (SELECT run_id, b, sum(r) OVER w / sum(r) OVER p AS fr, sum(g) OVER w / sum(g) OVER p AS fg, lead(v) OVER w - v AS step FROM dh WINDOW w AS (PARTITION BY run_id, b ORDER BY v), p AS (PARTITION BY run_id, b)),
+    losses AS (SELECT run_id, b, coalesce(sum(abs(fr - fg) * step), 0) AS loss FROM dc GROUP BY run_id, b)""")))(
+    lambda t: dist.bootstrap(imb(t).select("run_id", "kind", "score"), RUN, dist.wasserstein_loss, replicates=REPLICATES, standardise=True))
+query("x2_bootstrap_l1", recursive(tape_sql(
+    INTERVAL, "typed AS (SELECT run_id, kind, CAST(event_type AS DOUBLE) AS score, event_type AS grp FROM tape)", *split_sql("typed", "score, grp"),
+    """dg AS (SELECT run_id, b, grp, coalesce(sum(weight) FILTER (kind = 'real'), 0) AS r, coalesce(sum(weight) FILTER (kind = 'generated'), 0) AS g FROM drawn GROUP BY ALL),
+    losses AS (SELECT run_id, b, sum(abs(r / tr - g / tg)) / 2 AS loss FROM (SELECT *, sum(r) OVER p AS tr, sum(g) OVER p AS tg FROM dg WINDOW p AS (PARTITION BY run_id, b)) GROUP BY run_id, b)""")))(
+    lambda t: dist.bootstrap(t.tape.select("run_id", "kind", F.col("event_type").cast("double").alias("score"), F.col("event_type").alias("grp")),
+                             RUN, dist.l1_loss, replicates=REPLICATES))
 query("d12_kl_ecdf", tape_sql(
     f"SELECT run_id, {R('sum(uses * ln(sp / sq)) / sum(uses) - 1')} AS kl_ecdf FROM terms_k GROUP BY run_id", IMB,
     """h AS (SELECT run_id, score AS v, count(*) FILTER (kind = 'real') AS r, count(*) FILTER (kind = 'generated') AS g FROM imb GROUP BY ALL),

@@ -145,3 +145,27 @@ def test_conditional_sequences_are_scored_only(spark):
         assert fn(df).collect() == fn(two).collect()
     grouped = dist.group_scores(df, ["run_id"], "bins", bins=4)
     assert grouped.filter("kind = 'conditional' AND grp = 3").count() == 2
+
+
+def test_draws_do_not_depend_on_the_parts(spark):
+    """Subtrees split in tasks of their own give the draws of one tree; every replicate draws as many rows as there are."""
+    rng = np.random.default_rng(21)
+    counts = rng.integers(1, 9, 301)
+    k, seed = np.full(40, counts.sum()), dist.toss(np.arange(40) * 977 + 5)
+    whole = dist.split_draws(counts, k, seed)
+    assert (whole.sum(1) == counts.sum()).all() and (whole >= 0).all()
+    share = whole.mean(0) / counts
+    assert abs(share.mean() - 1) < 0.05 and 0.6 < (whole - counts).var() / counts.mean() < 1.5  # about Poisson
+    rows = [("r", kind, float(i)) for kind in ("real", "generated") for i, c in enumerate(rng.integers(1, 5, 90)) for _ in range(c)]
+    df = spark.createDataFrame(rows, "run string, kind string, score double")
+    results = {n: dist.bootstrap(df.repartition(p), ["run"], dist.wasserstein_loss, replicates=30, alpha=0.1, leaves=n).collect() for n, p in ((4096, 1), (16, 5), (3, 3))}
+    assert results[4096] == results[16] == results[3]
+
+
+@pytest.mark.parametrize("k", [1, 7, 32, 33, 500])
+def test_left_share_is_binomial(k):
+    state = dist.toss(np.arange(20_000) * 31 + 7)
+    for p in (0.5, 0.1, 0.93):
+        x = dist.left_share(np.full(20_000, k), np.full(20_000, p * 1000), np.full(20_000, 1000.0), state)
+        assert x.min() >= 0 and x.max() <= k
+        assert abs(x.mean() - k * p) < 0.05 * max(1, np.sqrt(k * p * (1 - p))) + 0.02 and abs(x.var() / (k * p * (1 - p)) - 1) < 0.08

@@ -132,3 +132,41 @@ def test_depth_is_clamped(spark, small_chunks, opened):
 def test_removals_without_side_are_set_aside(spark):
     flow = spark.createDataFrame([(1, "s", 0, 0, 99, None, 5, 10)], "trade_date long, security_id string, row_seq long, t_ms long, side long, orig_side long, order_qty long, price_tick long")
     assert depth.level_depth(flow).count() == 0 and depth.depth_events(flow).filter("book_side IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("cells", [1, 13, 1 << 22])
+def test_top_levels(cells, monkeypatch):
+    """Best levels after each event against a book kept row by row, in blocks of any size."""
+    monkeypatch.setattr(depth, "CELLS", cells)
+    rng = random.Random(cells)
+    for falling in (False, True):
+        ladder = rng.sample(range(10, 40), 9)
+        price = np.array(ladder[:4] + [rng.choice(ladder) for _ in range(120)])
+        size = np.array([5, 6, 7, 8] + [rng.choice([0, 0, 3, 9]) for _ in range(120)])
+        prices, sizes, found = depth.tops(price, size, 4, 3, falling)
+        book = dict(zip(price[:4].tolist(), size[:4].tolist()))
+        for k in range(121):
+            if k:
+                book[int(price[3 + k])] = int(size[3 + k])
+            want = sorted((p for p, q in book.items() if q > 0), reverse=falling)[:3]
+            assert [(prices[k, i], sizes[k, i]) for i in range(3) if found[k, i]] == [(p, book[p]) for p in want]
+
+
+def test_context_window_needs_the_second(spark):
+    flow = spark.createDataFrame([(1, "a", 0, 34_200_100), (1, "a", 1, 34_200_900), (1, "b", 0, 34_201_000)], "trade_date long, security_id string, row_seq long, t_ms long")
+    assert flows.context_window(flow, 34_200, 5).count() == 2
+    with pytest.raises(ValueError, match="second 34300"):
+        flows.context_window(flow, 34_300, 5)
+    with pytest.raises(ValueError, match="for b"):
+        flows.context_window(flow, 34_200, 5, required=flow)
+
+
+def test_removals_without_side_are_counted(spark):
+    rows = [(1, "s", 0, 0, 49, 49, 500, 10), (1, "s", 1, 1, 99, None, 100, 10), (1, "s", 2, 2, 129, None, 30, 11), (1, "s", 3, 3, 99, 49, 200, 10), (1, "s", 4, 4, 99, None, 7, 10)]
+    flow = spark.createDataFrame(rows, "trade_date long, security_id string, row_seq long, t_ms long, side long, orig_side long, order_qty long, price_tick long")
+    out = depth.level_depth(flow, keep_aside=True)
+    assert {(r["kind_of"], r["events"], r["qty"]) for r in depth.set_aside(out).collect()} == {("cancel", 2, 107), ("execute", 1, 30)}
+    plain = depth.level_depth(flow)
+    assert out.filter("book_side IS NOT NULL").exceptAll(plain).count() == 0 and plain.count() == 2
+    assert depth.removed_qty(out).collect() == depth.removed_qty(plain).collect() and depth.to_messages(out).count() == 2
+    assert depth.book_after(out, 2).count() == depth.book_after(plain, 2).count() == 2

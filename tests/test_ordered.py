@@ -90,3 +90,25 @@ def test_hot_key_spreads_over_tasks(spark):
     dense = ordered.dense_index(df, ["k"], ["o"], F.expr("o div 100"))
     out = ordered.over_neighbours(dense, ["k"], lambda w: {"n": F.count("*").over(w.rowsBetween(-10**6, 10**6))}, before=5, after=5, chunk=100)
     assert out.agg(F.max("n")).first()[0] <= 110
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+
+def test_key_statistics_do_not_move_the_rows(tables):
+    """Per-key statistics are small and written first, so the plan broadcasts them and has no shuffle of the rows for them."""
+    from bookflow.operators import aggregates as agg, distances as dist, micro, sequences, windows
+
+    tape, by = tables.tape, ["run_id"]
+    imb = micro.book_imbalance(tape).withColumnRenamed("imbalance", "score")
+    flow = tables.flow.select("trade_date", "security_id", "row_seq")
+    plans = {
+        "M3": micro.l1_volume(tape), "M15": micro.time_of_day(tape), "W13": windows.split_ordered(flow, 50), "D2": sequences.subseqs(tape, n=7), "D2t": sequences.subseqs(tape, every_ns=10**12),
+        "D3": dist.group_scores(imb, by, "rule"), "D3q": dist.group_scores(imb, by, "quantiles", probs=[0.5]), "D3b": dist.group_scores(imb, by, "bins", bins=4),
+        "D5": sequences.position_groups(sequences.subseqs(tape, length=250)), "A9": agg.shared_hist(imb, imb, "score", 10, by), "A11": agg.iqm(imb, "score", by)}
+    for name, df in plans.items():
+        assert joins(df)[0] == 0 and joins(df)[1] >= 1, name
+    w6 = micro.acf(imb.select("run_id", "kind", "row_seq", "score"), "score", 3)
+    assert joins(w6) == (0, 1)
