@@ -74,8 +74,10 @@ class WordEncoder:
         words = [(t if not self.lower or b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         if len(self.cache) > CACHE:
             self.cache = {}
-        new = set().union(*words).difference(self.cache)
-        if new:
+        found = [list(map(self.cache.get, ws)) for ws in words]
+        lacking = [i for i, f in enumerate(found) if None in f]
+        if lacking:
+            new = {w for i in lacking for w, f in zip(words[i], found[i]) if f is None}
             # a comma or full stop after a letter is a piece of its own
             ends = {w for w in new if len(w) > 1 and w[-1] in b",." and w[-2:-1].isalpha() and b"<|" not in w}
             plain = list(((new - ends) | {w[:-1] for w in ends} | {b",", b"."}).difference(self.cache))
@@ -84,8 +86,9 @@ class WordEncoder:
             self.cache.update(zip(odd, self._library(odd)))
             self.cache.update(zip(plain, self._words(plain)))
             self.cache.update((w, self.cache[w[:-1]] + self.cache[w[-1:]]) for w in ends)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+            for i in lacking:
+                found[i] = map(self.cache.__getitem__, words[i])
+        return list(map(b"".join, found))
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
