@@ -30,6 +30,7 @@ LONGEST = 1024  # bytes of a shingle that is hashed beside others
 WIDTHS, CHECKS = (22, 21, 21), 4
 PART = 1 << 14  # fingerprints of each side of a part of a common anchor
 SHARE = 256
+SPREAD = 20_000  # fingerprints that one task sends to their anchors
 TILE = 1 << 20  # comparisons at a time
 FLUSH = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -226,7 +227,7 @@ def placements(fp: np.ndarray, bits: int, checks: int, widths: tuple[int, ...])
 _code = cache(Covering)
 
 
-def common_anchors(fps: DataFrame, bits: int, checks: int, widths: tuple[int, ...], part: int) -> DataFrame:
+def common_anchors(fps: DataFrame, total: int, bits: int, checks: int, widths: tuple[int, ...], part: int) -> DataFrame:
     """seg, anchor, homes, others (numbers of parts) of anchors that need more than one part.
 
     Tasks report what a 256th of a batch shares; anchors below a 512th of all fingerprints are left whole, so the table is bounded by the code, and
@@ -243,7 +244,7 @@ def common_anchors(fps: DataFrame, bits: int, checks: int, widths: tuple[int, ..
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(much.sum(), seg, np.int32)), pa.array(key[much]), pa.array(n[much]), pa.array(own[much])], ["seg", "anchor", "n", "own"])
 
     found = fps.select("fp").mapInArrow(run, "seg int, anchor long, n long, own long").groupBy("seg", "anchor").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
-    least = max(part, fps.count() // (2 * SHARE))
+    least = max(part, total // (2 * SHARE))
     parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / part)).cast("int")
     return found.where(F.col("n") > least).select("seg", "anchor", parts("own").alias("homes"), parts("n").alias("others"))
 
@@ -349,8 +350,9 @@ def links(fps: DataFrame, bits: int = 4, checks: int = CHECKS, widths: tuple[int
         if held and sum(len(h[2]) for h in held):
             yield flush(True)
 
-    many = common_anchors(fps, bits, checks, widths, part)
-    rows = fps.select("fp").mapInArrow(place, "seg int, anchor long, home boolean, fp long").join(F.broadcast(many), ["seg", "anchor"], "left").na.fill(1, ["homes", "others"])
+    total = fps.count()
+    many = common_anchors(fps, total, bits, checks, widths, part)
+    rows = fps.select("fp").repartition(total // SPREAD + 1).mapInArrow(place, "seg int, anchor long, home boolean, fp long").join(F.broadcast(many), ["seg", "anchor"], "left").na.fill(1, ["homes", "others"])
     mine = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     along = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = F.when(F.col("home"), F.transform(along("others"), lambda j: F.struct(mine("homes").alias("i"), j.alias("j")))).otherwise(F.transform(along("homes"), lambda i: F.struct(i.alias("i"), mine("others").alias("j"))))

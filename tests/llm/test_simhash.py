@@ -133,7 +133,7 @@ def test_links(spark, checks, part, monkeypatch):
         root[max(x, y)] = min(x, y)
     assert [top(i) for i in range(len(fps))] == want
     if part == 7:
-        assert simhash.common_anchors(df, 4, checks, simhash.WIDTHS, part).where("others > 1 and homes > 1").count() > 0
+        assert simhash.common_anchors(df, len(fps), 4, checks, simhash.WIDTHS, part).where("others > 1 and homes > 1").count() > 0
 
 
 def test_compared(monkeypatch):
