@@ -6,11 +6,13 @@ splitting rule cuts is merged once per worker and kept in a bounded cache, which
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,15 +29,13 @@ CACHE = 150_000
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 
 
-def _odd() -> frozenset[str]:
+@cache
+def odd() -> frozenset[str]:
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     sets = [set(regex.findall(r"\p{L}", every)) ^ set(re.findall(r"[^\W\d_]", every)), set(regex.findall(r"\p{N}", every)) ^ set(re.findall(r"\d", every)), set(regex.findall(r"\p{White_Space}", every)) ^ set(re.findall(r"\s", every))]
     return frozenset().union(*sets)
 
 
-ODD = _odd()
-
-
 def byte_chars() -> dict[str, int]:
     """The character that stands for each byte in a vocabulary file: printable Latin-1 itself, all others from U+0100 on in order."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -105,7 +105,7 @@ class Bpe:
         return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else self._encode(p) for k, p in enumerate(parts))
 
     def _encode(self, text: str) -> bytes:
-        pieces = FAST(text) if ODD.isdisjoint(text) else self.split(text)
+        pieces = FAST(text) if odd().isdisjoint(text) else self.split(text)
         found = list(map(self.cache.get, pieces))
         if None in found:
             for i, x in enumerate(found):
@@ -128,23 +128,25 @@ class Bpe:
         return b"".join(map(self.string.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
 
 
-_made: dict[int, Bpe] = {}
+_made: dict[str, Bpe] = {}
 
 
 def _of(shared) -> Bpe:
-    """One tokenizer per worker and broadcast."""
+    """One tokenizer per worker: the one of the last vocabulary."""
     if shared.id not in _made:
+        _made.clear()
         _made[shared.id] = Bpe(shared.value)
     return _made[shared.id]
 
 
 class _Content:
-    """A broadcast of a vocabulary file, known by number."""
+    """A broadcast of a vocabulary file, known by its content."""
 
     def __init__(self, docs: DataFrame, path: str):
         with open(path, encoding="utf-8") as f:
-            self.sent = docs.sparkSession.sparkContext.broadcast(f.read())
-        self.id = hash((path, id(self.sent)))
+            content = f.read()
+        self.sent = docs.sparkSession.sparkContext.broadcast(content)
+        self.id = hashlib.sha256(content.encode()).hexdigest()
 
     @property
     def value(self) -> str:

@@ -31,6 +31,7 @@ NO_ID = -(2**63)
 CHUNK = 600_000  # tokens of the sets that one task compares at once
 MEMBERS = 4096  # and sets
 GROUP = 4096
+MET = 1 << 20  # sets that a task remembers having sent
 
 
 def sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,17 +105,14 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, met = np.frombuffer(shared.value, np.uint8), set()
+        classes, met = np.frombuffer(shared.value, np.uint8), np.zeros(MET, np.int64)
         for batch in scan.blocks(batches):
             token, doc, n = sets(scan.texts(batch), k)
             key = set_keys(token, doc, n)
-            fresh = np.zeros(len(n), bool)
-            for i, x in enumerate(key.tolist()):
-                if n[i] and x not in met:
-                    fresh[i] = True
-                    met.add(x)
-            if len(met) > 1_000_000:
-                met = set()
+            slot = key & (MET - 1)
+            fresh = (n > 0) & (met[slot] != key)
+            fresh[np.setdiff1d(np.arange(len(key)), np.unique(key, return_index=True)[1])] = False
+            met[slot] = key
             lists = []
             for order in range(ORDERS):
                 t, d = prefixes(token, doc, n, classes, percent, order)
