@@ -17,24 +17,37 @@ from bookflow.llm import bpe, decontam, jaccard, quality, queries, substrings
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch that goes to a Python worker: whole texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return quality.filter_quality(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return jaccard.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return substrings.cut(docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return decontam.drop_contaminated(docs, decontam.halves(queries.table(spark, sf_dir, "benchmark")))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), round_trip: whether the ids decode to the text."""
+    lean(spark)
     both = bpe.encode(docs.select("doc_id", "text"), queries.vocabulary("byte_bpe_50k.json"), back=True)
     return both.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
