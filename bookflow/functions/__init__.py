@@ -22,6 +22,15 @@ def div(value: Column, by: int | Column) -> Column:
     return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))
 
 
+PRIME = 2_147_483_647
+
+
+def toss(x):
+    """Pseudo-random whole numbers below PRIME from non-negative whole numbers (columns or arrays), in integer arithmetic that any engine has."""
+    x = x % PRIME
+    return (x * x + 5 * x + 1_013_904_223) % PRIME
+
+
 def _six(text: Column) -> Column:
     """Zeros in front up to six characters; longer codes stay whole."""
     return F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0"))

@@ -8,9 +8,9 @@ from collections.abc import Generator, Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bookflow.functions import div, edge_bin, literal_edges
+from bookflow.functions import PRIME, div, edge_bin, literal_edges, toss
 from bookflow.operators.flow import BY, SIDES_5
-from bookflow.operators.ordered import asof_backward, chunk_of, running, value_chunks
+from bookflow.operators.ordered import asof_backward, chunk_of, over_values, running, value_chunks
 from bookflow.session import stage
 
 FIELDS = {"price": "price_diff", "qty": "order_qty", "interval": "interval_ms"}
@@ -237,16 +237,16 @@ def _modes(rows: DataFrame, distribution: DataFrame, edges: Mapping[str, Sequenc
 
 def _draws(rows: DataFrame, distribution: DataFrame, edges: Mapping[str, Sequence[float]], seed: int,
            by: Sequence[str]) -> DataFrame:
-    """A position in the bin's sorted values is hashed from (seed, row, field) and looked up in the cumulative table."""
+    """A position in the bin's sorted values is drawn from (seed, row_seq, field) by whole numbers and looked up in the cumulative table."""
     totals = {(r["field"], r["bin"]): r["n"] for r in distribution.groupBy("field", "bin").agg(F.sum("count").alias("n")).collect()}
-    cum = running(value_chunks(distribution, ["field", "bin"], "value"), ["field", "bin"], ["value"], F.col("_vc"), sums={"_end": F.col("count")}).select(
+    cum = over_values(distribution, ["field", "bin"], "value", sums={"_end": F.col("count")}).select(
         "field", F.col("bin").cast("int").alias("bin"), (F.col("_end") - F.col("count")).cast("long").alias("_at"), "value")
     asks = []
-    for f in FIELDS:
+    for number, f in enumerate(FIELDS):
         sizes = F.array(*[F.lit(totals.get((f, b))).cast("long") for b in range(len(edges[f]) - 1)])
         size = sizes[F.col(f"{f}_bin")]
         asks.append(F.struct(F.lit(f).alias("field"), F.col(f"{f}_bin").alias("bin"),
-                             F.pmod(F.xxhash64(F.lit(seed), *by, "row_seq", F.lit(f)), size).alias("_at")))
+                             div(toss(toss(F.col("row_seq") + seed * 104_729 + number * 1_299_709)) * size, PRIME).alias("_at")))
     slim = rows.filter("order_token IS NOT NULL").select(*by, "row_seq", F.inline(F.array(*asks))).filter("_at IS NOT NULL")
     found = asof_backward(slim, cum, ["field", "bin"], "_at", ["value"], bucket=1 << 16)
     wide = found.groupBy(*by, "row_seq").agg(*[

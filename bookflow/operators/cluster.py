@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from bookflow.operators.ordered import quantiles
+from bookflow.operators.ordered import join_key_stats, quantiles
 from bookflow.operators.windows import FEATURES
 from bookflow.session import stage
 
@@ -34,8 +34,8 @@ def centroids(points: DataFrame, dims: int) -> DataFrame:
 
 
 def _with_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Centres are one row per cluster, so the join side is bounded by k."""
-    return points.join(F.broadcast(centres.select("label", "centre")), "label").withColumn("_d", distance(F.col("z"), F.col("centre")))
+    """Centres are written first: a few clusters are broadcast, very many labels are joined by a shuffle."""
+    return join_key_stats(points, centres.select("label", "centre"), ["label"]).withColumn("_d", distance(F.col("z"), F.col("centre")))
 
 
 def cluster_balance(points: DataFrame, k: int) -> DataFrame:
@@ -81,7 +81,7 @@ def ch_index(points: DataFrame, dims: int, cents: DataFrame | None = None, sums:
     """Calinski-Harabasz score, with n and k. The overall mean is the weighted mean of the cluster means."""
     cents = centroids(points, dims) if cents is None else cents
     sums = cluster_sums(points, cents) if sums is None else sums
-    rows = cents.join(F.broadcast(sums.select("label", "sum_d2")), "label")  # k rows
+    rows = cents.join(sums.select("label", "sum_d2"), "label")  # k rows
     one = rows.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("sum_d2").alias("_w"), F.collect_list(F.struct("n", "centre")).alias("_all"),
                    F.array(*[F.sum(F.col("n") * F.col("centre")[i]) / F.sum("n") for i in range(dims)]).alias("_m"))
     between = F.aggregate("_all", F.lit(0.0), lambda acc, c: acc + c["n"] * F.pow(distance(c["centre"], F.col("_m")), 2))
@@ -94,7 +94,7 @@ def db_index(points: DataFrame, dims: int, cents: DataFrame | None = None, sums:
     cents = centroids(points, dims) if cents is None else cents
     sums = cluster_sums(points, cents) if sums is None else sums
     spread = sums.select("label", (F.col("sum_d") / F.col("n")).alias("s"))
-    rows = cents.join(F.broadcast(spread), "label").agg(F.array_sort(F.collect_list(F.struct("label", "centre", "s"))).alias("_all"))  # k rows
+    rows = cents.join(spread, "label").agg(F.array_sort(F.collect_list(F.struct("label", "centre", "s"))).alias("_all"))  # k rows
     worst = F.transform("_all", lambda a: F.array_max(F.transform(F.filter("_all", lambda b: b["label"] != a["label"]), lambda b: F.coalesce(
         F.try_divide(a["s"] + b["s"], distance(a["centre"], b["centre"])), F.lit(0.0)))))
     return rows.select((F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v) / F.size("_all")).alias("davies_bouldin"))

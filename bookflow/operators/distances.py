@@ -13,8 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bookflow.functions import div, edge_group, is_finite, literal_edges
-from bookflow.operators.ordered import cumulative, join_key_stats, quantiles, running, value_chunks
+from bookflow.functions import PRIME, div, edge_group, is_finite, literal_edges, toss
+from bookflow.operators.ordered import cumulative, join_key_stats, over_values, quantiles, running, value_chunks
 from bookflow.session import stage
 
 REAL, GENERATED = "real", "generated"
@@ -194,7 +194,7 @@ def group_scores(scores: DataFrame, by: Sequence[str], method: str, *, rule: str
         return scores.withColumn(name, edge_group(x, literal_edges(thresholds)))
     if method == "discrete":
         values = scores.select(*by, x.cast("double").alias("_v")).groupBy(*by, "_v").count()
-        ranked = running(value_chunks(values, by, "_v"), by, ["_v"], F.col("_vc"), sums={name: F.lit(1)})
+        ranked = over_values(values, by, "_v", sums={name: F.lit(1)})
         keyed = scores.withColumn("_v", x.cast("double"))
         return keyed.join(ranked.select(*by, "_v", F.col(name).cast("long").alias(name)), [*by, "_v"]).drop("_v")
     if method == "rule":
@@ -269,7 +269,7 @@ def compare(scores: DataFrame, by: Sequence[str], *, discrete: bool | Column = F
     own = F.col("_v")
     group = own if discrete is True else by_rule if discrete is False else F.when(discrete, own).otherwise(by_rule)
     keep = ("n_real", "n_generated", "wasserstein")
-    shares = table.join(facts, list(by)).groupBy(*by, group.alias("_grp")).agg(
+    shares = cum.join(facts, list(by)).groupBy(*by, group.alias("_grp")).agg(
         F.sum("_r").alias("_r"), F.sum("_g").alias("_g"), *[F.max(c).alias(c) for c in keep])
     both = (F.col("n_real") > 0) & (F.col("n_generated") > 0)
     off = F.abs(F.try_divide(F.col("_r"), F.col("n_real")) - F.try_divide(F.col("_g"), F.col("n_generated")))
@@ -366,8 +366,7 @@ def kl_ecdf(scores: DataFrame, by: Sequence[str], score: str = "score") -> DataF
     hist = scores.groupBy(*by, F.col(score).cast("double").alias("_v")).agg(
         _count_kind(REAL, None).alias("_r"), _count_kind(GENERATED, None).alias("_g"))
     real_v, gen_v = (F.when(F.col(c) > 0, F.col("_v")) for c in ("_r", "_g"))
-    seen = running(value_chunks(hist, by, "_v"), by, ["_v"], F.col("_vc"),
-                   sums={"_cum": F.col("_r")}, befores={"_p_lo": real_v, "_q_lo": gen_v}, froms={"_q_hi": gen_v},
+    seen = over_values(hist, by, "_v", sums={"_cum": F.col("_r")}, befores={"_p_lo": real_v, "_q_lo": gen_v}, froms={"_q_hi": gen_v},
                    totals={"_n": F.col("_r"), "_m": F.col("_g")})
     ends = hist.groupBy(*by).agg((F.min("_v") - 1).alias("_x0"), (F.max("_v") + 1).alias("_x1"))
     points = seen.filter("_r > 0").join(ends, list(by))
@@ -392,7 +391,7 @@ def kl_knn_1d(scores: DataFrame, by: Sequence[str], score: str = "score") -> Dat
     hist = compared(scores).filter(is_finite(F.col(score))).groupBy(*by, F.col(score).cast("double").alias("_v")).agg(
         _count_kind(REAL, None).alias("_r"), _count_kind(GENERATED, None).alias("_g"))
     real_v, gen_v = (F.when(F.col(c) > 0, F.col("_v")) for c in ("_r", "_g"))
-    near = running(value_chunks(hist, by, "_v"), by, ["_v"], F.col("_vc"), befores={"_x0": real_v, "_y0": gen_v}, afters={"_x1": real_v, "_y1": gen_v})
+    near = over_values(hist, by, "_v", befores={"_x0": real_v, "_y0": gen_v}, afters={"_x1": real_v, "_y1": gen_v})
     gap = lambda lo, hi: F.least(F.col("_v") - F.col(lo), F.col(hi) - F.col("_v"))
     r = F.when(F.col("_r") > 1, F.lit(0.0)).otherwise(gap("_x0", "_x1"))
     s = F.when(F.col("_g") > 0, F.lit(0.0)).otherwise(gap("_y0", "_y1"))
@@ -450,17 +449,10 @@ def l1_loss(sample: DataFrame, by: Sequence[str]) -> DataFrame:
     return l1_by_group(sample, by, weight="weight").withColumnRenamed("l1_by_group", "loss")
 
 
-PRIME = 2_147_483_647
 FEW = 32  # draws that are tossed one by one
 LEAVES = 4096  # distinct rows of a part of the split tree
 
 
-def toss(x: np.ndarray) -> np.ndarray:
-    """Pseudo-random whole numbers below PRIME from whole numbers, in integer arithmetic that any engine has."""
-    x = x % PRIME
-    return (x * x + 5 * x + 1_013_904_223) % PRIME
-
-
 def left_share(k: np.ndarray, left: np.ndarray, total: np.ndarray, state: np.ndarray) -> np.ndarray:
     """How many of k draws fall on the left `left` of `total` rows: up to FEW draws are tossed one by one, more take the normal approximation of
     the binomial with a sum of twelve tosses."""
@@ -513,7 +505,7 @@ def bootstrap(scores: DataFrame, by: Sequence[str], loss: Loss, *, replicates: i
     if standardise:
         std = scores.groupBy(*by).agg(F.stddev_samp("score").alias("_std"))
         hist = hist.join(std, list(by)).withColumn("score", F.col("score") / F.col("_std")).drop("_std")
-    ranked = running(value_chunks(hist, keys, "score"), keys, cols, F.col("_vc"), sums={"_rank": F.lit(1)}, totals={"_d": F.lit(1)})
+    ranked = over_values(hist, keys, "score", cols, sums={"_rank": F.lit(1)}, totals={"_d": F.lit(1)})
     # the node of a row: halves are taken until they hold at most `leaves` rows
     root = F.struct(F.lit(0).cast("long").alias("lo"), F.col("_d").cast("long").alias("hi"), F.lit(1).cast("long").alias("id"))
 

@@ -268,9 +268,9 @@ def bars(tape: DataFrame, every_ns: int, value: Column, by: Sequence[str] = BY)
     return rows.groupBy(*by, "bar").agg(F.max_by("_x", "row_seq").alias("last"))
 
 
-def mid_returns(tape: DataFrame, every_ns: int = 60 * NS, by: Sequence[str] = BY) -> DataFrame:
-    """Log return between the last mids of adjacent intervals; NULL after an empty interval."""
-    table = bars(tape, every_ns, mid(), by)
+def mid_returns(tape: DataFrame, every_ns: int = 60 * NS, by: Sequence[str] = BY, value: Column | None = None) -> DataFrame:
+    """Log return between the last mids (or values of `value`) of adjacent intervals; NULL after an empty interval."""
+    table = bars(tape, every_ns, mid() if value is None else value, by)
     prev = F.struct(F.col("bar"), F.col("last"))
     seen = running(table, by, ["bar"], chunk_of("bar"), prevs={"_prev": prev})
     adjacent = F.col("bar") - F.col("_prev.bar") == 1

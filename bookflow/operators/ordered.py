@@ -83,7 +83,7 @@ def over_neighbours(df: DataFrame, by: Sequence[str], *builds: Callable[..., Map
     return keyed.filter("_home = _chunk").drop("_home", "_chunk")
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Column, *,
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Column | None, *,
             sums: Mapping[str, Column] | None = None, mins: Mapping[str, Column] | None = None,
             lasts: Mapping[str, Column] | None = None, nexts: Mapping[str, Column] | None = None,
             prevs: Mapping[str, Column] | None = None, totals: Mapping[str, Column] | None = None,
@@ -94,10 +94,25 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
     sums / mins: running sum / minimum. lasts: last non-null value so far. prevs / nexts: value on
     the previous / next row. befores: last non-null value on earlier rows only. froms: first
     non-null value on this or a later row; afters: on later rows only. totals: sum over the whole
-    key. `chunk` must be non-decreasing in `order` and split a key into bounded parts.
+    key. `chunk` must be non-decreasing in `order` and split a key into bounded parts; None says that
+    every key is bounded.
     """
     sums, mins, lasts, nexts, prevs, totals, befores, froms, afters = (
         dict(x or {}) for x in (sums, mins, lasts, nexts, prevs, totals, befores, froms, afters))
+    if chunk is None:
+        ahead = W.partitionBy(*by).orderBy(*order)
+        span = lambda lo, hi: ahead.rowsBetween(lo, hi)
+        start, end = W.unboundedPreceding, W.unboundedFollowing
+        out = {n: F.coalesce(F.sum(c).over(span(start, 0)), F.lit(0)) for n, c in sums.items()}
+        out |= {n: F.sum(c).over(W.partitionBy(*by)) for n, c in totals.items()}
+        out |= {n: F.min(c).over(span(start, 0)) for n, c in mins.items()}
+        out |= {n: F.last(c, ignorenulls=True).over(span(start, 0)) for n, c in lasts.items()}
+        out |= {n: F.last(c, ignorenulls=True).over(span(start, -1)) for n, c in befores.items()}
+        out |= {n: F.first(c, ignorenulls=True).over(span(0, end)) for n, c in froms.items()}
+        out |= {n: F.first(c, ignorenulls=True).over(span(1, end)) for n, c in afters.items()}
+        out |= {n: F.lag(c).over(ahead) for n, c in prevs.items()}
+        out |= {n: F.lead(c).over(ahead) for n, c in nexts.items()}
+        return df.select(*[c for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     inputs: dict[str, Column] = {}
     for kind, spec in (("s", sums), ("m", mins), ("l", lasts), ("n", nexts), ("p", prevs), ("t", totals),
@@ -206,7 +221,19 @@ def value_chunks(rows: DataFrame, by: Sequence[str], value: str, name: str = "_v
     block = F.size(F.filter("_coarse", lambda c: c < v)) * STRIDE
     inside = F.size(F.filter(F.slice("_cuts", block + 1, F.lit(STRIDE)), lambda c: c < v))
     # null borders (a small key) give size -1 or null: one chunk
-    return rows.join(F.broadcast(borders), list(by), "left").withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block + inside)).drop("_cuts", "_coarse")
+    joined = rows.join(F.broadcast(borders), list(by) if by else F.lit(True), "left")
+    return joined.withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block + inside)).drop("_cuts", "_coarse")
+
+
+def over_values(rows: DataFrame, by: Sequence[str], value: str, order: Sequence[str] | None = None, **spec: Mapping[str, Column]) -> DataFrame:
+    """`running` in the order of a value. The rows, one for each distinct value, are written first and counted: where no key has more than CHUNK of
+    them a key is one sorted run and one shuffle is enough, else keys are cut at the borders of `value_chunks`."""
+    table = stage(rows, "values")
+    order = order or [value]
+    large = table.count() > CHUNK and not table.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CHUNK).isEmpty()
+    if not large:
+        return running(table, by, order, None, **spec)
+    return running(value_chunks(table, by, value), by, order, F.col("_vc"), **spec).drop("_vc")
 
 
 def cumulative(hist: DataFrame, by: Sequence[str], value: str, counts: Sequence[str],
@@ -215,12 +242,12 @@ def cumulative(hist: DataFrame, by: Sequence[str], value: str, counts: Sequence[
 
     `hist` has one row per (by, value). Adds cum_<c>, tot_<c>, `next_value` and any further `totals`.
     """
-    return running(
-        value_chunks(hist, by, value), by, [value], F.col("_vc"),
+    return over_values(
+        hist, by, value,
         sums={f"cum_{c}": F.col(c) for c in counts},
         totals={f"tot_{c}": F.col(c) for c in counts} | dict(totals or {}),
         nexts={"next_value": F.col(value)},
-    ).drop("_vc")
+    )
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],

@@ -297,6 +297,15 @@ def load_bins(spark: SparkSession, path: str) -> tuple[dict[str, list[float]], D
     return edges, values
 
 
+def load_bin_tables(spark: SparkSession, path: str) -> tuple[dict[str, list[float]], DataFrame]:
+    """As `load_bins`, from the tables that `save_bins` writes beside the record; one row a field reaches the driver."""
+    edges = {r["field"]: list(r["edges"]) for r in spark.read.parquet(f"{path}/bin_edges").collect()}
+    missing = [f for f in RECORD_KEYS if f not in edges]
+    if missing:
+        raise ValueError(f"bin edges lack {missing}")
+    return edges, spark.read.parquet(f"{path}/bin_values").select("field", F.col("bin").cast("int").alias("bin"), "value", "count", "prob")
+
+
 METRIC_SCHEMA = ("reference_comparison struct<metrics: map<string, struct<n_real: bigint, n_generated: bigint, wasserstein: double, "
                  "l1_by_group: double, weighted_wasserstein: double, num_condition_groups: bigint>>>")
 

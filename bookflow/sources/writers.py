@@ -90,6 +90,17 @@ def write_state(tokens: DataFrame, path: str, edges: Sequence[float], by: Sequen
         "vol_edges", F.array(*[F.lit(float(e)) for e in edges])).write.mode(mode).json(f"{path}/meta")
 
 
+def read_state(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens and metadata written by `write_state`; fails where a key has other rows than its metadata says."""
+    tokens, meta = spark.read.parquet(f"{path}/state"), spark.read.json(f"{path}/meta")
+    by = [c for c in meta.columns if c not in ("n_rows", "vol_edges")]
+    keyed = tokens.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).join(meta, by, "full")
+    odd = keyed.filter(~F.col("_n").eqNullSafe(F.col("n_rows"))).first()
+    if odd is not None:
+        raise ValueError(f"{odd['n_rows']} rows in the metadata, {odd['_n']} in the table of {[odd[c] for c in by]}")
+    return tokens, meta
+
+
 def bin_record(edges: Mapping[str, Sequence[float]], distribution: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """One row in the layout of a bin record: per field its edges and, per bin, the values found in it.
 
@@ -113,10 +124,15 @@ def bin_record(edges: Mapping[str, Sequence[float]], distribution: DataFrame, fi
     return record
 
 
-def save_bins(edges: Mapping[str, Sequence[float]], distribution: DataFrame, fields: Mapping[str, str], path: str, mode: str = "errorifexists") -> None:
-    """Edges and bin values as Parquet, and the JSON record."""
+def save_bins(edges: Mapping[str, Sequence[float]], distribution: DataFrame, fields: Mapping[str, str], path: str, mode: str = "errorifexists", record: bool = True) -> None:
+    """Edges and bin values as Parquet, one row a field, bin and value; and, unless `record` is off, the JSON record.
+
+    The record is one JSON object with all values of all bins, so it suits bins of few distinct values; the tables have no such limit.
+    """
     distribution.sparkSession.createDataFrame([(f, [float(x) for x in e]) for f, e in edges.items()], "field string, edges array<double>").write.mode(mode).parquet(f"{path}/bin_edges")
     distribution.write.mode(mode).parquet(f"{path}/bin_values")
+    if not record:
+        return
     bin_record(edges, distribution, fields).coalesce(1).write.mode(mode).json(f"{path}/record")
 
 

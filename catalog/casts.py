@@ -47,6 +47,8 @@ CASTS = {
     ("s9_write_lobster", "BIGINT"): "event_type direction",
     ("s10_write_cut", "BIGINT"): "event_type direction",
     ("p10_events", "BIGINT"): "event_type",
+    ("s11_bin_tables", "DOUBLE"): "bin_left",
+    ("s12_write_state", "DOUBLE"): "last_edge",
     ("s1_read_posts", "BIGINT"): "side ord_type",
     ("s2_read_transactions", "BIGINT"): "exec_type",
     ("s3_read_snapshots", "DOUBLE"): "bid_v_10",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookflow.functions import bare_security, norm_security
+from bookflow.functions import PRIME, bare_security, norm_security
 from bookflow.operators import aggregates as agg, bins, depth, distances as dist, filters, flow as flows, ordered
 from catalog import query
 from catalog.adapters import BINNED_SQL, FEEDS_SQL, FIXED_EDGES, FLOW_KEYS, MASK_SQL, TOKENS_SQL, _ORDER, flow_sql
@@ -202,7 +202,17 @@ def _decode(t, **options):
 
 
 query("b14_decode_mode", flow_q(_decode_sql("anchor_bid_tick + p.v"), *MODE_SQL))(lambda t: _decode(t).drop("offset"))
-query("b14_decode_sample")(lambda t: _decode(t, method="sample", seed=7))
+_toss = lambda x: f"list_transform([{x}], lambda v: ((v % {PRIME}) * (v % {PRIME}) + 5 * (v % {PRIME}) + 1013904223) % {PRIME})[1]"
+_draw = lambda n: f"({_toss(_toss(f'row_seq + {7 * 104_729 + n * 1_299_709}'))}) * t{n}.total // {PRIME}"
+SAMPLE_SQL = [*MODE_SQL[:-1], "places AS (SELECT field, bin, value AS v, CAST(total_count AS BIGINT) AS total, CAST(sum(count) OVER (PARTITION BY field, bin ORDER BY value) AS BIGINT) AS stop, count FROM dist)",
+              "totals AS (SELECT field, bin, max(total) AS total FROM places GROUP BY ALL)",
+              "asked AS (SELECT tokens.*, " + ", ".join(f"{_draw(n)} AS at_{f}" for n, f in enumerate(bins.FIELDS)) + " FROM tokens " + " ".join(
+                  f"JOIN totals t{n} ON t{n}.field = '{f}' AND t{n}.bin = tokens.{f}_bin" for n, f in enumerate(bins.FIELDS)) + " WHERE order_token IS NOT NULL)"]
+query("b14_decode_sample", flow_q(
+    f"SELECT {K}, row_seq, CAST(sum(CAST(greatest(0, i.v) AS BIGINT)) OVER (PARTITION BY {K} ORDER BY row_seq) AS BIGINT) + 34200000 AS t_ms, CAST(greatest(0, i.v) AS BIGINT) AS dt_ms, side_bin, "
+    "CAST(p.v AS BIGINT) AS offset, CAST(anchor_bid_tick + p.v AS BIGINT) AS price_tick, CAST(greatest(1, q.v) AS BIGINT) AS qty FROM asked " + " ".join(
+        f"JOIN places {a} ON {a}.field = '{f}' AND {a}.bin = {f}_bin AND {a}.stop - {a}.count <= at_{f} AND at_{f} < {a}.stop" for f, a in (("price", "p"), ("qty", "q"), ("interval", "i")))
+    + f" JOIN anchors USING ({K})", *SAMPLE_SQL))(lambda t: _decode(t, method="sample", seed=7))
 OFF = "CASE WHEN p.v = 0 AND side_bin = 0 THEN -1 WHEN p.v = 0 AND side_bin = 1 THEN 1 ELSE p.v END"
 query("b15_decode_mid", flow_q(_decode_sql(
     f"round_even((anchor_bid_tick + anchor_ask_tick) / 2.0 + sign({OFF}) * ceil(abs({OFF}) / 2.0), 0)"), *MODE_SQL))(

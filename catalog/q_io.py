@@ -15,7 +15,7 @@ from bookflow.session import checkpoint_dir, stage
 from bookflow.sources import readers, writers
 from bookflow.streaming import live
 from catalog import query
-from catalog.adapters import BINNED_SQL, FIXED_EDGES, FLOW_KEYS, TAPE_KEYS, TOUCH, wall_us
+from catalog.adapters import BINNED_SQL, FIXED_EDGES, FLOW_KEYS, TAPE_KEYS, TOKENS_SQL, TOUCH, wall_us
 from catalog.q_flow import DIST_SQL, K, feeds_sql, flow_q
 from catalog.q_micro import MID, R, tape_sql
 from catalog.q_compare import cmp_sql, runs
@@ -134,6 +134,20 @@ query("s11_bin_record", flow_q(f"SELECT field, bin, value, count, {R('count / to
     lambda t: readers.load_bins(t.spark, record(t))[1])
 
 
+def bin_tables(t):
+    path = folder(t, "bin-tables")
+    writers.save_bins(FIXED_EDGES, bins.bin_distribution(bins.apply_bins(t.flow, FIXED_EDGES)), bins.FIELDS, path, record=False)
+    edges, values = readers.load_bin_tables(t.spark, path)
+    side = F.lit(None).cast("double")
+    for name, e in edges.items():
+        side = F.when(F.col("field") == name, F.array(*[F.lit(x) for x in e])[F.col("bin")]).otherwise(side)
+    return values.withColumn("bin_left", side)
+
+
+query("s11_bin_tables", flow_q(f"SELECT field, bin, value, count, {R('count / total_count')} AS prob, CASE field " + " ".join(
+    f"WHEN '{f}' THEN {e}[bin + 1]" for f, e in FIXED_EDGES.items()) + " END AS bin_left FROM dist", BINNED_SQL, DIST_SQL))(bin_tables)
+
+
 def written_flow(t):
     path = folder(t, "flow-table")
     writers.write_flow(t.flow, path, {"variant": "open_complete"})
@@ -144,6 +158,17 @@ query("s12_write_flow", flow_q(f"SELECT {K}, count(*) AS n, CAST(sum(order_qty)
     lambda t: written_flow(t)[0].withColumn("trade_date", F.col("trade_date").cast("long")).groupBy(*FLOW_KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("order_qty").alias("qty")))
 
 
+def flow_meta(t):
+    path = folder(t, "flow-facts")
+    writers.write_flow(t.tokens, path, {"variant": "open_complete"})
+    return t.spark.read.json(path + "/meta").select(*FLOW_KEYS, "fact", "value", "n", "variant")
+
+
+query("s12_flow_meta", flow_q("SELECT trade_date, security_id, fact, value, CAST(sum(n) AS BIGINT) AS n, 'open_complete' AS variant FROM (" + " UNION ALL ".join(
+    f"SELECT {K}, '{fact}' AS fact, CAST({value} AS VARCHAR) AS value, {n} AS n FROM tokens" for fact, value, n in (
+        ("rows", "'all'", "1"), ("tokenizable", "'all'", "CASE WHEN tokenizable_event THEN 1 ELSE 0 END"), ("semantic", "event_semantic", "1"), ("side", "side", "1"))) + ") GROUP BY ALL", TOKENS_SQL))(flow_meta)
+
+
 def metrics_files(t):
     """Metrics summaries, one JSON text per run, with NaN where a loss is missing."""
     path = folder(t, "metrics")

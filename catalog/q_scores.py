@@ -245,7 +245,11 @@ query("d2_subseqs_every", tape_sql(
 query("d5_score_table", tape_sql(
     f"SELECT {K}, row_seq, size AS score, row_seq % 250 AS grp FROM tape"))(
     lambda t: sequences.score_table(sequences.position_groups(sequences.subseqs(t.tape, length=250)), "size", "grp"))
-query("x1_user_metric", None)(lambda t: _with_user_metric(t))
+query("x1_user_metric", tape_sql(
+    f"SELECT run_id, 'signed_size' AS metric, n_real, n_generated, {R('wasserstein')} AS wasserstein, {R('l1_by_group')} AS l1_by_group, CAST(NULL AS DOUBLE) AS weighted_wasserstein, "
+    "CAST(NULL AS BIGINT) AS num_condition_groups, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason FROM w JOIN l USING (run_id)",
+    "signed AS (SELECT run_id, kind, CAST(size * direction AS DOUBLE) AS score FROM tape)", w_sql("signed", "run_id", "w"), rule_sql("signed", "run_id", "g"), l1_sql("g", "run_id", "l")))(
+    lambda t: _with_user_metric(t))
 query("x1_user_function", tape_sql(
     f"SELECT {K}, sub_id, {R('max(price) - min(price)')} AS score FROM (SELECT {K}, row_seq // 500 AS sub_id, price FROM tape) GROUP BY ALL"))(
     lambda t: sequences.score_with_python(sequences.subseqs(t.tape, length=500).select(*TAPE_KEYS, "sub_id", "row_seq", "price"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bookflow.operators import aggregates as agg, distances as dist, filters, micro, state, windows
+from bookflow.session import checkpoint_dir
+from bookflow.sources import writers
 from catalog import query
 from catalog.adapters import FLOW_KEYS, TAPE_KEYS, TAPE_SQL, TOKENS_SQL
 from catalog.q_flow import K, flow_q
@@ -79,6 +83,17 @@ query("k5_apply_vol_edges", tape_sql("SELECT security_id, slot, slot_no, vol_bin
     lambda t: exploded(state.apply_vol_edges(state.vol_delta(book(t)), EDGES, V), vol_bin="vol_bins"))
 query("k6_slot_tokens", tape_sql(f"SELECT security_id, slot, slot_no, price_bin * {V} + vol_bin AS token FROM long", LONG_SQL))(
     lambda t: exploded(state.tokenise(book(t), TICK, EDGES), token="tokens"))
+
+
+def written_state(t):
+    path = f"{checkpoint_dir(t.spark)}/bookflow/state-{uuid.uuid4().hex}"
+    writers.write_state(state.tokenise(book(t), TICK, EDGES).select("security_id", "slot", "tokens"), path, EDGES, S)
+    tokens, meta = writers.read_state(t.spark, path)
+    return exploded(tokens, token="tokens").join(meta.select("security_id", "n_rows", F.element_at("vol_edges", -1).alias("last_edge"), F.size("vol_edges").alias("n_edges")), "security_id")
+
+
+query("s12_write_state", tape_sql(
+    f"SELECT security_id, slot, slot_no, price_bin * {V} + vol_bin AS token, count(*) OVER (PARTITION BY security_id, slot_no) AS n_rows, {EDGES[-1]} AS last_edge, {len(EDGES)} AS n_edges FROM long", LONG_SQL))(written_state)
 CENTRES = [(a + b) / 2 for a, b in zip(EDGES, EDGES[1:])]
 query("k7_decode_state", tape_sql(
     "SELECT security_id, slot, " + ", ".join(

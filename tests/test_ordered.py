@@ -14,11 +14,11 @@ def frame(spark, n, seed, keys=3, parts=5):
     return spark.createDataFrame(rows, "k string, o long, x long, y double").repartition(parts), pd.DataFrame(rows, columns=["k", "o", "x", "y"])
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 1000])
+@pytest.mark.parametrize("chunk", [1, 7, 1000, None])
 def test_running_matches_pandas(spark, chunk):
-    df, pdf = frame(spark, 300, chunk)
+    df, pdf = frame(spark, 300, chunk or 5)
     out = ordered.running(
-        df, ["k"], ["o"], F.expr(f"o div {chunk}"), sums={"s": F.col("x")}, mins={"m": F.col("x")}, lasts={"l": F.col("y")}, prevs={"p": F.col("x")},
+        df, ["k"], ["o"], F.expr(f"o div {chunk}") if chunk else None, sums={"s": F.col("x")}, mins={"m": F.col("x")}, lasts={"l": F.col("y")}, prevs={"p": F.col("x")},
         nexts={"n": F.col("x")}, totals={"t": F.col("x")}, befores={"b": F.col("y")}, froms={"f": F.col("y")}, afters={"a": F.col("y")}).toPandas().sort_values(["k", "o"]).reset_index(drop=True)
     pdf = pdf.sort_values(["k", "o"]).reset_index(drop=True)
     g = pdf.groupby("k")

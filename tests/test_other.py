@@ -290,6 +290,30 @@ def test_incomplete_bin_record_fails(spark, tmp_path):
         readers.load_bins(spark, str(tmp_path / "bins.json"))
 
 
+def test_state_is_checked_against_its_metadata(spark, tmp_path):
+    tokens = spark.createDataFrame([("a", i, [1, 2]) for i in range(5)] + [("b", 0, [3, 4])], "security_id string, slot long, tokens array<int>")
+    path = str(tmp_path / "s")
+    writers.write_state(tokens, path, [0.0, 1.0], ["security_id"])
+    back, meta = writers.read_state(spark, path)
+    assert back.count() == 6 and {(r["security_id"], r["n_rows"], tuple(r["vol_edges"])) for r in meta.collect()} == {("a", 5, (0.0, 1.0)), ("b", 1, (0.0, 1.0))}
+    tokens.filter("slot > 2").write.mode("append").partitionBy("security_id").parquet(path + "/state")
+    with pytest.raises(ValueError, match="rows in the metadata"):
+        writers.read_state(spark, path)
+
+
+def test_bins_as_tables(spark, tmp_path):
+    from bookflow.operators import bins
+
+    edges = {f: [0.0, 2.0, 4.0] for f in bins.FIELDS}
+    dist = spark.createDataFrame([(f, b, float(b), 3, 1.0, 1, 3) for f in bins.FIELDS for b in (0, 1)], "field string, bin int, value double, count long, prob double, n_unique long, total_count long")
+    writers.save_bins(edges, dist, bins.FIELDS, str(tmp_path / "b"), record=False)
+    got, values = readers.load_bin_tables(spark, str(tmp_path / "b"))
+    assert got == edges and values.count() == 6 and not (tmp_path / "b" / "record").exists()
+    spark.createDataFrame([("price", [1.0])], "field string, edges array<double>").write.mode("overwrite").parquet(str(tmp_path / "b" / "bin_edges"))
+    with pytest.raises(ValueError, match="bin edges lack"):
+        readers.load_bin_tables(spark, str(tmp_path / "b"))
+
+
 def test_cut_refuses_its_source(tables):
     with pytest.raises(ValueError, match="same"):
         writers.write_cut(tables.tape, 3, "/x/y", F.lit("s"), source="/x/y/")
