@@ -31,6 +31,7 @@ NO_ID = -(2**63)
 CHUNK = 600_000  # tokens of the sets that one task compares at once
 MEMBERS = 4096  # and sets
 GROUP = 4096
+BLOCK = scan.BLOCK // 4  # bytes of text handled at once; the sets of all that a worker has seen at once stay in its memory
 MET = 1 << 20  # sets that a task remembers having sent
 
 
@@ -62,7 +63,7 @@ def rarity(docs: DataFrame, k: int) -> bytes:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in scan.blocks(batches):
+        for batch in scan.blocks(batches, BLOCK):
             token = sets(scan.texts(batch), k)[0]
             if total is None:
                 total = np.zeros(CELLS, np.uint32)
@@ -106,7 +107,7 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, met = np.frombuffer(shared.value, np.uint8), np.zeros(MET, np.int64)
-        for batch in scan.blocks(batches):
+        for batch in scan.blocks(batches, BLOCK):
             token, doc, n = sets(scan.texts(batch), k)
             key = set_keys(token, doc, n)
             slot = key & (MET - 1)
@@ -220,7 +221,7 @@ def with_text(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     found = _maybe(docs.select("doc_id", "text"), wanted).where("_maybe").drop("_maybe").join(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.blocks(batches):
+        for batch in scan.blocks(batches, BLOCK):
             yield batch.filter(pa.array(set_keys(*sets(scan.texts(batch), k)) == batch.column("key").to_numpy()))
 
     return found.mapInArrow(run, found.schema)
@@ -238,7 +239,7 @@ def local_classes(placed: DataFrame, k: int, percent: int) -> DataFrame:
             made = classes_of([held[i] for i in order], percent)
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[made])], ["key", "root"])
 
-        for batch in scan.blocks(batches):
+        for batch in scan.blocks(batches, BLOCK):
             token, _, n = sets(scan.texts(batch), k)
             cut = np.split(token, np.cumsum(n)[:-1])
             for b, c, x, s in zip(batch.column("bucket").to_pylist(), batch.column("chunk").to_pylist(), batch.column("key").to_pylist(), cut):
@@ -264,7 +265,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, prof: DataFrame, docs: DataFram
     full = near.join(texts.select(F.col("key").alias("b"), F.col("text").alias("_b")), "b").join(texts.withColumnRenamed("key", "a"), "a").select("a", "b", "text", "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.blocks(batches, scan.BLOCK // 4):
+        for batch in scan.blocks(batches, BLOCK):
             both = [x or b"" for x in batch.column("_b").cast(pa.binary()).to_pylist()]
             left, right = (np.split(t, np.cumsum(n)[:-1]) for t, _, n in (sets(scan.texts(batch), k), sets(both, k)))
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(left, right)], pa.bool_()))
