@@ -6,6 +6,7 @@ Strings are compared by 64-bit polynomial hashes over random byte values; a hash
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,8 +116,21 @@ def shingles(words: np.ndarray, first_word: np.ndarray, k: int) -> tuple[np.ndar
     return grams[starts], doc
 
 
+def give_back() -> None:
+    """Returns memory that is free in this process to the machine: a Python worker lives on after its task, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that column `text` has about `limit` bytes in each; a longer text comes alone."""
+    """Cut Arrow batches so that column `text` has about `limit` bytes in each; a longer text comes alone. After the last, free memory is given back."""
+    yield from _cut(batches, limit)
+    give_back()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
