@@ -146,3 +146,19 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     trie = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
     return trie.withColumn("ends_sha256", F.coalesce(F.lower(F.hex("ends")), F.sha2(F.lit(""), 256))).drop("ends")
+
+
+# CRC-32 of the decimal id, bit by bit: no such function in the twin's engine.
+_BITS = "list_reduce([{x}, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, s: " + _BITS.format(x="xor(a, s)") + "), 4294967295)"
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(x ORDER BY turn NULLS FIRST) AS xs, {_CRC} % 9 AS h FROM t GROUP BY c),
+rebuilt AS (SELECT o.c, list_concat(coalesce(b.xs[1:o.h], []), o.xs[o.h + 1:]) AS s FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 5),
+pre AS (SELECT c, d, s[1:d] AS k, d = len(s) AS last, CASE WHEN d > 0 THEN strlen(s[d].t) ELSE 0 END AS b FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, array_to_string(coalesce(list(CAST(c AS VARCHAR) ORDER BY c) FILTER (last), []), ',') AS ends, any_value(b) AS b FROM pre GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent FROM n LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k LEFT JOIN n p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]),
+sub AS (SELECT x.d, x.k, sum(CASE WHEN y.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((y.n_convs - 1) * y.b) AS saved FROM a x JOIN a y ON y.d >= x.d AND y.k[1:x.d] = x.k GROUP BY x.d, x.k)
+SELECT conv_id, a.d AS depth, parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM a JOIN sub ON sub.d = a.d AND sub.k = a.k
+"""
