@@ -9,8 +9,11 @@ no double entry. Paths are URIs of a folder that driver and executors share.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
+import re
+import string
 import uuid
 from collections.abc import Iterator
 
@@ -23,15 +26,19 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from bookflow.llm import scan
 from bookflow.session import stage
 
-SEQUENCE, BATCH, CACHE = 2048, 64, 500_000
+SEQUENCE, BATCH, CACHE = 2048, 64, 1_000_000
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
+#: Runs of Latin-1 letters; ASCII letters; ASCII punctuation.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_LETTER = np.isin(np.arange(256), list(string.ascii_letters.encode()))
+_MARK = np.isin(np.arange(256), list(string.punctuation.encode()))
 
 
 class WordEncoder:
     """Encodes by the tokenizers library, word by word.
 
-    For a vocabulary that drops white space, no token reaches over ASCII white space, so a text's ids are those of its words; words are kept in
-    a bounded cache. Otherwise (`whole`) texts go to the library as they are.
+    For a vocabulary that drops white space, no token reaches over ASCII white space, so a text's ids are those of its words; words (where the vocabulary cuts
+    them there: letters and the punctuation after them) are looked up by their 64-bit hashes, a block at a time, in a bounded cache. Otherwise (`whole`) texts go to the library as they are.
     """
 
     def __init__(self, content: str, whole: bool = False):
@@ -46,7 +53,20 @@ class WordEncoder:
         self.lower = any(r["type"] == "Lowercase" for r in rules)
         cut = [(t["content"], t["id"]) for t in json.loads(content).get("added_tokens", []) if t["special"] and not t["normalized"] and "<|" in t["content"]]
         self.between = cut[0] if cut else None
-        self.whole, self.cache = whole, {}
+        self.last = self._last_of_piece(json.loads(content))
+        self.whole = whole
+        self._forget()
+
+    @staticmethod
+    def _last_of_piece(rules: dict) -> np.ndarray | None:
+        """Flags of the ids that end a piece, for a vocabulary that marks them and makes one piece of a run of letters; else none."""
+        suffix, split = rules["model"].get("end_of_word_suffix"), json.dumps(rules.get("pre_tokenizer"))
+        if not suffix or r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" not in split:
+            return None
+        vocab = rules["model"]["vocab"]
+        flags = np.zeros(max(vocab.values()) + 1, bool)
+        flags[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        return flags
 
     def _library(self, parts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
@@ -65,27 +85,79 @@ class WordEncoder:
             out += [packed[a:b] for a, b in zip(start, [*(cuts * size).tolist(), len(packed)])]
         return out
 
+    def _runs(self, parts: list[bytes]) -> list[bytes]:
+        """As _library, for runs of letters: they go side by side with spaces between them, and the ids that end a piece tell them apart."""
+        out, size = [], self.kind.itemsize
+        joined = [parts[k : k + 500] for k in range(0, len(parts), 500)]
+        for e in self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in joined], add_special_tokens=False):
+            ids = np.array(e.ids, self.kind)
+            cuts, packed = ((np.flatnonzero(self.last[ids]) + 1) * size).tolist(), ids.tobytes()
+            out += [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
+    def _units(self, s: scan.Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the units of all texts start and end, and their number in each word: a word, or its letters and the ASCII punctuation after them."""
+        start, end = s.word_start, s.word_end
+        if self.last is None or not len(start):
+            return start, end, np.ones(len(start), np.int64)
+        other = np.where(_MARK[s.data], 0, np.arange(1, len(s.data) + 1))
+        tail = np.maximum(np.maximum.accumulate(other)[end - 1], start)
+        cut = (tail > start) & (tail < end) & _LETTER[s.data[tail - 1]]
+        special = np.flatnonzero((s.data[:-1] == ord("<")) & (s.data[1:] == ord("|")))
+        cut[np.searchsorted(start, special, "right") - 1] = False  # a special string is never cut
+        n = 1 + cut
+        first, last = np.repeat(start, n), np.repeat(end, n)
+        at = (np.cumsum(n) - 1)[cut]
+        first[at], last[at - 1] = tail[cut], tail[cut]
+        return first, last, n
+
+    def _new(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units."""
+        plain = [self.last is not None and _LETTERS.fullmatch(u) is not None for u in units]
+        odd = [b"<|" in u for u in units]
+        out: list[bytes] = [b""] * len(units)
+        for how, wanted in ((self._runs, plain), (self._library, odd), (self._words, [not p and not o for p, o in zip(plain, odd)])):
+            at = list(itertools.compress(range(len(units)), wanted))
+            if at:
+                for k, packed in zip(at, how([units[k] for k in at]), strict=True):
+                    out[k] = packed
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, packed as `kind`."""
         if self.whole:
             return self._library(texts)
-        # bytes.split cuts at the six ASCII white-space characters; bytes.lower changes A-Z only, which the vocabulary's own rule does too, but
-        # not in front of a combining accent (it might then compose), nor inside a special string
-        words = [(t if not self.lower or b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        new = set().union(*words).difference(self.cache)
-        if new:
-            # a comma or full stop after a letter is a piece of its own
-            ends = {w for w in new if len(w) > 1 and w[-1] in b",." and w[-2:-1].isalpha() and b"<|" not in w}
-            plain = list(((new - ends) | {w[:-1] for w in ends} | {b",", b"."}).difference(self.cache))
-            odd = [w for w in plain if b"<|" in w]
-            plain = [w for w in plain if b"<|" not in w]
-            self.cache.update(zip(odd, self._library(odd)))
-            self.cache.update(zip(plain, self._words(plain)))
-            self.cache.update((w, self.cache[w[:-1]] + self.cache[w[-1:]]) for w in ends)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        # ASCII white space cuts words; bytes.lower changes A-Z only, which the vocabulary's own rule does too, but not in front of a
+        # combining accent (it might then compose), nor inside a special string
+        s = scan.Scan([t if not self.lower or b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts])
+        start, end, n = self._units(s)
+        if not len(start):
+            return [b""] * len(texts)
+        unit, first, which = np.unique(s.bytes.hash(start, end), return_index=True, return_inverse=True)
+        if len(self.known) > CACHE:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.known, unit), len(self.known) - 1)
+        fresh = np.flatnonzero(self.known[at] != unit)
+        if len(fresh):
+            data = s.data.tobytes()
+            made = self._new([data[a:b] for a, b in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist())])
+            count = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+            where = len(self.pool) + np.cumsum(count) - count
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), self.kind)])
+            into = np.searchsorted(self.known, unit[fresh])
+            self.known, self.where, self.count = (np.insert(old, into, add) for old, add in ((self.known, unit[fresh]), (self.where, where), (self.count, count)))
+            at = np.searchsorted(self.known, unit)
+        at = at[which]
+        count = self.count[at]
+        packed = self.pool[scan.ragged(self.where[at], count)].tobytes()
+        ends = np.append(0, np.cumsum(count)) * self.kind.itemsize
+        cuts = ends[np.append(0, np.cumsum(n))[s.first_word]].tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _forget(self) -> None:
+        """Empties the cache: hashes of units in order, and where the ids of each lie in the pool. One entry, of no unit, keeps lookups inside."""
+        self.known, self.where, self.count = np.array([2**64 - 1], np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pool = np.zeros(0, self.kind)
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}

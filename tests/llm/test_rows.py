@@ -241,3 +241,19 @@ def test_url_twin(spark):
     want = con.execute(f"select {names} from ({queries.ORACLES['op8_urls']})").fetchall()
     got = queries.QUERIES["op8_urls"](spark, sf).selectExpr(*names.split(", ")).collect()
     assert sorted(want, key=repr) == sorted(map(tuple, got), key=repr)
+
+
+def test_word_encoder_equals_the_library():
+    """Pieces that touch each other in every way, in blocks that share what is cached, also when the cache is emptied between them."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    content, rng = open(path, encoding="utf-8").read(), random.Random(5)
+    encoder, library = token_files.WordEncoder(content), Tokenizer.from_file(path)
+    bits = ["a", "Word", "É", "ß", "İ", "ñandú", "×", "7", "42", "'s", "'", "'LL", "...", ",", "$$$", "|>", "<|", "<|endoftext|>", "<|startoftext|>", "e\u0301", "\u0301", "\u00a0", "\u2003", "日本", "😀", "\x1c", " ", " ", " ", "\n", "\t"]
+    for block in range(6):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", " ", "x" * 3000, "'", "!"]
+        got = [np.frombuffer(p, encoder.kind).tolist() for p in encoder.encode([t.encode() for t in texts])]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        if block % 2:
+            encoder._forget()
