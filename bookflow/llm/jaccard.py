@@ -9,13 +9,16 @@ n - ceil(t n) + 1 of each under every order, so
 3. in buckets that still hold several classes, one member is held against those of other classes, then all pairs of different classes; such
    pairs must also share prefix tokens under the second and third order before texts are fetched and compared.
 
+A pair leaves its bucket only if its parities allow a link: every token of a set flips one of 512 bits, so two sets differ in at least as many tokens
+as their parities differ in bits. No link is lost by it, and chance meetings end before anything is shuffled for them.
+
 Inside a class no pair needs comparing, so a large group of near copies costs its size, not its square; no candidate is dropped.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ MEMBERS = 4096  # and sets
 GROUP = 4096
 BLOCK = scan.BLOCK // 4  # bytes of text handled at once; the sets of all that a worker has seen at once stay in its memory
 MET = 1 << 20  # sets that a task remembers having sent
+PARITY = [f"par{k}" for k in range(8)]  # columns of 64 bits
 
 
 def sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +105,22 @@ def prefixes(token: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.
     return token[taken], doc[taken]
 
 
+def parities(token: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """512 bits of each set as eight signed 64-bit values: whether an odd number of its tokens falls on a bit."""
+    bit = (scan.mix(token + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64)
+    odd = (np.bincount(doc * 512 + bit, minlength=n_docs * 512) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n_docs, 8)
+
+
+def may_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
+    """Whether sizes and parities of two sets allow a link. `a(c)` and `b(c)` are column c of each."""
+    differ = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in PARITY), F.lit(0))
+    sized = F.lit(100) * F.least(a("n"), b("n")) >= F.lit(percent) * F.greatest(a("n"), b("n"))
+    return sized & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (a("n") + b("n")))
+
+
 def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, t (hash of the text), n, key (of the set), first (prefix tokens; none for a set the task has met), p1, p2 (16-bit prefix tokens of further orders), of every row."""
+    """doc_id, t (hash of the text), n, key (of the set), first (prefix tokens; none for a set the task has met), p1, p2 (16-bit prefix tokens of further orders) and PARITY (null likewise), of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +132,7 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
             fresh = (n > 0) & (met[slot] != key)
             fresh[np.setdiff1d(np.arange(len(key)), np.unique(key, return_index=True)[1])] = False
             met[slot] = key
+            odd = parities(token, doc, len(n))
             lists = []
             for order in range(ORDERS):
                 t, d = prefixes(token, doc, n, classes, percent, order)
@@ -121,9 +140,9 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 offsets = pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(n)))).astype(np.int32))
                 values = scan.signed(t) if order == 0 else (scan.mix(t) >> np.uint64(48)).astype(np.uint16).view(np.int16)
                 lists.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n.astype(np.int64)), pa.array(key), *lists], ["doc_id", "t", "n", "key", "first", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n.astype(np.int64)), pa.array(key), *lists, *(pa.array(odd[:, c], mask=~fresh) for c in range(8))], ["doc_id", "t", "n", "key", "first", "p1", "p2", *PARITY])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, key long, first array<long>, p1 array<short>, p2 array<short>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, key long, first array<long>, p1 array<short>, p2 array<short>, " + ", ".join(f"{c} long" for c in PARITY))
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -208,17 +227,19 @@ def classes_of(sets_: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([top(i) for i in range(len(sets_))])
 
 
-def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` plus boolean _maybe: false only if doc_id is surely none of `ids`, by a Bloom filter of fixed size."""
-    key = F.col("doc_id").cast("string")
-    words = url_filter.bloom(ids.select(key.alias("_k")), "_k").select(F.col("word").alias("_w"), F.col("bits").alias("_bits"))
+def _maybe(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """`docs` plus boolean _maybe: false only if (_d, _t) is surely none of `listed`, by a Bloom filter of fixed size."""
+    key = F.concat_ws(" ", "_d", "_t")
+    words = url_filter.bloom(listed.select(key.alias("_k")), "_k").select(F.col("word").alias("_w"), F.col("bits").alias("_bits"))
     word, mask = url_filter._word_and_mask(key, url_filter.MAX_BLOCKS)
     return docs.withColumn("_w", word).join(F.broadcast(words), "_w", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_w", "_bits")
 
 
 def with_text(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted (doc_id, key and more) plus text; most texts of other documents stay out of the shuffle. Of texts that share an id the one of that key."""
-    found = _maybe(docs.select("doc_id", "text"), wanted).where("_maybe").drop("_maybe").join(wanted, "doc_id")
+    """wanted (at: doc_id and hash of a text, key and more) plus text; most texts of other documents stay out of the shuffle. Rows that share an id meet only those of their text."""
+    wanted = wanted.select(F.col("at.doc_id").alias("_d"), F.col("at.t").alias("_t"), *(c for c in wanted.columns if c != "at"))
+    own = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), "text")
+    found = _maybe(own, wanted).where("_maybe").drop("_maybe").join(wanted, ["_d", "_t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.blocks(batches, BLOCK):
@@ -261,7 +282,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, prof: DataFrame, docs: DataFram
     side = lambda c: prof.where(F.size("p1") > 0).groupBy("key").agg(F.first("p1").alias(f"p1{c}"), F.first("p2").alias(f"p2{c}")).withColumnRenamed("key", c)
     near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p1a", "p1b") & F.arrays_overlap("p2a", "p2b")).select("a", "b"), "near-pairs")
     ends = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    texts = stage(with_text(docs, nodes.join(ends, "key").select("doc_id", "key"), k).select("key", "text").dropDuplicates(["key"]), "pair-texts")
+    texts = stage(with_text(docs, nodes.join(ends, "key").select("at", "key"), k).select("key", "text").dropDuplicates(["key"]), "pair-texts")
     full = near.join(texts.select(F.col("key").alias("b"), F.col("text").alias("_b")), "b").join(texts.withColumnRenamed("key", "a"), "a").select("a", "b", "text", "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +323,7 @@ def classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), "text")
     real = real_id()
     prof = stage(profile(docs, k, percent), "profiles")
-    nodes = stage(prof.where("n > 0").groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min(F.when(real.isNotNull(), F.struct("doc_id", "t"))).alias("least"), F.min(F.when(real.isNull(), F.col("t"))).alias("lost")), "nodes")
+    nodes = stage(prof.where("n > 0").groupBy("key").agg(F.max(F.struct("doc_id", "t")).alias("at"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in PARITY), F.min(F.when(real.isNotNull(), F.struct("doc_id", "t"))).alias("least"), F.min(F.when(real.isNull(), F.col("t"))).alias("lost")), "nodes")
     rows = prof.where(F.size("first") > 0).select(F.explode("first").alias("tok"), "key", "n")
     shared = stage(buckets(rows), "buckets")
     stats = shared.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
@@ -312,22 +333,22 @@ def classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     moved = stage(chosen.join(common, "bucket").select("key", "n", F.col("_home").alias("bucket")), "moved")
     filled = moved.groupBy("bucket").agg(F.greatest(F.sum("n") / F.lit(CHUNK), F.count("*") / F.lit(MEMBERS)).alias("_parts"))
     home = stage(moved.join(filled, "bucket").select("key", "bucket", F.pmod(F.xxhash64("key"), F.ceil("_parts").cast("long")).alias("chunk")), "homes")
-    placed = with_text(docs, nodes.join(home, "key").select("doc_id", "key", "bucket", "chunk"), k)
+    placed = with_text(docs, nodes.join(home, "key").select("at", "key", "bucket", "chunk"), k)
     roots = stage(local_classes(placed, k, percent).groupBy("key").agg(F.min("root").alias("root")), "classes")
     # members that went to one chunk have been compared there; a bucket whose members all did is settled
     at = shared.join(home.select("key", F.struct("bucket", "chunk").alias("home")), "key")
     unsettled = at.groupBy("bucket").agg(F.min("home").alias("_lo"), F.max("home").alias("_hi")).where("_lo <> _hi").select("bucket")
-    rest = stage(at.join(unsettled, "bucket", "left_semi"), "open-buckets")
-    fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
+    rest = stage(at.join(unsettled, "bucket", "left_semi").join(nodes.select("key", *PARITY), "key"), "open-buckets")
     for exhaustive in (False, True):
         now = rest.join(roots, "key")
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by(F.struct("key", "n", "root", "home"), F.xxhash64("key")).alias("_hub")).where("_lo <> _hi")
+        mixed = now.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by(F.struct("key", "n", "root", "home", *PARITY), F.xxhash64("key")).alias("_hub")).where("_lo <> _hi")
         if exhaustive:
             open_ = now.join(mixed.select("bucket"), "bucket")
-            other = open_.select("bucket", F.col("key").alias("b"), F.col("n").alias("_n"), F.col("root").alias("_root"), F.col("home").alias("_home"))
-            pairs = open_.join(other, "bucket").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("_root")) & (F.col("home") != F.col("_home")) & fits(F.col("n"), F.col("_n"))).select(F.col("key").alias("a"), "b")
+            pairs = open_.join(open_.select("bucket", F.struct("key", "n", "root", "home", *PARITY).alias("_o")), "bucket").where(F.col("key") < F.col("_o.key"))
         else:
-            pairs = now.join(mixed.select("bucket", "_hub"), "bucket").where((F.col("_hub.root") != F.col("root")) & (F.col("_hub.home") != F.col("home")) & fits(F.col("n"), F.col("_hub.n"))).select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b"))
+            pairs = now.join(mixed.select("bucket", F.col("_hub").alias("_o")), "bucket")
+        pairs = pairs.where((F.col("root") != F.col("_o.root")) & (F.col("home") != F.col("_o.home")) & may_link(F.col, lambda c: F.col(f"_o.{c}"), percent))
+        pairs = pairs.select(F.least("key", "_o.key").alias("a"), F.greatest("key", "_o.key").alias("b"))
         roots = _merge(roots, stage(verified(pairs.distinct(), nodes, prof, docs, k, percent), "links"))
     named = nodes.select("key", "least", "lost").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     return prof, named.select("key", "root").join(named.groupBy("root").agg(F.min("least").alias("least"), F.min("lost").alias("lost")), "root")
@@ -342,11 +363,10 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     prof, by_key = classified(docs, k, percent)
     first = F.when(F.col("doc_id") == NO_ID, F.col("t") == F.col("lost")).otherwise((F.col("doc_id") == F.col("least.doc_id")) & (F.col("t") == F.col("least.t")))
     judged = prof.where("n > 0").select("doc_id", "t", "key").join(by_key, "key").select(F.col("doc_id").alias("_d"), "t", first.alias("stays")).groupBy("_d", F.col("t").alias("_t")).agg(F.min("stays").alias("_stays"), F.count("*").alias("_n"))
-    named = F.concat_ws(" ", "_d", "_t").alias("doc_id")
-    listed = stage(judged.where("not _stays or _n > 1").select("_d", "_t", "_stays", named), "near-copies")
-    own = scan.set_aside(docs).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).withColumn("_t", F.xxhash64("text")).withColumnRenamed("doc_id", "__id").withColumn("doc_id", named)
-    marked = _maybe(own, listed)
-    order = ["__id" if c == "doc_id" else c for c in scan.set_aside(docs).columns]
+    listed = stage(judged.where("not _stays or _n > 1").select("_d", "_t", "_stays"), "near-copies")
+    own = scan.set_aside(docs)
+    order = own.columns
+    marked = _maybe(own.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).withColumn("_t", F.xxhash64("text")), listed)
     lone = marked.where("not _maybe").unionByName(marked.where("_maybe").join(listed.select("_d", "_t"), ["_d", "_t"], "left_anti")).select(*order)
     once = marked.where("_maybe").join(listed.where("_stays").select("_d", "_t"), ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select(*order)
     return lone.unionByName(once).toDF(*docs.columns)

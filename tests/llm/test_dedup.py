@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bookflow.llm import components, jaccard, phrases, repeats, substrings
 
@@ -178,6 +180,32 @@ def test_near_duplicates(spark, monkeypatch, chunk, group):
     assert same(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect()), direct_classes(rows))
 
 
+def test_parities_never_reject_a_link():
+    """Two sets differ in at least as many tokens as their parities in bits, also where sets are far larger than the bits."""
+    rng = np.random.RandomState(3)
+    for n in (1, 2, 9, 100, 700, 5000):
+        base = rng.randint(0, 2**62, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.11, 0.5):
+            other = base.copy()
+            other[: int(share * n)] = rng.randint(0, 2**62, int(share * n)).astype(np.uint64)
+            both = np.concatenate([base, other])
+            a, b = jaccard.parities(both, np.repeat([0, 1], n), 2)
+            bits = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+            assert bits <= len(np.setxor1d(base, other)) and (bits == 0) == (share * n < 1)
+            assert (jaccard.parities(base, np.zeros(n, int), 1)[0] == a).all()
+
+
+def test_one_id_on_many_texts(spark):
+    """Texts are fetched by id and hash: rows of one id meet only their own set."""
+    rows = [(7, " ".join(f"t{k}x{j}" for j in range(12))) for k in range(400)] + [(8, rows_of) for rows_of in (" ".join(f"t{k}x{j}" for j in range(12)) for k in range(0, 400, 40))]
+    got = jaccard.near_duplicates(frame(spark, rows)).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 7, 400), (8, 7, 10)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    wanted = docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("at"), F.lit(0).cast("long").alias("key"))
+    plan = jaccard.with_text(docs, wanted, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, \(.*_d#.*_t#", plan), plan
+
+
 def test_keep_first(spark):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, ""), (None, "a b c d e f")]
     got = jaccard.keep_first(frame(spark, rows))
