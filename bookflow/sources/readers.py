@@ -10,12 +10,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from bookflow.functions import EXEC_CANCEL, EXEC_TRADE, clock_ms, norm_security, number
 from bookflow.operators.filters import unpivot_mask
-from bookflow.operators.ordered import chunk_of, dense_index
+from bookflow.operators.ordered import chunk_of, dense_index, join_key_stats
 from bookflow.operators.sequences import SEQUENCE_KEYS
+from bookflow.session import stage
 
 TICKS_PER_UNIT = 100
 POST_FIELDS = ("ChannelNo", "ApplSeqNum", "MDStreamID", "SecurityID", "SecurityIDSource", "Price", "OrderQty", "Side",
@@ -37,18 +38,23 @@ def _place(df: DataFrame) -> DataFrame:
                            "_at": F.monotonically_increasing_id()})
 
 
-def with_line_number(df: DataFrame, by: Sequence[str] = ("_file",), name: str = "row_seq", part: Column | None = None) -> DataFrame:
-    """0-based line number per file, given before any row is dropped; or over all files of `by`, in the order of `part` (else of their paths)."""
-    placed = df.withColumn("_part", F.lit(0) if part is None else part)
-    place = ["_part", "_file", "_block"]
-    return dense_index(placed, by, [*place, "_at"], F.struct(*place), name).drop("_part")
+def _numbered(df: DataFrame, fields: Sequence[Column], seq: Column | None = None, part: Column | None = None,
+              name: str = "row_seq") -> tuple[DataFrame, DataFrame]:
+    """`fields` of every line with its 0-based number per file, or over all files of a `seq` in the order of `part` (else of their paths); and lines per file or `seq`.
 
-
-def _numbered(df: DataFrame, seq: Column | None, part: Column | None) -> tuple[DataFrame, list[str]]:
-    """Lines numbered per file, or per sequence where `seq` names one, and the columns that tell them apart."""
-    by = ["_file"] if seq is None else ["seq"]
-    placed = _place(df)
-    return with_line_number(placed if seq is None else placed.withColumn("seq", seq), by, part=part), by
+    The files are parsed once, into a staged table. A task reads a block from its first line to its last, so the place of a line in its block is a
+    difference of `_at`; only one row a block is added up, and no line is sorted or moved.
+    """
+    by = "_file" if seq is None else "seq"
+    rows = stage(_place(df).select("_file", "_block", "_at", *fields), "lines")
+    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).withColumn(
+        "_part", F.lit(0) if part is None else part)
+    blocks = stage(blocks if seq is None else blocks.withColumn("seq", seq), "blocks")
+    before = W.partitionBy(by).orderBy("_part", "_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select("_file", "_block", *(["seq"] if seq is not None else []),
+                           (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    numbered = join_key_stats(rows, starts, ["_file", "_block"]).withColumn(name, (F.col("_start") + F.col("_at")).cast("long"))
+    return numbered.drop("_block", "_at", "_start"), blocks.groupBy(by).agg(F.sum("n").alias("n"))
 
 
 def _whole(text: Column) -> Column:
@@ -139,25 +145,38 @@ def read_messages(spark: SparkSession, path, date: str | None = None, *, seq: Co
     The date is taken from the second part of the file name unless given. `row_seq` counts the lines of a file; or, with `seq` (a name made from
     `_file`), those of all files of that name, in the order of `part`.
     """
-    raw, by = _numbered(_text_csv(spark, path, MESSAGE_FIELDS, False), seq, part)
+    return _messages(spark, path, date, seq, part)[0]
+
+
+def _messages(spark: SparkSession, path, date: str | None, seq: Column | None, part: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Messages, and lines per file or sequence before any was dropped."""
     day = F.lit(date) if date else F.get(F.split(file_name(F.col("_file")), "_"), F.lit(1))
     seconds = clean_time(F.col("time"))
     day_ns = F.datediff(F.to_date(day), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000_000_000
     ints = ("event_type", "order_id", "size", "price", "direction")
-    rows = raw.select(*by, "row_seq", (day_ns + (seconds * 1_000_000_000).cast("long")).alias("t_ns"), *[_whole(F.col(c)).alias(c) for c in ints])
+    fields = [(day_ns + (seconds * 1_000_000_000).cast("long")).alias("t_ns"), *[_whole(F.col(c)).alias(c) for c in ints]]
+    rows, sizes = _numbered(_text_csv(spark, path, MESSAGE_FIELDS, False), fields, seq, part)
+    rows = rows.select(*(["_file"] if seq is None else ["seq"]), "row_seq", "t_ns", *ints)
     for c in ("t_ns", *ints):
         rows = rows.filter(F.col(c).isNotNull())
-    return rows
+    return rows, sizes
 
 
 def read_book(spark: SparkSession, path, levels: int = 10, *, seq: Column | None = None, part: Column | None = None) -> DataFrame:
     """Books of headerless CSV files, four columns a level; sentinels of absent levels become NULL. Numbered as `read_messages` does."""
+    return _books(spark, path, levels, seq, part)[0]
+
+
+def _books(spark: SparkSession, path, levels: int, seq: Column | None, part: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Books, and lines per file or sequence."""
     names = [f"{f}_{i}" for i in range(1, levels + 1) for f in ("ask_p", "ask_v", "bid_p", "bid_v")]
-    raw, by = _numbered(_text_csv(spark, path, names, False), seq, part)
-    price = lambda c: F.when(F.abs(_whole(F.col(c))) < 9_999_999_999, _whole(F.col(c)))
-    book = F.array(*[F.struct(price(f"ask_p_{i}").alias("ask_p"), _whole(F.col(f"ask_v_{i}")).alias("ask_v"),
-                              price(f"bid_p_{i}").alias("bid_p"), _whole(F.col(f"bid_v_{i}")).alias("bid_v")) for i in range(1, levels + 1)])
-    return raw.select(*by, "row_seq", book.alias("levels"))
+    # One conversion over all fields instead of one a field: the code of so many does not fit a method that is compiled.
+    text = _text_csv(spark, path, names, False).withColumn("_v", F.transform(F.array(*names), _whole))
+    far = lambda i: F.when(F.abs(F.col("_v")[i]) < 9_999_999_999, F.col("_v")[i])
+    book = F.array(*[F.struct(far(i).alias("ask_p"), F.col("_v")[i + 1].alias("ask_v"), far(i + 2).alias("bid_p"), F.col("_v")[i + 3].alias("bid_v"))
+                     for i in range(0, 4 * levels, 4)])
+    rows, sizes = _numbered(text, [book.alias("levels")], seq, part)
+    return rows.select(*(["_file"] if seq is None else ["seq"]), "row_seq", "levels"), sizes
 
 
 def file_name(path: Column) -> Column:
@@ -171,9 +190,8 @@ def pair_key(path: Column) -> Column:
 
 
 def _check_lengths(messages: DataFrame, books: DataFrame, book_required: bool) -> None:
-    """Fails on a sequence whose message and book files differ in lines; `books` may lack a whole sequence unless it is required."""
-    count = lambda df, n: df.groupBy("seq").agg(F.count(F.lit(1)).alias(n))
-    sizes = count(messages, "n_m").join(count(books, "n_b"), "seq", "full")
+    """Fails on a sequence whose message and book files differ in lines (seq, n); `books` may lack a whole sequence unless it is required."""
+    sizes = messages.withColumnRenamed("n", "n_m").join(books.withColumnRenamed("n", "n_b"), "seq", "full")
     differ = ~F.col("n_m").eqNullSafe(F.col("n_b"))
     odd = sizes.filter(differ if book_required else differ & F.col("n_b").isNotNull()).first()
     if odd is not None:
@@ -187,11 +205,10 @@ def read_tape(spark: SparkSession, messages, books, levels: int = 10, strict: bo
     `strict` compares the line counts of each pair first and fails where they differ.
     """
     key = pair_key(F.col("_file")) if seq is None else seq
-    msg = read_messages(spark, messages, date, seq=key, part=part)
-    book = read_book(spark, books, levels, seq=key, part=part)
+    msg, msg_lines = _messages(spark, messages, date, key, part)
+    book, book_lines = _books(spark, books, levels, key, part)
     if strict:
-        lines = lambda paths: _place(_text_csv(spark, paths, ["first"], False)).select(key.alias("seq"))
-        _check_lengths(lines(messages), lines(books), True)
+        _check_lengths(msg_lines, book_lines, True)
     joined = msg.join(book, ["seq", "row_seq"]).withColumnRenamed("row_seq", "_line")
     return dense_index(joined, ["seq"], ["_line"], chunk_of("_line")).drop("_line")
 
@@ -242,7 +259,7 @@ def read_catalogue(spark: SparkSession, real: str, generated: str, conditional:
 def load_catalogue(spark: SparkSession, real: str, generated: str, conditional: str | None = None, levels: int = 10, strict: bool = True) -> DataFrame:
     """All tapes of a catalogue in one table: date, real_id, gen_id, kind (real, generated, conditional), row_seq, messages and books.
 
-    Every role is one scan of its message files and one of its book files; rows find their sequence by the path they came from, so any number of
+    Every role is one scan of its message files and one of its book files, and one shuffle joins them; rows find their sequence by the path they came from, so any number of
     sequences costs the same. Files of a date and real_id without a real sequence are left out. A sequence without a book has NULL levels. `strict`
     fails where a pair of files differs in lines. Errors and warnings of `read_catalogue` apply.
     """
@@ -253,13 +270,16 @@ def load_catalogue(spark: SparkSession, real: str, generated: str, conditional:
         known = F.broadcast(listing.filter(F.col("role") == role).select(*PAIR_FIELDS))  # one row a file, as many as Spark's own list of them
         key = F.to_json(F.struct(*_pair_fields(file_name(F.col("_file")))))
         paths = [f"{root.rstrip('/')}/*{what}*" for what in ("message", "orderbook")]
-        msg = read_messages(spark, paths[0], seq=key)
+        msg, msg_lines = _messages(spark, paths[0], None, key, None)
+        # Lines are dense unless some were dropped; messages are numbered anew before the wide books are joined to them.
+        msg = msg.withColumnRenamed("row_seq", "_line")
+        dropped = msg_lines.agg(F.sum("n")).first()[0] != msg.count()
+        msg = dense_index(msg, ["seq"], ["_line"], chunk_of("_line")) if dropped else msg.withColumn("row_seq", F.col("_line"))
         if not listing.filter((F.col("role") == role) & F.col("book_path").isNotNull()).isEmpty():
-            book = read_book(spark, paths[1], levels, seq=key)
+            book, book_lines = _books(spark, paths[1], levels, key, None)
             if strict:
-                lines = lambda path: _place(_text_csv(spark, path, ["first"], False)).select(key.alias("seq"))
-                _check_lengths(lines(paths[0]), lines(paths[1]), False)
-            joined = msg.join(book, ["seq", "row_seq"], "left")
+                _check_lengths(msg_lines, book_lines, False)
+            joined = msg.join(book.withColumnRenamed("row_seq", "_line"), ["_line", "seq"], "left")  # the number first: it sorts faster than a name
         else:
             level = ", ".join(f"{c}: bigint" for c in ("ask_p", "ask_v", "bid_p", "bid_v"))
             joined = msg.withColumn("levels", F.lit(None).cast(f"array<struct<{level}>>"))
@@ -267,8 +287,7 @@ def load_catalogue(spark: SparkSession, real: str, generated: str, conditional:
         rows = joined.withColumn("_k", fields).select(*[F.col(f"_k.{c}").alias(c) for c in PAIR_FIELDS], F.lit(role).alias("kind"), *[c for c in joined.columns if c != "seq"])
         rows = rows.join(known, list(PAIR_FIELDS), "left_semi")
         out = rows if out is None else out.unionByName(rows)
-    lined = out.withColumnRenamed("row_seq", "_line")
-    return dense_index(lined, SEQUENCE_KEYS, ["_line"], chunk_of("_line")).drop("_line")
+    return out.drop("_line")
 
 
 # Records and metrics ----------------------------------------------------------------------------------------

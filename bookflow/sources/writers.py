@@ -10,6 +10,7 @@ from bookflow.functions import MISSING_LEVEL
 from bookflow.operators.filters import cut_to_level
 from bookflow.operators.flow import BY as FLOW_BY, flow_report
 from bookflow.operators.ordered import chunk_of
+from bookflow.session import stage
 from bookflow.sources.readers import RECORD_KEYS, read_tape
 
 
@@ -55,8 +56,10 @@ def _seconds() -> Column:
 def write_catalogue(tape: DataFrame, path: str, levels: int = 10, mode: str = "errorifexists") -> None:
     """Sequences keyed date, real_id, gen_id, kind as folders `real`, `generated`, `conditional` of message and book files for `load_catalogue`.
 
-    Ranges of (file, row) are written by one task each, so the parts of a long file lie in the order of their names.
+    Ranges of (file, row) are written by one task each, so the parts of a long file lie in the order of their names. The rows are staged: each of
+    the six writes samples them for its ranges and then reads them.
     """
+    tape = stage(tape, "catalogue-rows")
     name = lambda what: F.concat(F.lit("X_"), "date", F.lit(f"_{what}_real_id_"), "real_id", F.when(F.col("gen_id") != "", F.concat(F.lit("_gen_id_"), "gen_id")).otherwise(""), F.lit(".csv"))
     message = (_seconds().alias("time"), "event_type", "order_id", "size", "price", "direction")
     tasks = int(tape.sparkSession.conf.get("spark.sql.shuffle.partitions"))

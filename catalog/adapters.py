@@ -194,8 +194,9 @@ class Tables:
             *[F.expr(sql).alias(name) for name, sql in TOUCH.items()])
         levels = F.array(*[F.struct(*[F.expr(sql).cast("long").alias(name.rsplit("_", 1)[0])
                                       for name, sql in _level_terms(i).items()]) for i in LEVELS])
-        deep = base.withColumn("levels", levels).drop("ask1", "bid1")
-        return ordered.dense_index(deep, TAPE_KEYS, ["event_id"], ordered.chunk_of("event_id"))
+        # Rows are numbered before they get their levels, so that the shuffle moves narrow ones.
+        numbered = ordered.dense_index(base, TAPE_KEYS, ["event_id"], ordered.chunk_of("event_id"))
+        return numbered.withColumn("levels", levels).drop("ask1", "bid1")
 
     @cached_property
     def posts(self) -> DataFrame:

@@ -281,6 +281,8 @@ def test_catalogue_keeps_line_order_over_parts(spark, tmp_path):
     out = readers.load_catalogue(spark, str(tmp_path / "c" / "real"), str(tmp_path / "c" / "real"), levels=1)
     real = out.filter("kind = 'real'")
     assert real.count() == 5000 and real.filter("row_seq <> order_id OR levels[0].ask_p <> order_id").count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "] csv" not in plan and "Window" not in plan  # files are parsed once, and lines numbered without a sort
 
 
 def test_incomplete_bin_record_fails(spark, tmp_path):
