@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bookflow.functions import (
     ASK, BID, CANCEL, CANCEL_ASK, CANCEL_BID, DONE_ASK, DONE_BID, EXEC_CANCEL, EXEC_TRADE, ORD_LIMIT, div,
 )
-from bookflow.operators.ordered import asof_backward, dense_index, join_key_stats, over_neighbours, running
+from bookflow.operators.ordered import asof_backward, dense_index, join_key_stats, over_neighbours, running, spread
 from bookflow.session import stage
 
 BY = ("trade_date", "security_id")
@@ -79,7 +79,11 @@ def open_anchor(snaps: DataFrame, second: int = ANCHOR_S, required: DataFrame |
 def open_diff(posts: DataFrame, anchors: DataFrame) -> DataFrame:
     """Price in whole ticks from the fixed opening bid; securities without an anchor are dropped."""
     joined = join_key_stats(posts, anchors.select(*BY, "anchor_bid_tick"), BY)
-    return joined.withColumn("price_diff", F.rint(F.col("price_tick") - F.col("anchor_bid_tick")).cast("long"))
+    return joined.withColumn("price_diff", _open_diff())
+
+
+def _open_diff() -> Column:
+    return F.rint(F.col("price_tick") - F.col("anchor_bid_tick")).cast("long")
 
 
 def last_mid_per_second(snaps: DataFrame) -> DataFrame:
@@ -114,10 +118,13 @@ def match_legs(legs: DataFrame, posts: DataFrame, carry: Sequence[str] = ("price
 
 def code_side(legs: DataFrame, mode: str = "split") -> DataFrame:
     """Side code of a leg: 99 for cancels; executions 129 / 130 by the resting side, or always 129 ('single')."""
+    return legs.withColumn("side", _code_side(mode))
+
+
+def _code_side(mode: str) -> Column:
     done = F.lit(DONE_BID) if mode == "single" else (
         F.when(F.col("orig_side") == BID, DONE_BID).when(F.col("orig_side") == ASK, DONE_ASK))
-    side = F.when(F.col("exec_type") == EXEC_CANCEL, CANCEL).when(F.col("exec_type") == EXEC_TRADE, done)
-    return legs.withColumn("side", side.cast("long"))
+    return F.when(F.col("exec_type") == EXEC_CANCEL, CANCEL).when(F.col("exec_type") == EXEC_TRADE, done).cast("long")
 
 
 def split_cancels(flow: DataFrame) -> DataFrame:
@@ -177,13 +184,16 @@ def match_rate(legs: DataFrame, posts: DataFrame) -> DataFrame:
 def unify_flow(posts: DataFrame, legs: DataFrame) -> DataFrame:
     """Union of post rows and matched legs; the semantic names what happened."""
     post_rows = posts.withColumns({"orig_side": F.col("side"), "event_semantic": F.lit("post"), "leg": F.lit(0)})
-    leg_rows = legs.withColumn("event_semantic", F.when(F.col("exec_type") == EXEC_CANCEL, "cancel").when(
-        F.col("exec_type") == EXEC_TRADE, "transaction_complete"))
+    leg_rows = legs.withColumn("event_semantic", _semantic())
     both = post_rows.unionByName(leg_rows, allowMissingColumns=True)
     flags = [c for c in ("aggressive", "residual_posted") if c in both.columns]
     return both.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in flags})
 
 
+def _semantic() -> Column:
+    return F.when(F.col("exec_type") == EXEC_CANCEL, "cancel").when(F.col("exec_type") == EXEC_TRADE, "transaction_complete")
+
+
 def order_flow(flow: DataFrame) -> DataFrame:
     """Dense `row_seq` per security in time, channel, number order; equal keys keep post, bid leg, offer leg, feed order."""
     tie = [c for c in FEED_TIE if c in flow.columns]
@@ -196,14 +206,14 @@ def interval_ms(flow: DataFrame) -> DataFrame:
     return over_neighbours(flow, BY, gap, before=1)
 
 
-def ordered_with_gaps(flow: DataFrame) -> DataFrame:
+def ordered_with_gaps(flow: DataFrame, coded: Column) -> DataFrame:
     """`order_flow` and `interval_ms` from one shuffle: rows are numbered and compared inside a second, and
-    one row of counts and last time per second is carried forward. Rows without a side take no number: they are dropped
+    one row of counts and last time per second is carried forward. Rows that are not `coded` (without a side) take no number: they are dropped
     afterwards, and the numbers of the others stay dense."""
-    counted = F.when(F.col("side").isNotNull(), 1).otherwise(0) if "side" in flow.columns else F.lit(1)
+    counted = F.when(coded, 1).otherwise(0)
     tie = [c for c in FEED_TIE if c in flow.columns]
     out = running(flow, BY, ["t_ms", "channel_no", "appl_seq_num", *tie], div(F.col("t_ms"), 1000),
-                  sums={"_n": counted}, prevs={"_t": F.col("t_ms")})
+                  sums={"_n": counted}, prevs={"_t": F.col("t_ms")}, rows=flow.count())
     return out.withColumns({
         "row_seq": (F.col("_n") - 1).cast("long"),
         "interval_ms": (F.col("t_ms") - F.coalesce("_t", "t_ms")).cast("long")}).drop("_n", "_t")
@@ -231,12 +241,28 @@ def build_flow(posts: DataFrame, txns: DataFrame, snaps: DataFrame, mask: DataFr
         priced, carry = mid_diff(orders, snaps), ("price_tick", "mid_tick", "price_diff")
     else:
         priced, carry = open_diff(orders, open_anchor(snaps, anchor_s, orders if stocks else None)), ("price_tick", "anchor_bid_tick", "price_diff")
-    legs = code_side(match_legs(expand_legs(universe(txns, stocks)), priced, carry),
-                     "split" if variant == "open_complete" else "single")
+    mode = "split" if variant == "open_complete" else "single"
+    n_legs = 2 * txns.count()
+    legs = match_legs(spread(expand_legs(universe(txns, stocks)), n_legs, *ORDER_KEY), spread(priced, n_legs, *ORDER_KEY), carry)
+    if variant == "open_complete":
+        priced = residual_posts(residual_flags(join_immediate(priced, immediate_exec(legs)))).drop("post_qty", "residual_qty", "aggressive", "residual_posted")
+    # What follows from other columns is left out while rows are written and ordered: semantic, side, distance, quantities.
+    posted = priced.drop("ord_type").withColumnsRenamed({"side": "orig_side"}).withColumns({"leg": F.lit(0), "exec_type": F.lit(None).cast(legs.schema["exec_type"].dataType)})
+    slim = posted.unionByName(legs, allowMissingColumns=True)
+    if variant != "mid":
+        slim = slim.drop("price_diff")
+    coded = (F.col("leg") == 0) | _code_side(mode).isNotNull()
+    flow = ordered_with_gaps(stage(session_filter(slim), "flow-rows"), coded).filter(coded)
+    is_post = F.col("leg") == 0
+    flow = flow.withColumns({
+        "side": F.when(is_post, F.col("orig_side")).otherwise(_code_side(mode)).cast("long"),
+        "event_semantic": F.when(is_post, "post").otherwise(_semantic())})
+    if variant != "mid":
+        flow = flow.withColumn("price_diff", _open_diff())
     if variant == "open_complete":
-        priced = residual_posts(residual_flags(join_immediate(priced, immediate_exec(legs))))
-    rows = stage(session_filter(unify_flow(priced.drop("ord_type"), legs)), "flow-rows")
-    flow = ordered_with_gaps(rows).filter(F.col("side").isNotNull())
+        flow = flow.withColumns({
+            "post_qty": F.when(is_post, F.col("order_qty") + F.col("immediate_qty")), "residual_qty": F.when(is_post, F.col("order_qty")),
+            "aggressive": F.coalesce(F.col("immediate_qty") > 0, F.lit(False)), "residual_posted": is_post})
     return split_cancels(flow) if split_cancel_sides else flow
 
 

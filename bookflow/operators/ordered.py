@@ -21,6 +21,7 @@ from bookflow.functions import div
 from bookflow.session import stage
 
 CHUNK = 1 << 16
+TASK_ROWS = 1 << 20
 
 
 def chunk_of(pos: str) -> Column:
@@ -28,6 +29,13 @@ def chunk_of(pos: str) -> Column:
     return div(F.col(pos), CHUNK)
 
 
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Deal `df`, of about `rows` rows, by a key to so many tasks that each sorts at most TASK_ROWS of them; the session's number of partitions stands
+    while it is enough. Sorts then need no more memory, and spill no more, when the input grows."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def join_key_stats(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join one row of statistics per key to the rows of the key.
 
@@ -88,14 +96,14 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
             lasts: Mapping[str, Column] | None = None, nexts: Mapping[str, Column] | None = None,
             prevs: Mapping[str, Column] | None = None, totals: Mapping[str, Column] | None = None,
             befores: Mapping[str, Column] | None = None, froms: Mapping[str, Column] | None = None,
-            afters: Mapping[str, Column] | None = None) -> DataFrame:
+            afters: Mapping[str, Column] | None = None, rows: int = 0) -> DataFrame:
     """Running aggregates over all earlier rows of a key and the row itself.
 
     sums / mins: running sum / minimum. lasts: last non-null value so far. prevs / nexts: value on
     the previous / next row. befores: last non-null value on earlier rows only. froms: first
     non-null value on this or a later row; afters: on later rows only. totals: sum over the whole
     key. `chunk` must be non-decreasing in `order` and split a key into bounded parts; None says that
-    every key is bounded.
+    every key is bounded. `rows`, where known, is the number of rows: large tables are dealt to more tasks (`spread`).
     """
     sums, mins, lasts, nexts, prevs, totals, befores, froms, afters = (
         dict(x or {}) for x in (sums, mins, lasts, nexts, prevs, totals, befores, froms, afters))
@@ -120,6 +128,8 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
         inputs.update({f"_{kind}_{name}": col for name, col in spec.items()})
     keyed = df.withColumns({"_chunk": chunk, **inputs})
 
+    # The first column of the order is largest on the last row: a plain maximum, while one by a struct would sort all rows before they are added up.
+    leads = lambda c: str(c) == str(F.col(order[0]))
     parts = (
         [F.sum(f"_s_{n}").alias(f"_cs_{n}") for n in sums]
         + [F.sum(f"_t_{n}").alias(f"_ct_{n}") for n in totals]
@@ -128,8 +138,8 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
         + [F.max_by(f"_b_{n}", F.when(F.col(f"_b_{n}").isNotNull(), key)).alias(f"_cb_{n}") for n in befores]
         + [F.min_by(f"_f_{n}", F.when(F.col(f"_f_{n}").isNotNull(), key)).alias(f"_cf_{n}") for n in froms]
         + [F.min_by(f"_a_{n}", F.when(F.col(f"_a_{n}").isNotNull(), key)).alias(f"_ca_{n}") for n in afters]
-        + [F.max_by(f"_p_{n}", key).alias(f"_cp_{n}") for n in prevs]
-        + [F.min_by(f"_n_{n}", key).alias(f"_cn_{n}") for n in nexts]
+        + [(F.max(f"_p_{n}") if leads(c) else F.max_by(f"_p_{n}", key)).alias(f"_cp_{n}") for n, c in prevs.items()]
+        + [(F.min(f"_n_{n}") if leads(c) else F.min_by(f"_n_{n}", key)).alias(f"_cn_{n}") for n, c in nexts.items()]
     )
     across = W.partitionBy(*by).orderBy("_chunk")
     later = across.rowsBetween(1, W.unboundedFollowing)
@@ -162,7 +172,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
     local |= {f"_p_{n}": F.lag(f"_p_{n}").over(inside) for n in prevs}
     local |= {f"_n_{n}": F.lead(f"_n_{n}").over(inside) for n in nexts}
     # Every chunk has its totals; an outer join adds no null filter, so both sides can share one exchange.
-    joined = keyed.withColumns(local).join(carry, [*by, "_chunk"], "left")
+    joined = spread(keyed, rows, *by, "_chunk").withColumns(local).join(carry, [*by, "_chunk"], "left")
 
     out = {n: F.coalesce(F.col(f"_s_{n}"), F.lit(0)) + F.coalesce(F.col(f"_cs_{n}"), F.lit(0)) for n in sums}
     out |= {n: F.col(f"_ct_{n}") for n in totals}

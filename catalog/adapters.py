@@ -200,27 +200,18 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
-        return self.staged("posts", self._posts)
-
-    def _posts(self) -> DataFrame:
         return self.raw("orders").select(
             F.expr(SECURITY.format(key="o_orderkey", text="STRING")).alias("security_id"),
             *[F.expr(sql).cast("long").alias(name) for name, sql in POST_TERMS.items()])
 
     @cached_property
     def txns(self) -> DataFrame:
-        return self.staged("txns", self._txns)
-
-    def _txns(self) -> DataFrame:
         return self.raw("lineitem").select(
             F.expr(SECURITY.format(key="l_orderkey", text="STRING")).alias("security_id"),
             *[F.expr(sql).cast("long").alias(name) for name, sql in TXN_TERMS.items()])
 
     @cached_property
     def snaps(self) -> DataFrame:
-        return self.staged("snaps", self._snaps)
-
-    def _snaps(self) -> DataFrame:
         return self.raw("orders").select(
             F.expr(SECURITY.format(key="o_orderkey", text="STRING")).alias("security_id"),
             *[F.expr(sql).cast("long").alias(name) for name, sql in SNAP_TERMS.items()])

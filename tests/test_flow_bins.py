@@ -1,11 +1,12 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bookflow.operators import bins, depth, flow as flows
+from bookflow.operators import bins, depth, flow as flows, ordered
 
 
 def test_fit_bins_by_properties(spark):
@@ -170,3 +171,16 @@ def test_removals_without_side_are_counted(spark):
     assert out.filter("book_side IS NOT NULL").exceptAll(plain).count() == 0 and plain.count() == 2
     assert depth.removed_qty(out).collect() == depth.removed_qty(plain).collect() and depth.to_messages(out).count() == 2
     assert depth.book_after(out, 2).count() == depth.book_after(plain, 2).count() == 2
+
+
+def test_flow_sorts_in_bounded_tasks(spark, tables, monkeypatch):
+    """Large flows are dealt to more tasks than the session names, chunk totals need no sort, and nothing that follows from other columns is moved."""
+    cols = [*flows.BY, "row_seq", "t_ms", "order_qty", "side", "price_diff", "interval_ms", "event_semantic", "post_qty", "aggressive"]
+    want = sorted(map(tuple, tables.flow.select(*cols).collect()))
+    monkeypatch.setattr(ordered, "TASK_ROWS", 500)
+    flow = flows.build_flow(tables.posts, tables.txns, tables.snaps)
+    assert sorted(map(tuple, flow.select(*cols).collect())) == want
+    plan = flow._jdf.queryExecution().executedPlan().toString()
+    parts = [int(n) for n in re.findall(r"hashpartitioning\(trade_date[^)]*_chunk[^)]*, (\d+)\), REPARTITION", plan)]
+    assert parts and min(parts) * 500 >= len(want)
+    assert "SortAggregate" not in plan and "post_qty" not in plan.split("Exchange", 1)[1]
