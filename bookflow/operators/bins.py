@@ -6,9 +6,11 @@ from bisect import bisect_right
 from collections.abc import Generator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bookflow.functions import PRIME, div, edge_bin, literal_edges, toss
+from bookflow.operators import ordered
 from bookflow.operators.flow import BY, SIDES_5
 from bookflow.operators.ordered import asof_backward, chunk_of, over_values, running, value_chunks
 from bookflow.session import stage
@@ -237,23 +239,45 @@ def _modes(rows: DataFrame, distribution: DataFrame, edges: Mapping[str, Sequenc
 
 def _draws(rows: DataFrame, distribution: DataFrame, edges: Mapping[str, Sequence[float]], seed: int,
            by: Sequence[str]) -> DataFrame:
-    """A position in the bin's sorted values is drawn from (seed, row_seq, field) by whole numbers and looked up in the cumulative table."""
+    """A position in the bin's sorted values is drawn from (seed, row_seq, field) by whole numbers and looked up in the cumulative table.
+
+    A table of at most CHUNK rows goes to the tasks, and no row is moved; a larger one is joined in order.
+    """
     totals = {(r["field"], r["bin"]): r["n"] for r in distribution.groupBy("field", "bin").agg(F.sum("count").alias("n")).collect()}
-    cum = over_values(distribution, ["field", "bin"], "value", sums={"_end": F.col("count")}).select(
-        "field", F.col("bin").cast("int").alias("bin"), (F.col("_end") - F.col("count")).cast("long").alias("_at"), "value")
-    asks = []
+    cum = stage(over_values(distribution, ["field", "bin"], "value", sums={"_end": F.col("count")}).select(
+        "field", F.col("bin").cast("int").alias("bin"), (F.col("_end") - F.col("count")).cast("long").alias("_at"), "value"), "draw-places")
+    asks = {}
     for number, f in enumerate(FIELDS):
         sizes = F.array(*[F.lit(totals.get((f, b))).cast("long") for b in range(len(edges[f]) - 1)])
         size = sizes[F.col(f"{f}_bin")]
-        asks.append(F.struct(F.lit(f).alias("field"), F.col(f"{f}_bin").alias("bin"),
-                             div(toss(toss(F.col("row_seq") + seed * 104_729 + number * 1_299_709)) * size, PRIME).alias("_at")))
-    slim = rows.filter("order_token IS NOT NULL").select(*by, "row_seq", F.inline(F.array(*asks))).filter("_at IS NOT NULL")
+        asks[f] = F.when(F.col("order_token").isNotNull(), div(toss(toss(F.col("row_seq") + seed * 104_729 + number * 1_299_709)) * size, PRIME))
+    if cum.count() <= ordered.CHUNK:
+        return rows.withColumns({f"_{f}": _looked_up(cum.filter(F.col("field") == f), totals, f, len(edges[f]) - 1, at) for f, at in asks.items()})
+    stacked = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_bin").alias("bin"), at.alias("_at")) for f, at in asks.items()])
+    slim = rows.select(*by, "row_seq", F.inline(stacked)).filter("_at IS NOT NULL")
     found = asof_backward(slim, cum, ["field", "bin"], "_at", ["value"], bucket=1 << 16)
     wide = found.groupBy(*by, "row_seq").agg(*[
         F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{f}") for f in FIELDS])
     return rows.join(wide, [*by, "row_seq"], "left")
 
 
+def _looked_up(places: DataFrame, totals: Mapping[tuple[str, int], int], field: str, n_bins: int, at: Column) -> Column:
+    """Value at position `at` of the row's bin; the places of a field's bins lie one after another."""
+    starts = np.concatenate([[0], np.cumsum([int(totals.get((field, b)) or 0) for b in range(n_bins)])]).astype(np.int64)
+    table = sorted((int(starts[r["bin"]]) + r["_at"], r["value"]) for r in places.collect())
+    firsts, values = np.array([p for p, _ in table], np.int64), np.array([v for _, v in table], np.float64)
+
+    def find(pos: pd.Series) -> pd.Series:
+        where = pos.to_numpy()
+        out = np.full(len(where), np.nan)
+        hit = where >= 0
+        out[hit] = values[np.searchsorted(firsts, where[hit], "right") - 1]
+        return pd.Series(out)
+
+    pos = F.coalesce(F.array(*[F.lit(int(x)) for x in starts[:-1]]).cast("array<bigint>")[F.col(f"{field}_bin")] + at, F.lit(-1).cast("long"))
+    return F.nanvl(F.pandas_udf(find, "double")(pos), F.lit(None).cast("double"))
+
+
 def top_tokens(flow: DataFrame, k: int, token: str = "order_token") -> DataFrame:
     """The k most frequent tokens; ties by token."""
     return flow.filter(F.col(token).isNotNull()).groupBy(token).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), token).limit(k)

@@ -184,3 +184,17 @@ def test_flow_sorts_in_bounded_tasks(spark, tables, monkeypatch):
     parts = [int(n) for n in re.findall(r"hashpartitioning\(trade_date[^)]*_chunk[^)]*, (\d+)\), REPARTITION", plan)]
     assert parts and min(parts) * 500 >= len(want)
     assert "SortAggregate" not in plan and "post_qty" not in plan.split("Exchange", 1)[1]
+
+
+def test_draws_move_no_rows(spark, tables, monkeypatch):
+    """A small table of values goes to the rows; a large one is joined in order and gives the same draws."""
+    from catalog.q_flow import _token_table, _dist_table
+    from catalog.adapters import FIXED_EDGES
+
+    rows = _token_table(tables).withColumns(bins.decode_token(F.col("order_token"), tuple(len(FIXED_EDGES[f]) - 1 for f in bins.FIELDS), 5))
+    draws = lambda: bins._draws(rows, _dist_table(tables), FIXED_EDGES, 3, flows.BY).select(*flows.BY, "row_seq", *[f"_{f}" for f in bins.FIELDS])
+    near = draws()
+    assert "_at" not in near.columns and "rangepartitioning" not in (plan := near._jdf.queryExecution().executedPlan().toString()) and "Window" not in plan
+    want = sorted(map(tuple, near.collect()))
+    monkeypatch.setattr(ordered, "CHUNK", 37)
+    assert sorted(map(tuple, draws().collect())) == want
