@@ -345,10 +345,10 @@ def _flat(df):
 
 
 query("r4_book_after", flow_q(f"SELECT {K}, row_seq, t_ms, {', '.join(NAMES)} FROM book", OPENING_SQL, DEPTH_SQL, BOOK_SQL))(
-    lambda t: _flat(depth.book_after(depth_table(t), 3, opening(t))))
+    lambda t: _flat(depth.book_of_flow(t.flow, 3, opening(t))))
 query("r4_book_grid", flow_q(
     f"SELECT {K}, row_seq, t_ms, {', '.join(NAMES)} FROM book QUALIFY row_seq = max(row_seq) OVER (PARTITION BY {K}, t_ms // 60000)", OPENING_SQL, DEPTH_SQL, BOOK_SQL))(
-    lambda t: _flat(depth.book_after(depth_table(t), 3, opening(t), grid_ms=60_000)))
+    lambda t: _flat(depth.book_of_flow(t.flow, 3, opening(t), grid_ms=60_000)))
 query("r5_touch_after", flow_q(
     f"SELECT {K}, row_seq, ask_p_1 AS best_ask, bid_p_1 AS best_bid, (ask_p_1 + bid_p_1) / 2.0 AS mid FROM book", OPENING_SQL, DEPTH_SQL, BOOK_SQL))(
-    lambda t: depth.touch_after(depth_table(t), opening(t)))
+    lambda t: depth.touch(depth.book_of_flow(t.flow, 1, opening(t))))

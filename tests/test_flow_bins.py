@@ -198,3 +198,49 @@ def test_draws_move_no_rows(spark, tables, monkeypatch):
     want = sorted(map(tuple, near.collect()))
     monkeypatch.setattr(ordered, "CHUNK", 37)
     assert sorted(map(tuple, draws().collect())) == want
+
+
+def _book_case(spark):
+    from bookflow.operators import depth
+
+    rows, seed = [], 7
+    for key, n in (("a", 211), ("b", 40)):
+        for i in range(n):
+            seed = (seed * 1103515245 + 12345) % 2**31
+            side = (49, 50, 99, 129)[seed // 7 % 4]
+            rows.append((1, key, i, 1000 * (i // 3), side, (49, 50)[seed // 31 % 2] if side > 50 else side, 100 + seed // 101 % 6, 1 + seed // 1009 % 5))
+    flow = spark.createDataFrame(rows, "trade_date long, security_id string, row_seq long, t_ms long, side long, orig_side long, price_tick long, order_qty long")
+    opening = spark.createDataFrame([(1, "a", "bid", 103, 4), (1, "a", "ask", 109, 2), (1, "b", "ask", 90, 1)],
+                                    "trade_date long, security_id string, book_side string, price_tick long, depth long")
+    return depth, flow, opening
+
+
+@pytest.mark.parametrize("grid_ms", [None, 10_000])
+def test_book_of_flow_equals_book_of_depth(spark, small_chunks, grid_ms):
+    depth, flow, opening = _book_case(spark)
+    for start in (opening, None):
+        one = depth.book_of_flow(flow, 3, start, grid_ms=grid_ms)
+        two = depth.book_after(depth.level_depth(flow, start), 3, start, grid_ms=grid_ms)
+        assert one.count() == two.count() > 0
+        assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0
+
+
+def test_grid_book_rows_leave_a_chunk_once_per_interval(spark, small_chunks, monkeypatch):
+    """The interval is closed inside the chunk: no more wide rows are sorted than intervals, whatever the number of events."""
+    depth, flow, opening = _book_case(spark)
+    seen = []
+    monkeypatch.setattr(depth, "_book", lambda flat, *rest: seen.append(flat.count()) or flat)
+    depth.book_of_flow(flow, 1, opening, grid_ms=10_000)
+    depth.book_after(depth.level_depth(flow, opening), 1, opening, grid_ms=10_000)
+    assert max(seen) <= 22 + 2 + 6  # 211 and 40 events in threes, ten seconds to an interval, cut into chunks of 37
+    assert min(seen) > 0
+
+
+def test_large_flows_are_dealt_to_bounded_tasks(spark, small_chunks, monkeypatch):
+    from bookflow.operators import ordered
+
+    depth, flow, opening = _book_case(spark)
+    monkeypatch.setattr(ordered, "TASK_ROWS", 20)
+    plan = depth.book_of_flow(flow, 1, opening)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert "RepartitionByExpression" in depth.level_depth(flow, opening)._jdf.queryExecution().optimizedPlan().toString()
