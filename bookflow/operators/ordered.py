@@ -66,12 +66,14 @@ def dense_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
 
 
 def over_neighbours(df: DataFrame, by: Sequence[str], *builds: Callable[..., Mapping[str, Column]],
-                    before: int = 0, after: int = 0, pos: str = "row_seq", chunk: int | None = None) -> DataFrame:
+                    before: int = 0, after: int = 0, pos: str = "row_seq", chunk: int | None = None, rows: int = 0,
+                    derive: Mapping[str, Column] | None = None) -> DataFrame:
     """Add columns computed over at most `before` earlier and `after` later rows.
 
     `pos` must be a dense index within `by`. Each of `builds` gets an ordered window and returns
     columns; later ones may use the columns of earlier ones and share the same sort. Together they
-    must not reach further than `before` / `after` rows.
+    must not reach further than `before` / `after` rows. `rows`, where known, is the number of rows: large tables are dealt to more
+    tasks (`spread`). `derive` names columns of a row alone; they are made after the rows have moved and been sorted, so that narrow ones are.
     """
     chunk = max(chunk or CHUNK, before, after)
     home, rest = div(F.col(pos), chunk), F.pmod(F.col(pos), F.lit(chunk))
@@ -86,6 +88,12 @@ def over_neighbours(df: DataFrame, by: Sequence[str], *builds: Callable[..., Map
     else:
         keyed = keyed.withColumn("_chunk", F.explode(F.filter(F.array(*homes), lambda c: c.isNotNull())))
     window = W.partitionBy(*by, "_chunk").orderBy(pos)
+    dealt = spread(keyed, rows, *by, "_chunk")
+    if derive:
+        dealt = keyed.repartition(*by, "_chunk") if dealt is keyed else dealt
+        keyed = dealt.sortWithinPartitions(*by, "_chunk", pos).withColumns(dict(derive))
+    else:
+        keyed = dealt
     for build in builds:
         keyed = keyed.withColumns(dict(build(window)))
     return keyed.filter("_home = _chunk").drop("_home", "_chunk")

@@ -23,7 +23,7 @@ def windows(flow: DataFrame, w: int, token: str = "order_token", by: Sequence[st
     """Rows i..i+w-1 as an array and row i+w as the target, for every start that has a target."""
     build = lambda win: {"context": F.collect_list(token).over(win.rowsBetween(0, w - 1)), "target": F.lead(token, w).over(win)}
     rows = flow.select(*by, "row_seq", token)
-    return over_neighbours(rows, by, build, after=w).filter("target IS NOT NULL").select(
+    return over_neighbours(rows, by, build, after=w, rows=flow.count()).filter("target IS NOT NULL").select(
         *by, F.col("row_seq").alias("start"), "context", "target")
 
 
@@ -75,15 +75,15 @@ def window_features(flow: DataFrame, w: int, stride: int = 1, *, train_only: boo
         "iv": log("interval_ms"), "qy": log("order_qty"),
         **{f"s{s}": (F.coalesce(F.col("side"), F.lit(-1)) == s).cast("long") for s in SIDES},
     }
-    rows = flow.select(*by, "row_seq", "t_ms", (F.col(mid) if mid else F.lit(None)).cast("double").alias("_mid"),
-                       *[c.alias(f"_{n}") for n, c in inputs.items()])
+    rows = flow.select(*by, "row_seq", "t_ms", "price_diff", "interval_ms", "order_qty", "side", *([F.col(mid).cast("double").alias("_mid")] if mid else []))
+    derive = {f"_{n}": c for n, c in inputs.items()} | ({} if mid else {"_mid": F.lit(None).cast("double")})
     prefix = lambda win: {f"_c{n}": F.sum(f"_{n}").over(win.rowsBetween(W.unboundedPreceding, 0)) for n in inputs}
 
     def ahead(win):
         ends = {f"_w{n}": F.lead(f"_c{n}", w - 1).over(win) - F.col(f"_c{n}") + F.col(f"_{n}") for n in inputs}
         return ends | {"_mid_end": F.lead("_mid", w - 1).over(win), "_full": F.lead(F.lit(1), w - 1).over(win)}
 
-    starts = over_neighbours(rows, by, prefix, ahead, after=w - 1).filter("_full = 1").filter(F.col("row_seq") % max(1, stride) == 0)
+    starts = over_neighbours(rows, by, prefix, ahead, after=w - 1, rows=flow.count(), derive=derive).filter("_full = 1").filter(F.col("row_seq") % max(1, stride) == 0)
     if train_only:
         sizes = flow.groupBy(*by).agg(F.floor(F.lit(0.6) * (F.count(F.lit(1)) - w)).alias("_train"))
         starts = join_key_stats(starts, sizes, by).filter(F.col("row_seq") < F.col("_train"))

@@ -244,3 +244,21 @@ def test_large_flows_are_dealt_to_bounded_tasks(spark, small_chunks, monkeypatch
     plan = depth.book_of_flow(flow, 1, opening)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
     assert "RepartitionByExpression" in depth.level_depth(flow, opening)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_window_features_move_narrow_rows_to_bounded_tasks(spark, small_chunks, monkeypatch):
+    from bookflow.operators import windows
+
+    _, flow, _ = _book_case(spark)
+    flow = flow.withColumns({"price_diff": F.col("price_tick") - 103, "interval_ms": F.col("t_ms") % 7})
+    before = windows.window_features(flow, 5, 2).collect()
+    monkeypatch.setattr(ordered, "TASK_ROWS", 20)
+    out = windows.window_features(flow, 5, 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LOG1P(" in plan and plan.rindex("LOG1P(") < plan.index("RepartitionByExpression")
+    key = lambda r: (r["security_id"], r["start"])
+    assert sorted(out.collect(), key=key) == sorted(before, key=key) and len(before) == 104 + 18
+    row = min((r for r in before if r["security_id"] == "a"), key=key)
+    first = flow.filter("security_id = 'a' AND row_seq < 5").collect()
+    assert row["pm_mean"] == pytest.approx(np.mean([r["price_diff"] for r in first]))
+    assert row["log_interval_mean"] == pytest.approx(np.mean([np.log1p(r["interval_ms"]) for r in first]))
