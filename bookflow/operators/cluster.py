@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from bookflow.operators.ordered import join_key_stats, quantiles
+from bookflow.operators.ordered import join_key_stats, quantiles_of
 from bookflow.operators.windows import FEATURES
 from bookflow.session import stage
 
@@ -302,9 +302,7 @@ def captions(features: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     keys = list(by) or ["_one"]
     rows = features if by else features.withColumn("_one", F.lit(1))
     scale = rows.groupBy(*keys).agg(*[F.struct(F.avg(f).alias("m"), (F.stddev_pop(f) + 1e-12).alias("s")).alias(f"_z_{f}") for f in TRAITS])
-    for f in BUCKETS:
-        cuts = quantiles(rows, keys, f, {f"_{i}_{f}": i / 5 for i in range(1, 5)}).drop("n")
-        scale = scale.join(cuts, keys)
+    scale = scale.join(quantiles_of(rows, keys, list(BUCKETS), {f"_{i}": i / 5 for i in range(1, 5)}), keys)
     means = rows.groupBy(*keys, "label").agg(*[F.avg(f).alias(f) for f in FEATURES])
     spine = scale.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     full = spine.join(means, [*keys, "label"], "left")

@@ -112,3 +112,40 @@ def test_key_statistics_do_not_move_the_rows(tables):
         assert joins(df)[0] == 0 and joins(df)[1] >= 1, name
     w6 = micro.acf(imb.select("run_id", "kind", "row_seq", "score"), "score", 3)
     assert joins(w6) == (0, 1)
+
+
+@pytest.mark.parametrize("sketch", [1000, 10])
+def test_quantiles_of_several_columns_are_exact(spark, small_chunks, monkeypatch, sketch):
+    """Large and small keys, ties, null values, and a sketch so coarse that brackets may miss."""
+    monkeypatch.setattr(ordered, "SKETCH", sketch)
+    rng = np.random.RandomState(3)
+    rows = [("big", float(rng.lognormal()), float(rng.randint(3))) for _ in range(3000)]
+    rows += [("small", float(rng.normal()), None) for _ in range(5)] + [("one", 2.5, 1.0), ("big", None, None)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    probs = {"_1": 0.2, "_2": 0.5, "_3": 0.99, "_4": 0.0, "_5": 1.0}
+    out = {r["k"]: r for r in ordered.quantiles_of(df, ["k"], ["a", "b"], probs).collect()}
+    assert set(out) == {"big", "small", "one"}
+    for k in out:
+        for i, c in enumerate(("a", "b")):
+            have = [r[i + 1] for r in rows if r[0] == k and r[i + 1] is not None]
+            for name, p in probs.items():
+                want = pytest.approx(np.quantile(have, p), rel=1e-12) if have else None
+                assert out[k][f"{name}_{c}"] == want
+
+
+def test_missed_brackets_are_done_over_all_values(spark, small_chunks, monkeypatch):
+    plain = F.percentile_approx  # value_chunks names its ranks in a list
+    monkeypatch.setattr(ordered.F, "percentile_approx", lambda col, ends, accuracy: plain(col, ends, accuracy) if isinstance(ends, list) else F.array(F.lit(-2.0), F.lit(-1.0)))
+    df = spark.createDataFrame([(1, float(i)) for i in range(100)], "k int, a double")
+    assert ordered.quantiles_of(df, ["k"], ["a"], {"_m": 0.5}).first()["_m_a"] == 49.5
+
+
+def test_quantiles_of_move_few_values(spark, monkeypatch):
+    seen = []
+    plain = ordered.cumulative
+    monkeypatch.setattr(ordered, "cumulative", lambda hist, *rest: seen.append(hist.count()) or plain(hist, *rest))
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("k"), (F.xxhash64("id") / 1e9).alias("a"))
+    row = ordered.quantiles_of(df, ["k"], ["a"], {"_m": 0.5}).first()
+    assert row["_m_a"] == df.selectExpr("percentile(a, 0.5) AS m").first()["m"]
+    assert seen and max(seen) < n / 50
