@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from bookflow.operators.ordered import quantiles
 from bookflow.session import stage
 
-BLOCK = 2048
-FINE = 1 << 20
+BLOCK, BLOCKS, TILE = 2048, 16, 512
+BLOCK_BYTES = 1 << 26
+FINE = 1 << 18
 QUANTILES = {"p00": 0.0, "p01": 0.01, "p05": 0.05, "p10": 0.10, "p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99, "p100": 1.0}
 
 
@@ -46,14 +47,33 @@ def _block_pairs(units: DataFrame, key: str, blocks: int) -> DataFrame:
         F.col("_pair.lo").alias("lo"), F.col("_pair.hi").alias("hi"), (F.col("_b") == F.col("_pair.lo")).alias("first"), "_k", "_u")
 
 
-def _cosines(lo: int, hi: int, part: pd.DataFrame) -> np.ndarray:
-    """Cosines of a block pair; rows are put in key order, so both passes see the same numbers."""
-    part = part.sort_values("_k")
-    a = np.array(part.loc[part["first"], "_u"].tolist())
-    if lo == hi:
-        return (a @ a.T)[np.triu_indices(len(a), 1)]
-    b = np.array(part.loc[~part["first"], "_u"].tolist())
-    return (a @ b.T).ravel() if len(a) and len(b) else np.zeros(0)
+def _block_rows(n: int, d: int) -> int:
+    """Rows of a block: at least BLOCK and a share of 1 / BLOCKS of all, so vectors are sent at most BLOCKS times each, while a block has at most BLOCK_BYTES."""
+    return max(BLOCK, min(math.ceil(n / BLOCKS), BLOCK_BYTES // (8 * d)))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _cosines(key: tuple, part: pa.Table) -> Iterator[np.ndarray]:
+    """Cosines of a block pair, tile by tile; rows are put in key order, so both passes see the same numbers."""
+    part = part.sort_by("_k")
+    first = part.column("first").to_numpy()
+    if not first.any():
+        return
+    u = _matrix(part.column("_u"))
+    a, same = u[first], key[0].as_py() == key[1].as_py()
+    b = a if same else u[~first]
+    for i in range(0, len(a), TILE):
+        for j in range(i if same else 0, len(b), TILE):
+            cos = a[i:i + TILE] @ b[j:j + TILE].T
+            yield cos[np.triu_indices(len(cos), 1)] if same and i == j else cos.ravel()
+
+
+def _slots(cos: np.ndarray) -> np.ndarray:
+    return ((cos + 2) * FINE).astype(np.int64)
 
 
 def cosine_moments(units: DataFrame) -> tuple[int, float, float]:
@@ -97,8 +117,8 @@ def cosine_summary(vectors: DataFrame, key: str, vec: str = "embedding", centre:
 
     Both orders of a pair count. Count, mean and std come from `cosine_moments`, whose work is linear; `probs={}` asks for no more than these.
     Quantiles, min and max need the pairs: a first pass counts cosines in narrow bins, which fixes the bins that hold the wanted ranks; a second
-    pass returns the distinct values of those bins only. That work is quadratic: n vectors of d numbers are sent n / BLOCK times, about
-    n^2 * d / 256 bytes, which suits centroids, anchors and vocabularies (100,000 vectors of 64 numbers: 2.5 GB), not a corpus.
+    pass returns the distinct values of those bins only. The arithmetic is quadratic; a task holds two blocks and a tile of
+    cosines. Vectors are sent at most BLOCKS times a pass until blocks reach BLOCK_BYTES (2.1 million vectors of 64 numbers), and n / block times beyond.
     """
     probs = dict(QUANTILES if probs is None else probs)
     units = stage(_unit(vectors, vec, centre).select(key, "_u"), "unit-vectors")
@@ -107,15 +127,23 @@ def cosine_summary(vectors: DataFrame, key: str, vec: str = "embedding", centre:
         raise ValueError("cosines need two vectors")
     if not probs:
         return vectors.sparkSession.createDataFrame([(n * (n - 1), mean, std)], "count long, mean double, std double")
-    blocks = max(1, math.ceil(n / BLOCK))
+    blocks = math.ceil(n / _block_rows(n, len(units.select("_u").first()[0])))
     paired = _block_pairs(units, key, blocks)
-
-    def count(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cos = _cosines(group[0], group[1], part)
-        slot, hits = np.unique(np.floor((cos + 2) * FINE).astype(np.int64), return_counts=True)
-        return pd.DataFrame({"slot": slot, "n": hits})
-
-    counts = paired.groupBy("lo", "hi").applyInPandas(count, "slot long, n long")
+    if blocks > 1:
+        paired = paired.repartition(blocks * (blocks + 1) // 2, "lo", "hi")
+
+    def count(group: tuple, part: pa.Table) -> pa.Table:
+        hits = np.zeros(4 * FINE, np.int64)
+        for cos in _cosines(group, part):
+            if len(cos):
+                slot = _slots(cos)
+                low = slot.min()
+                found = np.bincount(slot - low)
+                hits[low:low + len(found)] += found
+        slot = np.flatnonzero(hits)
+        return pa.table({"slot": slot, "n": hits[slot]})
+
+    counts = paired.groupBy("lo", "hi").applyInArrow(count, "slot long, n long")
     table = stage(counts.groupBy("slot").agg(F.sum("n").alias("n")), "cosine-counts")
     total = n * (n - 1) // 2
     ranks = {name: p * (2 * total - 1) for name, p in probs.items()} | {"min": 0.0, "max": 2.0 * total - 1}
@@ -125,14 +153,17 @@ def cosine_summary(vectors: DataFrame, key: str, vec: str = "embedding", centre:
         "slot", (F.col("_end") - F.col("n")).alias("before")).collect()
     chosen = np.array([r["slot"] for r in slots])
 
-    def fetch(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cos = _cosines(group[0], group[1], part)
-        slot = np.floor((cos + 2) * FINE).astype(np.int64)
-        hit = np.isin(slot, chosen)
-        rows = pd.DataFrame({"slot": slot[hit], "v": cos[hit]})
-        return rows.groupby(["slot", "v"]).size().reset_index(name="n")
-
-    values = paired.groupBy("lo", "hi").applyInPandas(fetch, "slot long, v double, n long").groupBy("slot", "v").agg(F.sum("n").alias("n"))
+    def fetch(group: tuple, part: pa.Table) -> pa.Table:
+        hit = np.zeros(4 * FINE, bool)
+        hit[chosen] = True
+        kept = [np.zeros((2, 0))]
+        for cos in _cosines(group, part):
+            kept.append(np.array(np.unique(cos[hit[_slots(cos)]], return_counts=True)))
+        v, place = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([k[1] for k in kept]), minlength=len(v))
+        return pa.table({"slot": _slots(v), "v": v, "n": n.astype(np.int64)})
+
+    values = paired.groupBy("lo", "hi").applyInArrow(fetch, "slot long, v double, n long").groupBy("slot", "v").agg(F.sum("n").alias("n"))
     place = vectors.sparkSession.createDataFrame([(r["slot"], r["before"]) for r in slots], "slot long, before long")
     inside = F.sum("n").over(W.partitionBy("slot").orderBy("v"))
     ranked = values.join(F.broadcast(place), "slot").withColumn("_end", F.col("before") + inside)

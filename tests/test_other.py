@@ -172,6 +172,24 @@ def test_cosines_in_blocks(spark, monkeypatch):
         [off.mean(), off.std(), *np.quantile(off, [0.05, 0.5, 0.99]), off.max()])
 
 
+def test_cosines_in_tiles_and_few_copies(spark, monkeypatch):
+    """Many tiles to a block, copies among the vectors; each vector is sent at most BLOCKS times, however many there are."""
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    monkeypatch.setattr(vectors, "TILE", 4)
+    monkeypatch.setattr(vectors, "BLOCKS", 5)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 6))
+    x[40:] = x[:20]
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    off = (u @ u.T)[~np.eye(60, dtype=bool)]
+    sent, plain = [], vectors._block_pairs
+    monkeypatch.setattr(vectors, "_block_pairs", lambda units, key, blocks: sent.append(blocks) or plain(units, key, blocks))
+    row = vectors.cosine_summary(df, "vec_id").first()
+    assert sent == [5]
+    assert [row[c] for c in (*vectors.QUANTILES, "min", "max")] == pytest.approx([*np.quantile(off, list(vectors.QUANTILES.values())), off.min(), off.max()])
+
+
 def test_assignment_is_greedy_and_unique(spark):
     rng = np.random.default_rng(5)
     cand, cent = rng.normal(size=(80, 16)), rng.normal(size=(6, 12))
