@@ -189,16 +189,18 @@ def geometry(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
 
 # Nearest neighbours -----------------------------------------------------------------------------------------
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, vec: str, *, same_set: bool = False, pivots: int = 64, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, key: str, vec: str, *, same_set: bool = False, pivots: int = 64, block: int | None = None) -> DataFrame:
     """Exact distance of each query to its nearest point (`same_set`: to its nearest other point).
 
     Points are cut into cells by nearest pivot. With the pivot distances of a query and the radii of the
     cells, the triangle inequality bounds the answer from above and each cell from below; a query
-    visits only cells that can hold it. Large cells, and the visitors of a cell, are split again.
+    visits only cells that can hold it. Large cells, and the visitors of a cell, are split again into parts of `block` rows
+    (a quarter of BLOCK_BYTES unless told otherwise), so a query is sent once to each cell that it visits until cells outgrow a block.
     """
     spark = points.sparkSession
     centre = np.array([list(map(float, r[0])) for r in points.orderBy(F.xxhash64(key), key).limit(pivots).select(vec).collect()])
     fields = points.select(key).schema[0].dataType.simpleString()
+    block = block or max(BLOCK, BLOCK_BYTES // (32 * max(1, centre.shape[-1])))
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -227,16 +229,15 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, vec: str, *, same_s
             gaps = _gaps(x, centre)[:, cells]
             bound = (gaps + reach).min(axis=1) * (1 + 1e-9) + 1e-12
             q, c = np.nonzero(gaps - far <= bound[:, None])
-            copies = splits[c]
-            q, c = np.repeat(q, copies), np.repeat(c, copies)
-            sub = np.concatenate([np.arange(k) for k in copies]) if len(copies) else np.zeros(0, dtype=int)
-            yield pd.DataFrame({"id": part["id"].to_numpy()[q], "v": part["v"].to_numpy()[q], "cell": cells[c], "sub": sub})
+            yield pd.DataFrame({"id": part["id"], "v": part["v"], "cells": np.split(cells[c], np.cumsum(np.bincount(q, minlength=len(x)))[:-1])})
 
-    visits = stage(as_rows(queries).mapInPandas(route, f"id {fields}, v array<double>, cell int, sub int"), "visits")
+    split_n = spark.createDataFrame([(int(c), int(k)) for c, k in zip(cells, splits)], "cell int, parts int")
+    # Vectors are small beside their visits: the route is worked out again rather than written with a copy of the vector for each cell.
+    visits = as_rows(queries).mapInPandas(route, f"id {fields}, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell")).join(
+        F.broadcast(split_n), "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")  # a row per cell
     sizes = {int(s["cell"]): int(math.ceil(s["n"] / block)) for s in stats}
     lanes = {(r["cell"], r["sub"]): math.ceil(r["n"] / block) for r in visits.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n")).collect()}
     split_of = spark.createDataFrame([(c, s, lanes.get((c, s), 1)) for c, k in sizes.items() for s in range(k)], "cell int, sub int, lanes int")
-    split_n = spark.createDataFrame(list(sizes.items()), "cell int, parts int")
     hashed = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     point_rows = placed.join(split_n, "cell").withColumn("sub", hashed(F.col("parts"))).join(split_of, ["cell", "sub"]).withColumn(
         "lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).select("cell", "sub", "lane", "id", "v", F.lit(False).alias("query"))
@@ -246,15 +247,46 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, vec: str, *, same_s
         ask, have = part[part["query"]], part[~part["query"]]
         if not len(ask) or not len(have):
             return pd.DataFrame({"id": ask["id"][:0], "d": []})
-        gaps = _gaps(np.array(ask["v"].tolist()), np.array(have["v"].tolist()))
-        if same_set:
-            gaps[ask["id"].to_numpy()[:, None] == have["id"].to_numpy()[None, :]] = np.inf
-        return pd.DataFrame({"id": ask["id"], "d": gaps.min(axis=1)})
+        same = (ask["id"].to_numpy(), have["id"].to_numpy()) if same_set else None
+        return pd.DataFrame({"id": ask["id"], "d": _least(np.array(ask["v"].tolist()), np.array(have["v"].tolist()), same)})
 
     found = point_rows.unionByName(query_rows).groupBy("cell", "sub", "lane").applyInPandas(least, f"id {fields}, d double")
     return found.groupBy(F.col("id").alias(key)).agg(F.min("d").alias("distance"))
 
 
+def _least(a: np.ndarray, b: np.ndarray, ids: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Exact distance of each row of `a` to its nearest row of `b`; with `ids`, rows of one id are not held against each other.
+
+    Products of tiles bound the squared distances within a known rounding error; only pairs within it of the least are computed by differences.
+    """
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    if not (np.isfinite(na).all() and np.isfinite(nb).all()):
+        gaps = _gaps(a, b)
+        if ids is not None:
+            gaps[ids[0][:, None] == ids[1][None, :]] = np.inf
+        return gaps.min(axis=1)
+    slack = 8 * (a.shape[1] + 8) * np.finfo(float).eps * (na + nb.max())
+    best = np.full(len(a), np.inf)
+    own = {}
+    if ids is not None:
+        for j, x in enumerate(ids[1]):
+            own.setdefault(x, []).append(j)
+    for i in range(0, len(a), TILE):
+        rows = slice(i, min(i + TILE, len(a)))
+        mine = [(r, j) for r, x in enumerate(ids[0][rows]) for j in own.get(x, ())] if ids is not None else []
+        at = np.array(mine, dtype=np.int64).reshape(-1, 2)
+        for j in range(0, len(b), TILE):
+            near = nb[None, j:j + TILE] - 2 * (a[rows] @ b[j:j + TILE].T)
+            here = at[(at[:, 1] >= j) & (at[:, 1] < j + TILE)]
+            near[here[:, 0], here[:, 1] - j] = np.inf
+            limit = np.minimum(near.min(axis=1), best[rows] - na[rows]) + slack[rows]
+            close = np.flatnonzero((near <= limit[:, None]) & (near < np.inf))
+            for k in range(0, len(close), 1 << 16):
+                r, c = np.divmod(close[k:k + (1 << 16)], near.shape[1])
+                np.minimum.at(best, i + r, ((a[i + r] - b[j + c]) ** 2).sum(axis=1))
+    return np.sqrt(best)
+
+
 def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances by differences in slices, exact also for near points."""
     out = np.empty((len(a), len(b)))

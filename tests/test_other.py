@@ -159,6 +159,25 @@ def test_nearest_is_exact(spark, block, pivots):
         assert own[i] == pytest.approx(min(d[i, j] for j in even if j != i))
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_least_distances_of_tiles_are_exact(monkeypatch, same):
+    """Far from the origin, with copies and near copies, where products alone would cancel."""
+    monkeypatch.setattr(vectors, "TILE", 16)
+    rng = np.random.default_rng(8)
+    a = rng.normal(1000, 1, (70, 5))
+    b = np.r_[a[:30] + rng.normal(0, 1e-7, (30, 5)), a[30:60], rng.normal(1000, 1, (40, 5))]
+    ids = (np.arange(70), np.r_[np.arange(60), np.full(40, 3)]) if same else None
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    if same:
+        d[ids[0][:, None] == ids[1][None, :]] = np.inf
+    assert vectors._least(a, b, ids).tolist() == d.min(axis=1).tolist()
+
+
+def test_least_distances_of_one_point_and_of_infinite_ones():
+    assert vectors._least(np.ones((1, 2)), np.ones((1, 2)), (np.array([5]), np.array([5])))[0] == np.inf
+    assert vectors._least(np.array([[np.inf, 0.0]]), np.zeros((2, 2)))[0] == np.inf
+
+
 def test_cosines_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 9)
     rng = np.random.default_rng(4)
