@@ -1,16 +1,17 @@
-"""Operator 2, n-gram Jaccard join with prefix filters under several global orders.
+"""Operator 2, n-gram Jaccard join with a prefix filter under one global order and parities of the sets.
 
 Documents with one set of shingles are one node. Tokens (shingles) are ordered by how common they are, in classes of a sketch of fixed size over all
-documents, and inside a class by a hash; every order has its own hash. Two sets of similarity t share a token among the first
-n - ceil(t n) + 1 of each under every order, so
+documents, and inside a class by a hash. Two sets of similarity t share a token among the first n - ceil(t n) + 1 of each, so
 
-1. buckets of the first order's prefix tokens hold all candidates; buckets with the same members are one;
-2. each node goes once to its largest bucket, where links are found inside bounded chunks, set against set, and give classes;
-3. in buckets that still hold several classes, one member is held against those of other classes, then all pairs of different classes; such
-   pairs must also share prefix tokens under the second and third order before texts are fetched and compared.
+1. buckets of the prefix tokens hold all candidates; buckets with the same members are one;
+2. a member stays in a bucket only if its parity allows a link with another member there;
+3. each node goes once to its largest bucket, where links are found inside bounded chunks, set against set, and give classes;
+4. in buckets that still hold several classes, one member is held against those of other classes, then all pairs of different classes; parities
+   must allow a link before texts are fetched and compared.
 
-A pair leaves its bucket only if its parities allow a link: every token of a set flips one of 512 bits, so two sets differ in at least as many tokens
-as their parities differ in bits. No link is lost by it, and chance meetings end before anything is shuffled for them.
+Parities: every token of a set flips one of 512 bits, in sets of over WIDE tokens one of at least two bits for three tokens, so two sets differ in at
+least as many tokens as their parities differ in bits. No link is lost by it, and chance meetings, which grow faster than the input, end before texts
+are moved for them, however long the texts are.
 
 Inside a class no pair needs comparing, so a large group of near copies costs its size, not its square; no candidate is dropped.
 """
@@ -29,7 +30,6 @@ from bookflow.session import stage
 
 BITS, PIECES = 23, 256
 CELLS = 1 << BITS
-ORDERS = 3
 NO_ID = -(2**63)
 CHUNK = 600_000  # tokens of the sets that one task compares at once
 MEMBERS = 4096  # and sets
@@ -37,6 +37,9 @@ GROUP = 4096
 BLOCK = scan.BLOCK // 4  # bytes of text handled at once; the sets of all that a worker has seen at once stay in its memory
 MET = 1 << 20  # sets that a task remembers having sent
 PARITY = [f"par{k}" for k in range(8)]  # columns of 64 bits
+WIDE = 768  # tokens; the parity of a larger set has more bits
+ROOM = 1 << 24  # bytes of a bucket's parities that a task holds at once
+WORDS = 1 << 20  # of 64 bits, the most that a filter of wanted texts has
 
 
 def sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,9 +98,9 @@ def rarity(docs: DataFrame, k: int) -> bytes:
     return out.tobytes()
 
 
-def prefixes(token: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix tokens of every set under one order, and their sets."""
-    key = (classes[_cell(token)].astype(np.uint64) << np.uint64(56)) | (scan.mix(token + np.uint64(order * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(8))
+def prefixes(token: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix tokens of every set, and their sets."""
+    key = (classes[_cell(token)].astype(np.uint64) << np.uint64(56)) | (scan.mix(token) >> np.uint64(8))
     by = np.lexsort((key, doc))
     length = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
     rank = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -105,11 +108,38 @@ def prefixes(token: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.
     return token[taken], doc[taken]
 
 
-def parities(token: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """512 bits of each set as eight signed 64-bit values: whether an odd number of its tokens falls on a bit."""
-    bit = (scan.mix(token + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64)
-    odd = (np.bincount(doc * 512 + bit, minlength=n_docs * 512) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n_docs, 8)
+def parities(token: np.ndarray, doc: np.ndarray, n_docs: int, bits: int = 512) -> np.ndarray:
+    """`bits` (a power of two) bits of each set as signed 64-bit values: whether an odd number of its tokens falls on a bit."""
+    bit = (scan.mix(token + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(doc * bits + bit, minlength=n_docs * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n_docs, bits // 64)
+
+
+def wide_parities(token: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Of sets of more than WIDE tokens: a parity of at least two bits for three tokens."""
+    out: list[bytes | None] = [None] * len(sizes)
+    step = np.ceil(np.log2(np.maximum(sizes, WIDE) / WIDE)).astype(np.int64)
+    for s in np.unique(step[sizes > WIDE]):
+        at = np.flatnonzero((step == s) & (sizes > WIDE))
+        mine = np.isin(doc, at)
+        for d, made in zip(at, parities(token[mine], np.searchsorted(at, doc[mine]), len(at), 512 << int(s))):
+            out[d] = made.tobytes()
+    return out
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ, the longer one folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def wide_may_link(a: bytes | None, b: bytes | None, total: int, percent: int) -> bool:
+    """Whether wide parities allow a link of two sets of `total` tokens together; without both, yes."""
+    return a is None or b is None or (100 + percent) * bits_apart(a, b) <= (100 - percent) * total
 
 
 def may_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
@@ -120,7 +150,7 @@ def may_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: in
 
 
 def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, t (hash of the text), n, key (of the set), first (prefix tokens; none for a set the task has met), p1, p2 (16-bit prefix tokens of further orders) and PARITY (null likewise), of every row."""
+    """doc_id, t (hash of the text), n, key (of the set), first (prefix tokens; none for a set the task has met), PARITY (null likewise) and wide (null likewise and for smaller sets), of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +162,16 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
             fresh = (n > 0) & (met[slot] != key)
             fresh[np.setdiff1d(np.arange(len(key)), np.unique(key, return_index=True)[1])] = False
             met[slot] = key
+            token, doc, n = token[fresh[doc]], doc[fresh[doc]], n.astype(np.int64)
+            sizes = np.where(fresh, n, 0)
             odd = parities(token, doc, len(n))
-            lists = []
-            for order in range(ORDERS):
-                t, d = prefixes(token, doc, n, classes, percent, order)
-                t, d = t[fresh[d]], d[fresh[d]]
-                offsets = pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(n)))).astype(np.int32))
-                values = scan.signed(t) if order == 0 else (scan.mix(t) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n.astype(np.int64)), pa.array(key), *lists, *(pa.array(odd[:, c], mask=~fresh) for c in range(8))], ["doc_id", "t", "n", "key", "first", "p1", "p2", *PARITY])
+            t, d = prefixes(token, doc, sizes, classes, percent)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(n)))).astype(np.int32))
+            first = pa.ListArray.from_arrays(offsets, pa.array(scan.signed(t)))
+            wide = pa.array(wide_parities(token, doc, sizes), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n), pa.array(key), first, *(pa.array(odd[:, c], mask=~fresh) for c in range(8)), wide], ["doc_id", "t", "n", "key", "first", *PARITY, "wide"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, key long, first array<long>, p1 array<short>, p2 array<short>, " + ", ".join(f"{c} long" for c in PARITY))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, key long, first array<long>, " + ", ".join(f"{c} long" for c in PARITY) + ", wide binary")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -190,6 +219,69 @@ def buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("tok").sortWithinPartitions("tok", "key").mapInArrow(run, "bucket long, key long, n long").dropDuplicates(["bucket", "key"])
 
 
+def may_meet(bucket: np.ndarray, n: np.ndarray, odd: np.ndarray, wide: list[bytes | None], percent: int) -> np.ndarray:
+    """Of rows sorted by bucket and n: whether sizes and parities allow a link with another row of the bucket. odd: PARITY, a row each."""
+    stays = np.zeros(len(n), bool)
+    left, step = np.arange(len(n)), 0
+    while True:
+        step += 1
+        left = left[left + step < len(n)]
+        left = left[(bucket[left] == bucket[left + step]) & (100 * n[left] >= percent * n[left + step])]  # later rows of the bucket are larger still
+        if not len(left):
+            return stays
+        i = left[~(stays[left] & stays[left + step])]
+        j = i + step
+        total = n[i] + n[j]
+        ok = (100 + percent) * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= (100 - percent) * total
+        for at in np.flatnonzero(ok):
+            ok[at] = wide_may_link(wide[i[at]], wide[j[at]], int(total[at]), percent)
+        stays[i[ok]] = stays[j[ok]] = True
+
+
+def plausible(rows: DataFrame, percent: int) -> DataFrame:
+    """bucket, key, n from rows (bucket, key, n, PARITY, wide): without members that parities allow no link in their bucket. Buckets are named by the
+    members left; those that outgrow GROUP rows or ROOM bytes stay whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, large = None, None  # rows of the last bucket so far; the bucket that has outgrown its bounds
+
+        def judged(part: pa.RecordBatch) -> pa.RecordBatch:
+            bucket, key, n = (part.column(c).to_numpy() for c in ("bucket", "key", "n"))
+            odd = np.stack([part.column(c).to_numpy() for c in PARITY], axis=1).view(np.uint64)
+            stays = may_meet(bucket, n, odd, part.column("wide").to_pylist(), percent)
+            bucket, key, n = bucket[stays], key[stays], n[stays]
+            if len(bucket):
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                size = np.diff(np.append(first, len(bucket)))
+                bucket = np.repeat(scan.signed(scan.mix(np.add.reduceat(scan.mix(key.view(np.uint64)), first) + size.astype(np.uint64))), size)
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key), pa.array(n)], ["bucket", "key", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            bucket = batch.column("bucket").to_numpy()
+            if large is not None:
+                stop = int(np.searchsorted(bucket, large, "right"))
+                yield batch.slice(0, stop).select(["bucket", "key", "n"])
+                if stop == len(bucket):
+                    rest = None
+                    continue
+                batch, bucket, large = batch.slice(stop), bucket[stop:], None
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            if last:
+                yield judged(batch.slice(0, last))
+            rest = batch.slice(last)
+            if rest.num_rows > GROUP or rest.nbytes > ROOM:
+                yield rest.select(["bucket", "key", "n"])
+                rest, large = None, bucket[-1]
+        if rest is not None:
+            yield judged(rest)
+
+    return rows.select("bucket", "key", "n", *PARITY, "wide").repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(run, "bucket long, key long, n long").dropDuplicates(["bucket", "key"])
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets link."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -228,10 +320,10 @@ def classes_of(sets_: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _maybe(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """`docs` plus boolean _maybe: false only if (_d, _t) is surely none of `listed`, by a Bloom filter of fixed size."""
+    """`docs` plus boolean _maybe: false only if (_d, _t) is surely none of `listed`, by a Bloom filter of at most WORDS words."""
     key = F.concat_ws(" ", "_d", "_t")
-    words = url_filter.bloom(listed.select(key.alias("_k")), "_k").select(F.col("word").alias("_w"), F.col("bits").alias("_bits"))
-    word, mask = url_filter._word_and_mask(key, url_filter.MAX_BLOCKS)
+    words = url_filter.bloom(listed.select(key.alias("_k")), "_k", WORDS).select(F.col("word").alias("_w"), F.col("bits").alias("_bits"))
+    word, mask = url_filter._word_and_mask(key, WORDS)
     return docs.withColumn("_w", word).join(F.broadcast(words), "_w", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_w", "_bits")
 
 
@@ -277,10 +369,17 @@ def local_classes(placed: DataFrame, k: int, percent: int) -> DataFrame:
     return placed.select("bucket", "chunk", "key", "text").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "key").mapInArrow(run, "key long, root long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, prof: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: first those that share a prefix token under every further order, then by their texts."""
-    side = lambda c: prof.where(F.size("p1") > 0).groupBy("key").agg(F.first("p1").alias(f"p1{c}"), F.first("p2").alias(f"p2{c}")).withColumnRenamed("key", c)
-    near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p1a", "p1b") & F.arrays_overlap("p2a", "p2b")).select("a", "b"), "near-pairs")
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link: first those whose wide parities allow it, then by their texts."""
+    side = lambda c: nodes.where("wide is not null").select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, left, right = (batch.column(c).to_pylist() for c in ("total", "wa", "wb"))
+            yield batch.select(["a", "b"]).filter(pa.array([wide_may_link(x, y, m, percent) for m, x, y in zip(total, left, right)], pa.bool_()))
+
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "wa", "wb")
+    near = stage(met.mapInArrow(narrow, "a long, b long"), "near-pairs")
     ends = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
     texts = stage(with_text(docs, nodes.join(ends, "key").select("at", "key"), k).select("key", "text").dropDuplicates(["key"]), "pair-texts")
     full = near.join(texts.select(F.col("key").alias("b"), F.col("text").alias("_b")), "b").join(texts.withColumnRenamed("key", "a"), "a").select("a", "b", "text", "_b")
@@ -323,9 +422,10 @@ def classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), "text")
     real = real_id()
     prof = stage(profile(docs, k, percent), "profiles")
-    nodes = stage(prof.where("n > 0").groupBy("key").agg(F.max(F.struct("doc_id", "t")).alias("at"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in PARITY), F.min(F.when(real.isNotNull(), F.struct("doc_id", "t"))).alias("least"), F.min(F.when(real.isNull(), F.col("t"))).alias("lost")), "nodes")
+    nodes = stage(prof.where("n > 0").groupBy("key").agg(F.max(F.struct("doc_id", "t")).alias("at"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in (*PARITY, "wide")), F.min(F.when(real.isNotNull(), F.struct("doc_id", "t"))).alias("least"), F.min(F.when(real.isNull(), F.col("t"))).alias("lost")), "nodes")
     rows = prof.where(F.size("first") > 0).select(F.explode("first").alias("tok"), "key", "n")
-    shared = stage(buckets(rows), "buckets")
+    met = buckets(rows).join(nodes.select("key", *PARITY, "wide"), "key")
+    shared = stage(plausible(met, percent), "buckets")
     stats = shared.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     chosen = stage(shared.join(stats, "bucket").groupBy("key").agg(F.max(F.struct("size", "bucket")).alias("_c"), F.max("n").alias("n")).select("key", "n", F.col("_c.bucket").alias("bucket")), "largest")
     # members of a group that miss its largest bucket follow the others of theirs
@@ -349,7 +449,7 @@ def classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
             pairs = now.join(mixed.select("bucket", F.col("_hub").alias("_o")), "bucket")
         pairs = pairs.where((F.col("root") != F.col("_o.root")) & (F.col("home") != F.col("_o.home")) & may_link(F.col, lambda c: F.col(f"_o.{c}"), percent))
         pairs = pairs.select(F.least("key", "_o.key").alias("a"), F.greatest("key", "_o.key").alias("b"))
-        roots = _merge(roots, stage(verified(pairs.distinct(), nodes, prof, docs, k, percent), "links"))
+        roots = _merge(roots, stage(verified(pairs.distinct(), nodes, docs, k, percent), "links"))
     named = nodes.select("key", "least", "lost").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     return prof, named.select("key", "root").join(named.groupBy("root").agg(F.min("least").alias("least"), F.min("lost").alias("lost")), "root")
 

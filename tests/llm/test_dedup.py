@@ -195,6 +195,77 @@ def test_parities_never_reject_a_link():
             assert (jaccard.parities(base, np.zeros(n, int), 1)[0] == a).all()
 
 
+def test_wide_parities():
+    """Parities of large sets, also of two lengths, reject no link, and reject sets that have nothing in common; 512 bits no longer do."""
+    rng = np.random.RandomState(4)
+    draw = lambda n: rng.randint(0, 2**62, n).astype(np.uint64)
+    for n in (1, 768, 769, 1400, 3000, 20_000):
+        for m in (n, n - n // 10, n + n // 10):
+            base, rest = draw(n), draw(max(0, m - n))
+            near, far = np.concatenate([base[: min(n, m)], rest]), draw(m)
+            token, sizes = np.concatenate([base, near, far]), np.array([n, m, m])
+            a, b, c = jaccard.wide_parities(token, np.repeat([0, 1, 2], sizes), sizes)
+            assert [x is None for x in (a, b, c)] == [n <= 768, m <= 768, m <= 768]
+            assert jaccard.wide_may_link(a, b, n + m, 80)
+            if a is None or b is None:
+                continue
+            assert jaccard.bits_apart(a, b) <= abs(n - m) and len(a) * 8 * 3 >= 2 * n
+            assert jaccard.bits_apart(a, jaccard.parities(near, np.zeros(m, int), 1).tobytes()) <= abs(n - m)  # folded to 512
+            assert not jaccard.wide_may_link(a, c, n + m, 80)
+
+
+@pytest.mark.parametrize("group,room", [(4096, 1 << 24), (5, 1 << 24), (4096, 600)])
+def test_plausible(spark, monkeypatch, group, room):
+    """Members that may link with another one of their bucket stay, all members of a bucket beyond the bounds; batches may cut a bucket."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "ROOM", room)
+    rng, made = np.random.RandomState(5), []
+    for key in range(60):
+        if key % 3 and key:
+            tokens = np.append(made[-1][:-1], rng.randint(0, 2**62, 1 + key % 2)).astype(np.uint64)  # like the one before
+        else:
+            tokens = rng.randint(0, 2**62, 900 if key % 2 else 30).astype(np.uint64)
+        made.append(tokens)
+    bits = [jaccard.parities(t, np.zeros(len(t), int), 1)[0] for t in made]
+    wide = [jaccard.wide_parities(t, np.zeros(len(t), int), np.array([len(t)]))[0] for t in made]
+    pairs = [(b, key) for b in range(25) for key in rng.permutation(60)[: 2 + b]]
+    rows = [(b, int(key), len(made[key]), *map(int, bits[key]), wide[key]) for b, key in pairs]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.createDataFrame(rows, "bucket long, key long, n long, " + ", ".join(f"{c} long" for c in jaccard.PARITY) + ", wide binary")
+        got = jaccard.plausible(df, 80).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found, want, whole = {}, set(), set()
+    for r in got:
+        found.setdefault(r.bucket, set()).add(r.key)
+        assert r.n == len(made[r.key])
+    for b in range(25):
+        keys = [key for x, key in pairs if x == b]
+        alike = lambda x, y: 180 * len(np.setxor1d(made[x], made[y])) <= 20 * (len(made[x]) + len(made[y]))
+        stay = frozenset(x for x in keys if any(x != y and alike(x, y) for y in keys))
+        want |= {stay} if stay else set()
+        whole.add(frozenset(keys))
+    kept = set(map(frozenset, found.values()))
+    if (group, room) == (4096, 1 << 24):
+        assert kept == want
+    else:
+        assert kept <= want | whole and kept & whole and all(any(w <= x for x in kept) for w in want)
+
+
+@pytest.mark.parametrize("size", [40, 1000])
+def test_chance_meetings_move_no_text(spark, monkeypatch, size):
+    """Texts, short and long, that share a passage with many others without being alike are not fetched."""
+    part = lambda kind, k: " ".join(f"{kind}{k}x{j}" for j in range(size))
+    rows = [(10 * i + j, f"{part('r', i)} {part('c', j)}") for i in range(5) for j in range(5)]
+    rows.append((100, rows[7][1] + " end"))
+    fetched, real = [], jaccard.with_text
+    monkeypatch.setattr(jaccard, "with_text", lambda docs, wanted, k: (fetched.append(wanted.count()), real(docs, wanted, k))[1])
+    assert same(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect()), direct_classes(rows))
+    assert fetched == [2, 0, 0], fetched
+
+
 def test_one_id_on_many_texts(spark):
     """Texts are fetched by id and hash: rows of one id meet only their own set."""
     rows = [(7, " ".join(f"t{k}x{j}" for j in range(12))) for k in range(400)] + [(8, rows_of) for rows_of in (" ".join(f"t{k}x{j}" for j in range(12)) for k in range(0, 400, 40))]
