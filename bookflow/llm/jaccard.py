@@ -215,6 +215,7 @@ def buckets(rows: DataFrame) -> DataFrame:
                 large, tok, key, n = tok[0], tok[:0], key[:0], n[:0]
         if len(tok):
             yield groups(tok, key, n)
+        scan.give_back()
 
     return rows.repartition("tok").sortWithinPartitions("tok", "key").mapInArrow(run, "bucket long, key long, n long").dropDuplicates(["bucket", "key"])
 
@@ -278,6 +279,8 @@ def plausible(rows: DataFrame, percent: int) -> DataFrame:
                 rest, large = None, bucket[-1]
         if rest is not None:
             yield judged(rest)
+        rest = None
+        scan.give_back()
 
     return rows.select("bucket", "key", "n", *PARITY, "wide").repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(run, "bucket long, key long, n long").dropDuplicates(["bucket", "key"])
 
@@ -365,6 +368,8 @@ def local_classes(placed: DataFrame, k: int, percent: int) -> DataFrame:
                     held.append(s.copy())
         if keys:
             yield close()
+        keys, held = [], []
+        scan.give_back()
 
     return placed.select("bucket", "chunk", "key", "text").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "key").mapInArrow(run, "key long, root long")
 

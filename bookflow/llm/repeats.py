@@ -171,6 +171,7 @@ def ranked(rows: DataFrame, rule: Rule) -> DataFrame:
             flags = np.concatenate([np.full(len(x[0]), x[4]) for x in out])
             if len(d):
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(p), pa.array(n), pa.array(flags)], ["d", "t", "p", "n", "open"])
+        scan.give_back()
 
     found = rows.repartition("a").sortWithinPartitions("a", "k", "d", "t", "p").mapInArrow(run, FOUND)
     place = F.struct(F.col("p").alias("s"), "n", F.col("open").alias("o"))
