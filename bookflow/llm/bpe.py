@@ -128,7 +128,7 @@ class Bpe:
         return b"".join(map(self.string.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
 
 
-_made: dict[str, Bpe] = {}
+_made: dict[str, Bpe] = scan.keep({})
 
 
 def _of(shared) -> Bpe:
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, path: str, back: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(shared)
-        for batch in scan.blocks(batches):
+        for batch in scan.blocks(batches, own=_made):
             ids = [bpe.encode(x or "") for x in batch.column("text").to_pylist()]
             made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if back:

@@ -28,6 +28,8 @@ from bookflow.llm import scan
 NONE = -(2**63)
 ROWS = "a long, k long, d long, t long, p long, n int, done boolean"
 FOUND = "d long, t long, p long, n int, open boolean"
+#: Bytes of text whose arrays are held at once; rows are still those of a whole block.
+PART = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -112,18 +114,26 @@ def positions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("_d").to_numpy(), batch.column("_t").to_numpy()
 
 
+def by_parts(windows: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """What `windows` gives for a block, worked out part by part."""
+    return map(np.concatenate, zip(*map(windows, scan.cut([batch], PART))))
+
+
 def first_round(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> DataFrame:
     """Rows of all windows of all texts; `keep(values, begin, end, ranks, places)` may drop blocks whose anchor is known not to recur."""
 
+    def windows(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        values, begin, end = rule.symbols(scan.Scan(scan.texts(part)))
+        d, t = positions(part)
+        a, k, start, n, doc, anchor = anchored(values, begin, np.maximum(end - begin - rule.window + 1, 0), rule.window, rule.lengths[0])
+        if keep is not None and len(a):
+            chosen = keep(values, begin, end, a, anchor)
+            a, k, start, n, doc = (x[chosen] for x in (a, k, start, n, doc))
+        return a, k, d[doc], t[doc], start - begin[doc], n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.blocks(batches):
-            values, begin, end = rule.symbols(scan.Scan(scan.texts(batch)))
-            d, t = positions(batch)
-            a, k, start, n, doc, anchor = anchored(values, begin, np.maximum(end - begin - rule.window + 1, 0), rule.window, rule.lengths[0])
-            if keep is not None and len(a):
-                chosen = keep(values, begin, end, a, anchor)
-                a, k, start, n, doc = (x[chosen] for x in (a, k, start, n, doc))
-            yield rows_of(rule, a, k, d[doc], t[doc], start - begin[doc], n)
+            yield rows_of(rule, *by_parts(windows, batch))
 
     return docs.mapInArrow(run, ROWS)
 
@@ -131,14 +141,17 @@ def first_round(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> Da
 def next_round(docs: DataFrame, found: DataFrame, rule: Rule, length: int) -> DataFrame:
     """Rows of the open windows of the round before, with longer anchors."""
 
+    def windows(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        values, begin, _ = rule.symbols(scan.Scan(scan.texts(part)))
+        d, t = positions(part)
+        at, count, doc = spans(part, "_f", True)
+        a, k, start, n, run_, _ = anchored(values, begin[doc] + at, count, rule.window, length)
+        doc = doc[run_]
+        return a, k, d[doc], t[doc], start - begin[doc], n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.blocks(batches):
-            values, begin, _ = rule.symbols(scan.Scan(scan.texts(batch)))
-            d, t = positions(batch)
-            at, count, doc = spans(batch, "_f", True)
-            a, k, start, n, run_, _ = anchored(values, begin[doc] + at, count, rule.window, length)
-            doc = doc[run_]
-            yield rows_of(rule, a, k, d[doc], t[doc], start - begin[doc], n)
+            yield rows_of(rule, *by_parts(windows, batch))
 
     return docs.join(found, ["_d", "_t"]).where("_any").mapInArrow(run, ROWS)
 

@@ -7,7 +7,7 @@ Strings are compared by 64-bit polynomial hashes over random byte values; a hash
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,14 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.RandomState(20_240_607).randint(1, 2**62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Caches of operators whose workers hold much; a task of another operator empties them.
+_kept: list[dict] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK + BLOCK // 4)
+        size = n + n // 4 + 1
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -118,19 +120,30 @@ def shingles(words: np.ndarray, first_word: np.ndarray, k: int) -> tuple[np.ndar
 
 def give_back() -> None:
     """Returns memory that is free in this process to the machine: a Python worker lives on after its task, and others need the room."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # made anew in milliseconds
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
         trim(0)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that column `text` has about `limit` bytes in each; a longer text comes alone. After the last, free memory is given back."""
-    yield from _cut(batches, limit)
+def keep(cache: dict) -> dict:
+    """`cache`, which stays in a worker until a task of another operator reads texts there."""
+    _kept.append(cache)
+    return cache
+
+
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK, own: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that column `text` has about `limit` bytes in each; a longer text comes alone. Before the first, all caches of `keep` but
+    `own` are emptied; after the last, free memory is given back."""
+    for cache in _kept:
+        if cache is not own:
+            cache.clear()
+    yield from cut(batches, limit)
     give_back()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,23 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document of smaller id, or earlier in the same. A
     null or empty text keeps nothing and loses nothing; rows equal in id and text get equal results; strings never cross texts.
     """
-    r, names = rule(length), ["n_bytes", "n_removed", "n_spans", "kept"]
+    names = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*names)
     own = docs.columns
+
+    def made(batch: pa.RecordBatch, *found: pa.Array) -> list[pa.Array]:
+        return [*(batch.column(c) for c in own), *found]
+
+    return _judged(docs, length, made, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.BinaryType())]))
+
+
+def _judged(docs: DataFrame, length: int, made: Callable[..., list[pa.Array]], schema: T.StructType) -> DataFrame:
+    """Columns that `made` gives for each block from its own, n_bytes, n_removed, n_spans and kept: one Python worker a task, not two."""
+    r, own = rule(length), docs.columns
     found = repeats.find(repeats.keyed(docs), r)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.blocks(batches):
+        for batch in scan.blocks(batches, repeats.PART):
             texts = scan.texts(batch)
             data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
             size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -38,10 +48,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             total = np.append(0, np.cumsum(gone))
             heads = np.append(0, np.cumsum(gone & ~np.append(False, gone[:-1])))  # a separator is never covered
             kept = [data[b:e][~gone[b:e]].tobytes() for b, e in zip(begin, end)]
-            cols = [batch.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(size), pa.array(total[end] - total[begin]), pa.array(heads[end] - heads[begin]), pa.array(kept, pa.binary())], [*own, *names])
+            yield pa.RecordBatch.from_arrays(made(batch, pa.array(size), pa.array(total[end] - total[begin]), pa.array(heads[end] - heads[begin]), pa.array(kept, pa.binary())), schema.names)
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.BinaryType())])
     return found.select(*own, *repeats.columns(r)).mapInArrow(run, schema)
 
 
@@ -54,12 +62,11 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
 def cut(docs: DataFrame, length: int = 100) -> DataFrame:
     """`docs` with its columns, without repeated strings in `text`; a character that is cut in two goes whole. n_chars, where there is one, follows. A null text becomes empty."""
     aside, schema = scan.set_aside(docs), docs.schema
-    own, names = aside.columns, docs.columns
+    own = aside.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([x.decode(errors="ignore") for x in batch.column("kept").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in own], names)
+    def made(batch: pa.RecordBatch, *found: pa.Array) -> list[pa.Array]:
+        texts = pa.array([x.decode(errors="ignore") for x in found[-1].to_pylist()], pa.string())
+        return [texts if c == "text" else batch.column(c) for c in own]
 
-    made = remove_repeats(aside, length).select(*own, "kept").mapInArrow(run, schema)
-    return made.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else made
+    left = _judged(aside, length, made, schema)
+    return left.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else left
