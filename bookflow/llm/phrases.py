@@ -1,9 +1,11 @@
 """Operator 9, repeated-phrase automata: passages of words that recur across documents.
 
 1. Every window of `window` words is represented by an anchor phrase (see `repeats`). Phrases of two or more documents are confirmed.
-2. Confirmed phrases are stored in shards of about PER_SHARD phrases, each of which an executor compiles into an Aho-Corasick automaton. A
-   word is two letters of an alphabet of 64, 12 bits of its hash: the library looks through the letters that follow a state one by one.
-3. All documents stream through all shards, which locates every occurrence; the phrase's 64-bit hash is held against each.
+2. Documents are dealt to slices of some SLICE bytes, the partitions of their shuffle or parts of them. A confirmed phrase is stored once for each
+   slice that holds it, in shards of at most PER_SHARD phrases, each of which an executor compiles into an Aho-Corasick automaton. A word is
+   two letters of an alphabet of 64, 12 bits of its hash: the library looks through the letters that follow a state one by one.
+3. All documents stream through all shards of their slice, which locates every occurrence; the 64-bit hash of the words is held against those of
+   the phrases. No slice stores more phrases than it has windows, so the work grows as the corpus does.
 4. Windows at located phrases are compared exactly by the rounds of `repeats`.
 """
 
@@ -18,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from bookflow.llm import repeats, scan
 from bookflow.session import checkpoint_dir
 
-PER_SHARD, HELD = 400_000, 2
+#: Phrases in an automaton at most, and in the automata of slices read before that a task still holds.
+PER_SHARD, HELD = 400_000, 200_000
 LETTERS = 2
+#: Bytes of text in a slice, about.
+SLICE = 1 << 26
 
 
 def rule(window: int = 50) -> repeats.Rule:
@@ -37,8 +42,18 @@ def letters(words: np.ndarray) -> np.ndarray:
     return np.stack([(h >> np.uint64(58)).astype(np.uint8) + np.uint8(48), ((h >> np.uint64(52)).astype(np.uint8) & np.uint8(63)) + np.uint8(48)], axis=1)
 
 
+def slices(docs: DataFrame) -> tuple[Column, bool]:
+    """The slice of a document of `docs` (from `repeats.named`), and whether a partition of `repeats.dealt` holds more than one."""
+    conf = docs.sparkSession.conf
+    parts = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = -(-size // (SLICE * parts)) or 1
+    # the hash that deals rows to partitions, so slice s lies in partition s mod parts. With another one results are the same, but a task compiles more
+    return F.pmod(F.hash("_d", "_t"), F.lit(parts * each)), each > 1
+
+
 def confirmed(docs: DataFrame, r: repeats.Rule) -> DataFrame:
-    """a, phrase: anchor phrases found in two documents or more, as hash and as characters. Each block of texts sends a phrase once."""
+    """_s, a, phrase: anchor phrases found in two documents or more, as hash and as characters, for each slice with one. Each block of texts sends a phrase once a slice."""
     length = r.lengths[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,68 +62,65 @@ def confirmed(docs: DataFrame, r: repeats.Rule) -> DataFrame:
             a, _, _, _, doc, anchor = repeats.anchored(values, begin, np.maximum(end - begin - r.window + 1, 0), r.window, length)
             if not len(a):
                 continue
-            d = batch.column("_d").to_numpy()[doc]
-            order = np.lexsort((d, a))
-            a, d, anchor = a[order], d[order], anchor[order]
-            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            d, s = batch.column("_d").to_numpy()[doc], batch.column("_s").to_numpy()[doc]
+            order = np.lexsort((d, s, a))
+            a, d, s, anchor = a[order], d[order], s[order], anchor[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
             last = np.append(first[1:], len(a)) - 1
             text = letters(values)[anchor[first][:, None] + np.arange(length)].tobytes().decode()
-            yield pa.RecordBatch.from_arrays([pa.array(scan.signed(a[first])), pa.array([text[k : k + LETTERS * length] for k in range(0, len(text), LETTERS * length)]), pa.array(d[first]), pa.array(d[last])], ["a", "phrase", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(scan.signed(a[first])), pa.array([text[k : k + LETTERS * length] for k in range(0, len(text), LETTERS * length)]), pa.array(d[first]), pa.array(d[last]), pa.array(s[first])], ["a", "phrase", "lo", "hi", "_s"])
 
-    named = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NONE).cast("long")).alias("_d"))
-    found = named.mapInArrow(run, "a long, phrase string, lo long, hi long").groupBy("a").agg(F.first("phrase").alias("phrase"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return found.where("lo < hi").select("a", "phrase")
+    found = docs.select("text", "_d", "_s").mapInArrow(run, "a long, phrase string, lo long, hi long, _s int")
+    found = found.groupBy("a").agg(F.first("phrase").alias("phrase"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("_s").alias("_s"))
+    return found.where("lo < hi").select(F.explode("_s").alias("_s"), "a", "phrase")
 
 
-def store(phrases: DataFrame, per_shard: int = PER_SHARD) -> tuple[str, int]:
-    """Write the phrases to a new shared folder, by shard; its URI and the number of shards."""
-    spark = phrases.sparkSession
-    root = checkpoint_dir(spark).rstrip("/")
+def store(phrases: DataFrame) -> str:
+    """Write the phrases to a new shared folder, by slice; its URI."""
+    root = checkpoint_dir(phrases.sparkSession).rstrip("/")
     path = f"{root if '://' in root or root.startswith('file:') else 'file://' + root}/bookflow/phrases-{uuid.uuid4().hex}"
-    phrases.write.parquet(f"{path}/all")
-    kept = spark.read.parquet(f"{path}/all")
-    shards = -(-kept.count() // per_shard)
-    if shards:
-        kept.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(f"{path}/shards")
-    return f"{path}/shards", shards
+    phrases.withColumnRenamed("_s", "slice").repartition("slice").write.partitionBy("slice").parquet(path)
+    return path
 
 
-_automata: dict[tuple[str, int], ahocorasick.Automaton | None] = {}
+_automata: dict[tuple[str, int], list[tuple[ahocorasick.Automaton, np.ndarray]]] = scan.keep({})
 
 
-def automaton(path: str, shard: int) -> ahocorasick.Automaton | None:
-    """Compiled once per worker while it is among the last HELD used; none for an empty shard."""
-    key = (path, shard)
+def automata(path: str, part: int, per_shard: int) -> list[tuple[ahocorasick.Automaton, np.ndarray]]:
+    """The automata of a slice, each with the sorted hashes of its phrases; compiled once a task while it reads the slice."""
+    key = (path, part)
     if key not in _automata:
-        while len(_automata) >= HELD:
+        while sum(len(hashes) for made in _automata.values() for _, hashes in made) > HELD:
             _automata.pop(next(iter(_automata)))
-        fs, folder = pafs.FileSystem.from_uri(f"{path}/shard={shard}")
-        made = None
+        fs, folder = pafs.FileSystem.from_uri(f"{path}/slice={part}")
+        made = []
         if fs.get_file_info(folder).type != pafs.FileType.NotFound:
-            made, table = ahocorasick.Automaton(), pq.read_table(folder, filesystem=fs, partitioning=None)
-            for a, phrase in zip(table.column("a").to_pylist(), table.column("phrase").to_pylist()):
-                made.add_word(phrase, (*made.get(phrase, ()), a))
-            made.make_automaton()
+            table = pq.read_table(folder, filesystem=fs, partitioning=None)
+            for lo in range(0, len(table), per_shard):
+                shard, machine = table.slice(lo, per_shard), ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+                for phrase in shard.column("phrase").to_pylist():
+                    machine.add_word(phrase)
+                machine.make_automaton()
+                made.append((machine, np.sort(shard.column("a").to_numpy())))
         _automata[key] = made
     return _automata[key]
 
 
-def located(values: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, path: str, shards: int) -> np.ndarray:
-    """Flags of the words where a stored phrase starts inside a text."""
+def located(values: np.ndarray, begin: np.ndarray, end: np.ndarray, part: np.ndarray, length: int, path: str, per_shard: int) -> np.ndarray:
+    """Flags of the words where a phrase stored for the slice of a text (`part`) starts inside it."""
     flags = np.zeros(len(values) + 1, bool)
     if len(values) < length:
         return flags
     rank = scan.signed(scan.mix(scan.Ranges(values).fixed(length)))
     codes = letters(values).tobytes().decode()
-    long_ = np.flatnonzero(end - begin >= length)
-    for shard in range(shards):
-        if (machine := automaton(path, shard)) is None:
-            continue
-        for d in long_:
-            for at, hashes in machine.iter(codes, LETTERS * int(begin[d]), LETTERS * int(end[d])):
-                start = (at + 1) // LETTERS - length
-                if at % LETTERS and rank[start] in hashes:  # a hit at an even place lies between words
-                    flags[start] = True
+    long_ = end - begin >= length
+    for s in np.unique(part[long_]).tolist():
+        bounds = [(LETTERS * b, LETTERS * e) for b, e in zip(begin[long_ & (part == s)].tolist(), end[long_ & (part == s)].tolist())]
+        for machine, hashes in automata(path, s, per_shard):
+            at = np.array([at for b, e in bounds for at, _ in machine.iter(codes, b, e)], np.int64)
+            start = (at[at % LETTERS == LETTERS - 1] + 1) // LETTERS - length  # a hit that ends elsewhere lies between words
+            place = np.minimum(np.searchsorted(hashes, rank[start]), len(hashes) - 1)
+            flags[start[hashes[place] == rank[start]]] = True
     return flags
 
 
@@ -121,12 +133,16 @@ def remove_passages(docs: DataFrame, window: int = 50, per_shard: int = PER_SHAR
     r, names = rule(window), ["n_words", "n_removed", "kept"]
     docs = docs.drop(*names)
     own, length = docs.columns, r.lengths[0]
-    path, shards = store(confirmed(docs, r), per_shard)
+    named = repeats.named(docs)
+    of, several = slices(named)
+    path = store(confirmed(named.withColumn("_s", of), r))
 
-    def keep(values, begin, end, a, anchor):
-        return located(values, begin, end, length, path, shards)[anchor]
+    def keep(part, values, begin, end, anchor):
+        return located(values, begin, end, part.column("_s").to_numpy(), length, path, per_shard)[anchor]
 
-    found = repeats.find(repeats.keyed(docs), r, keep)
+    dealt = repeats.dealt(named)
+    by_slice = dealt.withColumn("_s", of)
+    found = repeats.find(dealt, r, repeats.first_round(by_slice.sortWithinPartitions("_s") if several else by_slice, r, keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.blocks(batches):

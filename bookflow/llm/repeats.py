@@ -46,13 +46,23 @@ class Rule:
         return scan._VALUES[s.data], s.begin, s.end
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` plus _d and _t, which name a document, shuffled by them. _t is 0 where no id repeats."""
+def named(docs: DataFrame) -> DataFrame:
+    """`docs` plus _d and _t, which name a document. _t is 0 where no id repeats."""
     same = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     # never null, so that no join puts a filter below the shuffle; and no literal 0, which the planner would drop from the partitioning. Else the
     # texts are shuffled again
     tag = F.coalesce(F.xxhash64("text") if same else F.pmod(F.col("_d"), F.lit(1).cast("long")), F.lit(0).cast("long"))
-    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE).cast("long"))).withColumn("_t", tag).repartition("_d", "_t")
+    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE).cast("long"))).withColumn("_t", tag)
+
+
+def dealt(named: DataFrame) -> DataFrame:
+    """The table of `named`, shuffled by document."""
+    return named.repartition("_d", "_t")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` plus _d and _t, shuffled by them."""
+    return dealt(named(docs))
 
 
 def anchored(values: np.ndarray, at: np.ndarray, count: np.ndarray, window: int, length: int) -> tuple[np.ndarray, ...]:
@@ -120,14 +130,14 @@ def by_parts(windows: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], batch:
 
 
 def first_round(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> DataFrame:
-    """Rows of all windows of all texts; `keep(values, begin, end, ranks, places)` may drop blocks whose anchor is known not to recur."""
+    """Rows of all windows of all texts; `keep(texts, values, begin, end, places)` may drop blocks whose anchor is known not to recur."""
 
     def windows(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         values, begin, end = rule.symbols(scan.Scan(scan.texts(part)))
         d, t = positions(part)
         a, k, start, n, doc, anchor = anchored(values, begin, np.maximum(end - begin - rule.window + 1, 0), rule.window, rule.lengths[0])
         if keep is not None and len(a):
-            chosen = keep(values, begin, end, a, anchor)
+            chosen = keep(part, values, begin, end, anchor)
             a, k, start, n, doc = (x[chosen] for x in (a, k, start, n, doc))
         return a, k, d[doc], t[doc], start - begin[doc], n
 
@@ -221,9 +231,9 @@ def _read(rule: Rule, state, a, k, d, t, p, n, out: list):
     return a[-1], k[-1], fd[-1], ft[-1], fp[-1], bool(many[-1]), held
 
 
-def find(docs: DataFrame, rule: Rule, keep: Callable | None = None) -> DataFrame:
-    """`docs` (from `keyed`) plus, of each round, a list of windows (_r0, _r1, ...) and whether some were open (_any0, ...). Everything is one plan; the shuffle of the texts and those of each round are used again."""
-    out, rows = docs, first_round(docs, rule, keep)
+def find(docs: DataFrame, rule: Rule, rows: DataFrame | None = None) -> DataFrame:
+    """`docs` (from `keyed`) plus, of each round, a list of windows (_r0, _r1, ...) and whether some were open (_any0, ...). Everything is one plan; the shuffle of the texts and those of each round are used again. `rows`: those of the first round, if made before."""
+    out, rows = docs, first_round(docs, rule) if rows is None else rows
     for r, length in enumerate(rule.lengths):
         found = ranked(rows, rule)
         out = out.join(found.select("_d", "_t", F.col("_f").alias(f"_r{r}"), F.col("_any").alias(f"_any{r}")), ["_d", "_t"], "left")
