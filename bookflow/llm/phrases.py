@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from bookflow.llm import repeats, scan
 from bookflow.session import checkpoint_dir
 
-#: Phrases in an automaton at most, and in the automata of slices read before that a task still holds.
-PER_SHARD, HELD = 400_000, 200_000
+PER_SHARD = 400_000
 LETTERS = 2
 #: Bytes of text in a slice, about.
 SLICE = 1 << 26
@@ -42,14 +41,15 @@ def letters(words: np.ndarray) -> np.ndarray:
     return np.stack([(h >> np.uint64(58)).astype(np.uint8) + np.uint8(48), ((h >> np.uint64(52)).astype(np.uint8) & np.uint8(63)) + np.uint8(48)], axis=1)
 
 
-def slices(docs: DataFrame) -> tuple[Column, bool]:
-    """The slice of a document of `docs` (from `repeats.named`), and whether a partition of `repeats.dealt` holds more than one."""
+def slices(docs: DataFrame) -> Column:
+    """The slice of a document of `docs` (from `repeats.named`)."""
     conf = docs.sparkSession.conf
-    parts = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions"))
+    parts = int(conf.get("spark.sql.shuffle.partitions"))
+    if all(conf.get(f"spark.sql.adaptive.{name}").lower() == "true" for name in ("enabled", "coalescePartitions.enabled")):
+        parts = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or parts)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    each = -(-size // (SLICE * parts)) or 1
     # the hash that deals rows to partitions, so slice s lies in partition s mod parts. With another one results are the same, but a task compiles more
-    return F.pmod(F.hash("_d", "_t"), F.lit(parts * each)), each > 1
+    return F.pmod(F.hash("_d", "_t"), F.lit(parts * (-(-size // (SLICE * parts)) or 1)))
 
 
 def confirmed(docs: DataFrame, r: repeats.Rule) -> DataFrame:
@@ -87,11 +87,10 @@ _automata: dict[tuple[str, int], list[tuple[ahocorasick.Automaton, np.ndarray]]]
 
 
 def automata(path: str, part: int, per_shard: int) -> list[tuple[ahocorasick.Automaton, np.ndarray]]:
-    """The automata of a slice, each with the sorted hashes of its phrases; compiled once a task while it reads the slice."""
+    """The automata of a slice, each with the sorted hashes of its phrases; held until another slice is read."""
     key = (path, part)
     if key not in _automata:
-        while sum(len(hashes) for made in _automata.values() for _, hashes in made) > HELD:
-            _automata.pop(next(iter(_automata)))
+        _automata.clear()
         fs, folder = pafs.FileSystem.from_uri(f"{path}/slice={part}")
         made = []
         if fs.get_file_info(folder).type != pafs.FileType.NotFound:
@@ -134,15 +133,15 @@ def remove_passages(docs: DataFrame, window: int = 50, per_shard: int = PER_SHAR
     docs = docs.drop(*names)
     own, length = docs.columns, r.lengths[0]
     named = repeats.named(docs)
-    of, several = slices(named)
+    of = slices(named)
     path = store(confirmed(named.withColumn("_s", of), r))
 
     def keep(part, values, begin, end, anchor):
         return located(values, begin, end, part.column("_s").to_numpy(), length, path, per_shard)[anchor]
 
     dealt = repeats.dealt(named)
-    by_slice = dealt.withColumn("_s", of)
-    found = repeats.find(dealt, r, repeats.first_round(by_slice.sortWithinPartitions("_s") if several else by_slice, r, keep))
+    by_slice = dealt.withColumn("_s", of).sortWithinPartitions("_s")  # a task may read several partitions
+    found = repeats.find(dealt, r, repeats.first_round(by_slice, r, keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.blocks(batches):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_dedup import corpus, direct_passages, frame, same
 
-from bookflow.llm import phrases
+from bookflow.llm import phrases, repeats
 
 
 @pytest.mark.parametrize("size,per_shard,slice_", [(8, 400_000, 900), (8, 7, 900), (50, 400_000, 3000)])
@@ -21,7 +21,7 @@ def test_passages_of_many_slices(spark, monkeypatch, size, per_shard, slice_):
     assert same(found, direct_passages(rows, size))
 
 
-def work_of_automata(spark, monkeypatch, n):
+def work_of_automata(spark, monkeypatch, n, coalesce="false"):
     """Phrases compiled and letters read in the first round of n groups of documents with words of their own, and the letters of the documents."""
     rng, rows = random.Random(5), []
     for g in range(n):
@@ -41,7 +41,7 @@ def work_of_automata(spark, monkeypatch, n):
         m.setattr(frames, "mapInArrow", recorded)
         phrases.remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 10, 1000)
         [(df, run)] = rounds
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
         try:
             table = df.withColumn("_task", F.spark_partition_id()).toArrow().combine_chunks()
         finally:
@@ -76,3 +76,22 @@ def test_automata_work_grows_with_the_corpus(spark, monkeypatch):
     for n in (5, 40):
         compiled, read, letters = work_of_automata(spark, monkeypatch, n)
         assert n * 30 < compiled < n * 4 * 200 and read == letters
+
+
+def test_a_task_of_many_slices_compiles_each_once(spark, monkeypatch):
+    """Adaptive execution reads small partitions in one task."""
+    apart, together = (work_of_automata(spark, monkeypatch, 40, coalesce) for coalesce in ("false", "true"))
+    assert apart == together
+
+
+@pytest.mark.parametrize("key,value", [("shuffle.partitions", "3"), ("adaptive.coalescePartitions.initialPartitionNum", "7"), ("adaptive.enabled", "false")])
+def test_a_slice_lies_in_one_partition(spark, monkeypatch, key, value):
+    monkeypatch.setattr(phrases, "SLICE", 2000)
+    before = spark.conf.get(f"spark.sql.{key}", None)
+    spark.conf.set(f"spark.sql.{key}", value)
+    try:
+        named = repeats.named(frame(spark, corpus(4)).select("doc_id", "text"))
+        of = repeats.dealt(named).withColumn("_s", phrases.slices(named)).select("_s", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset(f"spark.sql.{key}") if before is None else spark.conf.set(f"spark.sql.{key}", before)
+    assert len({r._s for r in of}) == len({(r._s, r.p) for r in of}) > 7
